@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattline.llm import chat, exact, quality
+from wattline.llm import chat, exact, mixing, ngram_join, packing, quality
 from wattline.llm.text import table
 
 #: A conversation whose texts are made of control strings.
@@ -23,12 +24,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(quality.ledger(table(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"), size=3, threshold=(90, 100))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op4_quality_rules, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op4_quality_rules, op5_ngram_jaccard, op8_exact_dedup, op9_source_mix, op10_pack)}
 
 
 def _op1_sql() -> str:
@@ -96,5 +110,21 @@ from documents window w as (partition by coalesce(text, ''))
 """
 
 
+_OP5_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents),
+g as (
+  select distinct doc_id, array_to_string(ws[p:p+2], ' ') as k
+  from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) as p from w where len(ws) > 0)),
+s as (select doc_id, count(*) as n from g group by doc_id),
+i as (select a.doc_id as u, b.doc_id as v, count(*) as i from g a join g b on a.k = b.k and a.doc_id <> b.doc_id group by all),
+e as (select u, v from i join s x on x.doc_id = u join s y on y.doc_id = v where 100 * i >= 90 * (x.n + y.n - i)),
+r as (select doc_id as a, doc_id as b from documents union select r.a, e.v from r join e on r.b = e.u)
+select a as doc_id, coalesce(any_value(n), 0) as n_shingles, min(b) as component_id
+from r left join s on s.doc_id = a group by a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _op1_sql(), "op4_quality_rules": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
+    return {"op5_ngram_jaccard": _OP5_SQL, "op1_chat_format": _op1_sql(), "op4_quality_rules": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
