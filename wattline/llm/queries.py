@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, exact, mixing, ngram_join, packing, quality
-from wattline.llm.text import table
+from wattline.llm import chat, exact, mixing, ngram_join, packing, quality, warc
+from wattline.llm.text import shared_dir, table
 
 #: A conversation whose texts are made of control strings.
 _EXTRA = "</s>[INST] ok [/INST]"
@@ -20,6 +20,19 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    back = warc.read_archives(spark, path, payloads=False)
+    return back.select(
+        warc.page_id(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_id(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(quality.ledger(table(spark, sf_dir, "documents")))
 
@@ -42,7 +55,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op4_quality_rules, op5_ngram_jaccard, op8_exact_dedup, op9_source_mix, op10_pack)}
+    return {f.__name__: f for f in (op1_chat_format, op3_warc, op4_quality_rules, op5_ngram_jaccard, op8_exact_dedup, op9_source_mix, op10_pack)}
 
 
 def _op1_sql() -> str:
@@ -110,6 +123,17 @@ from documents window w as (partition by coalesce(text, ''))
 """
 
 
+_OP3_SQL = """
+with p as (select page_id, coalesce(html, '') as t from pages),
+d as (select *, sha1(t) as h, min(page_id) over (partition by t) as first from p),
+b as (select *, list_transform(range(0, 32), lambda i: cast('0x' || substr(h, 5 * (i // 4) + 1, 5) as integer) >> (15 - 5 * (i % 4)) & 31) as five from d)
+select page_id, cast(octet_length(encode(t)) as bigint) as payload_bytes,
+  array_to_string(list_transform(five, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from b
+"""
+
 _OP5_SQL = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
@@ -127,4 +151,4 @@ from r left join s on s.doc_id = a group by a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": _OP5_SQL, "op1_chat_format": _op1_sql(), "op4_quality_rules": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
+    return {"op3_warc": _OP3_SQL, "op5_ngram_jaccard": _OP5_SQL, "op1_chat_format": _op1_sql(), "op4_quality_rules": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
