@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
     if "up" not in _powers or len(_powers["up"]) < n:
         size = max(n, BLOCK + (BLOCK >> 2))
@@ -44,6 +44,17 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def byte_sums(block: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Prefix sums whose differences, shifted by a power, hash any span of bytes."""
+    sums = np.zeros(len(block) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[block] * up[: len(block)], out=sums[1:])
+    return sums
+
+
+def lowered(block: np.ndarray) -> np.ndarray:
+    return _LOWER[block]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty texts."""
     if column.null_count:
@@ -77,12 +88,11 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = cut
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of every text)."""
-    found, counts = [], np.zeros(len(offsets) - 1, dtype=np.int64)
+def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, ends, hashes) of the words, block by block; places are in ``data``."""
     for a, b in _cuts(data, offsets):
         block = _LOWER[data[a:b]] if lower else data[a:b]
-        up, down = _power_tables(b - a)
+        up, down = power_tables(b - a)
         space = _IS_SPACE[block]
         edge = np.zeros(b - a + 1, dtype=bool)
         i, j = np.searchsorted(offsets, (a, b), "left")
@@ -95,11 +105,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
         inside = ~space
         starts = np.flatnonzero(inside & before)
         ends = np.flatnonzero(inside & after) + 1
-        sums = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[block] * up[: b - a], out=sums[1:])
-        found.append(mix((sums[ends] - sums[starts]) * down[starts]))
-        texts = np.searchsorted(offsets, starts + a, "right") - 1
-        counts += np.bincount(texts, minlength=len(counts))
+        sums = byte_sums(block, up)
+        yield starts + a, ends + a, mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of words of every text)."""
+    found, counts = [], np.zeros(len(offsets) - 1, dtype=np.int64)
+    for starts, _, hashes in word_spans(data, offsets, lower):
+        found.append(hashes)
+        counts += np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(counts))
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), counts
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, exact, mixing, ngram_join, packing, quality, warc
+from wattline.llm import chat, exact, mixing, ngram_join, packing, quality, toxicity, warc
 from wattline.llm.text import shared_dir, table
 
 #: A conversation whose texts are made of control strings.
@@ -41,6 +41,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), size=3, threshold=(90, 100))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -55,7 +59,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_warc, op4_quality_rules, op5_ngram_jaccard, op8_exact_dedup, op9_source_mix, op10_pack)}
+    return {f.__name__: f for f in (op1_chat_format, op3_warc, op4_quality_rules, op5_ngram_jaccard, op6_toxicity, op8_exact_dedup, op9_source_mix, op10_pack)}
 
 
 def _op1_sql() -> str:
