@@ -1,12 +1,11 @@
 """Exact dedup: group by a 128-bit content hash, then compare bytes.
 
-1. A narrow aggregate counts rows by hash (map-side combine: a hash shared by a
-   third of all rows sends one row a task).
-2. Texts travel only for hashes that occur twice or more.  They are grouped by
-   hash *and* text, so Spark compares the bytes and two texts that collide on
-   the hash come out as two groups.
-3. Every row gets its group by a join on (hash, SHA-256); a hot hash is on the
-   probe side of a shuffled join, which adaptive execution can split.
+1. Texts are grouped by hash *and* text, so Spark compares the bytes and two
+   texts that collide on the hash come out as two groups.  The map-side combine
+   sends one row a task for a text that a third of all rows share.
+2. Every row gets its group, if it has more than one row, by a join of narrow
+   rows on (hash, SHA-256); a hot hash is on the probe side of a shuffled join,
+   which adaptive execution can split.
 
 Defined results
 * Null text counts as the empty text; all empty texts are one group.
@@ -41,11 +40,10 @@ def exact_groups(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (normalise(text) if normalise else text).alias("t"))
     keyed = rows.withColumn("h", F.unhex(hash128(F.col("t").cast("binary"))))
-    shared = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     groups = (
-        keyed.join(shared, "h", "left_semi")
-        .groupBy("h", "t")
+        keyed.groupBy("h", "t")
         .agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .where("group_size > 1")
         .select("h", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
     )
     narrow = keyed.select("doc_id", "h", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
