@@ -168,14 +168,22 @@ def _may_link(a: str, b: str, num: int, den: int):
     return (num + den) * most >= num * sizes
 
 
-def _verify(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (u, v, sizes) whose overlap, summed over fragments, reaches the bound."""
+def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) whose overlap, summed over fragments, reaches the bound.
+
+    Only the texts of nodes in a pair are read into sets again.
+    """
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = settle(ends.join(nodes, "node").select(F.col("rep").alias("_rep")))
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.join(near, F.col("doc_id") == F.col("_rep"), "left_semi").select("text")
+    parts = settle(texts.mapInArrow(_fragments(size, order), "node long, fragment int, keys array<long>").dropDuplicates(["node", "fragment"]))
     left = parts.select(F.col("node").alias("u"), "fragment", F.col("keys").alias("u_keys"))
     right = parts.select(F.col("node").alias("v"), "fragment", F.col("keys").alias("v_keys"))
     partial = pairs.join(left, "u").join(right, ["v", "fragment"])
     partial = partial.select("u", "v", "sizes", F.size(F.array_intersect("u_keys", "v_keys")).alias("part"))
     total = partial.groupBy("u", "v", "sizes").agg(F.sum("part").alias("overlap"))
-    return total.where((num + den) * F.col("overlap") >= num * F.col("sizes")).select("u", "v")
+    return settle(total.where((num + den) * F.col("overlap") >= num * F.col("sizes")).select("u", "v"))
 
 
 def _pairs(joined: DataFrame, a: str, b: str) -> DataFrame:
@@ -184,22 +192,13 @@ def _pairs(joined: DataFrame, a: str, b: str) -> DataFrame:
     ).distinct()
 
 
-def _links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, order, size: int, num: int, den: int) -> DataFrame | None:
+def _links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
     """Links (u, v) between nodes that together connect all that are similar."""
-    spark = docs.sparkSession
     alone = sets.join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"])
     rows = alone.select("node", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("pos", "key"))
     common = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     members = settle(rows.join(common, "key").select("key", "node", "n", "pos"))
 
-    wanted = settle(members.select("node").distinct().join(nodes, "node").select(F.col("rep").alias("_rep")))
-    n_wanted = wanted.count()
-    if n_wanted == 0:
-        return None
-    near = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    texts = docs.join(near, F.col("doc_id") == F.col("_rep"), "left_semi").select("text")
-    parts = settle(texts.mapInArrow(_fragments(size, order), "node long, fragment int, keys array<long>").dropDuplicates(["node", "fragment"]))
-
     def as_side(df, name):
         return df.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "pos", "root")])
 
@@ -207,7 +206,7 @@ def _links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, order, size: int,
     hubs = hubs.select("key", F.col("hub.node").alias("h_node"), F.col("hub.n").alias("h_n"), F.col("hub.pos").alias("h_pos"))
     star = members.select("key", *[F.col(c).alias(f"m_{c}") for c in ("node", "n", "pos")]).join(hubs, "key")
     star = star.where((F.col("m_node") != F.col("h_node")) & _may_link("m", "h", num, den))
-    first = settle(_verify(settle(_pairs(star, "m", "h")), parts, num, den))
+    first = _verify(settle(_pairs(star, "m", "h")), docs, nodes, order, size, num, den)
 
     roots = components(first)
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -217,7 +216,7 @@ def _links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, order, size: int,
     apart = as_side(open_keys.where("root <> h_root"), "x")
     others = as_side(open_keys, "y")
     rest = apart.join(others, "key").where((F.col("x_root") != F.col("y_root")) & _may_link("x", "y", num, den))
-    second = _verify(settle(_pairs(rest, "x", "y").join(first, ["u", "v"], "left_anti")), parts, num, den)
+    second = _verify(settle(_pairs(rest, "x", "y")), docs, nodes, order, size, num, den)
     return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second.select("u", "v"))
 
 
@@ -230,13 +229,10 @@ def similar_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     order = spark.sparkContext.broadcast(global_order(docs.select("text"), size))
     sets = settle(docs.mapInArrow(_describe(size, num, den, order), f"doc_id {kind}, n long, node long, first array<long>"))
     nodes = settle(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")))
-    links = _links(docs, sets, nodes, order, size, num, den)
-    known = nodes
-    if links is not None:
-        roots = components(links).join(nodes, "node")
-        least = roots.groupBy("root").agg(F.min("rep").alias("least"))
-        moved = roots.join(least, "root").select("node", "least")
-        known = nodes.join(moved, "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))
+    roots = components(_links(docs, sets, nodes, order, size, num, den)).join(nodes, "node")
+    least = roots.groupBy("root").agg(F.min("rep").alias("least"))
+    moved = roots.join(least, "root").select("node", "least")
+    known = nodes.join(moved, "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return sets.join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, exact, mixing, ngram_join, packing, quality, toxicity, warc
+from wattline.llm import chat, exact, licenses, line_dedup, mixing, ngram_join, packing, quality, toxicity, warc
 from wattline.llm.text import shared_dir, table
 
 #: A conversation whose texts are made of control strings.
@@ -20,6 +20,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra)))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -45,6 +50,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = line_dedup.dedup_lines(docs)
+    return clean.select("doc_id", "n_lines", "n_copies", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -59,7 +70,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_warc, op4_quality_rules, op5_ngram_jaccard, op6_toxicity, op8_exact_dedup, op9_source_mix, op10_pack)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_warc, op4_quality_rules, op5_ngram_jaccard, op6_toxicity, op7_line_dedup, op8_exact_dedup, op9_source_mix, op10_pack)}
 
 
 def _op1_sql() -> str:
@@ -127,6 +138,58 @@ from documents window w as (partition by coalesce(text, ''))
 """
 
 
+def _op2_sql() -> str:
+    low = f"translate(x, '{licenses.UPPER}', '{licenses.LOWER}')"
+    norm = f"trim(regexp_replace({low}, '[^a-z0-9]+', ' ', 'g'))"
+    known = " ".join(f"when '{k}' then '{v}'" for k, v in licenses.KNOWN.items())
+    ident = f"case x {known} else case when regexp_matches(x, '^copyright (c )?[0-9]{{4}}\\b') then 'copyright' else '_' end end"
+    mark = "regexp_replace({}, '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g')"
+    out = ["with d as (select doc_id, coalesce(text, '') as t from documents)"]
+    by_line = f"string_split(replace(replace({mark.format('t')}, chr(10), chr(1)), chr(13), chr(1)), chr(1))"
+    para = "regexp_replace(t, '\\n[\\x20\\x09-\\x0D]*\\n', chr(2), 'g')"
+    joined = f"string_split(replace({mark.format(f"regexp_replace({para}, '[\\n\\r]+', ' ', 'g')")}, chr(2), chr(1)), chr(1))"
+    out.append(f"p as (select doc_id, 'l' as cut, {by_line} as s from d union all select doc_id, 'j', {joined} from d)")
+    out.append(f"n as (select doc_id, cut, list_filter(list_transform(s, lambda x: {norm}), lambda x: x <> '') as s from p)")
+    ids = f"',' || array_to_string(list_transform(s, lambda x: {ident}), ',') || ','"
+    out.append(f"q0 as (select doc_id, cut, {ids} as i, [] :: varchar[] as f, len(list_filter(list_transform(s, lambda x: {ident}), lambda x: x <> '_')) as n from n)")
+    out.append("r0 as (select doc_id, cut, regexp_replace(regexp_replace(i, '(,_)+,', ',_,', 'g'), '(,_)+,', ',_,', 'g') as i, f, n from q0)")
+    for k, (name, seq) in enumerate(licenses.RULES):
+        pat = "," + ",".join(seq) + ","
+        out.append(f"r{k + 1} as (select doc_id, cut, replace(i, '{pat}', ',#,') as i, case when contains(i, '{pat}') then list_append(f, '{name}') else f end as f, n from r{k})")
+    names = list(dict.fromkeys(n for n, _ in licenses.RULES))
+    last = f"r{len(licenses.RULES)}"
+    out.append(
+        f"z as (select doc_id, list_filter({names}, lambda m: list_contains(flatten(list(f)), m)) as f, max(n) as n_known, "
+        f"min(len(list_filter(string_split(i, ','), lambda x: x not in ('', '_', '#')))) as n_unclaimed from {last} group by doc_id)"
+    )
+    return ",\n".join(out) + (
+        "\nselect doc_id, array_to_string(f, ',') as licenses, cast(n_known as bigint) as n_known, cast(n_unclaimed as bigint) as n_unclaimed, "
+        "case when len(f) > 0 then 'licensed' when n_known > 0 then 'unclaimed' else 'none' end as status from z"
+    )
+
+
+_OP7_SQL = r"""
+with l as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no
+  from documents),
+w as (select doc_id, line_no, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as ws from l),
+u as (
+  select array_to_string(ws, ' ') as k, any_value(ws) as ws, min({'d': doc_id, 'l': line_no}) as first
+  from w where len(ws) > 0 group by all),
+x as (select k, ws, first, unnest(range(1, len(ws) + 1)) as p from u where len(ws) >= 10),
+v as (select k, first, p, array_to_string(list_concat(ws[1:p-1], ws[p+1:len(ws)]), ' ') as r, len(ws) as n from x),
+b as (select distinct a.k from v a join v b on a.r = b.r and a.p = b.p where b.first < a.first
+  union select a.k from u a join v b on a.k = b.r where b.first < a.first and len(a.ws) >= 10
+  union select a.k from v a join u b on a.r = b.k where b.first < a.first and a.n > 10),
+j as (
+  select w.doc_id, w.line_no, w.line, len(w.ws) > 0 as has, {'d': w.doc_id, 'l': w.line_no} <> u.first as copy, b.k is not null as near
+  from w left join u on u.k = array_to_string(w.ws, ' ') and len(w.ws) > 0 left join b on b.k = u.k)
+select doc_id, count(*) filter (where has) as n_lines, count(*) filter (where has and copy) as n_copies,
+  count(*) filter (where has and near and not copy) as n_near,
+  sha256(coalesce(string_agg(line, chr(10) order by line_no) filter (where not has or not (copy or near)), '')) as text_sha256
+from j group by doc_id
+"""
+
 _OP3_SQL = """
 with p as (select page_id, coalesce(html, '') as t from pages),
 d as (select *, sha1(t) as h, min(page_id) over (partition by t) as first from p),
@@ -155,4 +218,4 @@ from r left join s on s.doc_id = a group by a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": _OP3_SQL, "op5_ngram_jaccard": _OP5_SQL, "op1_chat_format": _op1_sql(), "op4_quality_rules": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
+    return {"op2_license_scan": _op2_sql(), "op7_line_dedup": _OP7_SQL, "op3_warc": _OP3_SQL, "op5_ngram_jaccard": _OP5_SQL, "op1_chat_format": _op1_sql(), "op4_quality_rules": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
