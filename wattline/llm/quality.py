@@ -18,6 +18,8 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +30,13 @@ SYMBOLS = r"[#*$%&|<>]"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 #: Rule name to failure condition over the measures; the order fixes the bits.
-RULES: dict[str, str] = {
-    "too_few_words": "n_words < 10",
-    "repeated_windows": "100 * n_repeat_words > 20 * n_words",
-    "many_symbols": "10 * n_symbols > n_words",
-    "short_words": "word_chars < 2 * n_words",
-    "long_words": "word_chars > 20 * n_words",
-    "repeated_lines": "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines",
+RULES: dict[str, Callable[[Column], Column]] = {
+    "too_few_words": lambda m: m["n_words"] < 10,
+    "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"],
+    "many_symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
+    "short_words": lambda m: m["word_chars"] < 2 * m["n_words"],
+    "long_words": lambda m: m["word_chars"] > 20 * m["n_words"],
+    "repeated_lines": lambda m: (m["n_lines"] >= 4) & (10 * m["n_dup_lines"] > 3 * m["n_lines"]),
 }
 #: Policy name to the rules that reject.  New versions are added, old ones stay.
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -81,33 +83,38 @@ def repeated_window_words(ws: Column, size: int = WINDOW) -> Column:
     return F.when(F.size(ws) > size, let(hashes, count)).otherwise(F.lit(0)).cast("long")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the measurements that the rules read."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.select(
-        F.col(id_col).alias("doc_id"),
-        words(text).alias("ws"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(HAS_WORD)).alias("lines"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-    )
-    return split.select(
-        "doc_id",
-        F.size("ws").cast("long").alias("n_words"),
-        F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col("ws")).alias("n_repeat_words"),
-    )
+def measures(text: Column) -> Column:
+    """Struct of the measurements that the rules read, from one pass over a text."""
+    text = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(HAS_WORD))
+    parts = F.struct(words(text).alias("ws"), lines.alias("lines"))
+
+    def measure(p):
+        values = {
+            "n_words": F.size(p["ws"]),
+            "word_chars": F.length(F.array_join(p["ws"], "")),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+            "n_lines": F.size(p["lines"]),
+            "n_dup_lines": F.size(p["lines"]) - F.size(F.array_distinct(p["lines"])),
+            "n_repeat_words": repeated_window_words(p["ws"]),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in values.items()])
+
+    return let(parts, measure)
+
+
+def fail_bits(m: Column) -> Column:
+    """Bit i is set where rule i fails."""
+    bits = F.lit(0)
+    for rule, fails in RULES.items():
+        bits = bits.bitwiseOR(F.when(fails(m), F.lit(bit(rule))).otherwise(F.lit(0)))
+    return bits.cast("long")
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The measures and ``fail_bits``: bit i is set where rule i fails."""
-    bits = None
-    for rule, condition in RULES.items():
-        one = F.when(F.expr(condition), F.lit(bit(rule))).otherwise(F.lit(0))
-        bits = one if bits is None else bits.bitwiseOR(one)
-    return measures(docs, id_col, text_col).withColumn("fail_bits", bits.cast("long"))
+    """doc_id, the measures and ``fail_bits``."""
+    measured = docs.select(F.col(id_col).alias("doc_id"), measures(F.col(text_col)).alias("m"))
+    return measured.select("doc_id", "m.*", fail_bits(F.col("m")).alias("fail_bits"))
 
 
 def judge(book: DataFrame, policy: str = "v1", base: str = "base") -> DataFrame:
@@ -117,6 +124,16 @@ def judge(book: DataFrame, policy: str = "v1", base: str = "base") -> DataFrame:
     return book.withColumn("base_failed", failed).withColumn("kept", ~rejected)
 
 
+def keep_good(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
+    """The documents a policy keeps, with all their columns; no shuffle.
+
+    The verdict is one expression, so that pushing the filter to the scan cannot
+    make the measures be taken more than once.
+    """
+    rejects = F.lit(mask(policy) | mask("base"))
+    return docs.where(let(measures(F.col(text_col)), lambda m: fail_bits(m).bitwiseAND(rejects) == 0))
+
+
 def ablation(book: DataFrame, policy: str = "v1") -> DataFrame:
     """For each rule of a policy: rows it fails, and rows only it rejects.
 
