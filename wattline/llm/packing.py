@@ -125,7 +125,7 @@ def curve_keys(texts: pa.Array, dims: int = DIMS, bits: int = GRID_BITS) -> np.n
 
 def _add_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, tie -> key, for the quantiles."""
-    for batch in batches:
+    for batch in kernels.slices(batches):
         yield pa.RecordBatch.from_arrays([_key(batch.column(0), batch.column(1))], ["key"])
 
 
@@ -139,13 +139,11 @@ def _tokenise(path: str, end: int, wide: bool, bounds: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, kind = encoder(path), np.uint32 if wide else np.uint16
-        for big in batches:
-            for a in range(0, big.num_rows, 512):
-                batch = big.slice(a, 512)
-                ids = [np.array([*encode(t or ""), end], dtype=kind).tobytes() for t in batch.column(1).to_pylist()]
-                key = _key(batch.column(1), batch.column(2))
-                part = np.searchsorted(cuts, key.to_numpy(), "right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), key, pa.array(part), pa.array(ids, pa.binary())], ["doc_id", "key", "part", "ids"])
+        for batch in kernels.slices(batches):
+            ids = [np.array([*encode(t or ""), end], dtype=kind).tobytes() for t in batch.column(1).to_pylist()]
+            key = _key(batch.column(1), batch.column(2))
+            part = np.searchsorted(cuts, key.to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), key, pa.array(part), pa.array(ids, pa.binary())], ["doc_id", "key", "part", "ids"])
 
     return run
 

@@ -188,7 +188,7 @@ def features(model: Model, texts: pa.Array) -> np.ndarray:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, toxic -> distinct words of a batch with their counts by class."""
-    for batch in batches:
+    for batch in kernels.slices(batches, 5000):
         data, offsets = kernels.buffers(batch.column(0))
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
         for starts, ends, hashes in kernels.word_spans(data, offsets):
@@ -254,7 +254,7 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thresho
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.slices(batches, 5000):
             found = features(shared.value, batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(found[:, i]) for i in range(3))], ["toxic", "a", "b", "c"])
 
@@ -270,7 +270,7 @@ def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thresho
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, mean, scale = fit
-        for batch in batches:
+        for batch in kernels.slices(batches, 5000):
             z = (features(shared.value, batch.column(1)) - mean) / scale @ w[:3] + w[3]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "score"])
 

@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from wattline.llm.text import settle
+
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 18
 HEADER_LIMIT = 1 << 20
@@ -272,7 +274,7 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     """
     key = F.sha2(F.coalesce(F.col(payload_col), F.lit("")).cast("binary"), 256)
     big = F.octet_length(F.coalesce(F.col(payload_col), F.lit(""))) >= min_bytes
-    first = pages.where(big).groupBy(key.alias("_key")).agg(F.min(id_col).alias("_first"))
+    first = settle(pages.where(big).groupBy(key.alias("_key")).agg(F.min(id_col).alias("_first")))
     joined = pages.join(first, key == F.col("_key"), "left")
     again = F.when(big & (F.col(id_col) > F.col("_first")), F.col("_first"))
     return joined.withColumn("refers_to", again).drop("_key", "_first")
