@@ -184,7 +184,7 @@ def ewm(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, tuple
             rows[name] = rows[source].astype("float64").ewm(alpha=alpha, adjust=adjust).mean()
         return rows[[f.name for f in schema.fields]]
 
-    grouped = df.groupBy(*keys) if keys else df.groupBy(F.lit(1))
+    grouped = df.groupBy(*keys) if keys else df.groupBy(F.lit("all"))
     return grouped.applyInPandas(run, schema)
 
 
