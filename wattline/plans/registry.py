@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from wattline.plans import market, risk  # noqa: F401
+    from wattline.plans import energy, market, risk  # noqa: F401
