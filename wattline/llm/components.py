@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating star contraction.
 
-Every step is a minimum by node (map-side combine) and a shuffled join back, so
-a node with very many links is never gathered in one task, and no link list
-leaves the executors.  Each step is written to the shared folder.
+Every step is a minimum by node (map-side combine) and a shuffled join back.  The
+minima are written to the shared folder first: both sides of the join are then
+plain shuffles, which adaptive execution can split at a node with very many
+links.  No link list leaves the executors.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from wattline.llm.text import settle
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = settle(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -40,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     was = _state(now)
     while was[0]:
-        now = settle(_small_star(_large_star(now)))
+        now = settle(_small_star(settle(_large_star(now))))
         state = _state(now)
         if state == was:
             break

@@ -12,7 +12,9 @@ den * |A and B| >= num * |A or B| over their sets of distinct word shingles.
 3. *Candidates.*  A similar pair shares a shingle among the first
    n - ceil(t n) + 1 of each set in the global order.  Those (shingle, node,
    size, place) rows are the one large shuffle; shingles of a single node go at
-   once.  Size and place bounds prune the rest.
+   once.  Size and place bounds prune the rest, then a bound from per-node counts
+   of shingles in HISTOGRAM hash buckets: the overlap is at most the sum of the
+   lesser counts.
 4. *No quadratic groups.*  In each shingle's group all members first meet only
    one hub, the member with the fewest rarer shingles.  Links found there are
    contracted; then members that are still apart from the hub's component meet
@@ -49,6 +51,9 @@ from wattline.llm.text import settle
 SKETCH_BITS = 22
 SLICES = 64
 FRAGMENTS = 8
+HISTOGRAM = 32
+#: Candidate pairs up to this many are broadcast (some 60 bytes each).
+BROADCAST_PAIRS = 500_000
 #: Candidate ids up to this many are broadcast to the scan (8 bytes each, so at
 #: most some 50 MB); beyond it the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
@@ -57,7 +62,7 @@ BROADCAST_IDS = 1_000_000
 def _sketch_part(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        for batch in batches:
+        for batch in kernels.slices(batches):
             words, counts = kernels.word_hashes(*kernels.buffers(batch.column(0)))
             grams, _ = kernels.gram_hashes(words, counts, size)
             total += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).view(np.int64), minlength=len(total)).astype(np.uint32)
@@ -124,18 +129,21 @@ def _node(keys: np.ndarray) -> np.uint64:
 
 
 def _describe(size: int, num: int, den: int, shared):
-    """id, text -> id, n, node, first shingles of the set."""
+    """id, text -> id, n, node, first shingles of the set, its histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, nodes, firsts = [], [], []
+        for batch in kernels.slices(batches):
+            n, nodes, firsts, counts = [], [], [], []
             for keys in _sets(batch.column(1), size, shared.value):
                 n.append(len(keys))
                 nodes.append(_node(keys))
+                counts.append(np.bincount((keys & np.uint64(HISTOGRAM - 1)).view(np.int64), minlength=HISTOGRAM))
                 firsts.append(keys[: len(keys) - -(-num * len(keys) // den) + 1] if len(keys) else keys)
             node = pa.array(kernels.as_long(np.array(nodes, dtype=np.uint64)), mask=np.array(n) == 0)
             first = kernels.lists_of(np.concatenate(firsts) if firsts else np.zeros(0, np.uint64), np.array([len(x) for x in firsts], dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), node, first], ["doc_id", "n", "node", "first"])
+            flat = pa.array(np.concatenate(counts).astype(np.int32)) if counts else pa.array([], pa.int32())
+            histogram = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * HISTOGRAM), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), node, first, histogram], ["doc_id", "n", "node", "first", "histogram"])
 
     return run
 
@@ -144,7 +152,7 @@ def _fragments(size: int, shared):
     """text -> node, fragment, the set's shingles in that fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in kernels.slices(batches):
             nodes, ids, lengths, values = [], [], [], []
             for keys in _sets(batch.column(0), size, shared.value):
                 cuts = np.concatenate(([0], np.searchsorted(keys, shared.value.pivots), [len(keys)]))
@@ -173,50 +181,60 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, order, size: in
 
     Only the texts of nodes in a pair are read into sets again.
     """
+    n_pairs = pairs.count()
+    if n_pairs == 0:
+        return pairs.select("u", "v")
+    pairs = F.broadcast(pairs) if n_pairs <= BROADCAST_PAIRS else pairs
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = settle(ends.join(nodes, "node").select(F.col("rep").alias("_rep")))
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.join(near, F.col("doc_id") == F.col("_rep"), "left_semi").select("text")
-    parts = settle(texts.mapInArrow(_fragments(size, order), "node long, fragment int, keys array<long>").dropDuplicates(["node", "fragment"]))
+    parts = settle(texts.mapInArrow(_fragments(size, order), "node long, fragment int, keys array<long>"))
     left = parts.select(F.col("node").alias("u"), "fragment", F.col("keys").alias("u_keys"))
     right = parts.select(F.col("node").alias("v"), "fragment", F.col("keys").alias("v_keys"))
     partial = pairs.join(left, "u").join(right, ["v", "fragment"])
-    partial = partial.select("u", "v", "sizes", F.size(F.array_intersect("u_keys", "v_keys")).alias("part"))
+    # A document that is read twice gives its fragments twice, hence the maximum.
+    partial = partial.groupBy("u", "v", "sizes", "fragment").agg(F.max(F.size(F.array_intersect("u_keys", "v_keys"))).alias("part"))
     total = partial.groupBy("u", "v", "sizes").agg(F.sum("part").alias("overlap"))
     return settle(total.where((num + den) * F.col("overlap") >= num * F.col("sizes")).select("u", "v"))
 
 
-def _pairs(joined: DataFrame, a: str, b: str) -> DataFrame:
-    return joined.select(
+def _pairs(joined: DataFrame, a: str, b: str, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (u, v, sizes) whose histograms leave enough room to overlap."""
+    pairs = joined.select(
         F.least(f"{a}_node", f"{b}_node").alias("u"), F.greatest(f"{a}_node", f"{b}_node").alias("v"), (F.col(f"{a}_n") + F.col(f"{b}_n")).alias("sizes")
     ).distinct()
+    left, right = (nodes.select(F.col("node").alias(e), F.col("histogram").alias(f"{e}_h")) for e in ("u", "v"))
+    most = F.aggregate(F.zip_with("u_h", "v_h", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    roomy = pairs.join(left, "u").join(right, "v").where((num + den) * most >= num * F.col("sizes"))
+    return settle(roomy.select("u", "v", "sizes"))
 
 
 def _links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, order, size: int, num: int, den: int) -> DataFrame:
     """Links (u, v) between nodes that together connect all that are similar."""
     alone = sets.join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"])
     rows = alone.select("node", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("pos", "key"))
-    common = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
+    common = settle(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"))
     members = settle(rows.join(common, "key").select("key", "node", "n", "pos"))
 
     def as_side(df, name):
         return df.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "pos", "root")])
 
     hubs = members.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
-    hubs = hubs.select("key", F.col("hub.node").alias("h_node"), F.col("hub.n").alias("h_n"), F.col("hub.pos").alias("h_pos"))
+    hubs = settle(hubs.select("key", F.col("hub.node").alias("h_node"), F.col("hub.n").alias("h_n"), F.col("hub.pos").alias("h_pos")))
     star = members.select("key", *[F.col(c).alias(f"m_{c}") for c in ("node", "n", "pos")]).join(hubs, "key")
     star = star.where((F.col("m_node") != F.col("h_node")) & _may_link("m", "h", num, den))
-    first = _verify(settle(_pairs(star, "m", "h")), docs, nodes, order, size, num, den)
+    first = _verify(_pairs(star, "m", "h", nodes, num, den), docs, nodes, order, size, num, den)
 
     roots = components(first)
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = settle(rooted.select("key", "node", "n", "pos", "root"))
     state = rooted.groupBy("key").agg(F.min(F.struct("pos", "node", "root"))["root"].alias("h_root"), F.min("root").alias("a"), F.max("root").alias("b"))
-    open_keys = rooted.join(state.where("a <> b").select("key", "h_root"), "key")
+    open_keys = settle(rooted.join(settle(state.where("a <> b").select("key", "h_root")), "key"))
     apart = as_side(open_keys.where("root <> h_root"), "x")
     others = as_side(open_keys, "y")
     rest = apart.join(others, "key").where((F.col("x_root") != F.col("y_root")) & _may_link("x", "y", num, den))
-    second = _verify(settle(_pairs(rest, "x", "y")), docs, nodes, order, size, num, den)
+    second = _verify(_pairs(rest, "x", "y", nodes, num, den), docs, nodes, order, size, num, den)
     return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second.select("u", "v"))
 
 
@@ -227,12 +245,12 @@ def similar_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = spark.sparkContext.broadcast(global_order(docs.select("text"), size))
-    sets = settle(docs.mapInArrow(_describe(size, num, den, order), f"doc_id {kind}, n long, node long, first array<long>"))
-    nodes = settle(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")))
+    sets = settle(docs.mapInArrow(_describe(size, num, den, order), f"doc_id {kind}, n long, node long, first array<long>, histogram array<int>"))
+    nodes = settle(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("histogram").alias("histogram")))
     roots = components(_links(docs, sets, nodes, order, size, num, den)).join(nodes, "node")
     least = roots.groupBy("root").agg(F.min("rep").alias("least"))
     moved = roots.join(least, "root").select("node", "least")
-    known = nodes.join(moved, "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))
+    known = settle(nodes.join(moved, "node", "left").select("node", F.coalesce("least", "rep").alias("rep")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return sets.join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
