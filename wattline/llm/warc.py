@@ -209,7 +209,9 @@ class WarcReader(DataSourceReader):
         files = [f for f in found if f.is_file and f.base_name.endswith(".warc.gz") and f.base_name[0] not in "._"]
         return [ByteRange(f.path, a, min(a + self.split_bytes, f.size)) for f in files for a in range(0, f.size, self.split_bytes)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no archives
+            return
         fs, _ = pafs.FileSystem.from_uri(self.path)
         schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64())])
         rows, size = [], 0
