@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wattline.functions.ts import Series, clip, ewm, flag, span
+from wattline.functions.ts import Series, clip, ewm, expanding_rank, flag, span
 from wattline.operators import align, backtest, ml, news, retrieval, risk, signals, stats, valuation
 from wattline.operators.technical import Technical
 from wattline.sources import landing
@@ -79,6 +79,9 @@ def test_ewm_and_rank_match_pandas(spark):
     assert np.allclose(got["a"], p.ewm(span=10, adjust=False).mean()) and np.allclose(got["b"], p.ewm(alpha=0.3).mean())
     rank = df.select("date", Series(["key"]).pct_rank("x", 20).alias("r")).toPandas().sort_values("date")["r"]
     assert np.allclose(rank, p.rolling(20).rank(pct=True), equal_nan=True)
+    tied = series(spark, [round(v) * 1.0 for v in x])
+    mine = expanding_rank(tied, ["key"], ["date"], "x", "r", 5).toPandas().sort_values("date")["r"]
+    assert np.allclose(mine, p.round().expanding(5).rank(pct=True), equal_nan=True)
 
 
 def test_asof_keeps_old_value_over_null_and_carries_keys(spark):

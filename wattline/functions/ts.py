@@ -7,6 +7,7 @@ statistic needs ``min_periods`` non-null values, by default the whole window.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable
 
 import pandas as pd
@@ -188,5 +189,29 @@ def ewm(df: DataFrame, keys: list[str], order: list[str], specs: dict[str, tuple
     return grouped.applyInPandas(run, schema)
 
 
+def expanding_rank(df: DataFrame, keys: list[str], order: list[str], column: str, name: str, min_periods: int = 1) -> DataFrame:
+    """Adds the share of the history up to a row that is below it, ties averaged.
+
+    A frame expression would read the whole history at every row; the kernel keeps
+    a sorted history, so a row costs one binary search and one insertion.
+    """
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order).reset_index(drop=True)
+        seen, out = [], []
+        for x in rows[column]:
+            if x is None or x != x:
+                out.append(None)
+                continue
+            below, upto = bisect.bisect_left(seen, x), bisect.bisect_right(seen, x)
+            seen.insert(upto, x)
+            out.append((below + (upto - below + 2) / 2) / len(seen) if len(seen) >= min_periods else None)
+        return rows.assign(**{name: pd.Series(out, dtype="float64")})
+
+    grouped = df.groupBy(*keys) if keys else df.groupBy(F.lit("all"))
+    return grouped.applyInPandas(run, schema)
+
+
 def span(n: float) -> float:
     return 2.0 / (n + 1.0)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.functions.ts import Series, clip, col, ewm, flag, span
+from wattline.functions.ts import Series, clip, col, ewm, expanding_rank, flag, span
 from wattline.operators.align import asof_join
 
 
@@ -194,12 +194,12 @@ class Composite:
         out = df.withColumn("composite", self.score(present)).withColumn("_r", s.log_return(price))
         out = out.withColumn("_v", s.std("_r", self.vol_lookback) * F.sqrt(F.lit(252.0)))
         out = out.withColumn("_v", clip(F.coalesce("_v", s.bfill("_v")), 0.05))
-        off = s.pct_rank("_v", 100_000_000, 252) > self.risk_off
-        side = F.when(off, 0).when(F.col("composite") >= self.long_threshold, 1).when(F.col("composite") <= self.short_threshold, -1).otherwise(0)
+        out = expanding_rank(out, list(keys), ["date"], "_v", "_rank", 252)
+        side = F.when(F.col("_rank") > self.risk_off, 0).when(F.col("composite") >= self.long_threshold, 1).when(F.col("composite") <= self.short_threshold, -1).otherwise(0)
         belief = self.floor + (1 - self.floor) * F.least(F.abs("composite"), F.lit(0.8)) / 0.8
         scale = F.least(self.vol_target / F.col("_v"), F.lit(1.5))
         out = out.withColumn("signal", side)
-        return out.withColumn("position_size", clip(F.col("signal") * belief * scale, -self.max_short, 1.0)).drop("_r", "_v")
+        return out.withColumn("position_size", clip(F.col("signal") * belief * scale, -self.max_short, 1.0)).drop("_r", "_v", "_rank")
 
 
 class StopState:
