@@ -276,3 +276,71 @@ def standardise(df: DataFrame, columns: list[str], fit: Column = F.lit(True)) ->
     stats = df.where(fit).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
     joined = df.join(F.broadcast(stats))
     return joined.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
+
+
+# --- storage, weather and cross-asset blocks of the price models ------------------
+
+
+def storage_for_price(prices: DataFrame, weekly: DataFrame, level: str = "level") -> DataFrame:
+    """Level, changes over 1 and 4 weeks, 4-week surprise and yearly growth, daily."""
+    s = Series()
+    w = weekly.select("date", col(level).alias("ng_storage")).withColumns({"ng_storage_change": s.diff("ng_storage"), "ng_storage_change_4w": s.diff("ng_storage", 4), "ng_storage_yoy": s.pct("ng_storage", 52)})
+    w = w.withColumn("ng_storage_surprise", F.col("ng_storage_change") - s.mean("ng_storage_change", 4))
+    return reindex_ffill(prices, upsample_ffill(w))
+
+
+def weather_extremes(s: Series, names: tuple[str, ...] = ("hdd", "cdd")) -> dict[str, Column]:
+    return {f"{x}_extreme": flag(F.col(x) > s.quantile(x, 0.9, 90)) for x in names}
+
+
+def gas_seasons(d: Column = D) -> dict[str, Column]:
+    m = F.month(d)
+    return {"is_winter": flag(m.isin(12, 1, 2)), "is_summer": flag(m.isin(6, 7, 8)), "heating_season": flag(m.isin(11, 12, 1, 2, 3)), "injection_season": flag(m.between(4, 10))}
+
+
+def cross_asset(s: Series, x: str, name: str, volatility: bool = False) -> dict[str, Column]:
+    """Moves, z and average ratio of another market's close; levels if a volatility."""
+    move = {f"{name}_change_{k}d": s.diff(x, k) for k in (5, 20)} if volatility else {f"{name}_return_{k}d": s.pct(x, k) for k in (5, 20)}
+    out = move | {f"{name}_zscore": s.zscore(x, 60, 10), f"{name}_ma_ratio": _divide(x, s.mean(x, 20, 1))}
+    if volatility:
+        out |= {f"{name}_high": flag(F.col(x) > 40), f"{name}_extreme": flag(F.col(x) > 60)}
+    return out
+
+
+def ratio_zscore(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    return df.withColumn(name, _divide(a, b)).withColumn(f"{name}_zscore", Series().zscore(name, 60, 10))
+
+
+def stress_proxies(daily: DataFrame) -> DataFrame:
+    """Policy uncertainty, credit spread, consumer and stress flags, of what is there.
+
+    The high-uncertainty flag compares with the quantile of the whole table.
+    """
+    s, have, out = Series(), set(daily.columns), daily
+    if "epu_index" in have:
+        q = daily.agg(F.percentile("epu_index", 0.75).alias("_q"))
+        out = out.join(F.broadcast(q)).withColumns({"epu_zscore": s.zscore("epu_index", 60, 10), "epu_ma30": s.mean("epu_index", 30, 1), "epu_high": flag(F.col("epu_index") > F.col("_q"))}).drop("_q")
+    if "hy_spread" in have:
+        out = out.withColumns({"hy_spread_change_5d": s.diff("hy_spread", 5), "hy_spread_change_20d": s.diff("hy_spread", 20), "hy_spread_zscore": s.zscore("hy_spread", 60, 10), "credit_stress_high": flag(F.col("hy_spread") > 5.0)})
+    if "consumer_sentiment" in have:
+        out = out.withColumn("consumer_sent_change", s.diff("consumer_sentiment", 30))
+    if "financial_stress" in have:
+        out = out.withColumn("fin_stress_elevated", flag(F.col("financial_stress") > 0))
+    return out
+
+
+def build(prices: DataFrame, storage_table: DataFrame | None = None, extra: tuple[DataFrame, ...] = (), horizon: int = 1, kind: str = "log_return") -> DataFrame:
+    """The whole matrix: indicators, calendar, storage, other tables, cleaning, target.
+
+    Other tables are joined on the date and add only columns that are not there yet.
+    """
+    from wattline.operators.technical import Technical
+
+    out = Technical(keys=()).all(prices).withColumns({**calendar(), **gas_seasons()})
+    if storage_table is not None:
+        out = with_storage(out, storage_table)
+    for t in extra:
+        new = [c for c in t.columns if c == "date" or c not in out.columns]
+        out = out.join(t.select(*new), "date", "left")
+    out = clean(out)
+    return out.withColumn("target", targets(Series(), horizon=horizon, kind=kind)).where("target is not null")

@@ -244,3 +244,41 @@ def weather_panel(spark, sf):
     c = l.groupBy(F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("city"), F.col("l_shipdate").cast("date").alias("date")).agg(F.avg("l_quantity").alias("v"))
     weights = n.select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("city"), F.col("n_nationkey").cast("double").alias("weight"))
     return rounded(energy.weather_panel(c, weights, ("v",)))
+
+
+@query("storage_for_price", ctes("market", "weekly") + f""", c as (select date, level as ng_storage, level - lag(level) {G} as a, level - lag(level, 4) {G} as b, level / nullif(lag(level, 52) {G}, 0) - 1 as y from weekly), e as (select *, a - ({roll('avg(a)', 'a', 4)}) as s from c),
+d as (select unnest(generate_series((select min(date) from e), (select max(date) from e), interval 1 day))::date as date),
+f as (select d.date, last_value(ng_storage ignore nulls) over k as ng_storage, last_value(a ignore nulls) over k as a, last_value(b ignore nulls) over k as b, last_value(y ignore nulls) over k as y, last_value(s ignore nulls) over k as s from d left join e on d.date = e.date window k as (order by d.date rows unbounded preceding))
+select m.date, last_value(f.ng_storage ignore nulls) over j as ng_storage, last_value(f.a ignore nulls) over j as ng_storage_change, last_value(f.b ignore nulls) over j as ng_storage_change_4w, {r('last_value(f.y ignore nulls) over j', 'ng_storage_yoy')}, {r('last_value(f.s ignore nulls) over j', 'ng_storage_surprise')} from market m left join f on m.date = f.date window j as (order by m.date rows unbounded preceding)""")
+def storage_for_price(spark, sf):
+    return rounded(features.storage_for_price(fr.market(spark, sf).select("date"), fr.weekly(spark, sf)))
+
+
+@query("weather_extremes", ctes("market") + f" select date, coalesce(volume > ({roll('quantile_cont(volume, 0.9)', 'volume', 90)}), false)::int as volume_extreme, (month(date) in (11, 12, 1, 2, 3))::int as heating_season, (month(date) between 4 and 10)::int as injection_season from market")
+def weather_extremes(spark, sf):
+    m = fr.market(spark, sf)
+    s = features.gas_seasons()
+    return m.select("date", features.weather_extremes(Series(), ("volume",))["volume_extreme"].alias("volume_extreme"), s["heating_season"].alias("heating_season"), s["injection_season"].alias("injection_season"))
+
+
+def _z(x: str) -> str:
+    return f"({x} - ({roll(f'avg({x})', x, 60, 10)})) / nullif({roll(f'stddev_samp({x})', x, 60, 10)}, 0)"
+
+
+@query("cross_asset_features", ctes("market") + f" select date, {r(f'close / nullif(lag(close, 20) {G}, 0) - 1', 'gold_return_20d')}, {r(_z('close'), 'gold_zscore')}, {r(f'close / nullif(avg(close) {w(20)}, 0)', 'gold_ma_ratio')}, {r(f'volume - lag(volume, 5) {G}', 'ovx_change_5d')}, (volume > 40)::int as ovx_high from market")
+def cross_asset_features(spark, sf):
+    s = Series()
+    gold, ovx = features.cross_asset(s, "close", "gold"), features.cross_asset(s, "volume", "ovx", volatility=True)
+    both = {**gold, **ovx}
+    return rounded(fr.market(spark, sf).select("date", *[both[n].alias(n) for n in ("gold_return_20d", "gold_zscore", "gold_ma_ratio", "ovx_change_5d", "ovx_high")]))
+
+
+@query("stress_proxies", ctes("market") + f", x as (select date, volume as epu_index, close / 40000 as hy_spread from market) select date, {r(_z('epu_index'), 'epu_zscore')}, (epu_index > (select quantile_cont(epu_index, 0.75) from x))::int as epu_high, {r(f'hy_spread - lag(hy_spread, 20) {G}', 'hy_spread_change_20d', 9)}, (hy_spread > 5)::int as credit_stress_high from x")
+def stress_proxies(spark, sf):
+    x = fr.market(spark, sf).select("date", F.col("volume").alias("epu_index"), (F.col("close") / 40000).alias("hy_spread"))
+    return rounded(features.stress_proxies(x).select("date", "epu_zscore", "epu_high", "hy_spread_change_20d", "credit_stress_high"), hy_spread_change_20d=9)
+
+
+@query("feature_matrix")
+def feature_matrix(spark, sf):
+    return features.build(fr.market(spark, sf), fr.weekly(spark, sf))
