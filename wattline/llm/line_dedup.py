@@ -21,8 +21,9 @@ character of the corpus.
 5. *Verified.*  The words of a line and of the earlier one it is near to are
    compared before it is dropped.
 
-Aggregates combine map-side; the joins back are shuffled joins that adaptive
-execution can split when a key is hot.
+Aggregates combine map-side and are written before they are joined back, so those
+joins are plain shuffles on both sides, which adaptive execution can split when a
+key is hot.
 
 Defined results
 * Lines are split at \\n.  Lines without a word are kept and never compared.
@@ -30,7 +31,7 @@ Defined results
   and its text are one document; rows that share only an id are told apart by
   their text.
 * A line may be dropped for the sake of a line that is itself dropped.
-* A line of n words costs n^2 word reads in step 3 if it survives step 2.
+* A line of n words that survives step 2 costs n^2 copies of eight bytes in step 3.
 * Empty table: no rows.  Other columns are ignored, whatever their names.
 """
 
@@ -42,18 +43,15 @@ from pyspark.sql import functions as F
 from wattline.llm.text import settle, words
 
 MIN_WORDS = 10
-#: Survivor lines up to this many are broadcast (8 bytes each) to the text scan.
-BROADCAST_LINES = 1_000_000
+#: Survivor lines up to this many are broadcast to the text scan (some 200 bytes
+#: each, so at most 50 MB); beyond it the lines are shuffled to them.
+BROADCAST_LINES = 250_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, line, ws for every line with a word."""
-    exploded = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return exploded.withColumn("ws", words(F.col("line"))).where(F.size("ws") > 0)
-
-
-def _line_hash(ws: Column) -> Column:
-    return F.xxhash64(F.array_join(ws, " "))
+    """doc_id, text_key, line_no, line for every line."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return keyed.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _half_keys(ws: Column) -> Column:
@@ -62,8 +60,8 @@ def _half_keys(ws: Column) -> Column:
     for longer in (F.size(ws), F.size(ws) + 1):
         half = F.floor(longer / 2).cast("int")
         rest = longer - half
-        keys.append(F.xxhash64(longer, F.lit("first"), F.array_join(F.slice(ws, 1, half), " ")))
-        keys.append(F.xxhash64(longer, F.lit("last"), F.array_join(F.slice(ws, F.size(ws) - rest + 1, rest), " ")))
+        keys.append(F.xxhash64(longer, F.lit("first"), F.slice(ws, 1, half)))
+        keys.append(F.xxhash64(longer, F.lit("last"), F.slice(ws, F.size(ws) - rest + 1, rest)))
     return F.when(F.size(ws) >= MIN_WORDS, F.array(*keys)).otherwise(F.array().cast("array<long>"))
 
 
@@ -80,26 +78,36 @@ def _near(lines: DataFrame, narrow: DataFrame) -> DataFrame:
     """(h, near_h): lines with an earlier line one word away."""
     first = narrow.groupBy("h").agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("ord"))
     halves = narrow.where(F.size("halves") > 0).select("h", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
+    shared = settle(halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half"))
     survivors = settle(halves.join(shared, "half").select("h").distinct().join(first, "h"))
     ids = survivors.select(F.col("h").alias("_h"), F.col("ord").alias("_ord"))
     ids = F.broadcast(ids) if survivors.count() <= BROADCAST_LINES else ids
     here = F.struct("doc_id", "text_key", "line_no")
-    held = lines.withColumn("h", _line_hash(F.col("ws"))).join(ids, (F.col("h") == F.col("_h")) & here.eqNullSafe(F.col("_ord")))
-    held = settle(held.select("h", F.col("_ord").alias("ord"), "ws").dropDuplicates(["h"]))
-
-    size = F.size("ws")
-    place = F.explode(F.sequence(F.lit(0), size)).alias("place")
-    left_out = F.concat(F.slice("ws", 1, F.col("place") - 1), F.slice("ws", F.col("place") + 1, size))
-    whole = F.when(F.col("place") == 0, F.col("h")).otherwise(_line_hash(left_out))
-    variants = held.select("h", "ord", "ws", place).select("h", "ord", "place", whole.alias("variant"))
-    narrow_variants = variants.select("h", "place", "variant")
-    common = narrow_variants.groupBy("variant").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("variant")
+    held = lines.join(ids, here.eqNullSafe(F.col("_ord"))).select(F.col("_h").alias("h"), F.col("_ord").alias("ord"), words(F.col("line")).alias("ws"))
+    held = settle(held.dropDuplicates(["h"]))
+
+    # A sequence's hash is the exclusive or of its words hashed with their places;
+    # ``moved`` has each word one place further left, as after a word left out.  With
+    # running values from both ends, a variant costs two look-ups.
+    here, moved = F.transform("ws", lambda w, i: F.xxhash64(w, i)), F.transform("ws", lambda w, i: F.xxhash64(w, i - 1))
+
+    def running(values):
+        start = F.array(F.lit(0).cast("long"))
+        return F.aggregate(values, start, lambda acc, x: F.array_append(acc, F.element_at(acc, -1).bitwiseXOR(x)))
+
+    # Two steps: what stands beside an explode in one select is computed after it,
+    # once for every place.
+    ends = held.select("h", F.size("ws").alias("size"), running(here).alias("front"), running(F.reverse(moved)).alias("back"))
+    spread = ends.select("h", "size", "front", "back", F.explode(F.sequence(F.lit(0), F.col("size"))).alias("place"))
+    without = F.get("front", F.col("place") - 1).bitwiseXOR(F.get("back", F.col("size") - F.col("place")))
+    variant = F.when(F.col("place") == 0, F.get("front", F.col("size"))).otherwise(without)
+    narrow_variants = settle(spread.select("h", "place", variant.alias("variant")))
+    common = settle(narrow_variants.groupBy("variant").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("variant"))
     kept = narrow_variants.join(common, "variant").join(held.select("h", "ord"), "h")
     kept = settle(kept)
 
     def best(df, *by):
-        return df.groupBy(*by).agg(F.min(F.struct("ord", "h")).alias("best"))
+        return settle(df.groupBy(*by).agg(F.min(F.struct("ord", "h")).alias("best")))
 
     removed, entire = kept.where("place > 0"), kept.where("place = 0")
     replaced = removed.join(best(removed, "variant", "place"), ["variant", "place"])
@@ -122,10 +130,11 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = _lines(texts)
-    narrow = settle(lines.select("doc_id", "text_key", "line_no", _line_hash(F.col("ws")).alias("h"), _half_keys(F.col("ws")).alias("halves")))
+    split = lines.withColumn("ws", words(F.col("line"))).where(F.size("ws") > 0)
+    narrow = settle(split.select("doc_id", "text_key", "line_no", F.xxhash64("ws").alias("h"), _half_keys(F.col("ws")).alias("halves")))
     near = settle(_near(lines, narrow))
     first = narrow.groupBy("h").agg(F.min(F.struct("doc_id", "text_key", "line_no")).alias("first"))
-    decided = first.join(near, "h", "left").select("h", "first", F.col("near_h").isNotNull().alias("near"))
+    decided = settle(first.join(near, "h", "left").select("h", "first", F.col("near_h").isNotNull().alias("near")))
     here = F.struct("doc_id", "text_key", "line_no")
     return narrow.join(decided, "h").select("doc_id", "text_key", "line_no", (~here.eqNullSafe(F.col("first"))).alias("copy"), "near")
 
