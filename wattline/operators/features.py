@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from wattline.functions.ts import Series, clip, col, cyclical, flag, is_holiday
 from wattline.operators.align import asof_join, reindex_ffill, upsample_ffill
 
-D = F.col("date")
-
 
 def _divide(a, b) -> Column:
     return F.try_divide(col(a), col(b))
@@ -78,7 +76,8 @@ def macro_regime(vix) -> Column:
 # --- calendar -------------------------------------------------------------------
 
 
-def calendar(d: Column = D, harmonics: int = 3) -> dict[str, Column]:
+def calendar(d: str | Column = "date", harmonics: int = 3) -> dict[str, Column]:
+    d = col(d)
     month = F.month(d)
     out = {
         "day_of_week": F.weekday(d), "day_of_year": F.dayofyear(d), "month": month, "week_of_year": F.weekofyear(d), "quarter": F.quarter(d),
@@ -271,9 +270,9 @@ def split(df: DataFrame, keys: tuple[str, ...] = (), train: float = 0.7, valid:
     return df.withColumn("part", F.when(i <= a, "train").when(i <= b, "valid").otherwise("test"))
 
 
-def standardise(df: DataFrame, columns: list[str], fit: Column = F.lit(True)) -> DataFrame:
+def standardise(df: DataFrame, columns: list[str], fit: Column | None = None) -> DataFrame:
     """(x - mean) / population deviation, both from the rows where ``fit`` holds."""
-    stats = df.where(fit).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
+    stats = (df if fit is None else df.where(fit)).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
     joined = df.join(F.broadcast(stats))
     return joined.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
 
@@ -293,8 +292,8 @@ def weather_extremes(s: Series, names: tuple[str, ...] = ("hdd", "cdd")) -> dict
     return {f"{x}_extreme": flag(F.col(x) > s.quantile(x, 0.9, 90)) for x in names}
 
 
-def gas_seasons(d: Column = D) -> dict[str, Column]:
-    m = F.month(d)
+def gas_seasons(d: str | Column = "date") -> dict[str, Column]:
+    m = F.month(col(d))
     return {"is_winter": flag(m.isin(12, 1, 2)), "is_summer": flag(m.isin(6, 7, 8)), "heating_season": flag(m.isin(11, 12, 1, 2, 3)), "injection_season": flag(m.between(4, 10))}
 
 
