@@ -103,4 +103,4 @@ def rounded(df: DataFrame, places: int = 6, **own: int) -> DataFrame:
 
 def r(expr: str, name: str, places: int = 6) -> str:
     """The same rounding in DuckDB."""
-    return f"round({expr}, {places}) + 0.0 as {name}"
+    return f"round(cast({expr} as double), {places}) + 0e0 as {name}"

@@ -118,7 +118,7 @@ def ewma_var(spark, sf):
 _W = {"A": 0.5, "N": 0.3, "R": 0.2}
 
 
-@query("component_var", ctes("returns") + f""", h as (select *, case asset when 'A' then 0.5 when 'N' then 0.3 when 'R' then 0.2 end as w from returns),
+@query("component_var", ctes("returns") + f""", h as (select *, cast(case asset when 'A' then 0.5 when 'N' then 0.3 when 'R' then 0.2 end as double) as w from returns),
 p as (select date, sum(w * ret) as p from h group by date having count(*) = 3), t as (select stddev_samp(p) as sd from p)
 select asset, w, {r('covar_samp(ret, p) / (any_value(sd) * any_value(sd))', 'beta')}, {r(f'w * covar_samp(ret, p) / any_value(sd) * {-Z95!r}', 'component_var')}, {r(f'any_value(sd) * {-Z95!r}', 'portfolio_var')}
 from h join p on p.date = h.date, t group by asset, w""")

@@ -52,14 +52,14 @@ def vol_target_size(spark, sf):
 
 
 @query("storage_anomaly", ctes("weekly") + f""", x as (select date, level, weekofyear(date) as wk, isoyear(date) as yr from weekly), z as (select *, case when count(level) over h >= 3 and stddev_samp(level) over h > 0 then (level - avg(level) over h) / stddev_samp(level) over h end as z from x window h as (partition by wk order by yr range between 5 preceding and 1 preceding))
-select date, {r('z', 'z')}, case when z <= -1 then 1.0 when z >= 1 then -1.0 else 0.0 end as storage_signal from z""")
+select date, {r('z', 'z')}, cast(case when z <= -1 then 1 when z >= 1 then -1 else 0 end as double) as storage_signal from z""")
 def storage_anomaly(spark, sf):
     return rounded(signals.storage_anomaly(fr.weekly(spark, sf)))
 
 
 @query("seasonal_tstat", ctes("market") + f""", m as (select date_trunc('month', date)::date as date, max_by(close, date) / min_by(close, date) - 1 as ret from market group by 1),
 t as (select date, case when count(ret) over h >= 3 and stddev_samp(ret) over h > 0 then avg(ret) over h / (stddev_samp(ret) over h / sqrt(count(ret) over h)) end as t from m window h as (partition by month(date) order by date rows between unbounded preceding and 1 preceding))
-select date, {r('t', 't')}, case when t > 1 then 1.0 when t < -1 then -1.0 else 0.0 end as seasonal_signal from t""")
+select date, {r('t', 't')}, cast(case when t > 1 then 1 when t < -1 then -1 else 0 end as double) as seasonal_signal from t""")
 def seasonal_tstat(spark, sf):
     m = fr.market(spark, sf).groupBy(F.trunc("date", "month").alias("date")).agg((F.max_by("close", "date") / F.min_by("close", "date") - 1).alias("ret"))
     return rounded(signals.seasonal_t(m))
@@ -88,9 +88,9 @@ def weather_signal(spark, sf):
     return rounded(signals.weather(d))
 
 
-@query("sentiment_signal", ctes("market") + f" select date, {r('0.6 * least(1.0, greatest(-1.0, -(close / 100000 - 2) / 2)) + 0.4 * least(1.0, greatest(-0.5, (volume - 3) / 3))', 'signal')} from market")
+@query("sentiment_signal", ctes("market") + f" select date, {r('0.6 * least(1.0, greatest(-1.0, -(close / 100000 - 2) / 2)) + 0.4 * least(1.0, greatest(-0.5, (volume - 3) / 3))', 'signal', 9)} from market")
 def sentiment_signal(spark, sf):
-    return rounded(fr.market(spark, sf).select("date", signals.sentiment(F.col("close") / 100000 - 2, F.col("volume") - 3).alias("signal")))
+    return rounded(fr.market(spark, sf).select("date", signals.sentiment(F.col("close") / 100000 - 2, F.col("volume") - 3).alias("signal")), 9)
 
 
 _COMP = ctes("bars") + f""", b as (select * from bars where year(date) <= 1996), x as (select *, ln(close / lag(close) {W}) as lr, least(1.0, greatest(-1.0, -(close / 200000 - 1))) as mr, case when volume > 1 then 1.0 else -1.0 end as tech from b),
@@ -142,7 +142,7 @@ def forward_curve(spark, sf):
     return rounded(valuation.forward_curve(fr.market(spark, sf), 4), 4)
 
 
-@query("ratchet_factors", f"select event_id, case when value / 100 > 0.9 then 0.5 when value / 100 > 0.7 then 0.8 else 1.0 end as inject, case when value / 100 < 0.15 then 0.5 when value / 100 < 0.3 then 0.8 else 1.0 end as withdraw from events")
+@query("ratchet_factors", f"select event_id, cast(case when value / 100 > 0.9 then 0.5 when value / 100 > 0.7 then 0.8 else 1 end as double) as inject, cast(case when value / 100 < 0.15 then 0.5 when value / 100 < 0.3 then 0.8 else 1 end as double) as withdraw from events")
 def ratchet_factors(spark, sf):
     fill = F.col("value") / 100
     return fr.read(spark, sf, "events").select("event_id", valuation.ratchet(fill, True).alias("inject"), valuation.ratchet(fill, False).alias("withdraw"))
@@ -191,7 +191,7 @@ def expanding_folds(spark, sf):
     return ml.expanding(fr.market(spark, sf).select("date"), 730, 90)
 
 
-@query("betting_thresholds", f"with b as (select value / 100 as p, event_id % 2 as a from events), t as (select unnest([0.5, 0.6, 0.7, 0.8, 0.9]) as threshold) select threshold, count(*) filter (where greatest(p, 1 - p) >= threshold) as n_bets, {r('avg((greatest(p, 1 - p) >= threshold)::int)', 'coverage')}, {r('avg(((p >= 0.5)::int = a)::int) filter (where greatest(p, 1 - p) >= threshold)', 'hit_rate')} from b, t group by threshold")
+@query("betting_thresholds", f"with b as (select value / 100 as p, event_id % 2 as a from events), t as (select cast(unnest([0.5, 0.6, 0.7, 0.8, 0.9]) as double) as threshold) select threshold, count(*) filter (where greatest(p, 1 - p) >= threshold) as n_bets, {r('avg((greatest(p, 1 - p) >= threshold)::int)', 'coverage')}, {r('avg(((p >= 0.5)::int = a)::int) filter (where greatest(p, 1 - p) >= threshold)', 'hit_rate')} from b, t group by threshold")
 def betting_thresholds(spark, sf):
     e = fr.read(spark, sf, "events").select((F.col("value") / 100).alias("p"), (F.col("event_id") % 2).cast("int").alias("a"))
     return rounded(ml.betting(e, "p", "a", [0.5, 0.6, 0.7, 0.8, 0.9]))
