@@ -4,7 +4,7 @@
    averaged, so documents with much in common lie near each other.  The point is
    put on a grid and numbered along a Hilbert curve.
 2. Curve positions (made unique-ish by a hash of the id, so that equal texts can
-   be dealt out) are cut at quantiles into ranges, one task each.
+   be dealt out) are cut at quantiles, by bytes of text, into ranges, one task each.
 3. A task reads its documents in curve order and packs the running stream of
    token ids into sequences of ``length``: every sequence but the last ones of a
    range is full, and the rest of a range is cut into powers of two, which need
@@ -39,6 +39,7 @@ LENGTH = 2048
 END = 1
 DIMS, GRID_BITS = 4, 10
 TIE_BITS = 62 - DIMS * GRID_BITS
+WEIGHT = 4096
 #: Rows over which the quantiles of curve positions are approximate: 1 / ACCURACY.
 ACCURACY = 10_000
 
@@ -124,9 +125,11 @@ def curve_keys(texts: pa.Array, dims: int = DIMS, bits: int = GRID_BITS) -> np.n
 
 
 def _add_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, tie -> key, for the quantiles."""
+    """text, tie -> key, once for every WEIGHT bytes of the text, for the quantiles."""
     for batch in kernels.slices(batches):
-        yield pa.RecordBatch.from_arrays([_key(batch.column(0), batch.column(1))], ["key"])
+        _, offsets = kernels.buffers(batch.column(0))
+        key = _key(batch.column(0), batch.column(1)).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, 1 + np.diff(offsets) // WEIGHT))], ["key"])
 
 
 def _key(texts: pa.Array, tie: pa.Array) -> pa.Array:
