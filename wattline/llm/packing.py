@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm import kernels
+from wattline.llm.text import small_batches
 
 LENGTH = 2048
 END = 1
@@ -232,6 +233,7 @@ def pack(
     ranges, by default the session's number of shuffle partitions.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = tokenizer or vocabulary()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -57,5 +57,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Bounds the bytes of an Arrow batch in this session, if the bound is larger.
+
+    Texts may be long, and a batch is in memory on both sides of the pipe.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > limit:
+        spark.conf.set(key, f"{limit}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

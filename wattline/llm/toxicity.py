@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm import kernels
-from wattline.llm.text import settle
+from wattline.llm.text import settle, small_batches
 
 MAX_ROWS = 16_000
 ORDER = 6
@@ -237,6 +237,7 @@ def _remainder(ids: Column) -> Column:
 def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select("doc_id", "text")
     kind = texts.schema["doc_id"].dataType.simpleString()
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (_remainder(F.col("doc_id")) != HELD_OUT))
