@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from wattline.llm import kernels
 from wattline.llm.components import components
-from wattline.llm.text import settle
+from wattline.llm.text import settle, small_batches
 
 SKETCH_BITS = 22
 SLICES = 64
@@ -193,8 +193,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, order, size: in
     left = parts.select(F.col("node").alias("u"), "fragment", F.col("keys").alias("u_keys"))
     right = parts.select(F.col("node").alias("v"), "fragment", F.col("keys").alias("v_keys"))
     partial = pairs.join(left, "u").join(right, ["v", "fragment"])
-    # A document that is read twice gives its fragments twice, hence the maximum.
-    partial = partial.groupBy("u", "v", "sizes", "fragment").agg(F.max(F.size(F.array_intersect("u_keys", "v_keys"))).alias("part"))
+    # Written before it is summed: the sums would want the join's own partitioning,
+    # and a hub's fragments could then not be split.  A document that is read twice
+    # gives its fragments twice, hence the maximum.
+    counted = settle(partial.select("u", "v", "sizes", "fragment", F.size(F.array_intersect("u_keys", "v_keys")).alias("part")))
+    partial = counted.groupBy("u", "v", "sizes", "fragment").agg(F.max("part").alias("part"))
     total = partial.groupBy("u", "v", "sizes").agg(F.sum("part").alias("overlap"))
     return settle(total.where((num + den) * F.col("overlap") >= num * F.col("sizes")).select("u", "v"))
 
@@ -242,6 +245,7 @@ def similar_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int
     """One row per input row: doc_id, n_shingles, component_id (least id reachable)."""
     num, den = threshold
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = spark.sparkContext.broadcast(global_order(docs.select("text"), size))
