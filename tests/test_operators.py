@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wattline.functions.ts import Series, clip, ewm, expanding_rank, flag, span
 from wattline.operators import align, backtest, ml, news, retrieval, risk, signals, stats, valuation
 from wattline.operators.technical import Technical
+from wattline.plans import strategy
 from wattline.sources import landing
 from wattline.streaming import jobs
 
@@ -235,6 +236,27 @@ def test_model_contract(spark, tmp_path):
     assert again.evaluate(df)["mae"] == pytest.approx(got["mae"])
 
 
+def test_permutation_test_matches_brute_force(spark):
+    a, p = [0, 1, None, 2, 1, 0, 1, 1, 0, 3] * 4, [1, 1, 0, None, 1, 0, 2, 1, 0, 0] * 4
+    df = spark.createDataFrame(list(zip(a, p, strict=True)), "a int, p int").coalesce(1)
+    key = {(r.round, r.i): r.h for r in spark.range(20).toDF("round").join(spark.range(len(a)).toDF("i")).select("round", "i", F.xxhash64(F.lit(42), "round", "i").alias("h")).collect()}
+    mean = lambda pairs: np.mean([x == y for x, y in pairs if x is not None and y is not None])
+    ordered = sorted(p, key=lambda y: (y is None, y or 0))
+    null = [mean(zip([a[i] for i in sorted(range(len(a)), key=lambda i: key[n, i])], ordered, strict=True)) for n in range(20)]
+    for buckets in (1, 7):
+        got = ml.permutation_test(df, "a", "p", 20, buckets=buckets).collect()
+        real = mean(zip(a, p, strict=True))
+        assert len(got) == 1 and got[0].real == pytest.approx(real) and got[0].null_mean == pytest.approx(np.mean(null))
+        assert got[0].p_value == pytest.approx(np.mean([s >= real for s in null]))
+
+
+def test_permutation_query_takes_all_events(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").toPandas()
+    got = strategy.permutation_test(spark, "/root/testdata/sf0.001").collect()
+    hits = (e["value"] > 50).astype(int) == e["event_id"] % 2
+    assert len(got) == 1 and got[0].real == pytest.approx(hits.mean()) and got[0].p_value * 200 == pytest.approx(round(got[0].p_value * 200))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"response": {"total": 2, "data": [{"period": "2024-01-01T05", "value": "7.5", "r": "E"}, {"period": "2024-01-01T06", "value": "x", "r": "E"}]}}')
     got = landing.hourly(landing.paged_json(spark, str(tmp_path / "p.json"), extra=("r",))).collect()

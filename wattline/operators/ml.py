@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.tables import settle
 from wattline.functions.ts import Series
 
 
@@ -45,19 +46,34 @@ def validation_tail(df: DataFrame, share: float = 0.15, keys: tuple[str, ...] =
     return _numbered(df, keys, on).withColumn("is_validation", F.col("_i") >= F.floor(F.col("_n") * (1 - share))).drop("_i", "_n")
 
 
-def permutation_test(df: DataFrame, actual: str, predicted: str, rounds: int = 200, seed: int = 42) -> DataFrame:
+def permutation_test(df: DataFrame, actual: str, predicted: str, rounds: int = 200, seed: int = 42, buckets: int = 64) -> DataFrame:
     """real score, mean null score, p = share of shuffles at least as good.
 
-    A shuffle pairs ranks by position with ranks by a seeded hash, round by round.
+    A shuffle gives the rows' actual values the ranks of a seeded hash, round by
+    round, and pairs them with the predictions in ascending order, nulls last.  Equal
+    predictions are one range of ranks, so a row needs only the range of its own
+    actual value.  Ranks are an offset by hash range plus a rank inside the range, so
+    a round is ranked in many tasks.
     """
-    n = Window.partitionBy("round")
-    ids = df.select(F.monotonically_increasing_id().alias("i"), F.col(actual).alias("a"), F.col(predicted).alias("p"))
-    all_ = ids.join(F.broadcast(df.sparkSession.range(rounds).withColumnRenamed("id", "round")))
-    left = all_.select("round", "p", F.row_number().over(n.orderBy("i")).alias("k"))
-    right = all_.select("round", "a", F.row_number().over(n.orderBy(F.xxhash64(F.lit(seed), "round", "i"))).alias("k"))
-    null = left.join(right, ["round", "k"]).groupBy("round").agg(F.avg((F.col("a") == F.col("p")).cast("double")).alias("s"))
-    real = df.agg(F.avg((F.col(actual) == F.col(predicted)).cast("double")).alias("real"))
-    return null.join(F.broadcast(real)).groupBy("real").agg(F.avg("s").alias("null_mean"), F.avg((F.col("s") >= F.col("real")).cast("double")).alias("p_value"))
+    order = Window.orderBy(F.col("v").asc_nulls_last())
+    counts = df.groupBy(F.col(predicted).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranges = counts.select("v", (F.sum("n").over(order) - F.col("n")).alias("lo"), F.sum("n").over(order).alias("hi")).where("v is not null")
+    ids = df.select(F.monotonically_increasing_id().alias("i"), F.col(actual).alias("a"))
+    # Written once, as ids depend on how rows are dealt and are read twice below.
+    rows = settle(ids.join(ranges, F.col("a") == F.col("v"), "left").select("i", F.col("a").isNotNull().alias("known"), F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(0)).alias("hi")))
+    spread = rows.join(F.broadcast(df.sparkSession.range(rounds).withColumnRenamed("id", "round"))).withColumn("h", F.xxhash64(F.lit(seed), "round", "i"))
+    # Buckets ascend with the hash.
+    placed = spread.withColumn("bucket", F.floor((F.col("h") / 2.0**63 + 1) / 2 * buckets))
+    cells = placed.groupBy("round", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("round").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("round", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("round", "bucket").orderBy("h", "i"))
+    ranked = placed.withColumn("k", rank).join(offsets, ["round", "bucket"]).withColumn("k", F.col("k") + F.col("offset"))
+    paired = df.agg(F.count(predicted).alias("m"), F.avg((F.col(actual) == F.col(predicted)).cast("double")).alias("real"))
+    hit = (F.col("k") > F.col("lo")) & (F.col("k") <= F.col("hi"))
+    scored = ranked.join(F.broadcast(paired)).where(F.col("known") & (F.col("k") <= F.col("m")))
+    null = scored.groupBy("real", "round").agg(F.avg(hit.cast("double")).alias("s"))
+    return null.groupBy("real").agg(F.avg("s").alias("null_mean"), F.avg((F.col("s") >= F.col("real")).cast("double")).alias("p_value"))
 
 
 def betting(df: DataFrame, probability: str, actual: str, thresholds: list[float]) -> DataFrame:

@@ -206,8 +206,8 @@ def edge_slices(spark, sf):
 
 @query("permutation_test")
 def permutation_test(spark, sf):
-    e = fr.read(spark, sf, "events").where("event_id < 500")
-    return ml.permutation_test(e.select((F.col("value") > 50).cast("int").alias("a"), (F.col("event_id") % 2).cast("int").alias("p")), "a", "p", 50)
+    e = fr.read(spark, sf, "events")
+    return ml.permutation_test(e.select((F.col("value") > 50).cast("int").alias("a"), (F.col("event_id") % 2).cast("int").alias("p")), "a", "p")
 
 
 @query("gbt_forecast")
