@@ -192,6 +192,30 @@ def test_book_refuses_when_full():
     assert b.on("a", "close", 0, 120.0, 4) == pytest.approx(0.1) and not b.open
 
 
+def test_position_book_folds_every_account(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("user_id", F.col("user_id") * 7).write.parquet(str(tmp_path / "events.parquet"))
+    e = spark.read.parquet(str(tmp_path / "events.parquet")).toPandas().sort_values("event_id")
+    want = {}
+    for user, rows in e.groupby("user_id"):
+        held = {}
+        for r in rows.itertuples():
+            i, price, gain = r.event_id % 7, r.value + 1, 0.0
+            if r.event_type == "purchase":
+                if len(held) < 5:
+                    held[i] = (price, price)
+            elif i in held:
+                entry = held[i][0]
+                held[i] = (entry, price)
+                if r.event_type != "view":
+                    gain = 0.1 * (price / entry - 1)
+                    del held[i]
+            want[user, r.event_id] = (gain, sum(0.1 * (last / entry - 1) for entry, last in held.values()), 0.1 * len(held), len(held))
+    got = {(r.account, r.seq): (r.realised, r.unrealised, r.gross, r.n_open) for r in strategy.position_book(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and any(user >= 40 for user, _ in want)
+    for k, row in want.items():
+        assert got[k] == pytest.approx(row, abs=1e-9), k
+
+
 def test_composite_is_causal(spark, ohlcv):
     full = signals.technical(Series(["symbol"]), ohlcv).orderBy("date").toPandas()["technical_signal"]
     part = signals.technical(Series(["symbol"]), ohlcv.where(F.col("date") < F.lit(day(90)))).orderBy("date").toPandas()["technical_signal"]
