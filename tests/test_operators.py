@@ -168,6 +168,28 @@ def test_intrinsic_matches_grid_search():
     assert (held >= -1e-9).all() and (held <= 3.0 + 1e-9).all()
 
 
+def test_rolling_intrinsic_covers_all_dates(spark):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").toPandas()
+    o["date"] = pd.to_datetime(o["o_orderdate"]).dt.date
+    closes = o.sort_values("o_orderkey").groupby(["o_orderpriority", "date"])["o_totalprice"].last() / 50_000
+    got = {(r.symbol, r.date): r for r in strategy.rolling_intrinsic(spark, "/root/testdata/sf0.001").collect()}
+    decided = {s: c.droplevel(0).sort_index().iloc[::5] for s, c in closes.groupby(level=0)}
+    assert got.keys() == {(s, d) for s, c in decided.items() for d in c.index} and max(d for _, d in got).year > 1995
+    a = valuation.Asset.salt_cavern()
+    for s, c in decided.items():
+        for i in range(1, len(c)):
+            before, now, x = got[s, c.index[i - 1]], got[s, c.index[i]], c.iloc[i]
+            if i * 5 // 21 < 11:
+                continue
+            # One month is left: all that can be withdrawn is sold, a step at a time.
+            stock = min(a.withdraw_day * 30, before.inventory - a.floor)
+            unit = x * (1 - a.fuel_loss) - a.withdraw_cost
+            flow = stock if unit > 0 else 0.0
+            assert now.value == pytest.approx(unit * flow, abs=1e-9)
+            assert now.inventory == pytest.approx(max(before.inventory - flow * 5 / 21, a.floor), abs=1e-9)
+            assert now.cash == pytest.approx(before.cash + unit * flow * 5 / 21, abs=1e-9)
+
+
 def test_simulation_is_independent_of_partitioning(spark):
     a = valuation.simulate(spark, 3.0, 1.0, 3.0, 0.5, paths=20, months=3).toPandas().sort_values(["path", "month"])
     assert len(a) == 60 and (a["price"] > 0).all()

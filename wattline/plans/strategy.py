@@ -166,7 +166,7 @@ def storage_greeks(spark, sf):
 
 @query("rolling_intrinsic")
 def rolling_intrinsic(spark, sf):
-    b = fr.bars(spark, sf).where("year(date) = 1995").withColumn("close", F.col("close") / 50_000)
+    b = fr.bars(spark, sf).withColumn("close", F.col("close") / 50_000)
     return valuation.rolling_intrinsic(b, valuation.Asset.salt_cavern(), 5.0, "symbol")
 
 
