@@ -1,8 +1,10 @@
 """Unit checks of operators on small hand-made inputs."""
 
+import collections
 import datetime as dt
 import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from wattline.functions.ts import Series, clip, ewm, expanding_rank, flag, span
 from wattline.operators import align, backtest, ml, news, retrieval, risk, signals, stats, valuation
 from wattline.operators.technical import Technical
-from wattline.plans import strategy
+from wattline.plans import frames, strategy, text
 from wattline.sources import landing
 from wattline.streaming import jobs
 
@@ -255,6 +257,28 @@ def test_near_duplicates_keep_first_and_do_not_chain(spark):
     assert sorted(r[0] for r in news.greedy_drop(p).collect()) == [1, 4]
 
 
+def test_news_query_matches_brute_force(spark):
+    a = pd.DataFrame([r.asDict() for r in frames.articles(spark, "/root/testdata/sf0.001").collect()])
+    clean = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s.,!?;:'\"()%$-]", " ", re.sub(r"<[^>]+>", " ", t or ""))).strip(" ")
+    a["title"], a["content"] = a["title"].map(clean), a["content"].map(clean)
+    a["full_text"] = a["title"] + " " + a["content"]
+    a = a[(a["content"].str.len() >= 20) & a["full_text"].str.lower().map(lambda t: any(k in t for k in ("en", "de", "la")))]
+    a["key"] = a["title"].str.strip(" ").str.lower()
+    a = a.sort_values(["date", "article_id"]).drop_duplicates("key").sort_values("article_id").reset_index(drop=True)
+    counts = [collections.Counter(w for w in re.split(r"\W+", t.lower()) if len(w) >= 3) for t in a["full_text"]]
+    found = collections.Counter(w for c in counts for w in c)
+    rows = [{w: n * (math.log((1 + len(a)) / (1 + found[w])) + 1) for w, n in c.items()} for c in counts]
+    norms = [math.sqrt(sum(x * x for x in v.values())) for v in rows]
+    kept = []
+    for i, v in enumerate(rows):
+        if all(sum(x * rows[j].get(w, 0.0) for w, x in v.items()) < 0.85 * norms[i] * norms[j] for j in kept):
+            kept.append(i)
+    assert 0 < len(kept) < len(a)
+    got = [(r.article_id, r.date, r.title) for r in text.news_process(spark, "/root/testdata/sf0.001").collect()]
+    want = a.loc[kept].assign(day=lambda x: -pd.to_datetime(x["date"]).astype("int64")).sort_values(["day", "article_id"])
+    assert got == list(zip(want["article_id"], want["date"], want["title"], strict=True))
+
+
 def _cosines(df, t):
     v = news.tf_idf(df)
     a, b = v.toDF("a", "term", "x", "d"), v.toDF("b", "term", "y", "e")

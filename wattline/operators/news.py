@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.tables import settle
 from wattline.functions.ts import Series
 
 #: A small local lexicon; stands in for a classifier's weights, which are not here.
@@ -68,7 +69,7 @@ def greedy_drop(pairs: DataFrame) -> DataFrame:
     """Ids to drop when articles are kept in order and each kept one drops its later
     neighbours.  Each round settles the pairs whose first article has no earlier
     undecided neighbour; pairs stay distributed and shrink every round."""
-    left, dropped = pairs.select("a", "b"), None
+    left, dropped = settle(pairs.select("a", "b")), None
     while True:
         blocked = left.select(F.col("b").alias("a")).distinct()
         sure = left.join(blocked, "a", "left_anti").select("a").distinct()
@@ -77,7 +78,7 @@ def greedy_drop(pairs: DataFrame) -> DataFrame:
             break
         dropped = out if dropped is None else dropped.union(out)
         gone = out.select(F.col("b").alias("x"))
-        left = left.join(sure, "a", "left_anti").join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti").checkpoint()
+        left = settle(left.join(sure, "a", "left_anti").join(gone, F.col("a") == F.col("x"), "left_anti").join(gone, F.col("b") == F.col("x"), "left_anti"))
     return (dropped if dropped is not None else pairs.select("b").limit(0)).select(F.col("b").alias("article_id")).distinct()
 
 
@@ -88,6 +89,7 @@ def process(df: DataFrame, keywords: list[str], threshold: float = 0.85, near: b
     out = out.withColumn("full_text", F.concat_ws(" ", "title", "content"))
     out = exact_titles(out.where(relevant(F.col("full_text"), keywords)))
     if near:
+        out = settle(out)
         out = out.join(greedy_drop(similar_pairs(out, threshold)), "article_id", "left_anti")
     return out.orderBy(F.col("date").desc(), "article_id")
 

@@ -30,7 +30,7 @@ def near_duplicate_pairs(spark, sf):
 
 @query("news_process")
 def news_process(spark, sf):
-    return news.process(fr.articles(spark, sf), ["en", "de", "la"], near=False).select("article_id", "date", "title")
+    return news.process(fr.articles(spark, sf), ["en", "de", "la"]).select("article_id", "date", "title")
 
 
 @query("daily_articles", ctes("articles") + " select date, count(*) as n, string_agg(title, ' | ' order by article_id) as titles from articles group by date")
