@@ -201,6 +201,18 @@ def test_simulation_is_independent_of_partitioning(spark):
     assert valuation.longstaff_schwartz(paths, valuation.Asset.salt_cavern(), 5.0) > 0
 
 
+def test_storage_and_trees_run_at_full_size(spark, monkeypatch):
+    seen = []
+    made = valuation.simulate
+    monkeypatch.setattr(valuation, "simulate", lambda *a, **k: made(*a, **k | {"paths": seen.append(k.get("paths", 5000)) or 2}))
+    assert strategy.storage_simulated(spark, "").count() == 2 and strategy.storage_greeks(spark, "").count() == 1
+    assert seen == [5000] + [3000] * 5
+    models, make = [], ml.boosted_trees
+    monkeypatch.setattr(ml, "boosted_trees", lambda *a, **k: models.append(make(*a, **k)) or models[-1])
+    strategy.gbt_forecast(spark, "/root/testdata/sf0.001")
+    assert models[0].fitted.getNumTrees == 20 and models[0].fitted.getOrDefault("maxDepth") == 4
+
+
 def test_stop_machine():
     m = signals.StopState(0.1, 0.1, 2)
     assert [m.step(p, 1) for p in (100, 110, 98, 97, 96, 95)] == [1, 1, 0, 0, 0, 1]

@@ -156,12 +156,12 @@ def storage_intrinsic(spark, sf):
 
 @query("storage_simulated")
 def storage_simulated(spark, sf):
-    return valuation.greedy_value(valuation.simulate(spark, 3.0, 1.0, 4.0, 3.0, paths=400), valuation.Asset.salt_cavern(), 5.0, 3.0)
+    return valuation.greedy_value(valuation.simulate(spark, 3.0, 1.0, 4.0, 3.0), valuation.Asset.salt_cavern(), 5.0, 3.0)
 
 
 @query("storage_greeks")
 def storage_greeks(spark, sf):
-    return valuation.greeks(spark, valuation.Asset.salt_cavern(), 5.0, 3.0, 1.0, 4.0, 3.0, paths=200)
+    return valuation.greeks(spark, valuation.Asset.salt_cavern(), 5.0, 3.0, 1.0, 4.0, 3.0, paths=3000)
 
 
 @query("rolling_intrinsic")
@@ -215,7 +215,7 @@ def gbt_forecast(spark, sf):
     s = Series(["symbol"])
     b = fr.bars(spark, sf).select("symbol", "date", s.lag("volume").alias("v1"), s.lag("volume", 2).alias("v2"), F.month("date").cast("double").alias("m"), F.col("volume").alias("target")).dropna()
     parts = ml.validation_tail(b, 0.15, ("symbol",))
-    model = ml.boosted_trees("volume", ["v1", "v2", "m"], maxIter=5, maxDepth=3).train(parts.where("not is_validation"))
+    model = ml.boosted_trees("volume", ["v1", "v2", "m"]).train(parts.where("not is_validation"))
     return model.predict(parts.where("is_validation")).select("symbol", "date", "target", "prediction")
 
 
