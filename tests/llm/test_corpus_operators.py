@@ -290,6 +290,18 @@ def test_packing_repeats_and_one_part(spark):
     assert [p for n in range(1, 2048) for p in [packing._tail(n, 2048)] if sum(p) != n] == []
 
 
+def test_take_mix_emits_every_planned_copy_of_repeated_rows(spark):
+    rows = [(None, " ".join(f"{x}{i}" for x in "abcde"), "s") for i in range(10)] + [(1, "a b c", "s"), (1, "d e f", "s"), (2, "a b", None), (2, "a b", None), (3, "x " * 9, "t")]
+    df = docs(spark, rows)
+    plan, got = {}, {}
+    for r in mixing.mix(df).collect():
+        plan[r.doc_id, r.source, r.size] = plan.get((r.doc_id, r.source, r.size), 0) + r.copies
+    for r in mixing.take_mix(df).collect():
+        k = (r.doc_id, r.source, len(r.text.split()))
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in plan.items() if n} and any(0 < n % 10 for k, n in plan.items() if k[0] is None)
+
+
 # --- pipeline -------------------------------------------------------------------
 
 

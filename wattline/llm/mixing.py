@@ -165,10 +165,14 @@ def mix(
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents with all columns of ``docs``: each as often as it is taken.
 
-    Ids are expected to be distinct; rows with equal ids and sizes share copies.
+    Rows with equal id, source and size are interchangeable, and the plan's copies of
+    them differ by one at most: each takes the mean rounded down, and the rest goes
+    one each to the first in the order of a hash of the text.
     """
-    drawn = mix(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg((F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_copies"))
-    keyed = docs.withColumn("_words", count_words(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    kept = keyed.join(drawn.where("_copies > 0"), same)
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    key = lambda i, source, size: F.struct(F.col(i).alias("i"), F.col(source).cast("string").alias("s"), size.alias("n")).alias("_key")
+    drawn = mix(docs, **options).groupBy(key("doc_id", "source", F.col("size"))).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
+    keyed = docs.withColumn("_key", key("doc_id", "source", count_words(F.col("text"))))
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text"))))
+    copies = F.floor(F.col("_all") / F.col("_rows")) + (F.col("_rank") <= F.col("_all") % F.col("_rows")).cast("long")
+    kept = ranked.join(drawn.where("_all > 0"), "_key").withColumn("_copies", copies.cast("int")).where("_copies > 0")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
