@@ -244,7 +244,6 @@ def reference_ids(text):
 
     if not hasattr(reference_ids, "t"):
         reference_ids.t = Tokenizer.from_file(packing.vocabulary())
-        reference_ids.t.encode_special_tokens = True
     return np.array([*reference_ids.t.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
 
 
@@ -284,6 +283,40 @@ def test_packing_covers_every_token(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def test_encoder_gives_the_tokenizers_own_ids():
+    rng = random.Random(1)
+    alphabet = [*"ab 1.'\n\t \u00e9\u6f22\u3000\u00a0\u001c\u0085\u200b\u180e\ufeff\u2019s\U0001f600", "<|endoftext|>", " <|endoftext|>", "'re", "  ", "ing", " the"]
+    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(5000)]
+    long = [" " * 2_000_000, "\n" * 2_000_000, "x" * 10_000_000, "hello <|endoftext|> x", "a\n\n\n b" * 50_000]
+    encode = packing.encoder(packing.vocabulary(), np.uint32)
+    for texts in (odd, odd[::-1], long):
+        for text, raw in zip(texts, encode(texts), strict=True):
+            assert np.array_equal(np.frombuffer(raw, "<u4"), reference_ids(text)[:-1]), text[:80]
+    assert np.frombuffer(encode(["hello <|endoftext|> x"])[0], "<u4").tolist() == [31373, 220, 50256, 2124]
+    plain = packing.encoder(packing.vocabulary(), np.uint32, special_as_text=True)
+    assert 50256 not in np.frombuffer(plain(["<|endoftext|>"])[0], "<u4")
+
+
+def test_neighbours_on_the_curve_are_alike():
+    rng = random.Random(4)
+    topics = [[f"t{k}w{i}" for i in range(40)] for k in range(30)]
+    texts = [(k, " ".join(rng.choice(topics[k]) for _ in range(200))) for k in range(30) for _ in range(10)]
+    rng.shuffle(texts)
+    keys = packing.curve_keys(pa.array([t for _, t in texts]))
+    along = [texts[i][0] for i in np.argsort(keys, kind="stable")]
+    assert np.mean([a == b for a, b in zip(along, along[1:], strict=False)]) > 0.3  # 1 in 30 by chance
+
+
+def test_ranges_are_of_equal_bytes_and_grow_with_the_input(spark, monkeypatch):
+    keys = spark.range(20_000).select(F.expr("xxhash64(id) & 4611686018427387903").alias("key"), F.expr("if(id % 100 = 0, 5000L, 50L)").alias("bytes"))
+    cuts = packing._ranges(keys, 8)
+    held = keys.withColumn("part", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key")))).groupBy("part").agg(F.sum("bytes").alias("b")).collect()
+    assert len(held) == 8 and max(r.b for r in held) < 1.3 * min(r.b for r in held)
+    monkeypatch.setattr(packing, "RANGE_BYTES", 100_000)
+    assert len(packing._ranges(keys, None)) == -(-(200 * 5000 + 19_800 * 50) // 100_000) - 1
+    assert packing._ranges(keys.limit(0), None) == []
+
+
 def test_packing_repeats_and_one_part(spark):
     rows = packing.pack(docs(spark, [(1, "a b c", "s")] * 3 + [(None, "x", "s")]), parts=1).collect()
     check_pieces(rows, {1: "a b c", None: "x"}, {1: 3})

@@ -4,45 +4,57 @@
    averaged, so documents with much in common lie near each other.  The point is
    put on a grid and numbered along a Hilbert curve.
 2. Curve positions (made unique-ish by a hash of the id, so that equal texts can
-   be dealt out) are cut at quantiles, by bytes of text, into ranges, one task each.
+   be dealt out) are cut at quantiles, by bytes of ids, into ranges, one task each.
+   The number of ranges follows from the bytes, so a range does not grow with the
+   input; the quantiles come from a sample of SAMPLE positions a range, which only
+   moves the borders.
 3. A task reads its documents in curve order and packs the running stream of
    token ids into sequences of ``length``: every sequence but the last ones of a
    range is full, and the rest of a range is cut into powers of two, which need
    no padding.
 
-Texts are tokenised once.  Ids travel as two bytes each when the vocabulary
-allows; the packer holds one Arrow batch and one open sequence at a time.
+Texts are read and tokenised once; ids and curve positions are written before they
+are dealt out.  Ids travel as two bytes each when the vocabulary allows; the packer
+holds one Arrow batch and one open sequence at a time.
 
 Defined results
 * Null text: empty; such a document is its end id alone.
 * Null ids are allowed.  Repeated rows are packed as often as they occur.
-* Strings of special tokens inside a text are ordinary text.
-* Texts of any length are cut over as many sequences as they need.
+* Strings of special tokens inside a text become those tokens, as the tokenizer
+  does by default; ``special_as_text`` makes them ordinary text.
+* Texts of any length are cut over as many sequences as they need.  A text is
+  tokenised in pieces that begin at white space, so only a run without white space
+  (or a run of white space) is ever whole in the tokenizer.
 * Empty table: no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm import kernels
-from wattline.llm.text import small_batches
+from wattline.llm.text import settle, small_batches
 
 LENGTH = 2048
 END = 1
 DIMS, GRID_BITS = 4, 10
 TIE_BITS = 62 - DIMS * GRID_BITS
-WEIGHT = 4096
-#: Rows over which the quantiles of curve positions are approximate: 1 / ACCURACY.
-ACCURACY = 10_000
+#: Bytes of ids in a range, and sampled positions a range.
+RANGE_BYTES, SAMPLE = 512 << 20, 20
+#: Ids of so many short pieces of text are remembered by a Python worker.
+REMEMBERED, SHORT = 500_000, 48
+#: White space and what follows it up to the next white space.
+PIECE = re.compile(r"\s*\S+|\s+")
+#: A piece that begins with one blank at most; how many are tokenised at once.
+PLAIN, TOGETHER = re.compile(r" ?\S+"), 2000
 
 _encoders: dict = {}
 
@@ -54,29 +66,59 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    """text -> ids for a byte-level BPE file; made once a process.
+def encoder(path: str, kind: type = np.uint32, special_as_text: bool = False) -> Callable[[list[str]], list[bytes]]:
+    """texts -> their ids as arrays of ``kind`` in bytes; made once a process.
 
-    Beside ``x.json`` the package has ``x.tiktoken``, the same vocabulary as
-    ranks, whose encoder gives the same ids about four times faster; it is used
-    when it is there.
+    No rule of a byte-level tokenizer's word pattern goes from a visible character
+    on into white space, and its special tokens have none inside.  So the ids of a
+    text are those of its pieces, each from white space up to the next one, and the
+    ids of frequent pieces need not be made again.  New pieces that begin with one
+    blank at most are tokenised many at once, with line feeds between them, at which
+    their ids are taken apart again.
     """
-    if path not in _encoders:
-        ranks_file = Path(path).with_suffix(".tiktoken")
-        if ranks_file.exists():
-            import public_tokenizers
-            import tiktoken
-
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.read_bytes().splitlines())}
-            made = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[path] = made.encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            made = Tokenizer.from_file(path)
-            made.encode_special_tokens = True
-            _encoders[path] = lambda text: made.encode(text, add_special_tokens=False).ids
-    return _encoders[path]
+    key = path, kind, special_as_text
+    if key in _encoders:
+        return _encoders[key]
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = special_as_text
+    feed = made.encode("\n", add_special_tokens=False).ids
+    known: dict[str, bytes] = {}
+
+    def each(pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=kind).tobytes() for e in made.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def at_once(pieces: list[str]) -> list[bytes]:
+        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        out = []
+        for group, e in zip(groups, made.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=kind)
+            cuts = np.concatenate(([-1], np.flatnonzero(ids == feed[0]), [len(ids)])) * ids.itemsize
+            raw = ids.tobytes()
+            found = [raw[a + ids.itemsize : b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            out += found if len(found) == len(group) else each(group)
+        return out
+
+    def ids_of(pieces: list[str]) -> dict[str, bytes]:
+        plain = [p for p in pieces if len(feed) == 1 and PLAIN.fullmatch(p)]
+        other = [p for p in pieces if len(feed) != 1 or not PLAIN.fullmatch(p)]
+        return dict(zip(plain + other, at_once(plain) + each(other), strict=True))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        cut = [PIECE.findall(t) for t in texts]
+        new = set().union(*cut) - known.keys()
+        long = {p: each([p])[0] for p in new if len(p) > SHORT}
+        short = [p for p in new if len(p) <= SHORT]
+        if len(known) + len(short) > REMEMBERED:
+            known.clear()
+            short = list({p for pieces in cut for p in pieces if len(p) <= SHORT})
+        known.update(ids_of(short))
+        look = {**known, **long}.__getitem__ if long else known.__getitem__
+        return [b"".join(map(look, pieces)) for pieces in cut]
+
+    _encoders[key] = encode
+    return encode
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -125,33 +167,38 @@ def curve_keys(texts: pa.Array, dims: int = DIMS, bits: int = GRID_BITS) -> np.n
     return hilbert(points, bits)
 
 
-def _add_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, tie -> key, once for every WEIGHT bytes of the text, for the quantiles."""
-    for batch in kernels.slices(batches):
-        _, offsets = kernels.buffers(batch.column(0))
-        key = _key(batch.column(0), batch.column(1)).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, 1 + np.diff(offsets) // WEIGHT))], ["key"])
-
-
 def _key(texts: pa.Array, tie: pa.Array) -> pa.Array:
     ties = tie.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - TIE_BITS)
     return pa.array(((curve_keys(texts) << np.uint64(TIE_BITS)) | ties).view(np.int64))
 
 
-def _tokenise(path: str, end: int, wide: bool, bounds: list[int]):
-    cuts = np.array(bounds, dtype=np.int64)
-
+def _tokenise(path: str, end: int, wide: bool, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = encoder(path), np.uint32 if wide else np.uint16
+        kind = np.uint32 if wide else np.uint16
+        encode, last = encoder(path, kind, special_as_text), np.array([end], dtype=kind).tobytes()
         for batch in kernels.slices(batches):
-            ids = [np.array([*encode(t or ""), end], dtype=kind).tobytes() for t in batch.column(1).to_pylist()]
-            key = _key(batch.column(1), batch.column(2))
-            part = np.searchsorted(cuts, key.to_numpy(), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), key, pa.array(part), pa.array(ids, pa.binary())], ["doc_id", "key", "part", "ids"])
+            ids = [x + last for x in encode(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _key(batch.column(1), batch.column(2)), pa.array([len(x) for x in ids]), pa.array(ids, pa.binary())], ["doc_id", "key", "bytes", "ids"])
 
     return run
 
 
+def _ranges(keys: DataFrame, parts: int | None) -> list[int]:
+    """Borders between ranges of about equal bytes of ids, from (key, bytes) rows.
+
+    What one task and the driver see is SAMPLE rows and one number a range.
+    """
+    n, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if parts is None:
+        parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    if parts < 2 or not n:
+        return []
+    share = min(1.0, max(100_000, SAMPLE * parts) / n)
+    sample = keys.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    found = sample.agg(F.percentile("key", [i / parts for i in range(1, parts)], F.col("bytes"))).first()[0]
+    return sorted({int(x) for x in found or []})
+
+
 def _tail(rest: int, length: int) -> list[int]:
     """Cuts the last tokens of a range into powers of two, large first."""
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if rest >> b & 1]
@@ -223,6 +270,7 @@ def pack(
     length: int = LENGTH,
     end: int = END,
     wide: bool = False,
+    special_as_text: bool = False,
     parts: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -230,20 +278,23 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``wide`` is for vocabularies over 65,536 ids.  ``parts`` is the number of
-    ranges, by default the session's number of shuffle partitions.
+    ranges, by default one for RANGE_BYTES of ids and at least the session's
+    number of shuffle partitions.
     """
     spark = docs.sparkSession
     small_batches(spark)
     path = tokenizer or vocabulary()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tie"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema["doc_id"].dataType
-    keys = rows.select("text", "tie").mapInArrow(_add_key, "key long")
-    # parts - 1 numbers come to the driver.
-    shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(keys.agg(F.percentile_approx("key", shares, ACCURACY)).first()[0] or [])) if shares else []
-    coded = rows.mapInArrow(_tokenise(path, end, wide, bounds), f"doc_id {kind.simpleString()}, key long, part int, ids binary")
-    dealt = coded.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "doc_id").select("doc_id", "part", "ids")
+    # Written, so that borders come from two narrow columns and no text is read twice.
+    coded = settle(rows.mapInArrow(_tokenise(path, end, wide, special_as_text), f"doc_id {kind.simpleString()}, key long, bytes long, ids binary"))
+    cuts = np.array(_ranges(coded, parts), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def part(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, key.to_numpy(), "right").astype(np.int32))
+
+    dealt = coded.withColumn("part", part("key")).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("key", "doc_id").select("doc_id", "part", "ids")
     out = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long".format(kind.simpleString())
     from pyspark.sql.pandas.types import to_arrow_type
 
