@@ -120,7 +120,39 @@ def test_ngram_edge_cases(spark):
     assert got == [("1", 2, "1"), ("1", 2, "1"), ("2", 2, "1"), ("None", 2, "None")]
     assert ngram_join.similar_components(docs(spark, []), 3, (90, 100)).count() == 0
     left = ngram_join.keep_one(df, 3, (90, 100))
-    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "1", "None"] and left.columns == df.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "None"] and left.columns == df.columns
+    clash = df.withColumns({c: F.lit(1) for c in ("_gone", "_doc_id", "_text_key", "node", "component_id", "n_shingles")})
+    left = ngram_join.keep_one(clash, 3, (90, 100))
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "None"] and left.columns == clash.columns
+
+
+def test_sets_that_collide_on_the_node_hash_stay_apart(spark):
+    rng = random.Random(8)
+    rows = list(enumerate(t for n in (5, 4, 3) for t in _family(rng, n, 60, 2)))
+    df = docs(spark, [(i, t, "s") for i, t in rows])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join._members(df, 3, (80, 100), "doc_id", "text", node_bits=1).collect()}
+    assert got == brute.components(rows, 3, 80, 100)
+
+
+@pytest.mark.parametrize("num", [90, 40, 30])
+def test_low_thresholds_and_tiny_sets(spark, num):
+    rng = random.Random(num)
+    rows = list(enumerate(" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(40)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(docs(spark, [(i, t, "s") for i, t in rows]), 2, (num, 100)).collect()}
+    assert got == brute.components(rows, 2, num, 100)
+
+
+def test_one_shingle_in_thousands_of_unlike_texts_makes_no_quadratic_join(spark):
+    j = ngram_join._Join(None, None, None, None, 3, 80, 100, 64)
+    rooted = spark.range(5000).selectExpr("7L as key", "id as node", "30 as n", "0 as pos", "id as root")
+    firsts = spark.range(5000).selectExpr("id as node", "array(7L, 1000 + id * 3, 1001 + id * 3, 1002 + if(id < 4, 0, id) * 3) as first")
+    joined = ngram_join._still_apart(rooted, firsts, j).select("x_node", "y_node").collect()
+    assert {tuple(sorted(r)) for r in joined} <= {(a, b) for a in range(4) for b in range(a)} | {(a, b) for b in range(4) for a in range(b)}
+    assert {(0, 1), (0, 2), (0, 3)} <= {tuple(sorted(r)) for r in joined} and len(joined) < 20
+
+
+def test_sketch_grows_with_the_input():
+    assert [ngram_join.sketch_bits(n) for n in (0, 10, 10**6, 10**12)] == [22, 22, 24, 26]
 
 
 def test_star_contraction(spark):
