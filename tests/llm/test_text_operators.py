@@ -122,30 +122,75 @@ def test_exact_groups_compare_bytes(spark):
     left = exact.drop_copies(docs(spark, texts))
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "4", "9"] and left.columns == docs(spark, []).columns
     assert exact.exact_groups(docs(spark, [])).count() == 0
+    again = docs(spark, [(1, "a"), (1, "a"), (2, "a"), (None, "n"), (None, "n"), (3, "b")]).withColumns({c: F.lit(1) for c in ("_gone", "_doc_id", "_text_sha256", "h", "t")})
+    left = exact.drop_copies(again)
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("1", "a"), ("3", "b"), ("None", "n")] and left.columns == again.columns
 
 
 # --- line dedup -----------------------------------------------------------------
 
 
-def test_line_dedup_matches_brute_force(spark):
-    base = [f"w{i}" for i in range(12)]
-    lines = [base, [*base[:3], "X", *base[4:]], base[:5] + base[6:], [*base, "tail"], ["head", *base], [*base[:3], "X", "Y", *base[5:]], ["short", "line"], ["short", "lone"], base[::-1], [*base[:3], "Z", *base[4:]]]
-    texts = [(i, "\n".join([" ".join(x), "", "common line"])) for i, x in enumerate(lines)] + [(50, None), (51, ""), (52, "  ".join(base) + "\n\n")]
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+def near_lines(a, b):
+    """The edit bound, in plain Python, on two word lists."""
+    if max(len(a), len(b)) >= 10:
+        return brute.edit_one(a, b)
+    a, b = list(" ".join(a)), list(" ".join(b))
+    return max(len(a), len(b)) >= 10 and brute.edit_one(a, b)
+
+
+def check_lines(spark, texts, df=None):
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts) if df is None else df).collect()}
     seen = []
-    for i, t in texts:
+    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0])):
         kept, copies, near = [], 0, 0
         for line in (t or "").split("\n") if t is not None else []:
             w = brute.words(line)
-            earlier = [s for s in seen if w]
-            if w and w in earlier:
+            if w and w in seen:
                 copies += 1
-            elif w and any(len(w) >= 10 and len(s) >= 10 and brute.edit_one(w, s) for s in earlier):
+            elif w and any(near_lines(w, s) for s in seen):
                 near += 1
             else:
                 kept.append(line)
             if w:
                 seen.append(w)
-        assert (got[i].n_copies, got[i].n_near) == (copies, near), i
+        assert (got[i].n_copies, got[i].n_near) == (copies, near), (i, t)
         assert got[i].text == (None if t is None else "\n".join(kept)), i
+
+
+def test_line_dedup_matches_brute_force(spark):
+    base = [f"w{i}" for i in range(12)]
+    lines = [base, [*base[:3], "X", *base[4:]], base[:5] + base[6:], [*base, "tail"], ["head", *base], [*base[:3], "X", "Y", *base[5:]], ["short", "line"], ["short", "lone"], base[::-1], [*base[:3], "Z", *base[4:]]]
+    lines += [["a", "line"], ["a", "lone"], ["nine", "chars"], ["nin", "chars"], ["ninechars"], ["ninechar"], ["tenletters"], ["tenletter"], ["\U0001f600enletters"], base[:10], base[:9], base[1:10], ["abc"], ["abd"]]
+    nine = "the quick brown fox jumps over the lazy dog".split()
+    lines += [nine, [*nine[:4], "jumqs", *nine[5:]], [*nine[:4], "jum", "ps", *nine[5:]], nine[:4] + nine[5:]]
+    texts = [(i, "\n".join([" ".join(x), "", "common line"])) for i, x in enumerate(lines)] + [(50, None), (51, ""), (52, "  ".join(base) + "\n\n")]
+    check_lines(spark, texts)
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_line_dedup_random_lines(spark):
+    import random
+
+    rng = random.Random(12)
+    bases = [[rng.choice(["ab", "cd", "efg", "hijk"]) for _ in range(n)] for n in (1, 2, 4, 8, 9, 10, 11, 14) for _ in range(2)]
+
+    def edited():
+        w = list(rng.choice(bases))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = rng.choice([[], ["xy"], [w[at][:-1] + "q"], [w[at] + "q"]])
+            w = w or ["ab"]
+        return " ".join(w)
+
+    check_lines(spark, [(i, "\n".join(edited() for _ in range(rng.randrange(1, 6)))) for i in range(60)])
+
+
+def test_line_dedup_edges(spark):
+    long = [f"w{i % 5003}" for i in range(200_000)]
+    texts = [(None, "x y z u v w a b c d"), (1, " ".join(long)), (2, " ".join([*long[:777], "typo", *long[778:]])), (3, "x y z u v w a b c D")]
+    check_lines(spark, texts)
+    again = docs(spark, [(1, "one same line here"), (1, "one same line here"), (2, "one same line here")])
+    clash = again.withColumns({c: F.lit(5) for c in ("_gone", "_id", "_key", "_copies", "n_lines", "_near", "line")})
+    got = line_dedup.dedup_lines(clash)
+    assert sorted((r.doc_id, r.text, r.n_lines) for r in got.collect()) == [(1, "one same line here", 1), (1, "one same line here", 1), (2, "", 1)]
+    assert sorted(got.columns) == sorted([*clash.columns, "n_copies", "n_near"])

@@ -177,10 +177,13 @@ u as (
   select array_to_string(ws, ' ') as k, any_value(ws) as ws, min({'d': doc_id, 'l': line_no}) as first
   from w where len(ws) > 0 group by all),
 x as (select k, ws, first, unnest(range(1, len(ws) + 1)) as p from u where len(ws) >= 10),
-v as (select k, first, p, array_to_string(list_concat(ws[1:p-1], ws[p+1:len(ws)]), ' ') as r, len(ws) as n from x),
-b as (select distinct a.k from v a join v b on a.r = b.r and a.p = b.p where b.first < a.first
-  union select a.k from u a join v b on a.k = b.r where b.first < a.first and len(a.ws) >= 10
-  union select a.k from v a join u b on a.r = b.k where b.first < a.first and a.n > 10),
+y as (select k, first, unnest(range(1, length(k) + 1)) as p from u where len(ws) < 10 and length(k) >= 10),
+v as (select 'w' as kind, k, first, p, array_to_string(list_concat(ws[1:p-1], ws[p+1:len(ws)]), ' ') as r from x
+  union all select 'c', k, first, p, k[1:p-1] || k[p+1:length(k)] from y),
+z as (select 'w' as kind, k, first from u where len(ws) >= 9 union all select 'c', k, first from u where len(ws) < 10),
+b as (select distinct a.k from v a join v b on a.kind = b.kind and a.r = b.r and a.p = b.p where b.first < a.first
+  union select a.k from z a join v b on a.kind = b.kind and a.k = b.r where b.first < a.first
+  union select a.k from v a join z b on a.kind = b.kind and a.r = b.k where b.first < a.first),
 j as (
   select w.doc_id, w.line_no, w.line, len(w.ws) > 0 as has, {'d': w.doc_id, 'l': w.line_no} <> u.first as copy, b.k is not null as near
   from w left join u on u.k = array_to_string(w.ws, ' ') and len(w.ws) > 0 left join b on b.k = u.k)
