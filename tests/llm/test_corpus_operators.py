@@ -58,6 +58,47 @@ def test_warc_skips_damage_and_false_magic(tmp_path):
     assert found == ["<r0>", "<r2>"]
 
 
+def _ids(path, split):
+    import pyarrow.fs as pafs
+
+    fs, size = pafs.LocalFileSystem(), path.stat().st_size
+    return [h["warc-record-id"] for a in range(0, size, split) for _, h, _ in warc.records(fs, str(path), a, min(size, a + split))]
+
+
+def test_warc_nested_members_are_no_records_at_any_split(tmp_path):
+    rng = random.Random(7)
+    noise = lambda n: rng.randbytes(n)
+    inner = b"".join(warc.member(warc.record(f"urn:page:{900 + i}", None, noise(700), None)) for i in range(6))
+    huge = b"".join(warc.member(warc.record(f"urn:page:{2000 + i}", None, noise(3000), None)) for i in range(120))
+    payloads = [noise(30_000) + inner + noise(40_000), b"plain", inner, huge, noise(10) + warc.member(b"WARC/1.1\r\nno record")]
+    blob = b"".join(warc.member(warc.record(f"urn:page:{i}", None, p, None)) for i, p in enumerate(payloads))
+    path = tmp_path / "nested.warc.gz"
+    path.write_bytes(blob)
+    want = [f"<urn:page:{i}>" for i in range(len(payloads))]
+    for split in (977, 5000, 20_000, 65_536, 150_000, len(blob)):
+        assert _ids(path, split) == want, split
+
+
+def test_warc_damage_gives_the_same_records_at_any_split(tmp_path):
+    rng = random.Random(3)
+    good = [warc.member(warc.record(f"r{i}", None, rng.randbytes(rng.randrange(50, 30_000)), None)) for i in range(12)]
+    blob = b"".join(good[:3]) + warc.MAGIC + b"junk" + good[3][:60] + b"".join(good[4:9]) + good[9][:-5] + b"".join(good[10:])
+    path = tmp_path / "damaged.warc.gz"
+    path.write_bytes(blob)
+    whole = _ids(path, len(blob))
+    assert {"<r0>", "<r1>", "<r2>", "<r4>", "<r10>", "<r11>"} <= set(whole) and "<r3>" not in whole
+    for split in (501, 4000, 33_333):
+        assert _ids(path, split) == whole, split
+
+
+def test_warc_clashing_columns_and_repeated_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "<p>x</p>", "p"), (1, "u", "<p>x</p>", "p"), (2, None, "<p>x</p>", "p")], PAGES).withColumns({c: F.lit(1) for c in ("_key", "_first", "refers_to", "record_id")})
+    assert warc.with_revisits(df).count() == 3
+    warc.write_archives(df, str(tmp_path / "w"))
+    got = sorted((r.record_id, r.record_type) for r in warc.read_archives(spark, str(tmp_path / "w")).collect())
+    assert got == [("urn:page:1", "response")] * 2 + [("urn:page:2", "revisit")]
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], PAGES), str(tmp_path / "w"))
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 0
@@ -247,6 +288,33 @@ def test_mix_edge_cases(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mix_edges(spark):
+    df = docs(spark, [(None, "x y z", "b")] * 40 + [(i, "x y z w", "a") for i in range(9)])
+    clash = df.withColumns({c: F.lit(1) for c in ("_key", "_all", "_size", "_copies", "_rank", "size", "copies", "bucket", "h")})
+    taken = mixing.take_mix(clash)
+    plan = mixing.mix(clash).groupBy("source").agg(F.sum("copies").alias("n")).collect()
+    assert {r.source: r.n for r in plan} == {r.source: r["count"] for r in taken.groupBy("source").count().collect()}
+    assert taken.columns == clash.columns and mixing.take_mix(clash.limit(0)).count() == 0
+    buckets = mixing.mix(df).where("source = 'b'").groupBy("copies").count().collect()
+    assert sum(r.copies * r["count"] for r in buckets) * 3 == 104 // 3 * 3 or len(buckets) <= 2
+
+
+def test_fill_memory_is_one_array_and_one_long_text_does_not_size_it():
+    import tracemalloc
+
+    import pandas as pd
+
+    tracemalloc.start()
+    take = mixing.fill(list(range(2, 4000, 2)), [50] * 1999, 1_000_001)
+    assert sum(x * t for x, t in zip(range(2, 4000, 2), take, strict=True)) == 1_000_000
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    rows = pd.DataFrame({"source": "s", "length": [3, 7, 50_000_000], "n": [900_000, 900_000, 3], "source_size": 900_000 * 10 + 150_000_000, "target": 57_000_001.0, "max_epochs": 3})
+    got = mixing.plan_source(rows)
+    assert abs((got.picks * got.length).sum() - 57_000_001) <= 1
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_fill_is_the_best_subset_sum():
     rng = random.Random(2)
     for _ in range(60):

@@ -22,22 +22,26 @@ Defined results
   has weight i mod 3 + 1 unless weights are given.
 * A source whose documents are all empty has target 0.
 * Equal seeds give equal results; equal hashes are ordered by id, and rows equal
-  in id and size are interchangeable.  Null ids are ranked by the hash of null.
+  in id and size are interchangeable.  So are null ids of one source and size, which
+  are dealt over all buckets.
 * No document is taken more than ``max_epochs`` times.  Empty table: no rows.
 * Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.text import count_words, settle
+from wattline.llm.text import count_words, free, settle
 
 SEED = 17
 BUCKETS = 256
 CYCLE = (1, 2, 3)
+#: Words of remaining budget that the dynamic program sees at most (4 bytes each).
+ROOM = 1 << 20
 
 
 def targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_epochs: int = 3) -> DataFrame:
@@ -63,29 +67,33 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_epochs: int =
 def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to add so that the sum is the largest <= budget.
 
-    Bounded knapsack by binary splitting; the reachable sums are the bits of an
-    integer.  Lengths are positive.
+    Bounded knapsack by binary splitting.  ``first`` keeps, for every sum, the step
+    that first reached it, so memory is four bytes a unit of the budget.  Lengths are
+    positive.
     """
     take = [0] * len(lengths)
     if budget <= 0:
         return take
-    full, reach, steps = (1 << (budget + 1)) - 1, 1, []
+    first = np.full(budget + 1, -1, dtype=np.int32)
+    first[0] = 0
+    steps: list[tuple[int, int]] = [(0, 0)]
     for i, (length, count) in enumerate(zip(lengths, counts, strict=True)):
-        step = 1
-        left = min(count, budget // length)
+        step, left = 1, min(count, budget // length)
         while left > 0:
             step = min(step, left)
-            steps.append((i, step, reach))
-            reach |= (reach << (length * step)) & full
+            weight = length * step
+            fresh = np.flatnonzero((first[:-weight] >= 0) & (first[weight:] < 0)) + weight
+            first[fresh] = len(steps)
+            steps.append((i, step))
             left -= step
             step *= 2
-        if reach >> budget & 1:
+        if first[budget] >= 0:
             break
-    at = reach.bit_length() - 1
-    for i, step, was in reversed(steps):
-        if not was >> at & 1:
-            at -= lengths[i] * step
-            take[i] += step
+    at = int(np.flatnonzero(first >= 0)[-1])
+    while at > 0:
+        i, step = steps[first[at]]
+        take[i] += step
+        at -= lengths[i] * step
     return take
 
 
@@ -104,14 +112,17 @@ def plan_source(rows: pd.DataFrame) -> pd.DataFrame:
         length, n = rows["length"].tolist(), rows["n"].tolist()
         picks = [c * budget // size if x else 0 for x, c in zip(length, n, strict=True)]
         left = budget - sum(x * p for x, p in zip(length, picks, strict=True))
-        # Largest rests first, down to a remainder that a few documents fill.
-        room = 4 * max(length)
+        # Largest rests first, down to a remainder that a few documents fill; a remainder
+        # over ROOM, which only longer documents could fill, stays with this step.
+        room = min(ROOM, 4 * max(length))
         for i in sorted(range(len(length)), key=lambda i: (-(n[i] * budget % size), -length[i])):
             if left <= room:
                 break
-            if length[i] and picks[i] < n[i] and length[i] <= left:
-                picks[i] += 1
-                left -= length[i]
+            if length[i]:
+                more = min(n[i] - picks[i], left // length[i], -(-(left - room) // length[i]))
+                picks[i] += more
+                left -= more * length[i]
+        left = min(left, ROOM)
         order = [i for i in range(len(length)) if length[i] and picks[i] < n[i] and length[i] <= left]
         added = fill([length[i] for i in order], [n[i] - picks[i] for i in order], left)
         for i, a in zip(order, added, strict=True):
@@ -132,22 +143,26 @@ def mix(
     seed: int = SEED,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies."""
+    """One row per input row: doc_id, text_key, source, size, source_size, target, copies."""
     sized = settle(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             count_words(F.col(text_col)).alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+            F.xxhash64(F.col(text_col)).alias("text_key"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
+    # Written above, so that a row's number does not change between the steps below.
+    own = F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.shiftright("h", 20))
+    placed = sized.withColumn("bucket", F.pmod(own, F.lit(buckets)))
     counted = sized.groupBy("source", F.col("size").alias("length")).agg(F.count(F.lit(1)).alias("n"))
     per_source = settle(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, max_epochs))
     with_target = counted.join(per_source.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = with_target.withColumn("max_epochs", F.lit(max_epochs)).groupBy("source").applyInPandas(plan_source, _PLAN)
 
     cell = ["source", "size", "bucket"]
-    placed = sized.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
     in_cell = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = in_cell.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -159,20 +174,27 @@ def mix(
     ranked = placed.withColumn("rank", rank)
     joined = ranked.join(planned, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("bucket") == F.col("p_bucket")))
     picked = (F.col("offset") + F.col("rank") <= F.col("picks")).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") + picked).alias("copies"))
+    return joined.select("doc_id", "text_key", "source", "size", "source_size", "target", (F.col("copies") + picked).alias("copies"))
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents with all columns of ``docs``: each as often as it is taken.
 
-    Rows with equal id, source and size are interchangeable, and the plan's copies of
+    Rows with equal id, source and text are interchangeable, and the plan's copies of
     them differ by one at most: each takes the mean rounded down, and the rest goes
-    one each to the first in the order of a hash of the text.
+    one each to as many of them.  Only such repeated rows are ranked together.
     """
-    key = lambda i, source, size: F.struct(F.col(i).alias("i"), F.col(source).cast("string").alias("s"), size.alias("n")).alias("_key")
-    drawn = mix(docs, **options).groupBy(key("doc_id", "source", F.col("size"))).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.withColumn("_key", key("doc_id", "source", count_words(F.col("text"))))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text"))))
-    copies = F.floor(F.col("_all") / F.col("_rows")) + (F.col("_rank") <= F.col("_all") % F.col("_rows")).cast("long")
-    kept = ranked.join(drawn.where("_all > 0"), "_key").withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    names = [free(c, docs) for c in ("_key", "_all", "_rows", "_rank", "_copy")]
+    key, every, rows, rank, copy = names
+    id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
+
+    def keyed(i, source, text_key):
+        return F.struct(F.col(i).alias("i"), F.col(source).cast("string").alias("s"), text_key.alias("t")).alias(key)
+
+    drawn = mix(docs, **options).groupBy(keyed("doc_id", "source", F.col("text_key"))).agg(F.sum("copies").alias(every), F.count(F.lit(1)).alias(rows))
+    mine = docs.withColumn(key, keyed(id_col, source_col, F.xxhash64(text_col)))
+    joined = mine.join(settle(drawn.where(F.col(every) > 0)), key)
+    ranked = joined.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    whole = joined.where(F.col(rows) == 1).withColumn(rank, F.lit(1)).unionByName(ranked.where(F.col(rows) > 1))
+    copies = F.floor(F.col(every) / F.col(rows)) + (F.col(rank) <= F.col(every) % F.col(rows)).cast("long")
+    return whole.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).where(copies > 0).select(*docs.columns)

@@ -9,6 +9,14 @@ its range for the gzip magic, takes a candidate as a record only if it decodes t
 a WARC header, and owns exactly the records that *start* inside the range; the
 last one may end beyond it.  Memory is one record and one read buffer.
 
+A payload may itself hold gzip members with WARC headers, which deflate stores
+verbatim when they do not compress.  So a candidate counts only if it is *proven*:
+it starts the file, or the members from it on follow each other without a gap up to
+the end of the file or for more than a stored deflate block can hold (65,535
+bytes), or a proven chain of members that starts before it arrives at it.  Whether
+a place is proven depends on the file alone, so every way to cut it into ranges
+gives the same records.
+
 Paths are URIs that pyarrow's file systems open (shared mounts, HDFS, object
 stores).
 
@@ -17,7 +25,7 @@ Defined results
 * A record with ``refers_to`` is a revisit: it keeps the HTTP header, with the
   payload's length, and the payload's digest, but not the payload.
 * Control characters in URIs are percent-encoded, so a header cannot be forged.
-* Damaged members are passed over; reading goes on at the next good record.
+* Damaged members are passed over; reading goes on at the next proven record.
 * No archives in the folder: no rows.
 """
 
@@ -28,6 +36,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -36,11 +45,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from wattline.llm.text import settle
+from wattline.llm.text import free, settle
 
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 18
+MOVES = 32
 HEADER_LIMIT = 1 << 20
+#: Most bytes that a stored block of deflate can hold.
+STORED = (1 << 16) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -107,8 +119,9 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
-        for name in (f for m in messages if m for f in m.files):
-            fs.move(f"{root}/_{name}", f"{root}/{name}")
+        names = [f for m in messages if m for f in m.files]
+        with ThreadPoolExecutor(MOVES) as pool:  # a move is a copy on some stores
+            list(pool.map(lambda name: fs.move(f"{root}/_{name}", f"{root}/{name}"), names))
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -186,17 +199,73 @@ def _decode(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] | Non
     return head, bytes(memoryview(out)[start : start + n]), pos
 
 
+def _member_end(window: _Window, at: int) -> int | None:
+    """Where the gzip member at ``at`` ends, or None if there is no whole one."""
+    unpack, pos = zlib.decompressobj(31), at
+    try:
+        while not unpack.eof:
+            data = window.read(pos)
+            if not data:
+                return None
+            rest = data
+            while rest and not unpack.eof:
+                unpack.decompress(rest, READ)
+                rest = unpack.unconsumed_tail
+            pos += len(data) - len(unpack.unused_data)
+    except zlib.error:
+        return None
+    return pos
+
+
+def _proven_ahead(window: _Window, at: int, size: int) -> bool:
+    end = at
+    while end - at <= STORED:
+        after = _member_end(window, end)
+        if after is None:
+            return False
+        end = after
+        if end == size:
+            return True
+    return True
+
+
+def _proven(window: _Window, at: int, size: int) -> bool:
+    """True if a proven chain of members starts at or arrives at ``at``.
+
+    Looks back in ever longer steps, only where looking ahead does not settle it.
+    """
+    if at == 0 or _proven_ahead(window, at, size):
+        return True
+    back = 2 * STORED
+    while True:
+        start = max(0, at - back)
+        place = 0 if start == 0 else _next_magic(window, start, at)
+        while place is not None and place < at:
+            end = _member_end(window, place)
+            if end is not None and (place == 0 or _proven_ahead(window, place, size)):
+                while end is not None and end < at:
+                    end = _member_end(window, end)
+                if end is not None:
+                    return end == at
+            place = _next_magic(window, place + 1, at)
+        if start == 0:
+            return False
+        back *= 4
+
+
 def records(fs: pafs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, headers, block) of the records that start in [start, end)."""
     with fs.open_input_file(path) as file:
-        window, at = _Window(file), start
+        window, at, size, linked = _Window(file), start, file.size(), start == 0
         while (found := _next_magic(window, at, end)) is not None:
+            linked = linked and found == at
             got = _decode(window, found)
-            if got is None:
-                at = found + 1
-            else:
+            if got is not None and (linked or _proven(window, found, size)):
                 yield found, got[0], got[1]
-                at = got[2]
+                at, linked = got[2], True
+                continue
+            after = _member_end(window, found) if linked else None
+            at, linked = (found + 1, False) if after is None else (after, True)
 
 
 class WarcReader(DataSourceReader):
@@ -276,10 +345,11 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     """
     key = F.sha2(F.coalesce(F.col(payload_col), F.lit("")).cast("binary"), 256)
     big = F.octet_length(F.coalesce(F.col(payload_col), F.lit(""))) >= min_bytes
-    first = settle(pages.where(big).groupBy(key.alias("_key")).agg(F.min(id_col).alias("_first")))
-    joined = pages.join(first, key == F.col("_key"), "left")
-    again = F.when(big & (F.col(id_col) > F.col("_first")), F.col("_first"))
-    return joined.withColumn("refers_to", again).drop("_key", "_first")
+    sha, least = free("_key", pages), free("_first", pages)
+    first = settle(pages.where(big).groupBy(key.alias(sha)).agg(F.min(id_col).alias(least)))
+    joined = pages.join(first, key == F.col(sha), "left")
+    again = F.when(big & (F.col(id_col) > F.col(least)), F.col(least))
+    return joined.withColumn("refers_to", again).drop(sha, least)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
