@@ -244,6 +244,38 @@ def test_toxicity_held_out(spark):
     assert len({r.score for r in none}) == 1
 
 
+def test_toxicity_models_match_the_definition(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    bad, good, rest = ([rng.choice(words) for _ in range(n)] for n in (60, 150, 300))
+    rows = [(1, " ".join(bad), "s"), (2, " ".join(good).upper(), "s"), (3, " ".join(rest), "s"), (4, None, "s")]
+    learnt = spark.createDataFrame([(rows[0][1], 1), (rows[1][1], 0)], "text string, toxic int")
+    model = toxicity.fit_model(docs(spark, rows), learnt)
+    count = lambda ws: {w: ws.count(w) for w in ws}
+    said = [*words, "zzz", "abz", "cabbac"]
+    want = brute.kneser_ney_ratios(count(bad + good + rest), count(bad), count(good), said)
+    data, offsets = kernels.buffers(pa.array(said))
+    got = toxicity.word_ratios(model, data, offsets[:-1], offsets[1:])
+    assert np.allclose(got, [want[w] for w in said], atol=1e-4)
+    found = toxicity.features(model, pa.array(["abz " + words[0], "", None]))
+    each = [want[w] / (len(w) + 1) for w in ("abz", words[0])]
+    assert np.allclose(found, [[max(each), np.mean(each), np.mean(each), np.log(2)], [0] * 4, [0] * 4], atol=1e-4)
+
+
+def test_toxicity_edges(spark):
+    lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    long = "word " * 300_000
+    df = docs(spark, [(1, long, "s"), (1, long, "s"), (2, None, "s"), (None, "x", "s")]).withColumns({c: F.lit(1) for c in ("toxic", "role", "h", "word", "score")})
+    assert len({r.score for r in toxicity.scores(df, lab).collect()}) == 1
+    assert toxicity.scores(df.limit(0), lab).count() == 0
+    lab = spark.createDataFrame([(i, None, i % 2) for i in range(200)] + [(3, None, None), (5, None, 0), (None, None, 1)], "doc_id long, quality int, toxic int")
+    many = docs(spark, [(i, f"plain text {i} " + "bad " * (i % 2) * 5, "s") for i in range(200)] + [(3, "again", "s")])
+    assert toxicity.scores(many, lab).count() == 201
+    some = toxicity.labelled(many, lab, max_bytes=1000)
+    assert 0 < some.agg(F.sum(F.octet_length("text"))).first()[0] <= 1000
+    assert toxicity.labelled(many, lab, max_rows=10).count() <= 11
+
+
 # --- mixing ---------------------------------------------------------------------
 
 

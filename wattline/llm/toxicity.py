@@ -2,27 +2,33 @@
 
 Two character models, one for toxic and one for ordinary words, share their
 backoff: at the longest context each class discounts its own counts and gives the
-freed mass to one interpolated Kneser-Ney model over the pooled counts.  Where a
-class has seen a context rarely or never, the two models agree, so rare but
+freed mass to one interpolated Kneser-Ney model over the counts of *all* documents.
+Where a class has seen a context rarely or never, the two models agree, so rare but
 harmless words carry no evidence, while a rare form of a toxic root does.
 
-The log-likelihood difference of each word is summed and *divided by length* over
-three spans: single words, windows of five words, and the whole text.  The two
-maxima and the mean are put on a scale of 0 to 1 by a logistic fit on labelled
-documents that the models have not seen.
-
-What is bounded: ``max_rows`` labelled documents, taken in the order of a hash
-of their ids, are learnt from (documented bound, 16,000 by default); so the word
-counts, the models (a few MB, broadcast) and the calibration rows are bounded
-too.  Everything else - every document, every word - is scored, in one pass with
-no shuffle.
+1. *Class counts* of the words of labelled documents (bounded, see below).
+2. *Shared counts.*  The distinct words of the whole corpus, with their counts, by
+   a distributed aggregate; from them the counts and continuation counts of all
+   grams that follow a context the class counts know.
+3. *Scores.*  The log-likelihood difference of each word is divided by its length
+   in characters.  Three spans give the features: the highest word, the highest mean
+   of five words, and the mean of the text.  The two maxima rise with the number of
+   words by chance alone, so its logarithm is the fourth.  A logistic fit on labelled
+   documents that the models have not seen puts them on a scale of 0 to 1.
+
+What is bounded: ``max_rows`` labelled ids, and ``max_bytes`` of their texts, taken
+in the order of a hash of their ids, are learnt from (documented bounds, 16,000 and
+64 MB by default); so the class counts, the models (a few MB, broadcast) and the
+calibration rows are bounded too.  Everything else - shared counts, every document,
+every word - covers all texts; scoring is one pass with no shuffle.
 
 Defined results
-* Null or empty text: three zero features, hence the score of no evidence.
+* Null or empty text: four zero features, hence the score of no evidence.
 * Null ids: held_out is false; they are never labelled.
 * Conflicting labels of an id: toxic if any says so.  Null labels are ignored.
 * No toxic or no ordinary label to learn from: every score is the smoothed share.
-* Repeated rows get equal rows.  Empty table: no rows.  Other columns are ignored.
+* Repeated rows get equal rows.  Empty tables: no rows, or no evidence without labels.
+  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,13 +38,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.llm import kernels
 from wattline.llm.text import settle, small_batches
 
 MAX_ROWS = 16_000
+MAX_BYTES = 64 << 20
+FEATURES = 4
 ORDER = 6
 DISCOUNT = 2.0
 SHARED_DISCOUNT = 0.75
@@ -89,54 +97,76 @@ class _Windows:
         return gram, context
 
 
-def _by(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each row the sum of ``weights`` over the rows with its key."""
-    _, inverse = np.unique(keys, return_inverse=True)
-    return np.bincount(inverse, weights=weights)[inverse]
+def gram_rows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level: (level, unit, gram, context, weight) of distinct words.
+
+    Level d leaves out the first d bytes of a gram.  At level 0 the units are the grams
+    themselves, weighing their words' counts; above, the distinct grams of the level
+    below, so that their number is the continuation count.  ``wanted`` (sorted) limits
+    the contexts.
+    """
+    framed, place, word = _frame(data, starts, ends)
+    windows = _Windows(framed, place)
+    rows = np.arange(len(windows.at))
+    for dropped in range(ORDER):
+        rows = rows[windows.context[rows] >= dropped]
+        gram, context = windows.hashes(rows, dropped)
+        unit = gram if dropped == 0 else windows.hashes(rows, dropped - 1)[0]
+        known = np.ones(len(rows), dtype=bool) if wanted is None else _is_in(context, wanted)
+        unit, first, inverse = np.unique(unit[known], return_index=True, return_inverse=True)
+        weight = np.bincount(inverse, weights=counts[word[windows.at[rows[known]]]], minlength=len(unit)) if dropped == 0 else np.ones(len(unit))
+        yield dropped, unit, gram[known][first], context[known][first], weight.astype(np.int64)
+
+
+def _is_in(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(values), dtype=bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
+
+
+@dataclass
+class Shared:
+    """Counts over all documents, sorted by hash: of grams, and by context."""
+
+    grams: np.ndarray
+    gram_counts: np.ndarray
+    contexts: np.ndarray
+    totals: np.ndarray
+    kinds: np.ndarray
+
+    def gram(self, keys: np.ndarray) -> np.ndarray:
+        return self.gram_counts[np.searchsorted(self.grams, keys)]
+
+    def context(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.contexts, keys)
+        return self.totals[at], self.kinds[at]
 
 
-def train(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """Model from distinct words and their counts by class."""
+def train(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, shared: Shared) -> Model:
+    """Model from distinct words with their counts by class, and the shared counts."""
     framed, place, word = _frame(data, starts, ends)
     windows = _Windows(framed, place)
-    everything = np.arange(len(windows.at))
-    gram, _ = windows.hashes(everything, 0)
+    gram, context = windows.hashes(np.arange(len(windows.at)), 0)
     _, rows, inverse = np.unique(gram, return_index=True, return_inverse=True)
     owner = word[windows.at]
-    by_class = [np.bincount(inverse, weights=n[owner]) for n in (toxic, ordinary)]
-
-    # Shared model, from the shortest context up; one entry per distinct gram of a level.
-    shared = np.full(len(rows), 1 / 256)
-    levels = []
-    types = np.arange(len(rows))
-    for dropped in range(1, ORDER):
-        types = types[windows.context[rows[types]] >= dropped]
-        if not len(types):
-            break
-        lower, context = windows.hashes(rows[types], dropped)
-        _, first, back = np.unique(lower, return_index=True, return_inverse=True)
-        levels.append((dropped, context[first], np.bincount(back).astype(float), types[first]))
-        types = types[first]
-    for dropped, context, count, reps in reversed(levels):
-        total, kinds = _by(context, count), _by(context, np.ones(len(count)))
-        value = (np.maximum(count - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds * shared[reps]) / total
+    by_class = [np.bincount(inverse, weights=n[owner], minlength=len(rows)) for n in (toxic, ordinary)]
+    gram, context = gram[rows], context[rows]
+
+    backoff = np.full(len(rows), 1 / 256)
+    for dropped in reversed(range(ORDER)):
         mine = windows.context[rows] >= dropped
-        key, _ = windows.hashes(rows[mine], dropped)
-        own, _ = windows.hashes(rows[reps], dropped)
-        order = np.argsort(own)
-        shared[mine] = value[order][np.searchsorted(own[order], key)]
-    gram, context = windows.hashes(rows, 0)
-    pooled = by_class[0] + by_class[1]
-    shared = (np.maximum(pooled - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * _by(context, np.ones(len(rows))) * shared) / _by(context, pooled)
-
-    total = [_by(context, n) for n in by_class]
-    freed = [_by(context, np.minimum(n, DISCOUNT)) for n in by_class]
-    held = [np.where(t > 0, np.maximum(n - DISCOUNT, 0) / np.maximum(t, 1), 0) for n, t in zip(by_class, total, strict=True)]
+        lower, before = windows.hashes(rows[mine], dropped)
+        total, kinds = shared.context(before)
+        backoff[mine] = (np.maximum(shared.gram(lower) - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds * backoff[mine]) / total
+
+    _, first, inverse = np.unique(context, return_index=True, return_inverse=True)
+    total = [np.bincount(inverse, weights=n)[inverse] for n in by_class]
+    freed = [np.bincount(inverse, weights=np.minimum(n, DISCOUNT))[inverse] for n in by_class]
+    held = [np.maximum(n - DISCOUNT, 0) / np.maximum(t, 1) for n, t in zip(by_class, total, strict=True)]
     gap = [np.where(t > 0, f / np.maximum(t, 1), 1.0) for f, t in zip(freed, total, strict=True)]
-    ratio = np.log((held[0] + gap[0] * shared) / (held[1] + gap[1] * shared))
-    known = total[0] > 0
-    g, c = np.argsort(gram[known]), np.unique(context[known], return_index=True)
-    return Model(gram[known][g], ratio[known][g].astype(np.float32), c[0], np.log(gap[0] / gap[1])[known][c[1]].astype(np.float32))
+    ratio = np.log((held[0] + gap[0] * backoff) / (held[1] + gap[1] * backoff))
+    order = np.argsort(gram)
+    return Model(gram[order], ratio[order].astype(np.float32), context[first], np.log(gap[0] / gap[1])[first].astype(np.float32))
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,15 +193,16 @@ def word_ratios(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.nda
 
 
 def features(model: Model, texts: pa.Array) -> np.ndarray:
-    """Per text: highest word, highest mean of SPAN words, mean of all words."""
+    """Per text: highest word, highest mean of SPAN words, mean of all words (each word's
+    log-likelihood difference over its length), logarithm of the number of words."""
     data, offsets = kernels.buffers(texts)
     spans = list(kernels.word_spans(data, offsets))
-    out = np.zeros((len(texts), 3))
+    out = np.zeros((len(texts), FEATURES))
     if not spans:
         return out
     starts, ends, hashes = (np.concatenate(x) for x in zip(*spans, strict=True))
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    value = word_ratios(model, data, starts[first], ends[first])[inverse]
+    value = (word_ratios(model, data, starts[first], ends[first]) / (ends[first] - starts[first] + 1))[inverse]
     text = np.searchsorted(offsets, starts, "right") - 1
     counts = np.bincount(text, minlength=len(texts))
     full = np.flatnonzero(counts)
@@ -183,6 +214,7 @@ def features(model: Model, texts: pa.Array) -> np.ndarray:
     size = np.minimum(np.repeat(counts[full], counts[full]), SPAN)
     out[full, 1] = np.maximum.reduceat((sums[last] - sums[last - size]) / size, begin)
     out[full, 2] = np.add.reduceat(value, begin) / counts[full]
+    out[full, 3] = np.log(counts[full])
     return out
 
 
@@ -200,18 +232,61 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), pa.array(t, pa.int64()), pa.array(o, pa.int64())], ["word", "t", "o"])
 
 
-def _train_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All (word, t, o) rows of the bounded sample, in one task -> one model row."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    table = table.combine_chunks()
-    words = table.column("word").chunk(0).cast(pa.large_binary())
+def _words_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of a binary column ``word``."""
+    words = table.column("word").combine_chunks().cast(pa.large_binary())
+    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
     offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)
-    model = train(data, offsets[:-1], offsets[1:], table.column("t").to_numpy(), table.column("o").to_numpy())
-    parts = [model.grams, model.gram_ratio, model.contexts, model.context_ratio]
-    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["g", "gr", "c", "cr"])
+    raw = words.buffers()[2]
+    return np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8), offsets[:-1], offsets[1:]
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> distinct words of a batch with their counts."""
+    for batch in kernels.slices(batches, 5000):
+        data, offsets = kernels.buffers(batch.column(0))
+        for starts, ends, hashes in kernels.word_spans(data, offsets):
+            _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+            at, end = int(starts[0]) if len(starts) else 0, int(ends[-1]) if len(ends) else 0
+            low = kernels.lowered(data[at:end]).tobytes()
+            said = [low[a - at : b - at] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), pa.array(counts.astype(np.int64))], ["word", "n"])
+
+
+def _shared_counts(words: DataFrame, wanted_grams, wanted_contexts) -> Shared:
+    """Counts of the wanted grams and contexts over the corpus words (word, n).
+
+    Units are counted by gram and grams by context in distributed aggregates; what
+    comes to the driver is bounded by the number of wanted grams and contexts.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 20_000) for a in range(0, batch.num_rows, 20_000)):
+                table = pa.Table.from_batches([part])
+                for level, *columns in gram_rows(*_words_of(table), table.column("n").to_numpy(), wanted_contexts.value):
+                    unit, gram, context, weight = columns
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), level == 0)), *(pa.array(kernels.as_long(x)) for x in (unit, gram, context)), pa.array(weight)], ["top", "unit", "gram", "context", "weight"])
+
+    units = words.mapInArrow(spread, "top boolean, unit long, gram long, context long, weight long")
+    # A unit below the top counts once, however many tasks and levels have seen it.
+    units = units.groupBy("top", "unit", "gram", "context").agg(F.sum("weight").alias("weight"))
+    count = F.sum(F.when(F.col("top"), F.col("weight")).otherwise(F.lit(1).cast("long")))
+    grams = settle(units.groupBy("gram", "context").agg(count.alias("n")))
+    totals = grams.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).toArrow()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_is_in(batch.column(0).to_numpy().view(np.uint64), wanted_grams.value)))
+
+    found = grams.select("gram", "n").mapInArrow(pick, "gram long, n long").toArrow()
+
+    def column(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy()
+
+    gram, context = column(found, "gram").view(np.uint64), column(totals, "context").view(np.uint64)
+    g, c = np.argsort(gram), np.argsort(context)
+    return Shared(gram[g], column(found, "n")[g], context[c], column(totals, "total")[c], column(totals, "kinds")[c])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,45 +309,64 @@ def _remainder(ids: Column) -> Column:
     return F.crc32(ids.cast("string").cast("binary")) % FOLD
 
 
-def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select("doc_id", "text")
-    kind = texts.schema["doc_id"].dataType.simpleString()
+def fit_model(texts: DataFrame, learnt: DataFrame) -> Model:
+    """The model from all ``texts`` and the bounded labelled rows ``learnt`` (text, toxic)."""
+    spark = texts.sparkSession
+    words = learnt.select("text", "toxic").mapInArrow(_count_words, "word binary, t long, o long")
+    table = words.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).orderBy("word").toArrow()
+    if not table.num_rows:
+        return Model(*(np.zeros(0, k) for k in (np.uint64, np.float32, np.uint64, np.float32)))
+    said = _words_of(table)
+    every = list(gram_rows(*said, np.ones(table.num_rows)))
+    grams, contexts = (np.unique(np.concatenate([row[i] for row in every])) for i in (2, 3))
+    corpus = texts.select("text").mapInArrow(_vocabulary, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    shared = _shared_counts(corpus, spark.sparkContext.broadcast(grams), spark.sparkContext.broadcast(contexts))
+    return train(*said, table.column("t").to_numpy(), table.column("o").to_numpy(), shared)
+
+
+def labelled(texts: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(text, toxic, role): the labelled rows to learn from; role 0 calibrates."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (_remainder(F.col("doc_id")) != HELD_OUT))
     by_hash = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(by_hash, "doc_id").limit(max_rows)
     # At most max_rows ids, so the broadcast is bounded; a third of them calibrates.
     role = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id")), F.lit(3))
-    learnt = settle(texts.join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), role.alias("role")))
+    held = texts.join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), role.alias("role"), by_hash.alias("h"))
+    held = settle(held)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    by_id = held.groupBy("h").agg(F.sum(size).alias("bytes"))
+    over = by_id.select("h", F.sum("bytes").over(Window.orderBy("h")).alias("sum")).where(F.col("sum") > max_bytes).agg(F.min("h")).first()[0]
+    return (held if over is None else held.where(F.col("h") < over)).drop("h")
+
 
-    words = learnt.where("role > 0").select("text", "toxic").mapInArrow(_count_words, "word binary, t long, o long")
-    words = words.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    made = words.coalesce(1).sortWithinPartitions("word").mapInArrow(_train_on, "g binary, gr binary, c binary, cr binary").collect()
-    kinds = (np.uint64, np.float32, np.uint64, np.float32)
-    model = Model(*(np.frombuffer(b, k) for b, k in zip(made[0], kinds, strict=True))) if made else Model(*(np.zeros(0, k) for k in kinds))
-    shared = spark.sparkContext.broadcast(model)
+def scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    texts = docs.select("doc_id", "text")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    learnt = labelled(texts, labels, max_rows, max_bytes)
+    shared = spark.sparkContext.broadcast(fit_model(texts, learnt.where("role > 0")))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.slices(batches, 5000):
             found = features(shared.value, batch.column(0))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(found[:, i]) for i in range(3))], ["toxic", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(found[:, i]) for i in range(FEATURES))], ["toxic", *"abcd"])
 
-    seen = learnt.where("role = 0").select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double, c double").collect()
+    seen = learnt.where("role = 0").select("text", "toxic").mapInArrow(measure, "toxic int, a double, b double, c double, d double").collect()
     y = np.array([r["toxic"] for r in seen], dtype=float)
-    x = np.array([[r["a"], r["b"], r["c"]] for r in seen], dtype=float).reshape(-1, 3)
+    x = np.array([[r[c] for c in "abcd"] for r in seen], dtype=float).reshape(-1, FEATURES)
     if 0 < y.sum() < len(y):
         order = np.lexsort((*x.T, y))
         fit = logistic(x[order], y[order])
     else:
         share = (y.sum() + 0.5) / (len(y) + 1)
-        fit = (np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]), np.zeros(3), np.ones(3))
+        fit = (np.array([*np.zeros(FEATURES), np.log(share / (1 - share))]), np.zeros(FEATURES), np.ones(FEATURES))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, mean, scale = fit
         for batch in kernels.slices(batches, 5000):
-            z = (features(shared.value, batch.column(1)) - mean) / scale @ w[:3] + w[3]
+            z = (features(shared.value, batch.column(1)) - mean) / scale @ w[:-1] + w[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "score"])
 
     scored = texts.mapInArrow(judge, f"doc_id {kind}, score double")
