@@ -55,8 +55,20 @@ def test_chat_round_trip(spark, turns):
     assert back.l == "".join(t for r, t in turns if r == "assistant")
 
 
+def test_chat_rejects_templates_that_cannot_be_read_back(spark):
+    import copy
+
+    rows = chats(spark, [(1, 0, "user", "a")])
+    for role, mark in (("user", "x"), ("user", "<\\s>"), ("user", "<s>"), ("assistant", "[INST]"), ("system", "a<s>b"), ("user", "")):
+        bad = copy.deepcopy(chat.TEMPLATE)
+        bad["turns"][role]["open"] = mark
+        with pytest.raises(ValueError, match="template"):
+            chat.format_chats(rows, bad)
+
+
 # --- licences -------------------------------------------------------------------
 
+# The licence texts below are fixed values, laid out as their files have them.
 MIT = """MIT License
 
 Copyright (c) 2020 Some Body
@@ -85,6 +97,110 @@ def test_license_rules(spark):
     assert got[8].status == "unclaimed" and got[8].n_unclaimed == 1
 
 
+SAMPLES = {
+    "Apache-2.0": """
+# Copyright 2019 The Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+""".replace("# ", "").replace("#", ""),
+    "BSD-3-Clause": """Copyright (c) Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Some University nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+
+SPDX-License-Identifier: EPL-2.0""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "MIT": MIT,
+}
+
+
+def test_license_texts_as_their_files_have_them(spark):
+    """Recall on texts that are not built from the table: every one is found."""
+    names = list(SAMPLES)
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, [(i, f"intro words.\n\n{SAMPLES[n]}\n\nmore words") for i, n in enumerate(names)])).collect()}
+    for i, n in enumerate(names):
+        assert n in got[i].licenses and set(got[i].licenses) <= {n, "all-rights-reserved"}, (n, got[i])
+        assert got[i].n_unclaimed <= 1 + (n == "BSD-3-Clause"), (n, got[i])
+
+
+def test_license_edges(spark):
+    two = MIT + "\n\n" + SAMPLES["ISC"]
+    rows = [(1, two), (1, two), (None, MIT), (2, "filler text here.\n" * 50_000 + SAMPLES["Zlib"]), (3, "2.\n3.\na.\nlicense")]
+    df = docs(spark, rows).withColumns({c: F.lit("x") for c in ("lines", "joined", "licenses", "n_known", "status")})
+    got = licenses.scan(df)
+    found = sorted((str(r.doc_id), tuple(r.licenses)) for r in got.collect())
+    assert found == [("1", ("MIT", "ISC"))] * 2 + [("2", ("Zlib",)), ("3", ()), ("None", ("MIT",))]
+    assert got.columns == ["doc_id", "licenses", "n_known", "n_unclaimed", "status"] and licenses.scan(df.limit(0)).count() == 0
+
+
 # --- quality --------------------------------------------------------------------
 
 

@@ -52,6 +52,22 @@ def control_strings(template: dict) -> list[str]:
     return marks + [template["other"][k] for k in ("open", "name_end", "close")]
 
 
+def check_template(template: dict) -> None:
+    """Raises ValueError for marks that could not be told apart or escaped.
+
+    A mark has two characters or more and no escape sign, and does not occur inside
+    another; only then is every formatted conversation read back as it was.
+    """
+    marks = control_strings(template)
+    for i, mark in enumerate(marks):
+        if len(mark) < 2 or ESCAPE in mark:
+            raise ValueError(f"template: mark {mark!r} needs two characters and no {ESCAPE!r}")
+        if any(mark in other for j, other in enumerate(marks) if j != i):
+            raise ValueError(f"template: mark {mark!r} occurs in another mark")
+    if missing := {r for roles in template["next"].values() for r in roles} - set(template["turns"]):
+        raise ValueError(f"template: no marks for the roles {sorted(missing)}")
+
+
 def _after_first(template: dict) -> dict[str, str]:
     """Alternation of the rests of the control strings by their first character."""
     rests: dict[str, list[str]] = {}
@@ -110,6 +126,7 @@ def format_chats(
     text_col: str = "text",
 ) -> DataFrame:
     """conv_id, n_turns, valid, error_turn, segments array<struct<text, loss>>, formatted."""
+    check_template(template)
     turn = F.struct(
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),

@@ -3,8 +3,9 @@
 1. Texts are cut into sentences, once by line and once with line breaks inside a
    paragraph undone (licence texts are often wrapped).
 2. A sentence is normalised (A-Z lower-cased, everything but letters and digits
-   one blank) and looked up in the table of known licence sentences; a copyright
-   notice is one sentence whatever the year and holder; all others are unknown.
+   one blank) and looked up in the table of known licence sentences, then in a few
+   patterns for those that name a year or a holder; all others are unknown.  Item
+   numbers ("2.") are no sentences.
 3. Ordered rules, long before short, are matched against the sequence of
    identifiers.  A rule claims the sentences it matches; later rules see only
    the rest, so a full text is not also reported as its own short notice.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from wattline.llm.text import let
 
-#: Identifier to the wordings of a known licence sentence.
+#: Identifier to the wordings of a known licence sentence.
 SENTENCES: dict[str, tuple[str, ...]] = {
     "mit_title": ("MIT License", "The MIT License", "The MIT License (MIT)"),
     "mit_short": ("Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."),
@@ -40,31 +41,132 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "as_is": (
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     ),
+    "no_liability": (
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     "apache2_short": ("Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0."),
     "apache2_comply": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',),
-    "apache2_copy": ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",),
+    "apache2_copy": (
+        "You may obtain a copy of the License at",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    "apache2_url": ("http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0"),
+    "apache2_as_is": (
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    ),
+    "apache2_see": ("See the License for the specific language governing permissions and limitations under the License.",),
     "gpl3_short": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3."),
     "gpl2_short": ("This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."),
     "gpl3_redistribute": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "gpl_no_warranty": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",),
+    "gpl2_redistribute": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "lgpl21_redistribute": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "lgpl3_redistribute": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "agpl3_redistribute": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "gpl_no_warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    ),
+    "gpl_see": (
+        "See the GNU General Public License for more details.",
+        "See the GNU Lesser General Public License for more details.",
+        "See the GNU Affero General Public License for more details.",
+    ),
+    "mpl2_subject": ("This Source Code Form is subject to the terms of the Mozilla Public License, v.",),
+    "mpl2_copy": (
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "epl2_available": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "isc_grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "isc_as_is": (
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    ),
+    "isc_no_liability": (
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "zlib_as_is": ("This software is provided 'as-is', without any express or implied warranty.",),
+    "zlib_no_liability": ("In no event will the authors be held liable for any damages arising from the use of this software.",),
+    "zlib_grant": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1.",
+    ),
+    "unlicense_free": ("This is free and unencumbered software released into the public domain.",),
     "cc_by_nc4": ("Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."),
     "cc_by4": ("Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."),
     "cc_by_sa4": ("Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0."),
     "cc0": ("Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    "bsd_redistribution": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
+    "bsd_redistribution": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1.",
+    ),
+    "bsd_source": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",),
+    "bsd_binary": (
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
     "all_rights": ("All rights reserved.",),
 }
-COPYRIGHT = "copyright"
-#: Licence and the sentence identifiers it needs, side by side; order matters.
+#: Identifier to a pattern of normalised sentences that name a year or a holder.
+PATTERNS: dict[str, str] = {
+    "copyright": "^copyright c |^copyright .*(19|20)[0-9]{2}|^c (19|20)[0-9]{2} ",
+    "bsd_endorse": "^neither the names? of .* may be used to endorse or promote products derived from this software without specific prior written permission$",
+    "bsd_as_is": "^this software is provided by .* as is and any express or implied warranties .* are disclaimed$",
+    "bsd_no_liability": "^in no event shall .* be liable for any direct .* even if advised of the possibility of such damage$",
+}
+#: Licences by the SPDX line that names them.
+SPDX = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "CC0-1.0")
+SENTENCES |= {f"spdx {x}": (f"SPDX-License-Identifier: {x}",) for x in SPDX}
+
+_BSD, _BSD_END = ("bsd_redistribution", "bsd_source", "bsd_binary"), ("bsd_as_is", "bsd_no_liability")
+_APACHE = ("apache2_comply", "apache2_copy"), ("apache2_as_is", "apache2_see")
+#: Licence and the sentence identifiers it needs, side by side ("_" is a run of unknown
+#: ones); a rule takes what it matches, so the longer of two comes first.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("MIT", ("mit_title", "copyright", "mit_grant", "mit_notice", "as_is", "no_liability")),
     ("MIT", ("mit_title", "copyright", "mit_grant", "mit_notice", "as_is")),
+    ("MIT", ("mit_grant", "mit_notice", "as_is", "no_liability")),
     ("MIT", ("mit_grant", "mit_notice", "as_is")),
-    ("Apache-2.0", ("apache2_comply", "apache2_copy")),
+    ("Unlicense", ("unlicense_free", "_", "as_is", "no_liability")),
+    ("Unlicense", ("unlicense_free",)),
+    ("ISC", ("isc_grant", "isc_as_is", "isc_no_liability")),
+    ("ISC", ("isc_grant",)),
+    ("BSD-3-Clause", (*_BSD, "bsd_endorse", *_BSD_END)),
+    ("BSD-3-Clause", (*_BSD, "bsd_endorse")),
+    ("BSD-2-Clause", (*_BSD, *_BSD_END)),
+    ("BSD-2-Clause", _BSD),
+    ("Zlib", ("zlib_as_is", "zlib_no_liability", "zlib_grant")),
+    ("Apache-2.0", (*_APACHE[0], "apache2_url", *_APACHE[1])),
+    ("Apache-2.0", (*_APACHE[0], *_APACHE[1])),
+    ("Apache-2.0", (*_APACHE[0], "apache2_url")),
+    ("Apache-2.0", _APACHE[0]),
     ("Apache-2.0", ("apache2_comply",)),
-    ("GPL-3.0-or-later", ("gpl3_redistribute", "gpl_no_warranty")),
-    ("GPL-3.0-or-later", ("gpl3_redistribute",)),
+    *(
+        (name, (first, *rest))
+        for name, first in (("AGPL-3.0-or-later", "agpl3_redistribute"), ("LGPL-3.0-or-later", "lgpl3_redistribute"), ("LGPL-2.1-or-later", "lgpl21_redistribute"), ("GPL-3.0-or-later", "gpl3_redistribute"), ("GPL-2.0-or-later", "gpl2_redistribute"))
+        for rest in (("gpl_no_warranty", "gpl_see"), ("gpl_no_warranty",), ())
+    ),
+    ("MPL-2.0", ("mpl2_subject", "_", "mpl2_copy")),
+    ("MPL-2.0", ("mpl2_subject", "mpl2_copy")),
+    ("MPL-2.0", ("mpl2_subject",)),
+    ("EPL-2.0", ("epl2_available",)),
     ("MIT", ("mit_short",)),
     ("Apache-2.0", ("apache2_short",)),
     ("GPL-3.0-only", ("gpl3_short",)),
@@ -75,9 +177,13 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC0-1.0", ("cc0",)),
     ("BSD-like", ("bsd_redistribution",)),
     ("MIT", ("mit_title",)),
+    *((x, (f"spdx {x}",)) for x in SPDX),
     ("all-rights-reserved", ("all_rights",)),
 )
-TRIGGERS = ("license", "permission", "copyright", "warranty", "redistribut", "rights reserved")
+#: Every known sentence has one of these.
+TRIGGERS = ("licens", "permission", "copyright", "warrant", "redistribut", "rights reserved", "liable", "public domain", "mozilla")
+#: Item numbers stand alone after the cut into sentences.
+ITEM = "^([0-9]{1,2}|[a-z])$"
 
 BREAK = r"(?<=[.!?])[\x20\x09-\x0D]+"
 LINE = r"[\n\r]+"
@@ -111,10 +217,10 @@ def _identify(sentences: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
 
     def one(sentence):
-        notice = F.when(sentence.rlike(r"^copyright (c )?[0-9]{4}\b"), F.lit(COPYRIGHT))
-        return F.coalesce(F.try_element_at(table, sentence), notice, F.lit("_"))
+        like = [F.when(sentence.rlike(pattern), F.lit(name)) for name, pattern in PATTERNS.items()]
+        return F.coalesce(F.try_element_at(table, sentence), *like, F.lit("_"))
 
-    said = F.filter(F.transform(sentences, normal), lambda s: s != "")
+    said = F.filter(F.transform(sentences, normal), lambda s: (s != "") & ~s.rlike(ITEM))
     joined = F.concat(F.lit(","), F.array_join(F.transform(said, one), ","), F.lit(","))
     return F.regexp_replace(joined, "(,_)+(?=,)", ",_")
 

@@ -142,14 +142,15 @@ def _op2_sql() -> str:
     low = f"translate(x, '{licenses.UPPER}', '{licenses.LOWER}')"
     norm = f"trim(regexp_replace({low}, '[^a-z0-9]+', ' ', 'g'))"
     known = " ".join(f"when '{k}' then '{v}'" for k, v in licenses.KNOWN.items())
-    ident = f"case x {known} else case when regexp_matches(x, '^copyright (c )?[0-9]{{4}}\\b') then 'copyright' else '_' end end"
+    like = " ".join(f"when regexp_matches(x, '{p}') then '{n}'" for n, p in licenses.PATTERNS.items())
+    ident = f"case x {known} else case {like} else '_' end end"
     mark = "regexp_replace({}, '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g')"
     out = ["with d as (select doc_id, coalesce(text, '') as t from documents)"]
     by_line = f"string_split(replace(replace({mark.format('t')}, chr(10), chr(1)), chr(13), chr(1)), chr(1))"
     para = "regexp_replace(t, '\\n[\\x20\\x09-\\x0D]*\\n', chr(2), 'g')"
     joined = f"string_split(replace({mark.format(f"regexp_replace({para}, '[\\n\\r]+', ' ', 'g')")}, chr(2), chr(1)), chr(1))"
     out.append(f"p as (select doc_id, 'l' as cut, {by_line} as s from d union all select doc_id, 'j', {joined} from d)")
-    out.append(f"n as (select doc_id, cut, list_filter(list_transform(s, lambda x: {norm}), lambda x: x <> '') as s from p)")
+    out.append(f"n as (select doc_id, cut, list_filter(list_transform(s, lambda x: {norm}), lambda x: x <> '' and not regexp_matches(x, '{licenses.ITEM}')) as s from p)")
     ids = f"',' || array_to_string(list_transform(s, lambda x: {ident}), ',') || ','"
     out.append(f"q0 as (select doc_id, cut, {ids} as i, [] :: varchar[] as f, len(list_filter(list_transform(s, lambda x: {ident}), lambda x: x <> '_')) as n from n)")
     out.append("r0 as (select doc_id, cut, regexp_replace(regexp_replace(i, '(,_)+,', ',_,', 'g'), '(,_)+,', ',_,', 'g') as i, f, n from q0)")
