@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.ts import Series, clip, col, cyclical, flag, is_holiday
+from wattline.functions.ts import Series, clip, col, cyclical, ewm, flag, is_holiday, span
 from wattline.operators.align import asof_join, reindex_ffill, upsample_ffill
 
 
@@ -53,19 +53,27 @@ def supply_balance(production, imports, exports) -> Column:
 
 # --- macro ----------------------------------------------------------------------
 
+YIELD_SPREAD = "yield_spread_10y2y"
 
-def macro(s: Series, target: str, dollar: str | None = None, equity: str | None = None, vix: str | None = None, rate: str | None = None) -> dict[str, Column]:
+
+def with_macro(df: DataFrame, target: str, dollar: str | None = None, equity: str | None = None, vix: str | None = None, rates: tuple[str, ...] = (), keys: tuple[str, ...] = (), window: int = 60) -> DataFrame:
+    """Adds moves of the dollar and of equities and their correlation with the target, by
+    log returns; volatility flags; 20-day moves of rates, and the inverted curve."""
+    s = Series(keys)
+    sides = {name: x for name, x in (("usd", dollar), ("equity", equity)) if x is not None}
+    df = df.withColumns({"_target": s.log_return(target), **{f"_{name}": s.log_return(x) for name, x in sides.items()}})
     out: dict[str, Column] = {}
-    for name, x in (("usd", dollar), ("equity", equity)):
-        if x is not None:
-            out |= {f"{name}_ret_5d": s.pct(x, 5), f"{name}_ret_20d": s.pct(x, 20), f"{name}_corr_60d": s.corr(x, target, 60)}
+    for name, x in sides.items():
+        out |= {f"{name}_ret_5d": s.pct(x, 5), f"{name}_ret_20d": s.pct(x, 20), f"{name}_corr_60d": s.corr(f"_{name}", "_target", window)}
     if dollar is not None:
         out["usd_z60"] = s.zscore(dollar, 60)
     if vix is not None:
         out |= {"vix_change_5d": s.diff(vix, 5), "vix_high": flag(col(vix) > 25), "vix_extreme": flag(col(vix) > 35), "regime": macro_regime(vix)}
-    if rate is not None:
-        out |= {"rate_change_20d": s.diff(rate, 20), "rate_inverted": flag(col(rate) < 0)}
-    return out
+    for rate in rates:
+        out[f"{rate}_change_20d"] = s.diff(rate, 20)
+    if YIELD_SPREAD in rates:
+        out["yield_curve_inverted"] = flag(col(YIELD_SPREAD) < 0)
+    return df.withColumns(out).drop("_target", *[f"_{name}" for name in sides])
 
 
 def macro_regime(vix) -> Column:
@@ -90,10 +98,40 @@ def calendar(d: str | Column = "date", harmonics: int = 3) -> dict[str, Column]:
     return out
 
 
+#: Months of the energy seasons.
+SEASONS = {
+    "heating_season": (10, 11, 12, 1, 2, 3),
+    "cooling_season": (6, 7, 8, 9),
+    "driving_season": (5, 6, 7, 8, 9),
+    "hurricane_season": (6, 7, 8, 9, 10, 11),
+    "refinery_maintenance": (3, 4, 9, 10),
+}
+#: Fixed value: the weekly storage report comes on Thursdays (Monday is 0).
+REPORT_DAY = 3
+
+
+def seasonal(d: str | Column = "date") -> dict[str, Column]:
+    """Calendar position, cycles of 12 months, 7 days, 365 days and 52 weeks, seasons."""
+    d = col(d)
+    month, dow, doy, week = F.month(d), F.weekday(d), F.dayofyear(d), F.weekofyear(d)
+    ends = d == F.last_day(d)
+    out = {
+        "month": month, "day_of_week": dow, "day_of_year": doy, "quarter": F.quarter(d), "year": F.year(d), "week_of_year": week,
+        "is_month_end": flag(ends), "is_quarter_end": flag(ends & (month % 3 == 0)), "eia_report_day": flag(dow == REPORT_DAY),
+    }
+    for name, x, period in (("month", month, 12), ("dow", dow, 7), ("doy", doy, 365), ("woy", week, 52)):
+        out[f"{name}_sin"], out[f"{name}_cos"] = cyclical(x, period)
+    return out | {name: flag(month.isin(*months)) for name, months in SEASONS.items()}
+
+
 # --- load, wind and solar -------------------------------------------------------
 
 
-def lags(s: Series, x: str, name: str, points=(1, 2, 3, 7, 14), windows=(7, 14, 30)) -> dict[str, Column]:
+#: Days back and window lengths of load and generation.
+LAGS, WINDOWS = (1, 2, 3, 7, 14, 28), (3, 7, 14, 30)
+
+
+def lags(s: Series, x: str, name: str, points=LAGS, windows=WINDOWS) -> dict[str, Column]:
     out = {f"{name}_lag_{k}d": s.lag(x, k) for k in points}
     for n in windows:
         out |= {f"{name}_roll_{n}d": s.mean(x, n), f"{name}_roll_{n}d_std": s.std(x, n)}
@@ -116,71 +154,192 @@ def weather(s: Series, columns: list[str]) -> dict[str, Column]:
     return out
 
 
-def load(demand: DataFrame, weather_table: DataFrame, target: str = "total_mwh") -> DataFrame:
-    """Day-ahead load features with tomorrow's load as ``target``."""
+def load(demand: DataFrame, weather_table: DataFrame, target: str = "total_mwh", peak: str = "peak_mw") -> DataFrame:
+    """Day-ahead load features with tomorrow's load as ``target``; lags of the daily peak
+    if the table has it."""
     if target not in demand.columns:
         raise ValueError(f"target column {target!r} is not among {demand.columns}")
     s = Series()
     df = demand.join(weather_table, "date")
-    df = df.withColumns({**calendar(), **weather(s, df.columns), **lags(s, target, "load")})
+    peaks = {f"peak_lag_{k}d": s.lag(peak, k) for k in (1, 7)} if peak in df.columns else {}
+    df = df.withColumns({**calendar(), **weather(s, df.columns), **lags(s, target, "load"), **peaks})
     if "hdd" in df.columns:
         week, jul_aug = 1 - F.col("is_weekend"), flag(F.col("month").isin(7, 8))
         extra = {f"{x}_x_weekday": F.col(x) * week for x in ("hdd", "cdd")} | {f"{x}_x_weekend": F.col(x) * F.col("is_weekend") for x in ("hdd", "cdd")}
         extra |= {"hdd_x_winter": F.col("hdd") * F.col("season_winter"), "cdd_x_summer": F.col("cdd") * F.col("season_summer"), "temp_x_jul_aug": F.col("tavg") * jul_aug}
+        extra |= {"temp_x_jan_feb": F.col("tavg") * flag(F.col("month").isin(1, 2)), "hdd_x_holiday": F.col("hdd") * F.col("is_holiday"), "cdd_x_holiday": F.col("cdd") * F.col("is_holiday")}
         df = df.withColumns(extra)
     return df.withColumn("target", s.lag(target, -1)).where("target is not null")
 
 
+#: Turbine power curve, km/h: cut-in, rated and cut-out speed.
+CUT_IN, RATED, CUT_OUT = 11, 43, 90
+#: Longest day in hours, freezing point in F, mm of a rainy day.
+LONGEST_DAY, FREEZING, RAINY = 14.0, 32, 1.0
+
+
 def wind(s: Series, columns: list[str], speed: str = "wind_speed_max") -> dict[str, Column]:
-    """Power-curve regimes in km/h: cut-in 11, rated 43, cut-out 90."""
+    """Power-curve regimes, gusts, direction and lags of the wind."""
     v = F.col(speed)
-    productive = flag((v >= 11) & (v < 90))
+    productive = flag((v >= CUT_IN) & (v < CUT_OUT))
     out = {
-        "wind_speed_sq": v * v, "wind_speed_cube": v * v * v, "wind_speed_log": F.log1p(v), "wind_below_cutin": flag(v < 11), "wind_rated": flag((v >= 43) & (v < 90)),
-        "wind_above_cutout": flag(v >= 90), "wind_productive": productive, "wind_effective": clip(v, 11.0, 90.0), "power_signal": v * v * v * productive,
+        "wind_speed_sq": v * v, "wind_speed_cube": v * v * v, "wind_speed_log": F.log1p(v), "wind_below_cutin": flag(v < CUT_IN), "wind_rated": flag((v >= RATED) & (v < CUT_OUT)),
+        "wind_above_cutout": flag(v >= CUT_OUT), "wind_productive": productive, "wind_effective": clip(v, float(CUT_IN), float(CUT_OUT)), "power_signal": v * v * v * productive,
         "wind_change_1d": s.diff(speed), "wind_change_3d": s.diff(speed, 3),
     }
     if "wind_gusts_max" in columns:
         gap = F.col("wind_gusts_max") - v
-        out |= {"gust_diff": gap, "turbulence_proxy": clip(gap / F.greatest(v, F.lit(1.0)), 0.0, 5.0)}
+        out |= {"gust_speed": F.col("wind_gusts_max"), "gust_diff": gap, "turbulence_proxy": clip(gap / F.greatest(v, F.lit(1.0)), 0.0, 5.0)}
     if "wind_dir_dominant" in columns:
         a = F.radians("wind_dir_dominant")
         out |= {"wind_dir_sin": F.sin(a), "wind_dir_cos": F.cos(a), "wind_u": v * F.sin(a), "wind_v": v * F.cos(a)}
     return out | {f"wind_lag_{k}d": s.lag(speed, k) for k in (1, 2, 3, 7)}
 
 
+def wind_crosses(columns: list[str], speed: str = "wind_speed_max") -> dict[str, Column]:
+    """Wind by season, temperature and frost."""
+    v, month = F.col(speed), F.month("date")
+    parts = {"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "fall": (9, 10, 11)}
+    out = {f"wind_x_{name}": v * flag(month.isin(*months)) for name, months in parts.items()}
+    if "tavg" in columns:
+        out |= {"wind_x_temp": v * F.col("tavg"), "wind_x_cold": v * flag(F.col("tavg") < FREEZING)}
+    return out
+
+
+def generation_lags(s: Series, x: str, prefix: str, points=LAGS, windows=WINDOWS) -> dict[str, Column]:
+    """Past generation: lags, rolling mean and deviation, changes over a day and a week."""
+    out = {f"{prefix}_lag_{k}d": s.lag(x, k) for k in points}
+    for n in windows:
+        out |= {f"{prefix}_roll_{n}d": s.mean(x, n), f"{prefix}_roll_{n}d_std": s.std(x, n)}
+    return out | {f"{prefix}_pct_{k}d": s.pct(x, k) for k in (1, 7)}
+
+
+def wind_generation(daily: DataFrame, target: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All features of daily wind generation, with tomorrow's as ``target``.
+
+    ``daily`` has the generation, the weather and, if known, capacity factors (columns
+    that end in ``_cf`` and hold ``wnd``).
+    """
+    s, have = Series(keys), daily.columns
+    blocks = calendar() | wind(s, have) | wind_crosses(have) | generation_lags(s, target, "gen")
+    blocks |= {f"gen_same_dow_{k}w": s.lag(target, 7 * k) for k in (1, 2)}
+    for c in (c for c in have if c.endswith("_cf") and "wnd" in c):
+        blocks |= {f"cf_lag_{k}d_{c}": s.lag(c, k) for k in (1, 7)}
+    if "shortwave_rad" in have:
+        blocks |= solar(s, have)
+    return daily.withColumns(blocks | {"target": s.lag(target, -1)}).where("target is not null")
+
+
 def solar(s: Series, columns: list[str], radiation: str = "shortwave_rad") -> dict[str, Column]:
+    """Radiation beside the wind: square, anomalies, share of the longest day."""
     x = F.col(radiation)
     out = {"solar_rad_sq": x * x, "solar_rad_anomaly_7d": x - s.mean(radiation, 7), "solar_rad_anomaly_30d": x - s.mean(radiation, 30)}
     if "sunshine_hours" in columns:
-        out["sunshine_frac"] = clip(F.col("sunshine_hours") / 14.0, 0.0, 1.0)
-    if "precipitation" in columns:
-        out["rain_day"] = flag(F.col("precipitation") > 1.0)
+        out["sunshine_frac"] = clip(F.col("sunshine_hours") / LONGEST_DAY, 0.0, 1.0)
     return out
 
 
+def solar_power(s: Series, columns: list[str], radiation: str = "shortwave_rad") -> dict[str, Column]:
+    """Radiation for solar plants: clear sky (given, or from cloud cover), rain, sunshine."""
+    x = F.col(radiation)
+    out = {"solar_rad_sq": x * x, "solar_rad_log": F.log1p(x), "solar_anomaly_7d": x - s.mean(radiation, 7), "solar_anomaly_30d": x - s.mean(radiation, 30)}
+    if "clear_sky_index" in columns:
+        out["clear_sky"] = F.col("clear_sky_index")
+    elif "cloud_cover" in columns:
+        out["clear_sky"] = clip(1 - F.col("cloud_cover") / 100, 0.0, 1.0)
+    if "precipitation" in columns:
+        out["rain_flag"] = flag(F.col("precipitation") > RAINY)
+    if "sunshine_hours" in columns:
+        out["sunshine_norm"] = clip("sunshine_hours", 0.0) / LONGEST_DAY
+    return out | {f"solar_rad_lag_{k}d": s.lag(radiation, k) for k in (1, 2, 3, 7)}
+
+
+def solar_generation(daily: DataFrame, target: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All features of daily solar generation, with tomorrow's as ``target``."""
+    s = Series(keys)
+    month = F.month("date")
+    blocks = {"day_of_year": F.dayofyear("date"), "month": month, "season_summer": flag(month.isin(6, 7, 8)), "season_winter": flag(month.isin(12, 1, 2))}
+    for k in (1, 2):
+        blocks[f"doy_sin_{k}"], blocks[f"doy_cos_{k}"] = cyclical(F.dayofyear("date"), 365.25, k)
+    blocks |= solar_power(s, daily.columns) | generation_lags(s, target, "solar_gen")
+    return daily.withColumns(blocks | {"target": s.lag(target, -1)}).where("target is not null")
+
+
 # --- production and price -------------------------------------------------------
 
 
-def production(s: Series, price: str, drilling: str, output: str, horizon: int = 90) -> dict[str, Column]:
-    """Gas production features and the direction ``horizon`` rows ahead."""
-    later = s.lag(output, -horizon)
-    high, low = s.max(drilling, 1825, 365), s.min(drilling, 1825, 365)
-    momentum = s.pct(output, 30)
-    return {
-        "drill_z730": s.zscore(drilling, 730, 365), "drill_roc_90": s.pct(drilling, 90), "drill_position_5y": _divide(F.col(drilling) - low, high - low),
-        "prod_momentum_30": momentum, "prod_accel": momentum - F.coalesce(s.pct(output, 60), F.lit(0.0)) / 2, "price_high_regime": flag(F.col(price) > s.quantile(price, 0.75, 365, 90)),
-        "target": flag(later > F.col(output)),
-    }
+#: Months of freeze-offs and of Gulf storms, breakeven price.
+FREEZE_MONTHS, STORM_MONTHS, BREAKEVEN = (12, 1, 2), (6, 7, 8, 9, 10), 2.50
+
+
+def _score(s: Series, x: str, n: int, need: int, least: float) -> Column:
+    """Deviation from the rolling mean over the rolling deviation, which is ``least`` at least."""
+    return (F.col(x) - s.mean(x, n, need)) / clip(s.std(x, n, need), least)
 
 
-def price_baseline(s: Series, price: str = "close") -> dict[str, Column]:
-    """Price-direction features; bands and RSI by this model's own conventions."""
+def production(s: Series, price: str | None, drilling: str, output: str, horizon: int = 90) -> dict[str, Column]:
+    """Gas production features and the direction ``horizon`` rows ahead.
+
+    Rows are days; a month is 30 rows.  Price features are left out without a price.
+    """
+    month, drill = F.month("date"), F.col(drilling)
+    out: dict[str, Column] = {"month": month, "quarter": F.quarter("date"), "day_of_year": F.dayofyear("date")}
+    for k in (1, 2):
+        out[f"doy_sin_{k}"], out[f"doy_cos_{k}"] = cyclical(F.dayofyear("date"), 365.25, k)
+    winter, storms = flag(month.isin(*FREEZE_MONTHS)), flag(month.isin(*STORM_MONTHS))
+    out |= {"freeze_off_risk": winter, "hurricane_season": storms, "drill_zscore": _score(s, drilling, 730, 90, 1.0)}
+    out |= {f"drill_roc_{m}m": s.pct(drilling, 30 * m) * 100 for m in (1, 3, 6, 12)}
+    out |= {f"drill_rising_{m}m": flag(drill > s.lag(drilling, 30 * m)) for m in (3, 6)}
+    for name, edge in (("high", s.max), ("low", s.min)):
+        out[f"drill_vs_5yr_{name}"] = drill / clip(edge(drilling, 365 * 5, 365), 0.01)
+    out["prod_zscore"] = _score(s, output, 365, 60, 0.001)
+    out |= {f"prod_mom_{m}m": s.pct(output, 30 * m) for m in (1, 3, 6)}
+    out |= {f"prod_smooth_{m}m": s.mean(output, 30 * m) for m in (3, 6)}
+    quarter_ago = F.try_divide(s.lag(output, 90), s.lag(output, 180)) - 1
+    out |= {"prod_yoy_growth": s.pct(output, 365), "prod_accel_3m": out["prod_mom_3m"] - quarter_ago}
+    if price is not None:
+        out |= {
+            "price_zscore": _score(s, price, 365, 60, 0.01), "price_mom_1m": s.pct(price, 30), "price_mom_3m": s.pct(price, 90),
+            "price_above_breakeven": flag(F.col(price) > BREAKEVEN), "price_high_regime": flag(F.col(price) > s.quantile(price, 0.75, 365)),
+        }
+        out["drill_x_price_high"] = out["drill_zscore"] * out["price_high_regime"]
+    up, pace = out["drill_rising_3m"], out["prod_mom_3m"]
+    out |= {"drill_up_prod_up": up * flag(pace > 0), "drill_down_prod_down": (1 - up) * flag(pace < 0), "drill_x_winter": drill * winter, "drill_x_hurricane": drill * storms}
+    return out | {"target": flag(s.lag(output, -horizon) > F.col(output))}
+
+
+def price_baseline(s: Series, price: str = "close", horizons: tuple[int, ...] = (1, 5)) -> dict[str, Column]:
+    """Price-direction features by this model's own conventions, without exponential means.
+
+    Needs open, high, low, volume and the columns of ``with_price_means``.
+    """
     x = F.col(price)
     mean, sd = s.mean(price, 20), s.std(price, 20)
-    out = {f"ret_{k}d": s.pct(price, k) for k in (1, 2, 3, 5, 10, 20)}
-    out |= {f"sma_{n}_ratio": _divide(x, s.mean(price, n)) for n in (5, 10, 20, 50)}
-    return out | {"bb_pct": _divide(x - mean, 2 * sd), "dispersion_20d": _divide(sd, mean), "month_sin": cyclical(F.month("date"), 12)[0], "month_cos": cyclical(F.month("date"), 12)[1], "target": flag(s.lag(price, -1) > x)}
+    out: dict[str, Column] = {"log_ret": s.log_return(price)}
+    out |= {f"ret_{k}d": s.pct(price, k) for k in (1, 2, 3, 5, 10, 20)} | {f"momentum_{k}d": s.pct(price, k) for k in (5, 10, 20)}
+    for n in (5, 10, 20, 50):
+        out |= {f"sma_{n}": s.mean(price, n), f"sma_ratio_{n}": _divide(x, s.mean(price, n))}
+    out |= {f"volatility_{n}d": s.std("_log_ret", n) * F.sqrt(F.lit(252.0)) for n in (5, 10, 20)}
+    span_, volume = F.col("high") - F.col("low"), s.mean("volume", 20)
+    out |= {
+        "bb_upper": mean + 2 * sd, "bb_lower": mean - 2 * sd, "bb_pct": _divide(x - mean, 2 * sd), "ema_cross_12_26": F.col("ema_12") - F.col("ema_26"), "macd_hist": F.col("macd") - F.col("macd_signal"),
+        "volume_sma_20": volume, "volume_ratio": F.col("volume") / (volume + 1), "volume_change": s.pct("volume"), "daily_range": span_ / x, "body_pct": (x - F.col("open")) / (span_ + 1e-10),
+        "day_of_week": F.weekday("date"), "month": F.month("date"), "quarter": F.quarter("date"), "is_monday": flag(F.weekday("date") == 0), "is_friday": flag(F.weekday("date") == 4),
+    }
+    out["doy_sin"], out["doy_cos"] = cyclical(F.dayofyear("date"), 365.25)
+    for h in horizons:
+        later = _divide(s.lag(price, -h), x) - 1
+        out |= {f"target_ret_{h}d": later, f"target_dir_{h}d": flag(later > 0)}
+    return out | gas_seasons()
+
+
+def with_price_means(df: DataFrame, price: str = "close", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ema_5, ema_12, ema_26 (recursive), macd and its signal (weighted), _log_ret."""
+    out = ewm(df.withColumn("_log_ret", Series(keys).log_return(price)), list(keys), ["date"], {
+        **{f"ema_{n}": (price, span(n), False) for n in (5, 12, 26)}, "_fast": (price, span(12), True), "_slow": (price, span(26), True),
+    })
+    out = out.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    return ewm(out, list(keys), ["date"], {"macd_signal": ("macd", span(9), True)})
 
 
 def rsi_smoothed(s: Series, df: DataFrame, price: str = "close", n: int = 14) -> DataFrame:
@@ -191,15 +350,31 @@ def rsi_smoothed(s: Series, df: DataFrame, price: str = "close", n: int = 14) ->
 
 
 def demand_features(prices: DataFrame, demand: DataFrame, value: str = "demand", forecast: str | None = None) -> DataFrame:
-    """As-of demand with lag-1 actual, surprise, momentum, deviation, volatility, rank."""
-    s = Series()
+    """As-of demand (or its forecast) with lag-1 actual, surprise, changes, deviation,
+    volatility and rank, and crosses with what ``prices`` has: storage (``ng_storage``,
+    ``ng_storage_surprise``), seasons (``heating_season``, ``is_winter``), ``wx_hdd``."""
+    s, have = Series(), prices.columns
     df = asof_join(prices, demand, values=(value,) if forecast is None else (value, forecast))
-    expected = F.col(forecast) if forecast else s.lag(value)
-    df = df.withColumns({"demand_lag1": s.lag(value), "demand_surprise": F.col(value) - expected, **{f"demand_mom_{k}d": s.pct(value, k) for k in (1, 5, 20)}})
-    return df.withColumns({
-        "demand_dev30": _divide(F.col(value) - s.mean(value, 30), s.mean(value, 30)), "demand_vol_7": s.std(value, 7), "demand_vol_20": s.std(value, 20),
-        "demand_pctile_252": s.pct_rank(value, 252), "demand_surprise_z": _divide("demand_surprise", s.std("demand_surprise", 60)),
+    x = forecast or value
+    actual = s.lag(value)
+    df = df.withColumns({"demand_lag1": actual, "demand_surprise": F.col(x) - actual, "demand_surprise_pct": (F.col(x) - actual) / (actual + 1)})
+    mean = s.mean(x, 30)
+    df = df.withColumns({
+        **{f"demand_mom_{k}d": s.pct(x, k) for k in (1, 5, 20)}, "demand_roll_30d": mean, "demand_dev30": (F.col(x) - mean) / (mean + 1), "demand_vol_7": s.std(x, 7), "demand_vol_20": s.std(x, 20),
+        "demand_pctile_252": s.pct_rank(x, 252),
     })
+    out: dict[str, Column] = {}
+    if "ng_storage" in have:
+
+        def z(name):
+            return (F.col(name) - s.mean(name, 60)) / (s.std(name, 60) + 1)
+
+        out |= {"demand_x_storage": -F.col("demand_dev30") * F.coalesce("ng_storage_surprise", F.lit(0.0)), "demand_storage_ratio": _divide(z(x), z("ng_storage") + 0.01)}
+    if "heating_season" in have:
+        out |= {"demand_x_heating": F.col(x) * F.col("heating_season"), "demand_surprise_x_winter": F.coalesce("demand_surprise", F.lit(0.0)) * F.col("is_winter")}
+    if "wx_hdd" in have:
+        out["demand_x_hdd"] = F.col("demand_dev30") * F.col("wx_hdd")
+    return df.withColumns(out)
 
 
 # --- sentiment and panels -------------------------------------------------------
@@ -241,9 +416,23 @@ def degree_days(temps: DataFrame, by: tuple[str, ...] = (), base: float = 65.0,
 
 
 def drilling(s: Series, x: str = "drilling") -> dict[str, Column]:
-    out = {f"drill_ma_{n}": s.mean(x, n, 1) for n in (28, 90, 180, 365)}
-    change = s.pct(x, 90)
-    return out | {"drill_pct_90": change, "drill_position_5y": s.position(x, 1825, 365), "drill_uptrend": flag(s.mean(x, 28, 1) > s.mean(x, 90, 1)), "drill_lag_4m": s.lag(x, 120), "drill_lag_6m": s.lag(x, 180)}
+    """Trend, change, place in the year's range and acceleration of daily drilling."""
+    v = F.col(x)
+    weeks = {f"drill_{n}w": s.mean(x, 7 * n) for n in (4, 13, 26, 52)}
+    low, high = s.min(x, 364), s.max(x, 364)
+    quarter_ago = s.lag(x, 90) - s.lag(x, 180)
+    return weeks | {
+        "drill_change_3m": s.diff(x, 90), "drill_change_6m": s.diff(x, 182), "drill_pct_3m": s.pct(x, 90), "drill_pct_6m": s.pct(x, 182),
+        "drill_52w_percentile": clip((v - low) / (high - low + 1e-6), 0.0, 1.0), "drill_acceleration": s.diff(x, 90) - quarter_ago, "drill_uptrend": flag(weeks["drill_4w"] > weeks["drill_26w"]),
+    }
+
+
+def output_trend(s: Series, x: str = "production") -> dict[str, Column]:
+    """Rolling means, changes and regime of daily production."""
+    means = {f"prod_{m}m": s.mean(x, n) for m, n in ((3, 90), (6, 180), (12, 365))}
+    return means | {
+        "prod_change_3m": s.diff(x, 90), "prod_change_6m": s.diff(x, 180), "prod_pct_3m": s.pct(x, 90), "prod_pct_6m": s.pct(x, 180), "prod_uptrend": flag(means["prod_3m"] > means["prod_12m"]),
+    }
 
 
 # --- pipeline -------------------------------------------------------------------

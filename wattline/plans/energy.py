@@ -17,6 +17,34 @@ def w(n: int, by: str = "") -> str:
     return f"over ({by and f'partition by {by} '}order by date rows {n - 1} preceding)"
 
 
+def lag(x: str, k: int) -> str:
+    return f"lag({x}, {k}) {G}"
+
+
+def pct(x: str, k: int) -> str:
+    return f"({x} / nullif({lag(x, k)}, 0) - 1)"
+
+
+def avg(x: str, n: int, need: int | None = None) -> str:
+    return f"({roll(f'avg({x})', x, n, need)})"
+
+
+def std(x: str, n: int, need: int | None = None) -> str:
+    return f"({roll(f'stddev_samp({x})', x, n, need)})"
+
+
+def columns(doubles: dict[str, str], ints: dict[str, str], places: int = 6, own: dict[str, int] | None = None) -> str:
+    """A select list of rounded doubles and of integers; missing truths are 0."""
+    out = [r(e, n, (own or {}).get(n, places)) for n, e in doubles.items()]
+    return ", ".join(out + [f"cast(coalesce({e}, false) as integer) as {n}" if any(c in e for c in "<>=") or " in (" in e else f"cast({e} as integer) as {n}" for n, e in ints.items()])
+
+
+def waves(name: str, x: str, period: float, ks: tuple[int, ...] = ()) -> dict[str, str]:
+    if not ks:
+        return {f"{name}_{f}": f"{f}(2 * pi() * {x} / {period})" for f in ("sin", "cos")}
+    return {f"{name}_{f}_{k}": f"{f}(2 * pi() * {k} * {x} / {period})" for k in ks for f in ("sin", "cos")}
+
+
 def roll(agg: str, x: str, n: int, need: int | None = None, by: str = "") -> str:
     return f"case when count({x}) {w(n, by)} >= {need or n} then {agg} {w(n, by)} end"
 
@@ -60,14 +88,33 @@ def supply_balance(spark, sf):
     return e.select("event_id", features.supply_balance("value", F.when(i % 3 == 0, F.col("value")), F.when(i % 2 == 0, F.lit(1.0))).alias("balance"))
 
 
-@query("macro_features", ctes("bars") + f""", x as (select *, volume * 10 as vix from bars where symbol = '1-URGENT')
-select date, {r(f'close / nullif(lag(close, 5) {G}, 0) - 1', 'usd_ret_5d')}, {r(f'close / nullif(lag(close, 20) {G}, 0) - 1', 'usd_ret_20d')},
-{r(f"case when count(close) {w(60)} >= 60 then covar_samp(close, volume) {w(60)} / nullif(stddev_samp(close) {w(60)} * stddev_samp(volume) {w(60)}, 0) end", 'usd_corr_60d')},
-{r(f"(close - ({roll('avg(close)', 'close', 60)})) / nullif({roll('stddev_samp(close)', 'close', 60)}, 0)", 'usd_z60')},
-{r(f'vix - lag(vix, 5) {G}', 'vix_change_5d')}, (vix > 25)::int as vix_high, (vix > 35)::int as vix_extreme, case when vix <= 20 then 0 when vix <= 30 then 1 when vix <= 40 then 2 else 3 end as regime from x""")
+_MACRO = {
+    "usd_ret_5d": pct("usd", 5), "usd_ret_20d": pct("usd", 20), "usd_z60": f"(usd - {avg('usd', 60)}) / nullif({std('usd', 60)}, 0)", "equity_ret_5d": pct("eq", 5), "equity_ret_20d": pct("eq", 20),
+    **{f"{n}_corr_60d": f"case when count({x}) {w(60)} >= 60 then covar_samp({x}, t) {w(60)} / nullif(stddev_samp({x}) {w(60)} * stddev_samp(t) {w(60)}, 0) end" for n, x in (("usd", "ur"), ("equity", "er"))},
+    "vix_change_5d": f"vix - {lag('vix', 5)}", "yield_spread_10y2y_change_20d": f"spread - {lag('spread', 20)}", "fed_funds_change_20d": f"usd - {lag('usd', 20)}",
+}
+
+
+@query("macro_features", ctes("market") + f""", x as (select date, close as usd, open as eq, high as px, volume as vix, volume - 3 as spread from market),
+l as (select *, ln(usd / {lag('usd', 1)}) as ur, ln(eq / {lag('eq', 1)}) as er, ln(px / {lag('px', 1)}) as t from x)
+select date, {columns(_MACRO, {'vix_high': 'vix > 25', 'vix_extreme': 'vix > 35', 'yield_curve_inverted': 'spread < 0', 'regime': 'case when vix <= 20 then 0 when vix <= 30 then 1 when vix <= 40 then 2 else 3 end'.replace('<=', 'between -1e9 and')}, own={'fed_funds_change_20d': 4})} from l""")
 def macro_features(spark, sf):
-    x = fr.bars(spark, sf).where("symbol = '1-URGENT'").withColumn("vix", F.col("volume") * 10)
-    return rounded(x.select("date", *[c.alias(n) for n, c in features.macro(Series(), "volume", dollar="close", vix="vix").items()]))
+    x = fr.market(spark, sf).select("date", F.col("close").alias("usd"), F.col("open").alias("eq"), F.col("high").alias("px"), F.col("volume").alias("vix"), (F.col("volume") - 3).alias("yield_spread_10y2y"), F.col("close").alias("fed_funds"))
+    out = features.with_macro(x, "px", dollar="usd", equity="eq", vix="vix", rates=("yield_spread_10y2y", "fed_funds"))
+    return rounded(out.drop("usd", "eq", "px", "vix", "yield_spread_10y2y", "fed_funds"), fed_funds_change_20d=4)
+
+
+_SEASONS = {"heating_season": "10, 11, 12, 1, 2, 3", "cooling_season": "6, 7, 8, 9", "driving_season": "5, 6, 7, 8, 9", "hurricane_season": "6, 7, 8, 9, 10, 11", "refinery_maintenance": "3, 4, 9, 10"}
+_SEASONAL_INTS = {
+    "month": "month(date)", "day_of_week": "isodow(date) - 1", "day_of_year": "dayofyear(date)", "quarter": "quarter(date)", "year": "year(date)", "week_of_year": "weekofyear(date)",
+    "is_month_end": "date = last_day(date)", "is_quarter_end": "date = last_day(date) and month(date) in (3, 6, 9, 12)", "eia_report_day": "isodow(date) = 4", **{k: f"month(date) in ({v})" for k, v in _SEASONS.items()},
+}
+
+
+@query("seasonal_features", ctes("market") + f" select date, {columns(waves('month', 'month(date)', 12) | waves('dow', '(isodow(date) - 1)', 7) | waves('doy', 'dayofyear(date)', 365) | waves('woy', 'weekofyear(date)', 52), _SEASONAL_INTS)} from market")
+def seasonal_features(spark, sf):
+    m = fr.market(spark, sf).select("date")
+    return rounded(m.select("date", *[c.alias(n) for n, c in features.seasonal().items()]))
 
 
 _DAILY = """daily as (select region, cast(ts as date) as date, sum(mw) as total_mwh, max(mw) as peak_mw, min(mw) as min_mw, avg(mw) as avg_mw, count(mw) as hours from hourly group by region, cast(ts as date) having count(mw) >= 20)"""
@@ -93,16 +140,44 @@ def degree_days(spark, sf):
     return rounded(features.degree_days(t))
 
 
-@query("load_features", ctes("market") + f""", x as (select date, volume as total_mwh, close / 5000 as tavg, greatest(65 - close / 5000, 0) as hdd, greatest(close / 5000 - 65, 0) as cdd from market),
-f as (select *, lead(total_mwh) {G} as target, lag(total_mwh) {G} as load_lag_1d, {roll('avg(total_mwh)', 'total_mwh', 7)} as load_roll_7d, {roll('stddev_samp(tavg)', 'tavg', 14)} as tv, tavg - lag(tavg, 7) {G} as wow from x)
-select date, target, load_lag_1d, {r('load_roll_7d', 'load_roll_7d', 8)}, {r('tv', 'temp_volatility_14d')}, {r('wow', 'temp_wow_change')}, {r('hdd * (isodow(date) < 6)::int', 'hdd_x_weekday')}, (tavg < 20)::int as extreme_cold,
-cast(strftime(date, '%m-%d') in {HOLIDAYS} as int) as is_holiday, {r('sin(2 * pi() * (isodow(date) - 1) / 7)', 'dow_sin')} from f where target is not null""")
+_DOY = waves("doy", "dayofyear(date)", 365.25, (1, 2, 3))
+_PARTS = {"winter": "12, 1, 2", "spring": "3, 4, 5", "summer": "6, 7, 8", "fall": "9, 10, 11"}
+_CALENDAR = {
+    "day_of_week": "isodow(date) - 1", "day_of_year": "dayofyear(date)", "month": "month(date)", "week_of_year": "weekofyear(date)", "quarter": "quarter(date)", "is_weekend": "isodow(date) >= 6", "is_monday": "isodow(date) = 1",
+    "is_friday": "isodow(date) = 5", "is_holiday": f"strftime(date, '%m-%d') in {HOLIDAYS}", **{f"season_{k}": f"month(date) in ({v})" for k, v in _PARTS.items()},
+}
+
+
+def _past(x: str, name: str, change: str = "pct_change") -> dict[str, str]:
+    out = {f"{name}_lag_{k}d": lag(x, k) for k in (1, 2, 3, 7, 14, 28)}
+    for n in (3, 7, 14, 30):
+        out |= {f"{name}_roll_{n}d": avg(x, n), f"{name}_roll_{n}d_std": std(x, n)}
+    return out | {f"{name}_{change}_{k}d": pct(x, k) for k in (1, 7)}
+
+
+def _int(cond: str) -> str:
+    return f"cast({cond} as integer)"
+
+
+_WEEKEND, _WINTER, _SUMMER, _HOLIDAY = _int("isodow(date) >= 6"), _int("month(date) in (12, 1, 2)"), _int("month(date) in (6, 7, 8)"), _int(f"strftime(date, '%m-%d') in {HOLIDAYS}")
+_LOAD = _DOY | waves("dow", "(isodow(date) - 1)", 7) | _past("load", "load") | {
+    "load_same_dow_1w": lag("load", 7), "load_same_dow_2w": lag("load", 14), "peak_lag_1d": lag("peak", 1), "peak_lag_7d": lag("peak", 7),
+    "tavg_sq": "tavg * tavg", "tavg_cube": "tavg * tavg * tavg", "hdd_sq": "hdd * hdd", "cdd_sq": "cdd * cdd", "temp_volatility_7d": std("tavg", 7), "temp_volatility_14d": std("tavg", 14), "temp_wow_change": f"tavg - {lag('tavg', 7)}",
+    **{f"{x}_lag_{k}d": lag(x, k) for k in (1, 2, 3) for x in ("tavg", "hdd", "cdd")},
+    **{f"{x}_x_weekday": f"{x} * (1 - {_WEEKEND})" for x in ("hdd", "cdd")}, **{f"{x}_x_weekend": f"{x} * {_WEEKEND}" for x in ("hdd", "cdd")}, "hdd_x_winter": f"hdd * {_WINTER}", "cdd_x_summer": f"cdd * {_SUMMER}",
+    "temp_x_jul_aug": f"tavg * {_int('month(date) in (7, 8)')}", "temp_x_jan_feb": f"tavg * {_int('month(date) in (1, 2)')}", "hdd_x_holiday": f"hdd * {_HOLIDAY}", "cdd_x_holiday": f"cdd * {_HOLIDAY}", "target": "target",
+}
+_LOAD_PLACES = {n: 3 for n in _LOAD if n.endswith(("_sq", "_cube"))}
+
+
+@query("load_features", ctes("market") + f""", x as (select date, volume as load, volume + 2 as peak, close / 5000 as tavg, greatest(65 - close / 5000, 0) as hdd, greatest(close / 5000 - 65, 0) as cdd, lead(volume) {G} as target from market),
+f as (select date, {columns(_LOAD, _CALENDAR | {'extreme_cold': 'tavg < 20', 'extreme_heat': 'tavg > 90', 'moderate_temp': 'tavg >= 55 and tavg <= 75'}, own=_LOAD_PLACES)} from x) select * from f where target is not null""")
 def load_features(spark, sf):
     m = fr.market(spark, sf)
     t = F.col("close") / 5000
     weather = m.select("date", t.alias("tavg"), F.greatest(65 - t, F.lit(0.0)).alias("hdd"), F.greatest(t - 65, F.lit(0.0)).alias("cdd"))
-    out = features.load(m.select("date", F.col("volume").alias("total_mwh")), weather)
-    return rounded(out.select("date", "target", "load_lag_1d", "load_roll_7d", "temp_volatility_14d", "temp_wow_change", "hdd_x_weekday", "extreme_cold", "is_holiday", "dow_sin"), load_roll_7d=8)
+    out = features.load(m.select("date", F.col("volume").alias("total_mwh"), (F.col("volume") + 2).alias("peak_mw")), weather)
+    return rounded(out.drop("total_mwh", "peak_mw", "tavg", "hdd", "cdd"), **_LOAD_PLACES)
 
 
 @query("wind_features", ctes("market") + f""", x as (select date, close / 5000 as v, close / 4000 as g, cast(volume * 40 as double) as dir from market)
@@ -121,17 +196,104 @@ def solar_features(spark, sf):
     return rounded(x.select("date", *[c.alias(n) for n, c in features.solar(Series(), x.columns, "volume").items()]), solar_rad_anomaly_7d=8)
 
 
-@query("production_features", ctes("market") + f""" select date, {r(f"(volume - ({roll('avg(volume)', 'volume', 730, 365)})) / nullif({roll('stddev_samp(volume)', 'volume', 730, 365)}, 0)", 'drill_z730')},
-{r(f'close / nullif(lag(close, 30) {G}, 0) - 1', 'prod_momentum_30')}, coalesce(close > ({roll('quantile_cont(close, 0.75)', 'close', 365, 90)}), false)::int as price_high_regime, coalesce(lead(close, 90) {G} > close, false)::int as target from market""")
+_WIND = {
+    "wind_speed_sq": "v * v", "wind_speed_cube": "v * v * v", "wind_speed_log": "ln(1 + v)", "wind_effective": "least(90.0, greatest(11.0, v))", "power_signal": f"v * v * v * {_int('v >= 11 and v < 90')}",
+    "wind_change_1d": f"v - {lag('v', 1)}", "wind_change_3d": f"v - {lag('v', 3)}", "gust_speed": "g", "gust_diff": "g - v", "turbulence_proxy": "least(5.0, greatest(0.0, (g - v) / greatest(v, 1.0)))",
+    "wind_dir_sin": "sin(radians(dir))", "wind_dir_cos": "cos(radians(dir))", "wind_u": "v * sin(radians(dir))", "wind_v": "v * cos(radians(dir))", **{f"wind_lag_{k}d": lag("v", k) for k in (1, 2, 3, 7)},
+    **{f"wind_x_{k}": f"v * {_int(f'month(date) in ({m})')}" for k, m in _PARTS.items()}, "wind_x_temp": "v * t", "wind_x_cold": f"v * {_int('t < 32')}",
+    "solar_rad_sq": "s * s", "solar_rad_anomaly_7d": f"s - {avg('s', 7)}", "solar_rad_anomaly_30d": f"s - {avg('s', 30)}", "sunshine_frac": "least(1.0, greatest(0.0, sun / 14))",
+    "cf_lag_1d_east_wnd_cf": lag("cf", 1), "cf_lag_7d_east_wnd_cf": lag("cf", 7), "gen_same_dow_1w": lag("gen", 7), "gen_same_dow_2w": lag("gen", 14), "target": "target",
+}
+_WIND_PLACES = {n: 3 for n in ("wind_speed_sq", "wind_speed_cube", "power_signal", "wind_x_temp", "solar_rad_sq")} | {"gust_speed": 7, "gust_diff": 7}
+_WEATHER = "select date, volume as gen, close / 5000 as v, close / 4000 as g, volume * 40 as dir, open / 1000 as s, volume * 3 as sun, low / 4000 as t, volume / 10 as cf, lead(volume) over (order by date) as target from market"
+
+
+@query("wind_generation", ctes("market") + f""", x as ({_WEATHER}), f as (select date, {columns(_WIND | _DOY | waves('dow', '(isodow(date) - 1)', 7) | _past('gen', 'gen', 'pct'), _CALENDAR | {'wind_below_cutin': 'v < 11', 'wind_rated': 'v >= 43 and v < 90', 'wind_above_cutout': 'v >= 90', 'wind_productive': 'v >= 11 and v < 90'}, own=_WIND_PLACES)} from x) select * from f where target is not null""")
+def wind_generation(spark, sf):
+    c = F.col
+    raw = {"gen": c("volume"), "wind_speed_max": c("close") / 5000, "wind_gusts_max": c("close") / 4000, "wind_dir_dominant": c("volume") * 40, "shortwave_rad": c("open") / 1000, "sunshine_hours": c("volume") * 3, "tavg": c("low") / 4000, "east_wnd_cf": c("volume") / 10}
+    out = features.wind_generation(fr.market(spark, sf).select("date", *[e.alias(n) for n, e in raw.items()]), "gen")
+    return rounded(out.drop(*raw), **_WIND_PLACES)
+
+
+_SOLAR = waves("doy", "dayofyear(date)", 365.25, (1, 2)) | {
+    "solar_rad_sq": "s * s", "solar_rad_log": "ln(1 + s)", "solar_anomaly_7d": f"s - {avg('s', 7)}", "solar_anomaly_30d": f"s - {avg('s', 30)}", "clear_sky": "least(1.0, greatest(0.0, 1 - cloud / 100))", "sunshine_norm": "greatest(sun, 0) / 14",
+    **{f"solar_rad_lag_{k}d": lag("s", k) for k in (1, 2, 3, 7)}, **_past("gen", "solar_gen", "pct"), "target": "target",
+}
+
+
+@query("solar_generation", ctes("market") + f""", x as (select date, volume as gen, open / 1000 as s, volume * 12 as cloud, volume / 3 as rain, volume * 2 as sun, lead(volume) {G} as target from market),
+f as (select date, {columns(_SOLAR, {'day_of_year': 'dayofyear(date)', 'month': 'month(date)', 'season_summer': 'month(date) in (6, 7, 8)', 'season_winter': 'month(date) in (12, 1, 2)', 'rain_flag': 'rain > 1'}, own={'solar_rad_sq': 3})} from x) select * from f where target is not null""")
+def solar_generation(spark, sf):
+    c = F.col
+    raw = {"gen": c("volume"), "shortwave_rad": c("open") / 1000, "cloud_cover": c("volume") * 12, "precipitation": c("volume") / 3, "sunshine_hours": c("volume") * 2}
+    out = features.solar_generation(fr.market(spark, sf).select("date", *[e.alias(n) for n, e in raw.items()]), "gen")
+    return rounded(out.drop(*raw), solar_rad_sq=3)
+
+
+def _score(x: str, n: int, need: int, least: float) -> str:
+    return f"({x} - {avg(x, n, need)}) / greatest({std(x, n, need)}, {least})"
+
+
+_HIGH_PRICE = f"price > ({roll('quantile_cont(price, 0.75)', 'price', 365)})"
+_PRODUCTION = waves("doy", "dayofyear(date)", 365.25, (1, 2)) | {
+    "drill_zscore": _score("drill", 730, 90, 1.0), **{f"drill_roc_{m}m": f"{pct('drill', 30 * m)} * 100" for m in (1, 3, 6, 12)},
+    "drill_vs_5yr_high": f"case when count(drill) {w(1825)} >= 365 then drill / greatest(max(drill) {w(1825)}, 0.01) end",
+    "drill_vs_5yr_low": f"case when count(drill) {w(1825)} >= 365 then drill / greatest(min(drill) {w(1825)}, 0.01) end",
+    "prod_zscore": _score("prod", 365, 60, 0.001), **{f"prod_mom_{m}m": pct("prod", 30 * m) for m in (1, 3, 6)}, "prod_smooth_3m": avg("prod", 90), "prod_smooth_6m": avg("prod", 180), "prod_yoy_growth": pct("prod", 365),
+    "prod_accel_3m": f"{pct('prod', 90)} - ({lag('prod', 90)} / {lag('prod', 180)} - 1)", "price_zscore": _score("price", 365, 60, 0.01), "price_mom_1m": pct("price", 30), "price_mom_3m": pct("price", 90),
+    "drill_x_price_high": f"({_score('drill', 730, 90, 1.0)}) * coalesce({_int(_HIGH_PRICE)}, 0)", "drill_x_winter": f"drill * {_WINTER}", "drill_x_hurricane": f"drill * {_int('month(date) in (6, 7, 8, 9, 10)')}",
+}
+_RISING = f"drill > {lag('drill', 90)}"
+_PRODUCTION_INTS = {
+    "month": "month(date)", "quarter": "quarter(date)", "day_of_year": "dayofyear(date)", "freeze_off_risk": "month(date) in (12, 1, 2)", "hurricane_season": "month(date) in (6, 7, 8, 9, 10)", "drill_rising_3m": _RISING,
+    "drill_rising_6m": f"drill > {lag('drill', 180)}", "price_above_breakeven": "price > 2.5", "price_high_regime": _HIGH_PRICE, "drill_up_prod_up": f"{_RISING} and {pct('prod', 90)} > 0",
+    "drill_down_prod_down": f"not coalesce({_RISING}, false) and {pct('prod', 90)} < 0", "target": f"lead(prod, 90) {G} > prod",
+}
+
+
+@query("production_features", ctes("market") + f", x as (select date, close / 60000 as price, volume as drill, high as prod from market) select date, {columns(_PRODUCTION, _PRODUCTION_INTS, own={'prod_smooth_3m': 4, 'prod_smooth_6m': 4})} from x")
 def production_features(spark, sf):
-    out = features.production(Series(), "close", "volume", "close")
-    return rounded(fr.market(spark, sf).select("date", *[out[n].alias(n) for n in ("drill_z730", "prod_momentum_30", "price_high_regime", "target")]))
+    x = fr.market(spark, sf).select("date", (F.col("close") / 60000).alias("price"), F.col("volume").alias("drill"), F.col("high").alias("prod"))
+    return rounded(x.select("date", *[c.alias(n) for n, c in features.production(Series(), "price", "drill", "prod").items()]), prod_smooth_3m=4, prod_smooth_6m=4)
 
 
-@query("price_baseline_features", ctes("market") + f", x as (select *, {roll('avg(close)', 'close', 20)} as m, {roll('stddev_samp(close)', 'close', 20)} as sd from market) select date, {r('(close - m) / nullif(2 * sd, 0)', 'bb_pct')}, {r('close / nullif(m, 0)', 'sma_20_ratio')}, {r(f'close / nullif(lag(close, 3) {G}, 0) - 1', 'ret_3d')}, coalesce(lead(close) {G} > close, false)::int as target from x")
+_TREND = {**{f"prod_{m}m": avg("close", n) for m, n in ((3, 90), (6, 180), (12, 365))}, "prod_change_3m": f"close - {lag('close', 90)}", "prod_change_6m": f"close - {lag('close', 180)}", "prod_pct_3m": pct("close", 90), "prod_pct_6m": pct("close", 180)}
+
+
+@query("production_trend", ctes("market") + f" select date, {columns(_TREND, {'prod_uptrend': f'{avg("close", 90)} > {avg("close", 365)}'}, own=dict.fromkeys(_TREND, 4))} from market")
+def production_trend(spark, sf):
+    out = fr.market(spark, sf).select("date", *[c.alias(n) for n, c in features.output_trend(Series(), "close").items()])
+    return rounded(out, **dict.fromkeys(_TREND, 4))
+
+
+_BASE_DOUBLES = {
+    "log_ret": "lr", **{f"ret_{k}d": pct("close", k) for k in (1, 2, 3, 5, 10, 20)}, **{f"momentum_{k}d": pct("close", k) for k in (5, 10, 20)}, **{f"sma_{n}": avg("close", n) for n in (5, 10, 20, 50)}, **{f"sma_ratio_{n}": f"close / {avg('close', n)}" for n in (5, 10, 20, 50)},
+    **{f"volatility_{n}d": f"{std('lr', n)} * sqrt(252.0)" for n in (5, 10, 20)}, "bb_upper": f"{avg('close', 20)} + 2 * {std('close', 20)}", "bb_lower": f"{avg('close', 20)} - 2 * {std('close', 20)}", "bb_pct": f"(close - {avg('close', 20)}) / (2 * {std('close', 20)})",
+    "ema_5": "ema_5", "ema_12": "ema_12", "ema_26": "ema_26", "ema_cross_12_26": "ema_12 - ema_26", "macd": "macd", "macd_signal": "macd_signal", "macd_hist": "macd - macd_signal", "volume_sma_20": avg("volume", 20), "volume_ratio": f"volume / ({avg('volume', 20)} + 1)", "volume_change": pct("volume", 1),
+    "daily_range": "(high - low) / close", "body_pct": "(close - open) / (high - low + 1e-10)", **waves("doy", "dayofyear(date)", 365.25), **{f"target_ret_{h}d": f"lead(close, {h}) {G} / close - 1" for h in (1, 5)},
+}
+_BASE_INTS = {
+    **{k: _CALENDAR[k] for k in ("day_of_week", "month", "quarter", "is_monday", "is_friday")}, "is_winter": "month(date) in (12, 1, 2)", "is_summer": "month(date) in (6, 7, 8)", "heating_season": "month(date) in (11, 12, 1, 2, 3)", "injection_season": "month(date) in (4, 5, 6, 7, 8, 9, 10)",
+    **{f"target_dir_{h}d": f"lead(close, {h}) {G} / close - 1 > 0" for h in (1, 5)},
+}
+_BASE_PLACES = {n: 3 for n in _BASE_DOUBLES if n.startswith(("sma_", "ema_", "bb_upper", "bb_lower", "macd")) and "ratio" not in n} | {f"sma_{n}": 5 for n in (5, 10, 20, 50)} | {"body_pct": 4}
+
+
+def _weighted(x: str, n: int, seen: str) -> str:
+    """Exponential mean with all weights, over the list ``seen``."""
+    b = 1 - 2 / (n + 1)
+    return f"list_sum(list_transform({seen}, lambda v, i: v * pow({b!r}, len({seen}) - i))) / list_sum(list_transform({seen}, lambda v, i: pow({b!r}, len({seen}) - i)))"
+
+
+@query("price_baseline_features", ctes("market") + f""", l as (select *, ln(close / {lag('close', 1)}) as lr, list(close) over (order by date rows unbounded preceding) as seen from market),
+e as (select * exclude (seen), {', '.join(f"list_reduce(seen, lambda p, q: {2 / (n + 1)!r} * q + {1 - 2 / (n + 1)!r} * p) as ema_{n}" for n in (5, 12, 26))}, {_weighted('close', 12, 'seen')} - ({_weighted('close', 26, 'seen')}) as macd from l),
+m as (select *, list(macd) over (order by date rows unbounded preceding) as seen from e), x as (select * exclude (seen), {_weighted('macd', 9, 'seen')} as macd_signal from m)
+select date, {columns(_BASE_DOUBLES, _BASE_INTS, own=_BASE_PLACES)} from x""")
 def price_baseline_features(spark, sf):
-    out = features.price_baseline(Series())
-    return rounded(fr.market(spark, sf).select("date", *[out[n].alias(n) for n in ("bb_pct", "sma_20_ratio", "ret_3d", "target")]))
+    df = features.with_price_means(fr.market(spark, sf))
+    out = df.select("date", "ema_5", "ema_12", "ema_26", "macd", "macd_signal", *[c.alias(n) for n, c in features.price_baseline(Series()).items()])
+    return rounded(out, **_BASE_PLACES)
 
 
 @query("rsi_smoothed", ctes("market") + f", d as (select date, coalesce(close - lag(close) {G}, 0) as d from market), g as (select date, greatest(d, 0) as g, greatest(-d, 0) as l from d) select date, {r(f'100 - 100 / (1 + ({roll("avg(g)", "g", 14)}) / (({roll("avg(l)", "l", 14)}) + 1e-10))', 'rsi_14')} from g")
@@ -139,11 +301,23 @@ def rsi_smoothed(spark, sf):
     return rounded(features.rsi_smoothed(Series(), fr.market(spark, sf)).select("date", "rsi_14"))
 
 
-@query("demand_on_prices", ctes("market", "weekly") + f""", a as (select m.date, k.level as demand from market m asof left join weekly k on m.date >= k.date)
-select date, demand, lag(demand) {G} as demand_lag1, {r(f'demand / nullif(lag(demand, 5) {G}, 0) - 1', 'demand_mom_5d')}, {r(f'demand / nullif({roll("avg(demand)", "demand", 30)}, 0) - 1', 'demand_dev30')}, {r(roll('stddev_samp(demand)', 'demand', 20), 'demand_vol_20')} from a""")
+_Z = "({0} - {1}) / ({2} + 1)"
+_DEMAND = {
+    "demand": "demand", "demand_lag1": lag("demand", 1), "demand_surprise": f"forecast - {lag('demand', 1)}", "demand_surprise_pct": f"(forecast - {lag('demand', 1)}) / ({lag('demand', 1)} + 1)", **{f"demand_mom_{k}d": pct("forecast", k) for k in (1, 5, 20)},
+    "demand_roll_30d": avg("forecast", 30), "demand_dev30": "dev", "demand_vol_7": std("forecast", 7), "demand_vol_20": std("forecast", 20), "demand_x_storage": "-dev * coalesce(ng_storage_surprise, 0)",
+    "demand_storage_ratio": f"(forecast - {avg('forecast', 60)}) / ({std('forecast', 60)} + 1) / nullif((ng_storage - {avg('ng_storage', 60)}) / ({std('ng_storage', 60)} + 1) + 0.01, 0)",
+    "demand_x_heating": f"forecast * {_int('month(date) in (11, 12, 1, 2, 3)')}", "demand_surprise_x_winter": f"coalesce(forecast - {lag('demand', 1)}, 0) * {_int('month(date) in (12, 1, 2)')}", "demand_x_hdd": "dev * wx_hdd",
+    "demand_pctile_252": "case when len(seen) >= 252 then (len(list_filter(seen, lambda v: v < forecast)) + (len(list_filter(seen, lambda v: v = forecast)) + 1) / 2.0) / len(seen) end",
+}
+
+
+@query("demand_on_prices", ctes("market", "weekly") + f""", a as (select m.date, k.level as demand, k.level * 1.5 as forecast, m.close as ng_storage, m.open - m.close as ng_storage_surprise, m.volume as wx_hdd from market m asof left join weekly k on m.date >= k.date),
+x as (select *, (forecast - {avg('forecast', 30)}) / ({avg('forecast', 30)} + 1) as dev, list(forecast) filter (where forecast is not null) over (order by date rows 251 preceding) as seen from a) select date, {columns(_DEMAND, {}, own={'demand_x_storage': 3})} from x""")
 def demand_on_prices(spark, sf):
-    out = features.demand_features(fr.market(spark, sf).select("date"), fr.weekly(spark, sf).withColumnRenamed("level", "demand"))
-    return rounded(out.select("date", "demand", "demand_lag1", "demand_mom_5d", "demand_dev30", "demand_vol_20"))
+    c = F.col
+    prices = fr.market(spark, sf).select("date", c("close").alias("ng_storage"), (c("open") - c("close")).alias("ng_storage_surprise"), c("volume").alias("wx_hdd"), *[e.alias(n) for n, e in features.gas_seasons().items()])
+    demand = fr.weekly(spark, sf).select("date", c("level").alias("demand"), (c("level") * 1.5).alias("forecast"))
+    return rounded(features.demand_features(prices, demand, forecast="forecast").select("date", *_DEMAND), demand_x_storage=3)
 
 
 @query("daily_tone", f"""with d as (select cast(ts as date) as date, avg(value) as m, stddev_samp(value) as s, max(value) - min(value) as rng, count(value) as n from events group by all)
@@ -167,10 +341,16 @@ def macro_panel(spark, sf):
     return rounded(features.macro_panel(fr.assets(spark, sf).select(F.col("asset").alias("series"), "date", F.col("px").alias("value")), ["A", "N"]))
 
 
-@query("drilling_features", ctes("market") + f" select date, {r(f'avg(volume) {w(28)}', 'drill_ma_28', 7)}, {r(f'volume / nullif(lag(volume, 90) {G}, 0) - 1', 'drill_pct_90')}, (avg(volume) {w(28)} > avg(volume) {w(90)})::int as drill_uptrend, lag(volume, 120) {G} as drill_lag_4m from market where year(date) < 1998")
+_DRILL = {
+    **{f"drill_{n}w": avg("volume", 7 * n) for n in (4, 13, 26, 52)}, "drill_change_3m": f"volume - {lag('volume', 90)}", "drill_change_6m": f"volume - {lag('volume', 182)}", "drill_pct_3m": pct("volume", 90), "drill_pct_6m": pct("volume", 182),
+    "drill_52w_percentile": f"case when count(volume) {w(364)} >= 364 then least(1.0, greatest(0.0, (volume - min(volume) {w(364)}) / (max(volume) {w(364)} - min(volume) {w(364)} + 1e-6))) end",
+    "drill_acceleration": f"(volume - {lag('volume', 90)}) - ({lag('volume', 90)} - {lag('volume', 180)})",
+}
+
+
+@query("drilling_features", ctes("market") + f" select date, {columns(_DRILL, {'drill_uptrend': f'{avg("volume", 28)} > {avg("volume", 182)}'})} from market")
 def drilling_features(spark, sf):
-    out = features.drilling(Series(), "volume")
-    return rounded(fr.market(spark, sf).where("year(date) < 1998").select("date", *[out[n].alias(n) for n in ("drill_ma_28", "drill_pct_90", "drill_uptrend", "drill_lag_4m")]), drill_ma_28=7)
+    return rounded(fr.market(spark, sf).select("date", *[c.alias(n) for n, c in features.drilling(Series(), "volume").items()]))
 
 
 @query("target_and_split", ctes("bars") + f""", t as (select symbol, date, ln(lead(close) over (partition by symbol order by date) / close) as y, row_number() over (partition by symbol order by date) as i, count(*) over (partition by symbol) as n from bars)
