@@ -77,7 +77,9 @@ def report(result: DataFrame, keys: tuple[str, ...] = (), risk_free: float = 0.0
 def rolling_sharpe(result: DataFrame, keys: tuple[str, ...] = (), window: int = 252, risk_free: float = 0.05, days: int = 252) -> DataFrame:
     s = Series(keys, ["date"])
     x = F.col("net") - risk_free / days
-    return result.withColumn("rolling_sharpe", F.try_divide(s.mean(x, window), s.std(x, window)) * F.sqrt(F.lit(float(days))))
+    sd = s.std(x, window)
+    # Constant returns, as after a halt, have a deviation of rounding errors only.
+    return result.withColumn("rolling_sharpe", F.try_divide(s.mean(x, window), F.when(sd > 1e-12, sd)) * F.sqrt(F.lit(float(days))))
 
 
 def monthly_returns(result: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -97,6 +99,16 @@ def drawdown_periods(result: DataFrame, keys: tuple[str, ...] = (), min_days: in
     return runs.where(F.col("end").isNotNull()).withColumn("days", F.date_diff("end", "start")).where(F.col("days") >= min_days).drop("_g")
 
 
+def trade_statistics(trades: DataFrame, keys: tuple[str, ...] = (), pnl: str = "pnl_pct") -> DataFrame:
+    """Number of trades, win rate, profit factor (null without a loss), mean, best, worst."""
+    x = F.col(pnl)
+    loss = F.abs(F.sum(F.when(x < 0, x)))
+    return trades.where(x.isNotNull()).groupBy(*keys).agg(
+        F.count(x).alias("total_trades"), F.avg((x > 0).cast("double")).alias("win_rate"), F.try_divide(F.coalesce(F.sum(F.when(x > 0, x)), F.lit(0.0)), F.when(loss > 0, loss)).alias("profit_factor"),
+        F.avg(x).alias("avg_trade_return"), F.max(x).alias("best_trade"), F.min(x).alias("worst_trade"),
+    )
+
+
 def compare(result: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Reports of a strategy and a benchmark, stacked."""
     return report(result, keys).withColumn("name", F.lit("strategy")).unionByName(report(benchmark, keys).withColumn("name", F.lit("benchmark")))

@@ -84,6 +84,36 @@ def merit_order(panel: DataFrame, fuels: tuple[str, ...], total: str = "total_mw
     return j.groupBy(*by).agg(*aggs)
 
 
+#: Load quantiles of the supply stack, days above one that it needs,
+#: marginal cost of coal.
+STACK_QUANTILES, STACK_DAYS, COAL_COST = (0.1, 0.25, 0.5, 0.75, 0.9, 0.95), 5, 25.0
+
+
+def supply_stack(panel: DataFrame, fuels: tuple[str, ...], by: tuple[str, ...] = ("region",)) -> DataFrame:
+    """Rows (region, load_quantile, fuel): share of the fuel and its mean output on the days
+    whose total is above the quantile.  Days with a missing value are left out."""
+    days = panel.dropna(subset=list(fuels)).withColumn("_total", sum((F.col(f) for f in fuels), F.lit(0.0)))
+    edges = days.groupBy(*by).agg(F.percentile("_total", list(STACK_QUANTILES)).alias("_q"))
+    level = F.posexplode(F.array(*[F.lit(q) for q in STACK_QUANTILES])).alias("_i", "load_quantile")
+    edges = edges.select(*by, "_q", level).select(*by, "load_quantile", F.element_at("_q", F.col("_i") + 1).alias("_edge"))
+    high = days.join(F.broadcast(edges), list(by)).where(F.col("_total") > F.col("_edge"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("fuel"), F.col(f).alias("x")) for f in fuels])).alias("f")
+    long = high.select(*by, "load_quantile", "_total", each)
+    out = long.groupBy(*by, "load_quantile", F.col("f.fuel").alias("fuel")).agg(F.avg("f.x").alias("avg_gen_mwh"), F.avg("_total").alias("_mean"), F.count(F.lit(1)).alias("_n"))
+    return out.where(F.col("_n") > STACK_DAYS).withColumn("share_pct", F.try_divide(F.col("avg_gen_mwh"), F.col("_mean")) * 100).drop("_mean", "_n")
+
+
+def marginal_supply(panel: DataFrame, fuels: tuple[str, ...], price: str = "ng_price", by: tuple[str, ...] = ("region",)) -> DataFrame:
+    """One row a region: baseload (median nuclear and hydro), marginal fuel (gas, unless
+    coal has the larger output at high load), its cost, and gas's share of all output."""
+    days = panel.dropna(subset=[*fuels, price]).withColumn("_total", sum((F.col(f) for f in fuels), F.lit(0.0)))
+    base = sum((F.percentile(f, 0.5) for f in fuels if f in ("nuclear", "hydro")), F.lit(0.0))
+    coal = F.percentile("coal", 0.9) >= F.percentile("gas", 0.9) if {"gas", "coal"} <= set(fuels) else F.lit(False)
+    cost = F.when(coal, F.lit(COAL_COST)).otherwise(F.avg(price) * HEAT_RATES["combined_cycle"] + VOM_COSTS["combined_cycle"])
+    share = F.try_divide(F.sum("gas"), F.sum("_total")) if "gas" in fuels else F.lit(0.0)
+    return days.groupBy(*by).agg(base.alias("base_load_mwh"), F.when(coal, "coal").otherwise("gas").alias("marginal_fuel"), cost.alias("marginal_cost"), share.alias("gas_share"))
+
+
 def region_report(spreads: DataFrame, by: tuple[str, ...] = ("region",)) -> DataFrame:
     """Mean and spread of the margin, share of profitable days, best month."""
     month = spreads.groupBy(*by, F.month("date").alias("month")).agg(F.avg("spark_spread").alias("m"))

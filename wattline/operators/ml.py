@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,19 +48,20 @@ def validation_tail(df: DataFrame, share: float = 0.15, keys: tuple[str, ...] =
     return _numbered(df, keys, on).withColumn("is_validation", F.col("_i") >= F.floor(F.col("_n") * (1 - share))).drop("_i", "_n")
 
 
-def permutation_test(df: DataFrame, actual: str, predicted: str, rounds: int = 200, seed: int = 42, buckets: int = 64) -> DataFrame:
+def permutation_test(df: DataFrame, actual: str, predicted: str, rounds: int = 200, seed: int = 42, buckets: int = 64, on: str | None = None) -> DataFrame:
     """real score, mean null score, p = share of shuffles at least as good.
 
     A shuffle gives the rows' actual values the ranks of a seeded hash, round by
     round, and pairs them with the predictions in ascending order, nulls last.  Equal
     predictions are one range of ranks, so a row needs only the range of its own
     actual value.  Ranks are an offset by hash range plus a rank inside the range, so
-    a round is ranked in many tasks.
+    a round is ranked in many tasks.  ``on`` names a column that tells rows apart; with
+    it a result does not depend on how the rows are dealt.
     """
     order = Window.orderBy(F.col("v").asc_nulls_last())
     counts = df.groupBy(F.col(predicted).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     ranges = counts.select("v", (F.sum("n").over(order) - F.col("n")).alias("lo"), F.sum("n").over(order).alias("hi")).where("v is not null")
-    ids = df.select(F.monotonically_increasing_id().alias("i"), F.col(actual).alias("a"))
+    ids = df.select(F.monotonically_increasing_id().alias("i") if on is None else F.col(on).alias("i"), F.col(actual).alias("a"))
     # Written once, as ids depend on how rows are dealt and are read twice below.
     rows = settle(ids.join(ranges, F.col("a") == F.col("v"), "left").select("i", F.col("a").isNotNull().alias("known"), F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("hi", F.lit(0)).alias("hi")))
     spread = rows.join(F.broadcast(df.sparkSession.range(rounds).withColumnRenamed("id", "round"))).withColumn("h", F.xxhash64(F.lit(seed), "round", "i"))
@@ -90,6 +93,82 @@ def slices(df: DataFrame, by: list[str], hit: str = "hit") -> DataFrame:
     return df.rollup(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(hit).cast("double")).alias("accuracy"))
 
 
+def confidence_slices(df: DataFrame, probability: str, hit: str, edges: tuple[float, ...] = (0.5, 0.55, 0.6, 0.7, 1.01)) -> DataFrame:
+    """low, n, accuracy by how sure the prediction is."""
+    sure = F.greatest(probability, 1 - F.col(probability))
+    low = F.lit(None).cast("double")
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        low = F.coalesce(low, F.when((sure >= a) & (sure < b), F.lit(a)))
+    return df.withColumn("low", low).where("low is not null").groupBy("low").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(hit).cast("double")).alias("accuracy"))
+
+
+def agreement(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("date",), direction: str = "direction", hit: str = "hit") -> DataFrame:
+    """n, both_right, both_wrong, agree, and accuracy where both models agree."""
+    other = b.select(*on, F.col(direction).alias("_d"), F.col(hit).alias("_h"))
+    both = a.join(other, list(on))
+    same, x, y = F.col(direction) == F.col("_d"), F.col(hit) == 1, F.col("_h") == 1
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(same).alias("agree"), F.count_if(x & y).alias("both_right"), F.count_if(~x & ~y).alias("both_wrong"), F.avg(F.when(same, F.col(hit).cast("double"))).alias("accuracy_when_agree"),
+    )
+
+
+def rolling_accuracy(df: DataFrame, keys: tuple[str, ...] = (), hit: str = "hit", n: int = 60) -> DataFrame:
+    """Adds rolling_acc: the share of hits in the last ``n`` rows, null before that many."""
+    return df.withColumn("rolling_acc", Series(keys).mean(F.col(hit).cast("double"), n))
+
+
+def feature_columns(columns: list[str], exclude: tuple[str, ...] = (), suffixes: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> list[str]:
+    """Names that are not excluded by name or suffix, and those with a kept prefix, sorted."""
+    return sorted(c for c in columns if c not in exclude and (c.startswith(keep) if keep and c.endswith(suffixes) else not (suffixes and c.endswith(suffixes))))
+
+
+def sparse_columns(df: DataFrame, most: float = 0.3) -> DataFrame:
+    """``df`` without the columns whose share of nulls is ``most`` or more (all nulls too);
+    one aggregate over all columns, whose single row of counts decides."""
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(c) for c in df.columns]).first()
+    return df.select(*[c for c in df.columns if row["_n"] and 1 - row[c] / row["_n"] < most])
+
+
+def expanding_forecast(df: DataFrame, features: list[str], label: str, first: int = 252, step: int = 21, keys: tuple[str, ...] = (), ridge: float = 1e-9) -> DataFrame:
+    """Rows from the ``first`` on with ``prediction`` by a linear model that is fitted anew
+    every ``step`` rows on all rows before.
+
+    What a fit needs are sums of products, so each block of rows is summed once and the
+    sums are added up along the blocks: no row is read once a fit.
+    """
+    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    y = F.col(label).cast("double")
+    i = Series(keys).rank() - 1
+    rows = df.dropna(subset=[*features, label]).withColumn("_i", i)
+    rows = rows.withColumn("_block", F.when(F.col("_i") < first, 0).otherwise(1 + F.floor((F.col("_i") - first) / step)).cast("long"))
+    k = len(x)
+    products = [F.sum(x[a] * x[b]).alias(f"_xx{a * k + b}") for a in range(k) for b in range(k)] + [F.sum(x[a] * y).alias(f"_xy{a}") for a in range(k)]
+    sums = rows.groupBy(*keys, "_block").agg(*products)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_xx{i}" for i in range(k * k)] + [f"_xy{a}" for a in range(k)]
+    moments = sums.select(*keys, "_block", F.array(*[F.sum(n).over(before) for n in names]).alias("_m")).where("_block > 0")
+
+    @F.pandas_udf("array<double>")
+    def solve(m: pd.Series) -> pd.Series:
+        def one(v):
+            xx, xy = np.array(v[: k * k]).reshape(k, k), np.array(v[k * k :])
+            return np.linalg.lstsq(xx + ridge * np.diag(np.diag(xx)), xy, rcond=None)[0].tolist()
+
+        return m.map(one)
+
+    fits = moments.select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_block").alias("_b"), solve("_m").alias("_beta"))
+    same = F.col("_block") == F.col("_b")
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"_k_{c}"))
+    prediction = sum((F.element_at("_beta", a + 1) * x[a] for a in range(k)), F.lit(0.0))
+    return rows.join(fits, same).withColumn("prediction", prediction).drop("_i", "_block", "_b", "_beta", *[f"_k_{c}" for c in keys])
+
+
+def backcast(df: DataFrame, features: list[str], label: str = "target", keys: tuple[str, ...] = ()) -> DataFrame:
+    """What a demand model would have said each day: a year first, a new fit every 30 days."""
+    return expanding_forecast(df, features, label, 365, 30, keys)
+
+
 class Model:
     """Thin contract over a Spark ML regressor or classifier."""
 

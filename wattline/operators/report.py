@@ -95,3 +95,9 @@ def briefing(steps: dict[str, Callable[[], str]]) -> dict[str, Any]:
             errors[name] = str(e)
             text.append(f"## {name}\nnot available")
     return {"text": "\n\n".join(text), "errors": errors}
+
+
+def annual_signal(df: DataFrame, signal: str = "signal", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean signal by calendar year, and the days long, short and flat."""
+    x = F.col(signal)
+    return df.groupBy(*keys, F.year("date").alias("year")).agg(F.avg(x.cast("double")).alias("mean_signal"), F.count_if(x > 0).alias("n_long"), F.count_if(x < 0).alias("n_short"), F.count_if(x == 0).alias("n_flat"))

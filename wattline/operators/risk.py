@@ -177,9 +177,32 @@ def stress(positions: DataFrame, shocks: DataFrame, default_factor: str = "natur
     return by
 
 
-def reverse_stress(positions: DataFrame, loss: float) -> DataFrame:
-    """The uniform price move that loses ``loss``."""
-    return positions.agg(F.sum("notional").alias("net")).select(F.try_divide(F.lit(-float(loss)), F.col("net")).alias("move"))
+def reverse_stress(positions: DataFrame, loss: float, default_factor: str = "natural_gas") -> DataFrame:
+    """factor, exposure, shock: the move of each factor alone that loses ``loss``.
+
+    A position without a factor takes the default one; factors without exposure have no
+    such move and are left out.
+    """
+    by = positions.groupBy(F.coalesce("factor", F.lit(default_factor)).alias("factor")).agg(F.sum("notional").alias("exposure"))
+    return by.where(F.abs("exposure") > 1e-6).withColumn("shock", F.lit(-float(loss)) / F.col("exposure"))
+
+
+def dashboard(returns: DataFrame, weights: dict[str, float], positions: DataFrame, shocks: DataFrame, value: float = 1e6) -> DataFrame:
+    """section, item, value: every VaR of the portfolio, each asset's part of it, the loss by
+    scenario and the tail statistics, in one long table."""
+    book = portfolio_returns(returns)
+    parts = [
+        full_analysis(book).select(F.lit("var").alias("section"), F.col("method").alias("item"), (F.col("var") * value).alias("value")),
+        component(returns, weights).select(F.lit("component"), F.col("asset"), F.col("component_var") * value),
+        stress(positions, shocks).select(F.lit("stress"), F.col("scenario"), F.col("pnl")),
+    ]
+    tails = tail_statistics(book.withColumn("asset", F.lit("portfolio")), ("asset",)).drop("asset")
+    names = [f.name for f in tails.schema.fields]
+    parts.append(tails.select(F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select(F.lit("tail"), "x.item", "x.value"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
 
 
 def scenario_table(spark, scenarios: dict = SCENARIOS) -> DataFrame:

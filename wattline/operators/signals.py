@@ -50,25 +50,37 @@ def size_series(s: Series, ret, n: int = 20, **options) -> Column:
 # --- parts of the composite -----------------------------------------------------
 
 
-def storage_anomaly(weekly: DataFrame, level: str = "level", years: int = 5, least: int = 3) -> DataFrame:
-    """z against the same ISO week of the prior years; a deficit is bullish.
+def storage_anomaly(weekly: DataFrame, prices: DataFrame, level: str = "level", years: int = 5, least: int = 3) -> DataFrame:
+    """date, storage_z, storage_signal on the price dates; a deficit is bullish.
 
-    The history is a range frame inside the week's partition, not a self join.
+    z is against the same ISO week of the prior calendar years, 0 with too little
+    history, and holds until the next report.  The history is a range frame inside the
+    week's partition, not a self join.
     """
-    w = weekly.select("date", col(level).alias("level"), F.weekofyear("date").alias("week"), F.expr("extract(YEAROFWEEK from date)").alias("year"))
+    w = weekly.select("date", col(level).alias("level"), F.weekofyear("date").alias("week"), F.year("date").alias("year"))
     h = Window.partitionBy("week").orderBy("year").rangeBetween(-years, -1)
     n, mean, sd = F.count("level").over(h), F.avg("level").over(h), F.stddev_samp("level").over(h)
-    z = F.when((n >= least) & (sd > 0), (F.col("level") - mean) / sd)
-    return w.select("date", z.alias("z"), F.when(z.isNull(), 0.0).otherwise(_ladder(z, -1.0, 1.0, 1, -1)).alias("storage_signal"))
+    z = F.when((n >= least) & (sd > 0), (F.col("level") - mean) / sd).otherwise(0.0)
+    daily = asof_join(prices.select("date"), w.select("date", z.alias("storage_z"))).withColumn("storage_z", F.coalesce("storage_z", F.lit(0.0)))
+    return daily.withColumn("storage_signal", _ladder(F.col("storage_z"), -1.0, 1.0, 1, -1))
 
 
-def seasonal_t(monthly: DataFrame, least: int = 3) -> DataFrame:
-    """Side of the t statistic of a calendar month's earlier returns, if over 1."""
-    w = Window.partitionBy(F.month("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+def seasonal_t(prices: DataFrame, price: str = "close", warmup_years: int = 5, least: int = 3) -> DataFrame:
+    """date, t, seasonal_signal: side of the t statistic of the calendar month's returns in
+    earlier years, if over 1; a month's return is the sum of its daily log returns.
+
+    The first ``warmup_years`` calendar years have no signal.
+    """
+    s = Series()
+    daily = prices.select("date", F.year("date").alias("year"), F.month("date").alias("month"), s.log_return(price).alias("_r"), F.year(F.min("date").over(s.whole)).alias("_first"))
+    months = daily.groupBy("year", "month").agg(F.sum("_r").alias("ret"))
+    w = Window.partitionBy("month").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     n, mean, sd = F.count("ret").over(w), F.avg("ret").over(w), F.stddev_samp("ret").over(w)
-    t = F.when((n >= least) & (sd > 0), mean / (sd / F.sqrt(n)))
-    side = F.when(t > 1, 1.0).when(t < -1, -1.0).otherwise(0.0)
-    return monthly.select("date", t.alias("t"), side.alias("seasonal_signal"))
+    known = months.select("year", "month", F.when((n >= least) & (sd > 0), mean / (sd / F.sqrt(n))).alias("t"))
+    out = daily.join(known, ["year", "month"], "left")
+    out = out.withColumn("t", F.when(F.col("year") - F.col("_first") >= warmup_years, F.col("t")))
+    side = F.when(F.col("t") > 1, 1.0).when(F.col("t") < -1, -1.0).otherwise(0.0)
+    return out.select("date", "t", side.alias("seasonal_signal"))
 
 
 def technical(s: Series, df: DataFrame, price: str = "close", fast: int = 20, slow: int = 60, rsi: int = 14) -> DataFrame:
@@ -88,8 +100,9 @@ def mean_reversion(s: Series, price: str = "close", n: int = 200) -> Column:
     return F.coalesce(clip(-s.zscore(price, n) / 2, -1.0, 1.0), F.lit(0.0))
 
 
-def weather(days: DataFrame, warmup: int = 60) -> DataFrame:
-    """Degree days against all earlier days of the ISO week, three quarters heating."""
+def weather(days: DataFrame, prices: DataFrame | None = None, warmup: int = 60) -> DataFrame:
+    """Degree days against all earlier days of the ISO week, three quarters heating; on
+    the dates of ``prices``, if given, the latest value at each."""
     s = Series()
     w = Window.partitionBy(F.weekofyear("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -100,7 +113,10 @@ def weather(days: DataFrame, warmup: int = 60) -> DataFrame:
     ranked = days.withColumns({"_i": s.rank(), "_h": z("hdd"), "_c": z("cdd")})
     raw = clip(0.75 * F.coalesce("_h", F.lit(0.0)) + 0.25 * F.coalesce("_c", F.lit(0.0)), -2.0, 2.0) / 2
     ranked = ranked.withColumn("_raw", F.when(F.col("_i") > warmup, raw).otherwise(0.0))
-    return ranked.select("date", s.mean("_raw", 7, 1).alias("weather_signal"))
+    out = ranked.select("date", s.mean("_raw", 7, 1).alias("weather_signal"))
+    if prices is None:
+        return out
+    return asof_join(prices.select("date"), out).withColumn("weather_signal", F.coalesce("weather_signal", F.lit(0.0)))
 
 
 def sentiment(tone_z, gpr_z) -> Column:
@@ -109,6 +125,44 @@ def sentiment(tone_z, gpr_z) -> Column:
     return 0.6 * a + 0.4 * b
 
 
+def sentiment_on(prices: DataFrame, tone: DataFrame | None = None, gpr: DataFrame | None = None) -> DataFrame:
+    """date, sentiment_signal: the latest tone (``tone_z60``, or ``tone_momentum`` where a
+    table lacks it) and ``gpr_z60`` at each price date; an absent table counts as 0."""
+    out, tone_z, gpr_z = prices.select("date"), F.lit(0.0), F.lit(0.0)
+    if tone is not None:
+        name = "tone_z60" if "tone_z60" in tone.columns else "tone_momentum"
+        out, tone_z = asof_join(out, tone.select("date", F.col(name).alias("_tone"))), F.col("_tone")
+    if gpr is not None:
+        out, gpr_z = asof_join(out, gpr.select("date", F.col("gpr_z60").alias("_gpr"))), F.col("_gpr")
+    return out.select("date", clip(sentiment(tone_z, gpr_z), -1.0, 1.0).alias("sentiment_signal"))
+
+
+def composite_parts(prices: DataFrame, weekly: DataFrame, days: DataFrame, tone: DataFrame, gpr: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """``prices`` (one series) with every part of the composite but the regime, and the
+    parts by their weights' names."""
+    out = technical(Series(), prices)
+    for part in (storage_anomaly(weekly, prices).drop("storage_z"), seasonal_t(prices).drop("t"), weather(days, prices), sentiment_on(prices, tone, gpr)):
+        out = out.join(part, "date", "left")
+    out = out.withColumn("mean_reversion_signal", mean_reversion(Series()))
+    return out, {name: F.col(f"{name}_signal") for name in ("storage", "seasonal", "technical", "mean_reversion", "weather", "sentiment")}
+
+
+def walk_forward(signals: DataFrame, years: int = 5, months: int = 6, price: str = "close", least: int = 10) -> DataFrame:
+    """The out-of-sample folds of a strategy: rows of ``signals`` with their ``fold``.
+
+    The first fold starts ``years`` after the first date; a fold has ``months`` and both
+    of its ends.  Signals are causal, so they are computed once and cut.
+    """
+    ends = signals.agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
+    start = F.add_months("_a", 12 * years)
+    count = F.greatest(F.ceil(F.months_between("_b", start) / months).cast("int"), F.lit(0))
+    folds = ends.select("_b", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.add_months(start, months * i))).alias("fold", "_from"), count.alias("_n")).where(F.col("fold") < F.col("_n"))
+    folds = folds.select("fold", "_from", F.least(F.add_months("_from", months), "_b").alias("_to"))
+    cut = signals.join(F.broadcast(folds), (F.col("date") >= F.col("_from")) & (F.col("date") <= F.col("_to"))).drop("_from", "_to")
+    size = F.count(F.lit(1)).over(Window.partitionBy("fold"))
+    return cut.withColumn("_size", size).where(F.col("_size") >= least).drop("_size")
+
+
 def fit_hmm(x: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two-state full-covariance Gaussian HMM by scaled Baum-Welch."""
     n, d = x.shape
@@ -116,6 +170,7 @@ def fit_hmm(x: np.ndarray, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.
     means = np.array([x[low].mean(0), x[~low].mean(0)])
     covs = np.array([np.cov(x[m].T) + 1e-8 * np.eye(d) for m in (low, ~low)])
     trans, start = np.array([[0.95, 0.05], [0.05, 0.95]]), np.array([0.5, 0.5])
+    was = -np.inf
     for _ in range(steps):
         dens = np.column_stack([_density(x, means[k], covs[k]) for k in range(2)])
         alpha, scale = np.zeros((n, 2)), np.zeros(n)
@@ -142,9 +197,28 @@ def _density(x, mean, cov):
     return np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)) / np.sqrt((2 * np.pi) ** len(mean) * np.linalg.det(cov)) + 1e-300
 
 
-def regime(df: DataFrame, keys: list[str], price: str = "close", window: int = 21, lookback: int = 504, refit: int = 63) -> DataFrame:
+def decode(x: np.ndarray, means: np.ndarray, covs: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The likeliest sequence of states (Viterbi, in logarithms)."""
+    dens = np.log(np.column_stack([_density(x, m, c) for m, c in zip(means, covs, strict=True)]))
+    steps, best = np.log(trans + 1e-300), np.log(start + 1e-300) + dens[0]
+    back = np.zeros(dens.shape, dtype=int)
+    for t in range(1, len(x)):
+        ways = best[:, None] + steps
+        back[t] = ways.argmax(0)
+        best = ways.max(0) + dens[t]
+    path = np.zeros(len(x), dtype=int)
+    path[-1] = best.argmax()
+    for t in range(len(x) - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return path
+
+
+def regime(df: DataFrame, keys: list[str], price: str = "close", window: int = 21, lookback: int = 504, refit: int = 63, steps: int = 100) -> DataFrame:
     """+0.5 in the calm state, -0.5 in the other; fitted on past rows only.
 
+    States are decoded as a sequence, over the rows that the model was fitted on and
+    those up to the next fit.
+
     Baum-Welch is path dependent, so each key is one Arrow group kernel.
     """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + ", regime_signal double"
@@ -159,10 +233,10 @@ def regime(df: DataFrame, keys: list[str], price: str = "close", window: int = 2
             past = past[np.isfinite(past).all(1)]
             if len(past) < 50 or past[:, 1].std() == 0:
                 continue
-            means, covs, _, _ = fit_hmm(past, 15)
+            means, covs, trans, gamma = fit_hmm(past, steps)
             calm = int(np.argmin(means[:, 1]))
             b = min(a + refit, len(rows))
-            state = np.argmax(np.column_stack([_density(np.nan_to_num(x[a:b]), means[k], covs[k]) for k in range(2)]), axis=1)
+            state = decode(np.vstack([past, np.nan_to_num(x[a:b])]), means, covs, trans, gamma[0])[len(past) :]
             out[a:b] = np.where(ok[a:b], np.where(state == calm, 0.5, -0.5), 0.0)
         return rows.assign(regime_signal=out)
 
@@ -174,6 +248,7 @@ def regime(df: DataFrame, keys: list[str], price: str = "close", window: int = 2
 
 @dataclass(frozen=True)
 class Composite:
+    #: Weights of the parts, thresholds of the score, sizing.
     weights: dict[str, float] = field(default_factory=lambda: {"regime": 0.10, "storage": 0.10, "seasonal": 0.10, "technical": 0.25, "mean_reversion": 0.20, "weather": 0.10, "sentiment": 0.15})
     long_threshold: float = 0.05
     short_threshold: float = -0.15

@@ -125,3 +125,18 @@ def direction_scores(df: DataFrame, actual: str, predicted: str, by: tuple[str,
         hit.alias("accuracy"), F.try_divide(tp, F.count_if(p)).alias("precision"), F.try_divide(tp, F.count_if(a)).alias("recall"),
         F.try_divide(2 * tp, F.count_if(p) + F.count_if(a)).alias("f1"), (hit - F.greatest(base, 1 - base)).alias("edge"),
     )
+
+
+def probability_scores(df: DataFrame, actual: str, probability: str, by: tuple[str, ...] = (), floor: float = 1e-15) -> DataFrame:
+    """auc and log_loss of a probability against a 0/1 column, by key.
+
+    The area comes from counts by distinct probability (ties count half), so a key's rows
+    are aggregated before they are ranked.
+    """
+    p, a = F.col(probability), F.col(actual)
+    safe = F.least(F.greatest(p, F.lit(floor)), F.lit(1 - floor))
+    loss = df.groupBy(*by).agg(F.avg(-F.when(a == 1, F.ln(safe)).otherwise(F.ln(1 - safe))).alias("log_loss"))
+    steps = df.groupBy(*by, p.alias("_p")).agg(F.count_if(a == 1).alias("_up"), F.count_if(a == 0).alias("_down"))
+    below = F.coalesce(F.sum("_down").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    area = steps.withColumn("_won", F.col("_up") * (below + F.col("_down") / 2)).groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("_up") * F.sum("_down")).alias("auc"))
+    return area.join(loss, list(by)) if by else area.join(F.broadcast(loss))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattline.functions.ts import HOLIDAYS, Series
-from wattline.operators import energy, features
+from wattline.operators import energy, features, ml
 from wattline.plans import frames as fr
 from wattline.plans.frames import ctes, r, rounded
 from wattline.plans.registry import query
@@ -416,6 +416,48 @@ def merit_order(spark, sf):
     return rounded(energy.merit_order(_generation(spark, sf), ("gas_mwh",)))
 
 
+_FUELS = ("gas", "coal", "nuclear", "hydro")
+_MIX = """g as (select l_returnflag as region, cast(l_shipdate as date) as date, sum(case when l_linestatus = 'O' then l_quantity else 0 end) as gas, sum(case when l_linestatus <> 'O' then l_quantity else 0 end) as coal,
+  sum(l_tax) * 100 as nuclear, sum(l_discount) * 50 as hydro, 2 + avg(l_discount) * 40 as ng_price from lineitem group by all), t as (select *, gas + coal + nuclear + hydro as total from g)"""
+
+
+def _mix(spark, sf):
+    q, old = F.col("l_quantity"), F.col("l_linestatus") == "O"
+    return fr.read(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("region"), F.col("l_shipdate").cast("date").alias("date")).agg(
+        F.sum(F.when(old, q).otherwise(0.0)).alias("gas"), F.sum(F.when(~old, q).otherwise(0.0)).alias("coal"), (F.sum("l_tax") * 100).alias("nuclear"), (F.sum("l_discount") * 50).alias("hydro"), (2 + F.avg("l_discount") * 40).alias("ng_price"))
+
+
+@query("supply_stack", f"""with {_MIX}, l as (select unnest([0.1, 0.25, 0.5, 0.75, 0.9, 0.95]) as lq), e as (select region, cast(lq as double) as lq, quantile_cont(total, [0.1, 0.25, 0.5, 0.75, 0.9, 0.95])[list_position([0.1, 0.25, 0.5, 0.75, 0.9, 0.95], lq)] as edge from t, l group by region, lq),
+h as (select t.region, lq, total, unnest(['gas', 'coal', 'nuclear', 'hydro']) as fuel, unnest([gas, coal, nuclear, hydro]) as x from t join e on e.region = t.region and total > edge)
+select region, lq as load_quantile, fuel, {r('avg(x)', 'avg_gen_mwh', 4)}, {r('avg(x) / avg(total) * 100', 'share_pct', 4)} from h group by all having count(*) > 5""")
+def supply_stack(spark, sf):
+    return rounded(energy.supply_stack(_mix(spark, sf), _FUELS), avg_gen_mwh=4, share_pct=4, load_quantile=9)
+
+
+@query("marginal_supply", f"""with {_MIX}, m as (select region, median(nuclear) + median(hydro) as base, quantile_cont(coal, 0.9) >= quantile_cont(gas, 0.9) as coal, avg(ng_price) * {energy.HEAT_RATES['combined_cycle']} + {energy.VOM_COSTS['combined_cycle']} as gas_cost, sum(gas) / sum(total) as share from t group by region)
+select region, {r('base', 'base_load_mwh')}, case when coal then 'coal' else 'gas' end as marginal_fuel, {r('case when coal then 25.0 else gas_cost end', 'marginal_cost')}, {r('share', 'gas_share')} from m""")
+def marginal_supply(spark, sf):
+    return rounded(energy.marginal_supply(_mix(spark, sf), _FUELS))
+
+
+@query("dispatch_forecast")
+def dispatch_forecast(spark, sf):
+    g = _generation(spark, sf)
+    sin, cos = F.sin(2 * F.pi() * F.month("date") / 12), F.cos(2 * F.pi() * F.month("date") / 12)
+    g = g.withColumns({"price_sq": F.col("ng_price") * F.col("ng_price"), "month_sin": sin, "month_cos": cos, "total_x_price": F.col("total_mwh") * F.col("ng_price")})
+    out = ml.expanding_forecast(g, ["ng_price", "price_sq", "total_mwh", "month_sin", "month_cos", "total_x_price"], "gas_mwh", 252, 21, ("region",))
+    return out.select("region", "date", "gas_mwh", "prediction", (F.col("gas_mwh") - F.col("prediction")).alias("residual"))
+
+
+@query("demand_backcast")
+def demand_backcast(spark, sf):
+    m = fr.market(spark, sf)
+    t = F.col("close") / 5000
+    weather = m.select("date", t.alias("tavg"), F.greatest(65 - t, F.lit(0.0)).alias("hdd"), F.greatest(t - 65, F.lit(0.0)).alias("cdd"))
+    df = features.load(m.select("date", F.col("volume").alias("total_mwh")), weather)
+    return ml.backcast(df, ["load_lag_1d", "load_lag_7d", "load_roll_7d", "hdd", "cdd", "is_weekend", "doy_sin_1", "doy_cos_1"]).select("date", "target", "prediction")
+
+
 @query("weather_panel", """with c as (select l_shipmode_k as city, date, v from (select 'c' || cast(l_linenumber as varchar) as l_shipmode_k, cast(l_shipdate as date) as date, avg(l_quantity) as v from lineitem group by all)),
 w as (select 'c' || cast(n_nationkey as varchar) as city, cast(n_nationkey as double) as weight from nation)
 select date, round(sum(v * weight) / sum(weight), 6) + 0.0 as v from c join w on w.city = c.city group by date""")

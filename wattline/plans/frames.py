@@ -22,7 +22,7 @@ from lineitem group by cast(date_trunc('week', l_shipdate) as date)""",
 from lineitem group by l_returnflag, cast(l_shipdate as date)""",
     "returns": """select asset, date, ret from (
   select asset, date, px / lag(px) over (partition by asset order by date) - 1 as ret from assets) where ret is not null""",
-    "articles": """select d.doc_id as article_id, substring(d.text, 1, 120) as title, d.text as content, d.source, d.lang,
+    "articles": """select d.doc_id as article_id, split_part(d.text, chr(10), 1) as title, d.text as content, d.source, d.lang,
   date '2024-01-01' + cast(d.doc_id % 365 as int) as date,
   cast(coalesce(l.quality, 0) - coalesce(l.toxic, 0) as double) as net
 from documents d left join labels l on d.doc_id = l.doc_id""",
@@ -87,7 +87,7 @@ def articles(spark, sf_dir) -> DataFrame:
     d, l = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").withColumnRenamed("doc_id", "_id")
     net = (F.coalesce("quality", F.lit(0)) - F.coalesce("toxic", F.lit(0))).cast("double")
     return d.join(l, F.col("doc_id") == F.col("_id"), "left").select(
-        F.col("doc_id").alias("article_id"), F.substring("text", 1, 120).alias("title"), F.col("text").alias("content"), "source", "lang",
+        F.col("doc_id").alias("article_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), "source", "lang",
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("date"), net.alias("net"),
     )
 

@@ -71,10 +71,10 @@ def ema_macd(spark, sf):
     return rounded(out.select("symbol", "date", "ema_8", "ema_200_dist", "macd", "macd_signal_line", "macd_hist"), ema_8=4, macd=4, macd_signal_line=4, macd_hist=4)
 
 
-@query("ewm_adjusted", ctes("bars") + f""", e as (select *, list(close) over (partition by symbol order by date rows unbounded preceding) as l from bars where year(date) = 1995)
+@query("ewm_adjusted", ctes("bars") + f""", e as (select *, list(close) over (partition by symbol order by date rows unbounded preceding) as l from bars)
 select symbol, date, {r("list_sum(list_transform(l, lambda x, i: x * pow(0.9, len(l) - i))) / list_sum(list_transform(l, lambda x, i: pow(0.9, len(l) - i)))", 'ewm', 4)} from e""")
 def ewm_adjusted(spark, sf):
-    out = ewm(fr.bars(spark, sf).where("year(date) = 1995"), ["symbol"], ["date"], {"ewm": ("close", 0.1, True)})
+    out = ewm(fr.bars(spark, sf), ["symbol"], ["date"], {"ewm": ("close", 0.1, True)})
     return rounded(out.select("symbol", "date", "ewm"), 4)
 
 

@@ -55,11 +55,9 @@ def performance_report(spark, sf):
 
 
 @query("rolling_sharpe", ctes("returns") + f""", {_SIGNALS}, w as (select *, net - 0.05 / 252 as x from res)
-select asset, date, {r("case when count(x) over k >= 252 then avg(x) over k / nullif(stddev_samp(x) over k, 0) * sqrt(252.0) end", 'rolling_sharpe', 5)} from w where not asset in (select asset from w where halted) window k as (partition by asset order by date rows 251 preceding)""")
+select asset, date, {r("case when count(x) over k >= 252 then avg(x) over k / (case when stddev_samp(x) over k > 1e-12 then stddev_samp(x) over k end) * sqrt(252.0) end", 'rolling_sharpe', 5)} from w window k as (partition by asset order by date rows 251 preceding)""")
 def rolling_sharpe(spark, sf):
-    res = _result(spark, sf)
-    stopped = res.where("halted").select("asset").distinct()
-    out = backtest.rolling_sharpe(res.join(stopped, "asset", "left_anti"), ("asset",))
+    out = backtest.rolling_sharpe(_result(spark, sf), ("asset",))
     return rounded(out.select("asset", "date", "rolling_sharpe"), 5)
 
 
@@ -169,11 +167,33 @@ def stress_scenarios(spark, sf):
     return rounded(risk.stress(_positions(spark, sf), risk.scenario_table(spark)), pnl=4)
 
 
-@query("reverse_stress", f"select {r('-50000.0 / sum(notional)', 'move')} from ({_POS})")
+@query("reverse_stress", f"select coalesce(factor, 'natural_gas') as factor, {r('sum(notional)', 'exposure')}, {r('-50000.0 / sum(notional)', 'shock')} from ({_POS}) group by 1 having abs(sum(notional)) > 1e-6")
 def reverse_stress(spark, sf):
     return rounded(risk.reverse_stress(_positions(spark, sf), 50_000))
 
 
+@query("risk_dashboard")
+def risk_dashboard(spark, sf):
+    return risk.dashboard(fr.returns(spark, sf), _W, _positions(spark, sf), risk.scenario_table(spark))
+
+
+_PNL = "x as (select asset, ret as pnl from returns)"
+
+
+@query("trade_statistics", ctes("returns") + f""", {_PNL} select asset, count(*) as total_trades, {r('avg((pnl > 0)::int)', 'win_rate')}, {r('sum(pnl) filter (where pnl > 0) / -sum(pnl) filter (where pnl < 0)', 'profit_factor')},
+{r('avg(pnl)', 'avg_trade_return', 9)}, {r('max(pnl)', 'best_trade')}, {r('min(pnl)', 'worst_trade')} from x group by asset""")
+def trade_statistics(spark, sf):
+    return rounded(backtest.trade_statistics(fr.returns(spark, sf), ("asset",), "ret"), avg_trade_return=9)
+
+
+@query("probability_scores", f"""with e as (select event_type, value / 100 as p, event_id % 2 as a from events), k as (select *, rank() over (partition by event_type order by p) + (count(*) over (partition by event_type, p) - 1) / 2.0 as rk from e),
+n as (select event_type, count(*) filter (where a = 1) as up, count(*) filter (where a = 0) as down, sum(rk) filter (where a = 1) as s, avg(-ln(case when a = 1 then least(greatest(p, 1e-15), 1 - 1e-15) else 1 - least(greatest(p, 1e-15), 1 - 1e-15) end)) as ll from k group by event_type)
+select event_type, {r('(s - up * (up + 1) / 2.0) / (up * down)', 'auc')}, {r('ll', 'log_loss')} from n""")
+def probability_scores(spark, sf):
+    e = fr.read(spark, sf, "events").select("event_type", (F.col("value") / 100).alias("p"), (F.col("event_id") % 2).alias("a"))
+    return rounded(stats.probability_scores(e, "a", "p", ("event_type",)))
+
+
 @query("var_full_analysis")
 def var_full_analysis(spark, sf):
     return risk.full_analysis(risk.portfolio_returns(fr.returns(spark, sf)))

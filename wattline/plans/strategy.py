@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from wattline.functions.ts import Series, clip, flag
-from wattline.operators import ml, report, signals, valuation
+from wattline.operators import backtest, ml, report, signals, valuation
 from wattline.plans import frames as fr
 from wattline.plans.frames import ctes, r, rounded
 from wattline.plans.registry import query
@@ -51,18 +51,42 @@ def vol_target_size(spark, sf):
     return rounded(x.select("symbol", "date", signals.size_series(s, "ret").alias("size")))
 
 
-@query("storage_anomaly", ctes("weekly") + f""", x as (select date, level, weekofyear(date) as wk, isoyear(date) as yr from weekly), z as (select *, case when count(level) over h >= 3 and stddev_samp(level) over h > 0 then (level - avg(level) over h) / stddev_samp(level) over h end as z from x window h as (partition by wk order by yr range between 5 preceding and 1 preceding))
-select date, {r('z', 'z')}, cast(case when z <= -1 then 1 when z >= 1 then -1 else 0 end as double) as storage_signal from z""")
+_STORAGE_Z = """sx as (select date, level, weekofyear(date) as wk, year(date) as yr from weekly),
+sz as (select date, coalesce(case when count(level) over h >= 3 and stddev_samp(level) over h > 0 then (level - avg(level) over h) / stddev_samp(level) over h end, 0) as z from sx window h as (partition by wk order by yr range between 5 preceding and 1 preceding)),
+storage as (select m.date, coalesce(z, 0) as z, cast(case when coalesce(z, 0) <= -1 then 1 when coalesce(z, 0) >= 1 then -1 else 0 end as double) as storage_signal from market m asof left join sz on m.date >= sz.date)"""
+_SEASONAL_T = """md as (select date, year(date) as y, month(date) as mo, ln(close / lag(close) over (order by date)) as lr from market), mm as (select y, mo, sum(lr) as ret from md group by all),
+mt as (select y, mo, case when count(ret) over h >= 3 and stddev_samp(ret) over h > 0 then avg(ret) over h / (stddev_samp(ret) over h / sqrt(count(ret) over h)) end as t from mm window h as (partition by mo order by y rows between unbounded preceding and 1 preceding)),
+ms as (select date, case when md.y - (select min(y) from md) >= 5 then t end as t from md join mt on mt.y = md.y and mt.mo = md.mo),
+seasonal as (select date, t, cast(case when t > 1 then 1 when t < -1 then -1 else 0 end as double) as seasonal_signal from ms)"""
+_WEATHER_Z = """wd as (select date, greatest(65 - t, 0) as hdd, greatest(t - 65, 0) as cdd, row_number() over (order by date) as i from (select date, avg(px) / 600 as t from assets group by date)),
+wz as (select *, case when count(hdd) over h >= 3 and stddev_samp(hdd) over h > 0 then (hdd - avg(hdd) over h) / stddev_samp(hdd) over h end as zh, case when count(cdd) over h >= 3 and stddev_samp(cdd) over h > 0 then (cdd - avg(cdd) over h) / stddev_samp(cdd) over h end as zc from wd window h as (partition by weekofyear(date) order by date rows between unbounded preceding and 1 preceding)),
+wk as (select date, avg(case when i > 60 then least(2.0, greatest(-2.0, 0.75 * coalesce(zh, 0) + 0.25 * coalesce(zc, 0))) / 2 else 0 end) over (order by date rows 6 preceding) as s from wz),
+weather as (select m.date, coalesce(s, 0) as weather_signal from market m asof left join wk on m.date >= wk.date)"""
+_SENTIMENT = """tn as (select date, level / 400 - 2 as tz from weekly), gp as (select date, avg(px) / 10000 - 3 as gz from assets group by date), st as (select m.date, tz from market m asof left join tn on m.date >= tn.date), sg as (select st.date, tz, gz from st asof left join gp on st.date >= gp.date),
+sentiment as (select date, least(1.0, greatest(-1.0, 0.6 * least(1.0, greatest(-1.0, -coalesce(tz, 0) / 2)) + 0.4 * least(1.0, greatest(-0.5, coalesce(gz, 0) / 3)))) as sentiment_signal from sg)"""
+
+
+def _days(spark, sf):
+    t = fr.assets(spark, sf).groupBy("date").agg((F.avg("px") / 600).alias("t"))
+    return t.select("date", F.greatest(65 - F.col("t"), F.lit(0.0)).alias("hdd"), F.greatest(F.col("t") - 65, F.lit(0.0)).alias("cdd"))
+
+
+def _tone(spark, sf):
+    return fr.weekly(spark, sf).select("date", (F.col("level") / 400 - 2).alias("tone_z60"))
+
+
+def _gpr(spark, sf):
+    return fr.assets(spark, sf).groupBy("date").agg((F.avg("px") / 10000 - 3).alias("gpr_z60"))
+
+
+@query("storage_anomaly", ctes("market", "weekly") + f", {_STORAGE_Z} select date, {r('z', 'storage_z')}, storage_signal from storage")
 def storage_anomaly(spark, sf):
-    return rounded(signals.storage_anomaly(fr.weekly(spark, sf)))
+    return rounded(signals.storage_anomaly(fr.weekly(spark, sf), fr.market(spark, sf)))
 
 
-@query("seasonal_tstat", ctes("market") + f""", m as (select date_trunc('month', date)::date as date, max_by(close, date) / min_by(close, date) - 1 as ret from market group by 1),
-t as (select date, case when count(ret) over h >= 3 and stddev_samp(ret) over h > 0 then avg(ret) over h / (stddev_samp(ret) over h / sqrt(count(ret) over h)) end as t from m window h as (partition by month(date) order by date rows between unbounded preceding and 1 preceding))
-select date, {r('t', 't')}, cast(case when t > 1 then 1 when t < -1 then -1 else 0 end as double) as seasonal_signal from t""")
+@query("seasonal_tstat", ctes("market") + f", {_SEASONAL_T} select date, {r('t', 't')}, seasonal_signal from seasonal")
 def seasonal_tstat(spark, sf):
-    m = fr.market(spark, sf).groupBy(F.trunc("date", "month").alias("date")).agg((F.max_by("close", "date") / F.min_by("close", "date") - 1).alias("ret"))
-    return rounded(signals.seasonal_t(m))
+    return rounded(signals.seasonal_t(fr.market(spark, sf)))
 
 
 @query("technical_signal", ctes("bars") + f""", d as (select *, close - lag(close) {W} as d, {roll('avg(close)', 'close', 20)} as a, {roll('avg(close)', 'close', 60)} as b, close / nullif(lag(close, 20) {W}, 0) - 1 as mom from bars),
@@ -78,35 +102,50 @@ def mean_reversion_signal(spark, sf):
     return rounded(fr.bars(spark, sf).select("symbol", "date", signals.mean_reversion(Series(["symbol"])).alias("signal")))
 
 
-@query("weather_signal", ctes("market") + f""", d as (select date, greatest(65 - close / 5000, 0) as hdd, greatest(close / 5000 - 65, 0) as cdd, row_number() over (order by date) as i from market),
-z as (select *, case when count(hdd) over h >= 3 and stddev_samp(hdd) over h > 0 then (hdd - avg(hdd) over h) / stddev_samp(hdd) over h end as zh, case when count(cdd) over h >= 3 and stddev_samp(cdd) over h > 0 then (cdd - avg(cdd) over h) / stddev_samp(cdd) over h end as zc from d window h as (partition by weekofyear(date) order by date rows between unbounded preceding and 1 preceding)),
-k as (select date, case when i > 60 then least(2.0, greatest(-2.0, 0.75 * coalesce(zh, 0) + 0.25 * coalesce(zc, 0))) / 2 else 0 end as raw from z)
-select date, {r('avg(raw) over (order by date rows 6 preceding)', 'weather_signal')} from k""")
+@query("weather_signal", ctes("market", "assets") + f", {_WEATHER_Z} select date, {r('weather_signal', 'weather_signal')} from weather")
 def weather_signal(spark, sf):
-    t = F.col("close") / 5000
-    d = fr.market(spark, sf).select("date", F.greatest(65 - t, F.lit(0.0)).alias("hdd"), F.greatest(t - 65, F.lit(0.0)).alias("cdd"))
-    return rounded(signals.weather(d))
+    return rounded(signals.weather(_days(spark, sf), fr.market(spark, sf)))
 
 
-@query("sentiment_signal", ctes("market") + f" select date, {r('0.6 * least(1.0, greatest(-1.0, -(close / 100000 - 2) / 2)) + 0.4 * least(1.0, greatest(-0.5, (volume - 3) / 3))', 'signal', 9)} from market")
+@query("sentiment_signal", ctes("market", "assets", "weekly") + f", {_SENTIMENT} select date, {r('sentiment_signal', 'sentiment_signal', 8)} from sentiment")
 def sentiment_signal(spark, sf):
-    return rounded(fr.market(spark, sf).select("date", signals.sentiment(F.col("close") / 100000 - 2, F.col("volume") - 3).alias("signal")), 9)
+    return rounded(signals.sentiment_on(fr.market(spark, sf), _tone(spark, sf), _gpr(spark, sf)), 8)
+
+
+_O = "over (order by date)"
+_TECHNICAL = f"""td as (select date, close, close - lag(close) {_O} as d, close / nullif(lag(close, 20) {_O}, 0) - 1 as mom, avg(close) over (order by date rows 19 preceding) as a0, avg(close) over (order by date rows 59 preceding) as b0, row_number() {_O} as i from market),
+tu as (select *, case when i >= 20 then a0 end as a, case when i >= 60 then b0 end as b, case when count(d) over k >= 14 then avg(greatest(d, 0.0)) over k end as up, case when count(d) over k >= 14 then avg(case when d is not null then greatest(-d, 0.0) end) over k end as dn from td window k as (order by date rows 13 preceding)),
+technical as (select date, least(1.0, greatest(-1.0, 0.5 * case when a > b then 1 when a < b then -1 else 0 end + 0.3 * case when mom > 0.02 then 0.5 when mom < -0.02 then -0.5 else 0 end + 0.2 * case when 100 - 100 / (1 + up / nullif(dn, 0)) > 70 then -0.5 when 100 - 100 / (1 + up / nullif(dn, 0)) < 30 then 0.5 else 0 end)) as technical_signal from tu),
+reversion as (select date, coalesce(least(1.0, greatest(-1.0, case when count(close) over k >= 200 then -(close - avg(close) over k) / nullif(stddev_samp(close) over k, 0) / 2 end)), 0) * cast(count(close) over k >= 200 as integer) as mean_reversion_signal from market window k as (order by date rows 199 preceding))"""
+_COMP = ctes("market", "assets", "weekly") + f""", {_STORAGE_Z}, {_SEASONAL_T}, {_WEATHER_Z}, {_SENTIMENT}, {_TECHNICAL},
+x as (select m.date, close, ln(close / lag(close) over (order by m.date)) as lr, (0.1 * storage_signal + 0.1 * seasonal_signal + 0.25 * technical_signal + 0.2 * mean_reversion_signal + 0.1 * weather_signal + 0.15 * sentiment_signal) / 0.9 as composite
+  from market m join storage s on s.date = m.date join seasonal e on e.date = m.date join technical t on t.date = m.date join reversion v on v.date = m.date join weather w on w.date = m.date join sentiment z on z.date = m.date),
+v as (select *, case when count(lr) over k >= 63 then stddev_samp(lr) over k end * sqrt(252.0) as v0 from x window k as (order by date rows 62 preceding)),
+f as (select *, greatest(0.05, coalesce(v0, first_value(v0 ignore nulls) over (order by date rows between current row and unbounded following))) as v from v),
+k as (select *, list(v) over (order by date rows unbounded preceding) as l from f),
+q as (select *, case when len(l) >= 252 then (len(list_filter(l, lambda y: y < v)) + (len(list_filter(l, lambda y: y = v)) + 1) / 2.0) / len(l) end as rk from k),
+s as (select *, case when rk > 0.93 then 0 when composite >= 0.05 then 1 when composite <= -0.15 then -1 else 0 end as signal from q)"""
 
 
-_COMP = ctes("bars") + f""", b as (select * from bars where year(date) <= 1996), x as (select *, ln(close / lag(close) {W}) as lr, least(1.0, greatest(-1.0, -(close / 200000 - 1))) as mr, case when volume > 1 then 1.0 else -1.0 end as tech from b),
-v as (select *, {roll('stddev_samp(lr)', 'lr', 63)} * sqrt(252.0) as v0, mr * (0.2 / 0.45) + tech * (0.25 / 0.45) as composite from x),
-f as (select *, greatest(0.05, coalesce(v0, first_value(v0 ignore nulls) over (partition by symbol order by date rows between current row and unbounded following))) as v from v),
-k as (select *, list(v) over (partition by symbol order by date rows unbounded preceding) as l from f),
-q as (select *, case when len(l) >= 252 then (len(list_filter(l, lambda y: y < v)) + (len(list_filter(l, lambda y: y = v)) + 1) / 2.0) / len(l) end as rk from k),
-s as (select *, case when rk > 0.93 then 0 when composite >= 0.05 then 1 when composite <= -0.15 then -1 else 0 end as signal from q)
-select symbol, date, {r('composite', 'composite')}, signal, {r('least(1.0, greatest(-0.5, signal * (0.4 + 0.6 * least(abs(composite), 0.8) / 0.8) * least(0.4 / v, 1.5)))', 'position_size')} from s"""
+def _composite(spark, sf):
+    df, parts = signals.composite_parts(fr.market(spark, sf).select("date", "close"), fr.weekly(spark, sf), _days(spark, sf), _tone(spark, sf), _gpr(spark, sf))
+    return signals.Composite().apply(df, parts)
 
 
-@query("composite_signal", _COMP)
+@query("composite_signal", _COMP + f" select date, {r('composite', 'composite')}, signal, {r('least(1.0, greatest(-0.5, signal * (0.4 + 0.6 * least(abs(composite), 0.8) / 0.8) * least(0.4 / v, 1.5)))', 'position_size')} from s")
 def composite_signal(spark, sf):
-    b = fr.bars(spark, sf).where("year(date) <= 1996")
-    parts = {"mean_reversion": clip(-(F.col("close") / 200000 - 1), -1.0, 1.0), "technical": F.when(F.col("volume") > 1, 1.0).otherwise(-1.0)}
-    return rounded(signals.Composite().apply(b, parts, ("symbol",)).select("symbol", "date", "composite", "signal", "position_size"))
+    return rounded(_composite(spark, sf).select("date", "composite", "signal", "position_size"))
+
+
+@query("annual_signal", _COMP + f" select year(date) as year, {r('avg(signal)', 'mean_signal')}, count(*) filter (where signal > 0) as n_long, count(*) filter (where signal < 0) as n_short, count(*) filter (where signal = 0) as n_flat from s group by year(date)")
+def annual_signal(spark, sf):
+    return rounded(report.annual_signal(_composite(spark, sf)).withColumn("year", F.col("year").cast("long")))
+
+
+@query("strategy_walk_forward")
+def strategy_walk_forward(spark, sf):
+    folds = signals.walk_forward(_composite(spark, sf).select("date", "close", "signal", "position_size"))
+    return backtest.report(backtest.run(folds, backtest.Config(), ("fold",), size="position_size"), ("fold",), risk_free=0.03)
 
 
 @query("regime_hmm")
@@ -204,10 +243,36 @@ def edge_slices(spark, sf):
     return rounded(ml.slices(h, ["symbol", "year"]))
 
 
+_HITS = "h as (select event_type, event_id, ts, value / 100 as p, case when (value >= 50) = (event_id % 2 = 1) then 1 else 0 end as hit from events)"
+
+
+def _hits(spark, sf):
+    v, i = F.col("value"), F.col("event_id")
+    return fr.read(spark, sf, "events").select("event_type", "event_id", F.col("ts").alias("date"), (v / 100).alias("p"), flag((v >= 50) == (i % 2 == 1)).alias("hit"), flag(v >= 50).alias("direction"), flag(i % 3 == 0).alias("other"))
+
+
+@query("confidence_slices", f"with {_HITS}, c as (select hit, case when greatest(p, 1 - p) < 0.55 then 0.5 when greatest(p, 1 - p) < 0.6 then 0.55 when greatest(p, 1 - p) < 0.7 then 0.6 when greatest(p, 1 - p) < 1.01 then 0.7 end as low from h) select cast(low as double) as low, count(*) as n, {r('avg(hit)', 'accuracy')} from c where low is not null group by low")
+def confidence_slices(spark, sf):
+    return rounded(ml.confidence_slices(_hits(spark, sf), "p", "hit"))
+
+
+@query("model_agreement", f"""with h as (select value >= 50 as d, event_id % 3 = 0 as e, event_id % 2 = 1 as up from events), k as (select d = e as same, d = up as x, e = up as y from h)
+select count(*) as n, count(*) filter (where same) as agree, count(*) filter (where x and y) as both_right, count(*) filter (where not x and not y) as both_wrong, {r('avg(x::int) filter (where same)', 'accuracy_when_agree')} from k""")
+def model_agreement(spark, sf):
+    h = _hits(spark, sf)
+    other = h.select("event_id", F.col("other").alias("direction"), flag(F.col("other") == (F.col("event_id") % 2)).alias("hit"))
+    return rounded(ml.agreement(h, other, ("event_id",)))
+
+
+@query("rolling_accuracy", f"with {_HITS} select event_type, event_id, {r('case when count(*) over k >= 60 then avg(hit) over k end', 'rolling_acc')} from h window k as (partition by event_type order by ts rows 59 preceding)")
+def rolling_accuracy(spark, sf):
+    return rounded(ml.rolling_accuracy(_hits(spark, sf), ("event_type",)).select("event_type", "event_id", "rolling_acc"))
+
+
 @query("permutation_test")
 def permutation_test(spark, sf):
     e = fr.read(spark, sf, "events")
-    return ml.permutation_test(e.select((F.col("value") > 50).cast("int").alias("a"), (F.col("event_id") % 2).cast("int").alias("p")), "a", "p")
+    return ml.permutation_test(e.select("event_id", (F.col("value") > 50).cast("int").alias("a"), (F.col("event_id") % 2).cast("int").alias("p")), "a", "p", on="event_id")
 
 
 @query("gbt_forecast")
