@@ -30,6 +30,8 @@ Defined results
 
 from __future__ import annotations
 
+import codecs
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -51,10 +53,13 @@ TIE_BITS = 62 - DIMS * GRID_BITS
 RANGE_BYTES, SAMPLE = 512 << 20, 20
 #: Ids of so many short pieces of text are remembered by a Python worker.
 REMEMBERED, SHORT = 500_000, 48
-#: White space and what follows it up to the next white space.
-PIECE = re.compile(r"\s*\S+|\s+")
-#: A piece that begins with one blank at most; how many are tokenised at once.
-PLAIN, TOGETHER = re.compile(r" ?\S+"), 2000
+#: A Latin word, with the blank before it, that no letter follows; else white space
+#: and what follows it up to the next white space.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PIECE = re.compile(rf" ?[{LETTERS}]++(?![^\W\d_])|\s*\S+|\s+")
+PLAIN = re.compile(rf" ?[{LETTERS}]+")
+#: How many plain words go through the model at once.
+TOGETHER = 500
 
 _encoders: dict = {}
 
@@ -69,40 +74,49 @@ def vocabulary() -> str:
 def encoder(path: str, kind: type = np.uint32, special_as_text: bool = False) -> Callable[[list[str]], list[bytes]]:
     """texts -> their ids as arrays of ``kind`` in bytes; made once a process.
 
-    No rule of a byte-level tokenizer's word pattern goes from a visible character
-    on into white space, and its special tokens have none inside.  So the ids of a
-    text are those of its pieces, each from white space up to the next one, and the
-    ids of frequent pieces need not be made again.  New pieces that begin with one
-    blank at most are tokenised many at once, with line feeds between them, at which
-    their ids are taken apart again.
+    No rule of a byte-level tokenizer's word pattern goes on from a letter to another
+    kind of character, or from a visible character into white space, and its special
+    tokens have no white space and no letter first.  So the ids of a text are those of
+    its pieces, and the ids of frequent pieces need not be made again.  A plain word is
+    one match of the pattern; its bytes go to the model as they are after the
+    pre-tokenizer, many words at once with a line feed, which they lack, between two.
     """
     key = path, kind, special_as_text
     if key in _encoders:
         return _encoders[key]
-    from tokenizers import Tokenizer
+    # Spark runs a worker on every core; threads of the tokenizer's own would only contend.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, pre_tokenizers
 
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = special_as_text
-    feed = made.encode("\n", add_special_tokens=False).ids
+    bare = Tokenizer(made.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    # Printable bytes stand for themselves; the others are numbered on from 256.
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    signs = "".join(chr(b if b in printable else 256 + others.index(b)) for b in range(256))
+    feed = signs[10]
+    feed_id = bare.token_to_id(feed)
     known: dict[str, bytes] = {}
 
     def each(pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=kind).tobytes() for e in made.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def at_once(pieces: list[str]) -> list[bytes]:
-        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+    def at_once(words: list[str]) -> list[bytes]:
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        joined = [codecs.charmap_decode("\n".join(g).encode(), "strict", signs)[0] for g in groups]
         out = []
-        for group, e in zip(groups, made.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, bare.encode_batch_fast([x.replace(feed, f"\n{feed}\n") for x in joined], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=kind)
-            cuts = np.concatenate(([-1], np.flatnonzero(ids == feed[0]), [len(ids)])) * ids.itemsize
+            cuts = np.concatenate(([-1], np.flatnonzero(ids == feed_id), [len(ids)])) * ids.itemsize
             raw = ids.tobytes()
-            found = [raw[a + ids.itemsize : b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            out += found if len(found) == len(group) else each(group)
+            out += [raw[a + ids.itemsize : b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         return out
 
     def ids_of(pieces: list[str]) -> dict[str, bytes]:
-        plain = [p for p in pieces if len(feed) == 1 and PLAIN.fullmatch(p)]
-        other = [p for p in pieces if len(feed) != 1 or not PLAIN.fullmatch(p)]
+        plain = list(filter(PLAIN.fullmatch, pieces))
+        other = list(set(pieces).difference(plain))
         return dict(zip(plain + other, at_once(plain) + each(other), strict=True))
 
     def encode(texts: list[str]) -> list[bytes]:
@@ -176,7 +190,7 @@ def _tokenise(path: str, end: int, wide: bool, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.uint32 if wide else np.uint16
         encode, last = encoder(path, kind, special_as_text), np.array([end], dtype=kind).tobytes()
-        for batch in kernels.slices(batches):
+        for batch in kernels.slices(batches, 2000):
             ids = [x + last for x in encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), _key(batch.column(1), batch.column(2)), pa.array([len(x) for x in ids]), pa.array(ids, pa.binary())], ["doc_id", "key", "bytes", "ids"])
 
