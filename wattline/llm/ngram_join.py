@@ -19,8 +19,8 @@ den * |A and B| >= num * |A or B| over their sets of distinct word shingles.
 4. *No quadratic groups.*  In each shingle's group all members first meet only
    one hub, the member with the fewest rarer shingles.  Links found there are
    contracted.  A pair that is still apart must share a second shingle among the
-   first n - ceil(t n) + 2, so groups with members apart are split by each
-   member's other first shingles, and only members that share both meet.  So every
+   first n - ceil(t n) + 2, so large groups with members apart are split by each
+   member's later first shingles, and only members that share both meet.  So every
    pair that may link is either tested or already known to be connected, and many
    unlike texts that have one shingle in common do not meet at all.
 5. *Vertical counting.*  The order is cut at pivots into fragments.  For each
@@ -57,6 +57,8 @@ LEAST_BITS, MOST_BITS, COUNTERS = 22, 26, 16
 SLICES = 64
 FRAGMENTS = 8
 HISTOGRAM = 32
+#: Members of a group that may all meet; larger groups are split first.
+FEW = 32
 #: Candidate pairs up to this many are broadcast (some 60 bytes each).
 BROADCAST_PAIRS = 500_000
 #: Candidate ids up to this many are broadcast to the scan (8 bytes each, so at
@@ -266,22 +268,33 @@ def _side(df: DataFrame, name: str) -> DataFrame:
 
 
 def _still_apart(rooted: DataFrame, firsts: DataFrame, j: _Join) -> DataFrame:
-    """Pairs of members of one group that no link found so far connects and that share
-    a second one of their first shingles.
+    """Pairs of members of one group that no link found so far connects.
 
-    A set that could link with an overlap of one keeps its whole group as well; from a
-    threshold of one half on that is no set of two shingles or more.
+    In a group of more than FEW members, only those meet that share a second one of
+    their first shingles, further on in the order; a pair whose second shared one comes
+    before meets in that one's group.  A set that could link with an overlap of one
+    keeps its whole group as well; from a threshold of one half on that is no set of two
+    shingles or more.
     """
-    state = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-    open_keys = rooted.join(settle(state.where("a <> b").select("key")), "key").join(firsts, "node")
-    others = F.array_remove("first", F.col("key"))
+    least = F.min(F.struct("pos", "node", "root"))["root"].alias("h_root")
+    state = rooted.groupBy("key").agg(least, F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("members"))
+    state = settle(state.where("a <> b").select("key", "h_root", "members"))
+    open_keys = settle(rooted.join(state, "key"))
+    few = open_keys.where(F.col("members") <= FEW).select(F.col("key").alias("cell"), "node", "n", "pos", "root", "h_root")
+
+    later = F.slice("first", F.col("pos") + 2, F.size("first"))
     whole = F.when(-F.floor(-j.num * F.col("n") / j.den) <= 1, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
-    cells = open_keys.select(F.explode(F.concat(others, whole)).alias("second"), "key", "node", "n", "pos", "root")
+    many = open_keys.where(F.col("members") > FEW).drop("h_root").join(firsts, "node")
+    cells = many.select(F.explode(F.concat(later, whole)).alias("second"), "key", "node", "n", "pos", "root")
     cells = cells.select(F.xxhash64("key", "second").alias("cell"), "node", "n", "pos", "root")
-    ends = cells.groupBy("cell").agg(F.min(F.struct("pos", "node", "root"))["root"].alias("h_root"), F.min("root").alias("a"), F.max("root").alias("b"))
+    ends = cells.groupBy("cell").agg(least, F.min("root").alias("a"), F.max("root").alias("b"))
     shared = settle(cells.join(settle(ends.where("a <> b").select("cell", "h_root")), "cell"))
-    apart, every = _side(shared.where("root <> h_root"), "x"), _side(shared, "y")
-    return apart.join(every, "cell").where((F.col("x_root") != F.col("y_root")) & _may_link("x", "y", j.num, j.den))
+
+    def meet(rows: DataFrame) -> DataFrame:
+        apart, every = _side(rows.where("root <> h_root"), "x"), _side(rows, "y")
+        return apart.join(every, "cell").where((F.col("x_root") != F.col("y_root")) & _may_link("x", "y", j.num, j.den)).drop("cell")
+
+    return meet(few).unionByName(meet(shared))
 
 
 def _links(sets: DataFrame, j: _Join) -> DataFrame:
