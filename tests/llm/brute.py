@@ -83,13 +83,15 @@ def kneser_ney_ratios(corpus, toxic, ordinary, said, order=6, own=2.0, shared=0.
         if c:
             before[c[1:], x] += 1
 
-    def backoff(context, x, d):
-        if d > len(context):
+    def backoff(context, x, lengths=(None, 3, 1, 0)):
+        lengths = [n for n in lengths if n is None or n < len(context)]
+        if not lengths:
             return 1 / 256
-        c, table = context[d:], before if d else longest
+        c = context if lengths[0] is None else context[len(context) - lengths[0] :]
+        table = longest if lengths[0] is None else before
         total = sum(n for (k, _), n in table.items() if k == c)
         kinds = sum(1 for k, _ in table if k == c)
-        return (max(table.get((c, x), 0) - shared, 0) + shared * kinds * backoff(context, x, d + 1)) / total
+        return (max(table.get((c, x), 0) - shared, 0) + shared * kinds * backoff(context, x, lengths[1:])) / total
 
     def prob(counts, context, x):
         mine = defaultdict(int)
@@ -99,9 +101,9 @@ def kneser_ney_ratios(corpus, toxic, ordinary, said, order=6, own=2.0, shared=0.
                     mine[y] += n
         total = sum(mine.values())
         if not total:
-            return backoff(context, x, 0)
+            return backoff(context, x)
         freed = sum(min(n, own) for n in mine.values())
-        return max(mine[x] - own, 0) / total + freed / total * backoff(context, x, 0)
+        return max(mine[x] - own, 0) / total + freed / total * backoff(context, x)
 
     out = {}
     for word in said:

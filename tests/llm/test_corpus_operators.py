@@ -192,6 +192,16 @@ def test_one_shingle_in_thousands_of_unlike_texts_makes_no_quadratic_join(spark)
     assert {(0, 1), (0, 2), (0, 3)} <= {tuple(sorted(r)) for r in joined} and len(joined) < 20
 
 
+@pytest.mark.parametrize("few", [1, 4])
+def test_split_groups_lose_no_link(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rng = random.Random(few)
+    rows = list(enumerate(t for n, words, edits in ((30, 60, 4), (20, 25, 2), (12, 9, 1)) for t in _family(rng, n, words, edits)))
+    for bits, num in ((6, 80), (22, 70), (6, 40)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join._members(docs(spark, [(i, t, "s") for i, t in rows]), 2, (num, 100), "doc_id", "text", bits=bits).collect()}
+        assert got == brute.components(rows, 2, num, 100), (bits, num)
+
+
 def test_sketch_grows_with_the_input():
     assert [ngram_join.sketch_bits(n) for n in (0, 10, 10**6, 10**12)] == [22, 22, 24, 26]
 

@@ -18,7 +18,7 @@ harmless words carry no evidence, while a rare form of a toxic root does.
 
 What is bounded: ``max_rows`` labelled ids, and ``max_bytes`` of their texts, taken
 in the order of a hash of their ids, are learnt from (documented bounds, 16,000 and
-64 MB by default); so the class counts, the models (a few MB, broadcast) and the
+32 MB by default); so the class counts, the models (a few MB, broadcast) and the
 calibration rows are bounded too.  Everything else - shared counts, every document,
 every word - covers all texts; scoring is one pass with no shuffle.
 
@@ -45,9 +45,11 @@ from wattline.llm import kernels
 from wattline.llm.text import settle, small_batches
 
 MAX_ROWS = 16_000
-MAX_BYTES = 64 << 20
+MAX_BYTES = 32 << 20
 FEATURES = 4
 ORDER = 6
+#: Lengths of the shorter contexts, each the backoff of the one before.
+LENGTHS = (3, 1, 0)
 DISCOUNT = 2.0
 SHARED_DISCOUNT = 0.75
 SPAN = 5
@@ -100,22 +102,22 @@ class _Windows:
 def gram_rows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each level: (level, unit, gram, context, weight) of distinct words.
 
-    Level d leaves out the first d bytes of a gram.  At level 0 the units are the grams
-    themselves, weighing their words' counts; above, the distinct grams of the level
-    below, so that their number is the continuation count.  ``wanted`` (sorted) limits
-    the contexts.
+    Level 0 has the longest contexts; its units are the grams themselves, weighing their
+    words' counts.  The others have contexts of LENGTHS letters; their units are the
+    distinct grams of one letter more, so that their number is the continuation count.
+    ``wanted`` (sorted) limits the contexts.
     """
     framed, place, word = _frame(data, starts, ends)
     windows = _Windows(framed, place)
-    rows = np.arange(len(windows.at))
-    for dropped in range(ORDER):
-        rows = rows[windows.context[rows] >= dropped]
+    for level, length in enumerate((None, *LENGTHS)):
+        rows = np.arange(len(windows.at)) if length is None else np.flatnonzero(windows.context > length)
+        dropped = 0 if length is None else windows.context[rows] - length
         gram, context = windows.hashes(rows, dropped)
-        unit = gram if dropped == 0 else windows.hashes(rows, dropped - 1)[0]
+        unit = gram if level == 0 else windows.hashes(rows, dropped - 1)[0]
         known = np.ones(len(rows), dtype=bool) if wanted is None else _is_in(context, wanted)
         unit, first, inverse = np.unique(unit[known], return_index=True, return_inverse=True)
-        weight = np.bincount(inverse, weights=counts[word[windows.at[rows[known]]]], minlength=len(unit)) if dropped == 0 else np.ones(len(unit))
-        yield dropped, unit, gram[known][first], context[known][first], weight.astype(np.int64)
+        weight = np.bincount(inverse, weights=counts[word[windows.at[rows[known]]]], minlength=len(unit)) if level == 0 else np.ones(len(unit))
+        yield level, unit, gram[known][first], context[known][first], weight.astype(np.int64)
 
 
 def _is_in(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -153,9 +155,9 @@ def train(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, toxic: np.ndar
     gram, context = gram[rows], context[rows]
 
     backoff = np.full(len(rows), 1 / 256)
-    for dropped in reversed(range(ORDER)):
-        mine = windows.context[rows] >= dropped
-        lower, before = windows.hashes(rows[mine], dropped)
+    for length in (*reversed(LENGTHS), None):
+        mine = np.ones(len(rows), dtype=bool) if length is None else windows.context[rows] > length
+        lower, before = windows.hashes(rows[mine], 0 if length is None else windows.context[rows[mine]] - length)
         total, kinds = shared.context(before)
         backoff[mine] = (np.maximum(shared.gram(lower) - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds * backoff[mine]) / total
 
@@ -253,40 +255,71 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), pa.array(counts.astype(np.int64))], ["word", "n"])
 
 
-def _shared_counts(words: DataFrame, wanted_grams, wanted_contexts) -> Shared:
-    """Counts of the wanted grams and contexts over the corpus words (word, n).
+def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class words, in one task -> the hashes of their grams and contexts."""
+    batches = list(batches)
+    if not any(b.num_rows for b in batches):
+        return
+    table = pa.Table.from_batches(batches)
+    said, count = _words_of(table), np.ones(table.num_rows)
+    for is_gram, column in ((True, 2), (False, 3)):
+        found = np.unique(np.concatenate([np.unique(row[column]) for row in gram_rows(*said, count)]))
+        for a in range(0, len(found), 1 << 16):
+            part = found[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), is_gram)), pa.array(kernels.as_long(part))], ["is_gram", "hash"])
 
-    Units are counted by gram and grams by context in distributed aggregates; what
-    comes to the driver is bounded by the number of wanted grams and contexts.
+
+def _shared_counts(words: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, n) of the wanted grams and (context, total, kinds) of the wanted contexts over
+    the corpus words (word, n).
+
+    Units are counted by gram and grams by context in distributed aggregates.  Broadcast
+    are the contexts of the bounded class words.
     """
+    contexts = needs.where("not is_gram").select("hash").toArrow().column("hash").to_numpy().view(np.uint64)
+    wanted = words.sparkSession.sparkContext.broadcast(np.sort(contexts))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(a, 20_000) for a in range(0, batch.num_rows, 20_000)):
+            for part in (batch.slice(a, 50_000) for a in range(0, batch.num_rows, 50_000)):
                 table = pa.Table.from_batches([part])
-                for level, *columns in gram_rows(*_words_of(table), table.column("n").to_numpy(), wanted_contexts.value):
-                    unit, gram, context, weight = columns
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), level == 0)), *(pa.array(kernels.as_long(x)) for x in (unit, gram, context)), pa.array(weight)], ["top", "unit", "gram", "context", "weight"])
-
-    units = words.mapInArrow(spread, "top boolean, unit long, gram long, context long, weight long")
-    # A unit below the top counts once, however many tasks and levels have seen it.
-    units = units.groupBy("top", "unit", "gram", "context").agg(F.sum("weight").alias("weight"))
-    count = F.sum(F.when(F.col("top"), F.col("weight")).otherwise(F.lit(1).cast("long")))
+                for level, unit, gram, context, weight in gram_rows(*_words_of(table), table.column("n").to_numpy(), wanted.value):
+                    # Above the longest context a gram's units are counted, else their words.
+                    of = pa.array(kernels.as_long(unit), mask=np.full(len(unit), level == 0))
+                    yield pa.RecordBatch.from_arrays([of, *(pa.array(kernels.as_long(x)) for x in (gram, context)), pa.array(weight)], ["unit", "gram", "context", "weight"])
+
+    units = words.mapInArrow(spread, "unit long, gram long, context long, weight long")
+    # A unit counts once, however many tasks have seen it.
+    units = units.groupBy("unit", "gram", "context").agg(F.sum("weight").alias("weight"))
+    count = F.sum(F.when(F.col("unit").isNull(), F.col("weight")).otherwise(F.lit(1).cast("long")))
     grams = settle(units.groupBy("gram", "context").agg(count.alias("n")))
-    totals = grams.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).toArrow()
+    totals = grams.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    return grams.select("gram", "n").join(needs.where("is_gram").select(F.col("hash").alias("gram")), "gram", "left_semi"), totals
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_is_in(batch.column(0).to_numpy().view(np.uint64), wanted_grams.value)))
 
-    found = grams.select("gram", "n").mapInArrow(pick, "gram long, n long").toArrow()
+def _train_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class words, wanted grams and contexts of the bounded sample, in one task -> one model."""
+    parts: dict[int, list] = {0: [], 1: [], 2: []}
+    for batch in batches:
+        kinds = batch.column(0).to_numpy()
+        for kind in np.unique(kinds).tolist():
+            rows = batch.filter(pa.array(kinds == kind))
+            parts[kind].append((rows.select(["word"]) if kind == 0 else None, *(rows.column(i).to_numpy() for i in (2, 3, 4))))
+    if not parts[0]:
+        return
 
-    def column(table: pa.Table, name: str) -> np.ndarray:
-        return table.column(name).to_numpy()
+    def column(kind: int, i: int) -> np.ndarray:
+        return np.concatenate([row[i] for row in parts[kind]])
 
-    gram, context = column(found, "gram").view(np.uint64), column(totals, "context").view(np.uint64)
+    gram, context = column(1, 1).view(np.uint64), column(2, 1).view(np.uint64)
     g, c = np.argsort(gram), np.argsort(context)
-    return Shared(gram[g], column(found, "n")[g], context[c], column(totals, "total")[c], column(totals, "kinds")[c])
+    shared = Shared(gram[g], column(1, 2)[g], context[c], column(2, 2)[c], column(2, 3)[c])
+    said = pa.Table.from_batches([row[0] for row in parts[0]])
+    toxic, ordinary = column(0, 2), column(0, 3)
+    del parts
+    model = train(*_words_of(said), toxic, ordinary, shared)
+    made = [model.grams, model.gram_ratio, model.contexts, model.context_ratio]
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], ["g", "gr", "c", "cr"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,18 +343,22 @@ def _remainder(ids: Column) -> Column:
 
 
 def fit_model(texts: DataFrame, learnt: DataFrame) -> Model:
-    """The model from all ``texts`` and the bounded labelled rows ``learnt`` (text, toxic)."""
-    spark = texts.sparkSession
+    """The model from all ``texts`` and the bounded labelled rows ``learnt`` (text, toxic).
+
+    The two one-task steps see what the bounded sample holds, whatever the corpus.
+    """
     words = learnt.select("text", "toxic").mapInArrow(_count_words, "word binary, t long, o long")
-    table = words.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).orderBy("word").toArrow()
-    if not table.num_rows:
-        return Model(*(np.zeros(0, k) for k in (np.uint64, np.float32, np.uint64, np.float32)))
-    said = _words_of(table)
-    every = list(gram_rows(*said, np.ones(table.num_rows)))
-    grams, contexts = (np.unique(np.concatenate([row[i] for row in every])) for i in (2, 3))
+    words = settle(words.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
+    needs = settle(words.coalesce(1).mapInArrow(_needs, "is_gram boolean, hash long"))
     corpus = texts.select("text").mapInArrow(_vocabulary, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    shared = _shared_counts(corpus, spark.sparkContext.broadcast(grams), spark.sparkContext.broadcast(contexts))
-    return train(*said, table.column("t").to_numpy(), table.column("o").to_numpy(), shared)
+    grams, totals = _shared_counts(corpus, needs)
+    none = F.lit(0).cast("long")
+    rows = words.select(F.lit(0).alias("kind"), "word", none.alias("a"), F.col("t").alias("b"), F.col("o").alias("c"))
+    rows = rows.union(grams.select(F.lit(1), F.lit(None).cast("binary"), "gram", "n", none))
+    rows = rows.union(totals.select(F.lit(2), F.lit(None).cast("binary"), "context", "total", "kinds"))
+    made = settle(rows).coalesce(1).mapInArrow(_train_on, "g binary, gr binary, c binary, cr binary").collect()
+    kinds = (np.uint64, np.float32, np.uint64, np.float32)
+    return Model(*(np.frombuffer(b, k) for b, k in zip(made[0], kinds, strict=True))) if made else Model(*(np.zeros(0, k) for k in kinds))
 
 
 def labelled(texts: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
