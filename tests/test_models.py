@@ -132,3 +132,48 @@ def test_position_book_covers_every_account(spark):
     got = registry.queries()["position_book"](spark, SF)
     accounts = spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count()
     assert got.select("account").distinct().count() == accounts
+
+
+def _logistic(x, y, at, penalty=1.0):
+    """Probability at ``at`` by the penalised likelihood, found by Newton steps."""
+    a, w = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        grad = a.T @ (p - y) / len(x) + penalty * np.array([0, w[1]])
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a / len(x) + penalty * np.diag([0, 1.0]), grad)
+    return 1 / (1 + np.exp(-(w[0] + w[1] * at)))
+
+
+def test_experiments_match_ridge_on_each_fold(spark):
+    n = 120
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=n)
+    price = np.exp(np.cumsum(np.r_[0, 0.01 * x[:-1] + 0.001 * rng.normal(size=n - 1)]))
+    df = pd.DataFrame({"date": pd.date_range("2020-01-01", periods=n).date, "x": x, "close": price})
+    df.loc[4, "x"] = None
+    got = ml.experiments(spark.createDataFrame(df), ["x"], "close", ml.linear_models(), horizons=(1, 5), folds=3).toPandas()
+    assert {(r.horizon, r.kind, r.model) for r in got.itertuples()} == {(h, k, m) for h in (1, 5) for k, m in (("regression", "ridge"), ("classification", "logistic"))}
+    for h in (1, 5):
+        y = np.log(price[h:] / price[:-h])[::h]
+        f = np.nan_to_num(df["x"].to_numpy(dtype=float)[: n - h][::h])
+        size, mae, hits = len(y) // 4, [], []
+        for k in range(3):
+            a, b = size * (k + 1), size * (k + 2)
+            # Spark penalises standardised slopes of a standardised label.
+            sx, sy = f[:a].std(ddof=1), y[:a].std(ddof=1)
+            u, v = (f[:a] - f[:a].mean()) / sx, (y[:a] - y[:a].mean()) / sy
+            slope = (u @ v / a) / (u @ u / a + 1.0 / sy) * sy / sx
+            hits.append(((_logistic(u, y[:a] > 0, (f[a:b] - f[:a].mean()) / sx) > 0.5) == (y[a:b] > 0)).mean())
+            mae.append(np.abs(y[a:b] - (y[:a].mean() + slope * (f[a:b] - f[:a].mean()))).mean())
+        mine = got[(got.horizon == h) & (got.kind == "regression")].set_index("metric")
+        assert mine.samples.iloc[0] == len(y)
+        assert np.isclose(mine.loc["mae", "mean"], np.mean(mae), rtol=0.05)
+        accuracy = got[(got.horizon == h) & (got.metric == "accuracy")]["mean"].iloc[0]
+        assert np.isclose(accuracy, np.mean(hits)), h
+
+
+def test_class_scores(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0), (1.0, 1.0)], "target double, prediction double")
+    s = ml.class_scores(df)
+    assert s == {"accuracy": 0.6, "precision": 2 / 3, "f1": 4 / 6}
+    assert ml.class_scores(df.where("false")) == {"accuracy": 0.0, "precision": 0.0, "f1": 0.0}

@@ -260,30 +260,54 @@ def test_composite_is_causal(spark, ohlcv):
 
 def test_near_duplicates_keep_first_and_do_not_chain(spark):
     base = "gas storage levels fell again this week as cold weather pushed demand higher across the region".split()
-    texts = [base, [*base[:-1], "area"], [*base[:-2], "whole", "area"], "an unrelated story about solar panels and batteries in another country".split()]
-    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "article_id long, full_text string")
-    pairs = {(r.a, r.b): r.cosine for r in news.similar_pairs(df, 0.5).collect()}
-    brute = {(r.a, r.b) for r in _cosines(df, 0.5)}
-    assert set(pairs) == brute
+    texts = [base, [*base[:-1], "area"], [*base[:-2], "whole", "area"], "an unrelated story about solar panels and batteries in another country".split(), base[::-1], ["the"], []]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "article_id long, title string")
+    for threshold, limit in ((0.5, 5000), (0.85, 5000), (0.5, 8)):
+        pairs = {(r.a, r.b) for r in news.similar_pairs(df, threshold, limit=limit).collect()}
+        v = _vectors([" ".join(t) for t in texts], limit)
+        first = [v.index(x) for x in v]
+        want = {(i, j) for i, j in itertools.combinations(range(5), 2) if first[i] == i and first[j] == j and _cosine(v[i], v[j]) >= threshold}
+        want |= {(first[i], i) for i in range(5) if first[i] < i}
+        assert pairs == want, (threshold, limit)
     p = spark.createDataFrame([(0, 1), (1, 2), (3, 4)], "a long, b long")
     assert sorted(r[0] for r in news.greedy_drop(p).collect()) == [1, 4]
 
 
+def test_many_titles_with_one_bag_of_terms_make_no_pairs_among_themselves(spark):
+    df = spark.range(3000).select(F.col("id").alias("article_id"), F.concat(F.lit("Gas prices rise, storage falls"), F.repeat(F.lit("!"), (F.col("id") % 9).cast("int"))).alias("title"))
+    pairs = news.similar_pairs(df)
+    assert pairs.count() == 2999 and news.greedy_drop(pairs).count() == 2999
+
+
+def _clean(t):
+    t = re.sub(r"<[^>]+>", " ", t or "")
+    return re.sub(r"[^\w .,!?;:'\"()%$-]", "", re.sub(r"\s+", " ", t).strip(" "))
+
+
+def _vectors(titles, limit=5000):
+    counts = [collections.Counter(w for w in re.split(r"\W+", t.lower()) if len(w) >= 2 and w not in news.STOP_WORDS) for t in titles]
+    total = sum(counts, collections.Counter())
+    known = sorted(total, key=lambda w: (-total[w], w))[:limit]
+    found = {w: sum(w in c for c in counts) for w in known}
+    return [{w: n * (math.log((1 + len(titles)) / (1 + found[w])) + 1) for w, n in c.items() if w in found} for c in counts]
+
+
+def _cosine(x, y):
+    norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y.get(w, 0.0) for w, v in x.items()) / norm if norm else 0.0
+
+
 def test_news_query_matches_brute_force(spark):
     a = pd.DataFrame([r.asDict() for r in frames.articles(spark, "/root/testdata/sf0.001").collect()])
-    clean = lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s.,!?;:'\"()%$-]", " ", re.sub(r"<[^>]+>", " ", t or ""))).strip(" ")
-    a["title"], a["content"] = a["title"].map(clean), a["content"].map(clean)
-    a["full_text"] = a["title"] + " " + a["content"]
-    a = a[(a["content"].str.len() >= 20) & a["full_text"].str.lower().map(lambda t: any(k in t for k in ("en", "de", "la")))]
+    a["title"], a["content"] = a["title"].map(_clean), a["content"].map(_clean)
+    both = (a["title"] + " " + a["content"]).str.lower()
+    a = a[(a["title"].str.len() >= 20) & both.map(lambda t: any(k in t for k in ("en", "de", "la")))]
     a["key"] = a["title"].str.strip(" ").str.lower()
     a = a.sort_values(["date", "article_id"]).drop_duplicates("key").sort_values("article_id").reset_index(drop=True)
-    counts = [collections.Counter(w for w in re.split(r"\W+", t.lower()) if len(w) >= 3) for t in a["full_text"]]
-    found = collections.Counter(w for c in counts for w in c)
-    rows = [{w: n * (math.log((1 + len(a)) / (1 + found[w])) + 1) for w, n in c.items()} for c in counts]
-    norms = [math.sqrt(sum(x * x for x in v.values())) for v in rows]
+    v = _vectors(a["title"])
     kept = []
-    for i, v in enumerate(rows):
-        if all(sum(x * rows[j].get(w, 0.0) for w, x in v.items()) < 0.85 * norms[i] * norms[j] for j in kept):
+    for i in range(len(a)):
+        if all(_cosine(v[i], v[j]) < 0.85 for j in kept):
             kept.append(i)
     assert 0 < len(kept) < len(a)
     got = [(r.article_id, r.date, r.title) for r in text.news_process(spark, "/root/testdata/sf0.001").collect()]
@@ -291,16 +315,52 @@ def test_news_query_matches_brute_force(spark):
     assert got == list(zip(want["article_id"], want["date"], want["title"], strict=True))
 
 
-def _cosines(df, t):
-    v = news.tf_idf(df)
-    a, b = v.toDF("a", "term", "x", "d"), v.toDF("b", "term", "y", "e")
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("c")).where(F.col("c") >= t).collect()
+def test_news_process_edges(spark):
+    schema = "article_id long, title string, description string, date date"
+    rows = [(1, "Gas storage falls <b>sharply</b> this week", None, D0), (2, "short gas", "x", D0), (3, None, "gas", D0), (4, "Gas storage falls sharply this week too", "y", None), (5, "An unrelated tale of gardens", "roses", D0), (6, "GAS STORAGE falls sharply this week", "z", day(1))]
+    got = news.process(spark.createDataFrame(rows, schema), ["gas"]).collect()
+    assert [(r.article_id, r.full_text) for r in got] == [(1, "Gas storage falls sharply this week. ")]
+    assert news.process(spark.createDataFrame([], schema), ["gas"]).collect() == []
 
 
 def test_splitter():
     text = "\n\n".join("word " * 60 for _ in range(5)).strip()
-    chunks = retrieval.split_text(text, 400, 50)
-    assert all(len(c) <= 600 for c in chunks) and len(chunks) == 5 and retrieval.split_text("") == []
+    assert retrieval.split_text("") == [] and retrieval.split_text(" \n") == [] and retrieval.split_text("ab") == ["ab"]
+    # Lines fit: packed by blank lines, each led by the tail of the one before and the separator.
+    assert retrieval.split_text("aaaa\n\nbbbb\n\ncc", 6, 2) == ["aaaa", "aa\n\nbbbb", "bb\n\ncc"]
+    # A lead that makes a chunk longer than one and a half sizes is left out.
+    assert retrieval.split_text("aaaa\n\nbbbbbb", 6, 2) == ["aaaa", "bbbbbb"]
+    # Characters, where no separator helps; the levels above lead again with their separator where it fits.
+    assert retrieval.split_text("abcdefgh", 4, 1, ("",)) == ["abcd", "defgh"]
+    assert retrieval.split_text("abcdefgh", 4, 1, (" ", "")) == ["abcd", "defgh"]
+    assert retrieval.split_text("abcdefgh", 4, 0) == ["abcd", "efgh"]
+    assert all(len(c) <= 600 for c in retrieval.split_text(text, 400, 50))
+
+
+def test_chunks_keep_their_place(spark):
+    pages = spark.createDataFrame([("f", "aaaa" + " " * 9 + "\n\nbbbb"), ("g", None), ("h", "  ")], "filename string, text string")
+    got = [(r.filename, r.text, r.chunk_index, r.char_count) for r in retrieval.chunk_pages(pages, size=4, overlap=0).collect()]
+    parts = retrieval.split_text("aaaa" + " " * 9 + "\n\nbbbb", 4, 0)
+    assert got == [("f", c.strip(), i, len(c)) for i, c in enumerate(parts) if c.strip()] and {"aaaa", "bbbb"} <= {g[1] for g in got}
+
+
+def test_questions_are_answered_from_their_chunks(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0], "one", "a.txt"), (2, [0.9, 0.1], "two\nlines", "b.txt"), (3, [0.0, 1.0], None, None)], "vec_id long, embedding array<double>, text string, source string")
+    q = spark.createDataFrame([(7, [1.0, 0.0], "which?"), (8, [0.0, 1.0], None)], "query_id long, embedding array<double>, question string")
+    got = {r.query_id: r for r in retrieval.ask(q, corpus, lambda p: p, k=2, keep=2).collect()}
+    assert got[7].answer == "Context:\n[1] Source: a.txt\none\n\n---\n\n[2] Source: b.txt\ntwo\nlines\n\nQuestion: which?\n\nAnswer:"
+    assert got[7].sources == ["1", "2"] and got[8].sources == ["3", "2"]
+    assert got[8].answer.startswith("Context:\n[1] Source: Unknown\n\n\n---")
+    assert {r.query_id: r.answer for r in retrieval.ask(q, corpus).collect()} == {7: "one", 8: ""}
+    small = {r.query_id: r.answer for r in retrieval.ask(q, corpus, lambda p: p, max_tokens=6).collect()}
+    assert "[1]" in small[7] and "[2]" not in small[7]
+
+    def fails(prompts):
+        raise RuntimeError("no model")
+
+    assert {r.answer for r in retrieval.ask(q, corpus, fails).collect()} == {"Error generating answer: no model"}
+    none = retrieval.ask(q, corpus.where("false"), lambda p: p).collect()
+    assert len(none) == 2 and all(retrieval.NO_CONTEXT in r.answer and r.sources == [] for r in none)
 
 
 def test_model_contract(spark, tmp_path):
@@ -364,6 +424,48 @@ def test_sources(spark, tmp_path):
     assert landing.cached(spark, path, lambda: new).count() == 2
 
 
+def test_paged_reader_retries_and_ends_where_a_series_fails(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def fetch(key, offset, length):
+        import pathlib
+
+        region = key["region"]
+        if region == "flaky":
+            mark = pathlib.Path(folder) / f"{region}{key['fuel']}{offset}"
+            if not mark.exists():
+                mark.write_text("")
+                raise OSError("busy")
+        if region == "broken" and offset:
+            raise OSError("gone")
+        n = 7
+        data = [{"period": f"2024-01-01T{i:02d}", "value": "x" if i == 5 else i} for i in range(offset, min(n, offset + length))]
+        return {"response": {"total": str(n), "data": data if region != "empty" else []}}
+
+    waits = dict(shortest=0.0, longest=0.0)
+    got = landing.paged_generation(spark, ["flaky", "broken", "empty"], fetch, page=3, **waits)
+    assert got.columns == ["region", "fuel", "period", "value"]
+    seen = collections.Counter((r.region, r.fuel) for r in got.collect())
+    # Seven rows less the one that is no number; the first page alone where the second fails.
+    assert seen == {("flaky", "WND"): 6, ("flaky", "SUN"): 6, ("broken", "WND"): 3, ("broken", "SUN"): 3}
+    assert landing.hourly(landing.paged(spark, [{"region": "ok"}], fetch, page=3)).agg(F.sum("mw"), F.count("ts")).first()[:] == (16.0, 6)
+    with pytest.raises(Exception, match="gone"):
+        landing.paged(spark, [{"region": "broken"}], fetch, page=3, strict=True, **waits).collect()
+    assert landing.paged(spark, [], fetch).collect() == []
+
+
+def test_retry_waits_grow_within_bounds():
+    waits, calls = [], []
+
+    def fails():
+        calls.append(1)
+        raise OSError("down")
+
+    with pytest.raises(OSError, match="down"):
+        landing.retried(fails, tries=7, sleep=waits.append)
+    assert len(calls) == 7 and waits == [2, 2, 4, 8, 16, 30]
+
+
 def _drain(spark, df, tmp_path, mode="append"):
     out, where = str(tmp_path / "out"), str(tmp_path / "ck")
     if mode == "append":

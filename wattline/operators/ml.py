@@ -232,3 +232,65 @@ def cross_validate(model_of, folds: DataFrame, label: str = "target") -> list[di
         model = model_of().train(part.where("role = 'train'"))
         out.append({"fold": row["fold"], **model.evaluate(part.where("role = 'test'"))})
     return out
+
+
+def class_scores(df: DataFrame, label: str = "target") -> dict[str, float]:
+    """accuracy, precision, f1 of 0/1 predictions; 0 where nothing is predicted or true."""
+    y, p = F.col(label) == 1, F.col("prediction") == 1
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(y == p).alias("ok"), F.count_if(y & p).alias("tp"), F.count_if(p).alias("said"), F.count_if(y).alias("true")).first()
+    return {"accuracy": row.ok / row.n if row.n else 0.0, "precision": row.tp / row.said if row.said else 0.0, "f1": 2 * row.tp / (row.said + row.true) if row.said + row.true else 0.0}
+
+
+def linear_models() -> dict[str, Any]:
+    """kind -> (name, estimator): ridge and logistic regression."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.regression import LinearRegression
+
+    return {"regression": [("ridge", lambda: LinearRegression(regParam=1.0))], "classification": [("logistic", lambda: LogisticRegression(regParam=1.0))]}
+
+
+def all_models() -> dict[str, Any]:
+    """The linear models and boosted trees."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    out = linear_models()
+    out["regression"].append(("trees", lambda: GBTRegressor(seed=42, maxIter=20, maxDepth=4)))
+    out["classification"].append(("trees", lambda: GBTClassifier(seed=42, maxIter=20, maxDepth=4)))
+    return out
+
+
+def horizon_target(df: DataFrame, price: str, horizon: int, on: str = "date") -> DataFrame:
+    """Every ``horizon``-th row, so that targets do not overlap, with ``target``: the log
+    return over the next ``horizon`` rows."""
+    s = Series((), [on])
+    ahead = F.lead(price, horizon).over(s.w)
+    rows = df.withColumn("target", F.ln(F.try_divide(ahead, F.col(price)))).where("target is not null")
+    return rows.withColumn("_i", s.rank() - 1).where(F.col("_i") % horizon == 0).drop("_i")
+
+
+def experiments(df: DataFrame, features: list[str], price: str, models: dict[str, Any] | None = None, horizons: tuple[int, ...] = (1, 5, 20), folds: int = 5, on: str = "date") -> DataFrame:
+    """horizon, kind, model, samples, metric, mean, std over walk-forward folds.
+
+    Features without a value count as 0.  ``classification`` predicts whether the
+    return is above 0.  Fits are few (horizons * models * folds); their rows are
+    written once a horizon and stay distributed.
+    """
+    out = []
+    for horizon in horizons:
+        rows = horizon_target(df, price, horizon, on).fillna(0.0, subset=features)
+        parts = settle(walk_forward(rows, folds, on=on).select(on, "fold", "role", *features, "target"))
+        samples = rows.count()
+        for kind, choices in (models or all_models()).items():
+            y = parts if kind == "regression" else parts.withColumn("target", (F.col("target") > 0).cast("double"))
+            for name, estimator in choices:
+                scores = []
+                for fold in range(folds):
+                    part = y.where(F.col("fold") == fold)
+                    model = Model(name, estimator(), features).train(part.where("role = 'train'"))
+                    test = part.where("role = 'test'")
+                    scores.append(model.evaluate(test) if kind == "regression" else class_scores(model.predict(test)))
+                for metric in scores[0]:
+                    values = np.array([s[metric] for s in scores], dtype=float)
+                    out.append((horizon, kind, name, samples, metric, float(values.mean()), float(values.std())))
+    return df.sparkSession.createDataFrame(out, "horizon int, kind string, model string, samples long, metric string, mean double, std double")

@@ -16,11 +16,24 @@ POSITIVE = ("gain", "rise", "strong", "growth", "surge", "record", "improve", "b
 NEGATIVE = ("loss", "fall", "weak", "decline", "drop", "risk", "shortage", "bearish")
 
 
+#: Words that titles are not compared by; callers may pass their own.
+STOP_WORDS = tuple(
+    "a about above after again against all also am an and any are as at be because been before being below between both but by can could did do "
+    "does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me "
+    "more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then "
+    "there these they this those through to too under until up us very was we were what when where which while who whom why will with would "
+    "you your".split()
+)
+#: White space and word characters by class, so that every engine reads them alike.
+BLANKS = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]+"
+NO_WORD = r"[^\p{L}\p{N}_]+"
+
+
 def clean_text(text: Column) -> Column:
-    """Tags out, unusual characters out, white space collapsed."""
+    """Tags out, white space collapsed, then unusual characters out."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", " ")
-    t = F.regexp_replace(t, r"(?U)[^\w\s.,!?;:'\"()%$-]", " ")
-    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    t = F.trim(F.regexp_replace(t, BLANKS, " "))
+    return F.regexp_replace(t, r"[^\p{L}\p{N}_ .,!?;:'\"()%$-]", "")
 
 
 def relevant(text: Column, keywords: list[str]) -> Column:
@@ -38,31 +51,53 @@ def exact_titles(df: DataFrame) -> DataFrame:
     return df.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
 
 
-def tf_idf(df: DataFrame, text: str = "full_text", least: int = 3) -> DataFrame:
-    """article_id, term, weight: term count * (ln((1 + n) / (1 + df)) + 1), length 1."""
-    terms = df.select("article_id", F.explode(F.filter(F.split(F.lower(F.col(text)), r"(?U)\W+"), lambda t: F.length(t) >= least)).alias("term"))
-    tf = terms.groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def tf_idf(df: DataFrame, text: str = "title", limit: int = 5000, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """article_id, term, tf, df, weight: tf * (ln((1 + n) / (1 + df)) + 1), length 1.
+
+    Terms are words of two characters or more that are not in ``stop``; the ``limit``
+    most frequent ones count, which bounds what is broadcast.  A text without such a
+    term has no rows.
+    """
+    term = F.explode(F.filter(F.split(F.lower(F.col(text)), NO_WORD), lambda t: F.length(t) >= 2)).alias("term")
+    words = df.select("article_id", term).where(~F.col("term").isin(*stop)) if stop else df.select("article_id", term)
+    tf = words.groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    totals = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    known = totals.orderBy(F.col("total").desc(), "term").limit(limit).select("term", "df")
     n = df.agg(F.count(F.lit(1)).alias("n"))
-    raw = tf.join(dfreq, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    raw = tf.join(F.broadcast(known), "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = raw.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "article_id").select("article_id", "term", (F.col("w") / F.col("norm")).alias("weight"), "df")
-
-
-def similar_pairs(df: DataFrame, threshold: float = 0.85, text: str = "full_text") -> DataFrame:
-    """a < b, cosine: exact, by an inverted-index join on the rarest terms of each
-    article that together could still reach the threshold."""
-    v = tf_idf(df, text)
-    rare = Window.partitionBy("article_id").orderBy(F.col("df").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)
-    # Terms, common first: while the squared weights so far stay under t^2, a pair that
-    # shares only these cannot reach t, so they need not be indexed.
-    marked = v.withColumn("_mass", F.sum(F.col("weight") * F.col("weight")).over(rare))
+    return raw.join(norm, "article_id").select("article_id", "term", "tf", "df", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def same_bags(v: DataFrame) -> DataFrame:
+    """article_id, first: the smallest id with the same terms as often.  Of many articles
+    with one bag of terms only the first meets others, so none are paired up."""
+    text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "term", "tf"))), " ")
+    bags = v.groupBy("article_id").agg(F.sha2(text, 256).alias("bag"))
+    return bags.join(bags.groupBy("bag").agg(F.min("article_id").alias("first")), "bag").select("article_id", "first")
+
+
+def similar_pairs(df: DataFrame, threshold: float = 0.85, text: str = "title", **options) -> DataFrame:
+    """a < b, cosine: every pair of articles with different bags of terms, each bag by its
+    first article, and (first, article, 1.0) for the others of a bag.
+
+    Exact: an inverted-index join on the rarest terms of each article that together
+    could still reach the threshold.
+    """
+    every = settle(tf_idf(df, text, **options))
+    bags = settle(same_bags(every))
+    v = every.join(bags.where("article_id = first").select("article_id"), "article_id", "left_semi")
+    common_first = Window.partitionBy("article_id").orderBy(F.col("df").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)
+    # While the squared weights so far stay under t^2, a pair that shares only these
+    # terms cannot reach t, so they need not be indexed.
+    marked = v.withColumn("_mass", F.sum(F.col("weight") * F.col("weight")).over(common_first))
     index = marked.where(F.col("_mass") >= threshold * threshold - 1e-9).select("article_id", "term")
     a, b = index.toDF("a", "term"), index.toDF("b", "term")
     candidates = a.join(b, "term").where("a < b").select("a", "b").distinct()
     x, y = v.select(F.col("article_id").alias("a"), "term", F.col("weight").alias("x")), v.select(F.col("article_id").alias("b"), "term", F.col("weight").alias("y"))
     scored = candidates.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
-    return scored.where(F.col("cosine") >= threshold)
+    alike = bags.where("article_id > first").select(F.col("first").alias("a"), F.col("article_id").alias("b"), F.lit(1.0).alias("cosine"))
+    return scored.where(F.col("cosine") >= threshold).unionByName(alike)
 
 
 def greedy_drop(pairs: DataFrame) -> DataFrame:
@@ -82,16 +117,17 @@ def greedy_drop(pairs: DataFrame) -> DataFrame:
     return (dropped if dropped is not None else pairs.select("b").limit(0)).select(F.col("b").alias("article_id")).distinct()
 
 
-def process(df: DataFrame, keywords: list[str], threshold: float = 0.85, near: bool = True) -> DataFrame:
-    """clean, length, date, relevance, titles, near copies, full text; newest first."""
-    out = df.withColumns({"title": clean_text(F.col("title")), "content": clean_text(F.col("content"))})
-    out = out.where((F.length("content") >= 20) & F.col("date").isNotNull())
-    out = out.withColumn("full_text", F.concat_ws(" ", "title", "content"))
-    out = exact_titles(out.where(relevant(F.col("full_text"), keywords)))
-    if near:
+def process(df: DataFrame, keywords: list[str], threshold: float = 0.85, near: bool = True, body: str = "description", shortest: int = 20) -> DataFrame:
+    """clean, title length, date, relevance, titles, near copies of titles, full text;
+    newest first.  Of near copies the smallest article_id stays, and only articles that
+    stay drop others."""
+    out = df.withColumns({c: clean_text(F.col(c)) for c in ("title", body)})
+    out = out.where((F.length("title") >= shortest) & F.col("date").isNotNull())
+    out = exact_titles(out.where(relevant(F.concat_ws(" ", "title", body), keywords)))
+    if near and threshold < 1:
         out = settle(out)
         out = out.join(greedy_drop(similar_pairs(out, threshold)), "article_id", "left_anti")
-    return out.orderBy(F.col("date").desc(), "article_id")
+    return out.withColumn("full_text", F.concat("title", F.lit(". "), body)).orderBy(F.col("date").desc(), "article_id")
 
 
 def daily_articles(df: DataFrame) -> DataFrame:

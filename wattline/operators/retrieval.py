@@ -3,60 +3,61 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEPARATORS = ("\n\n", "\n", ". ", ", ", " ")
+#: Paragraph, line, sentence, word, character.
+SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 DIM = 384
 
 
 def split_text(text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Recursive split: pack pieces up to ``size``, cut longer ones at the next
-    separator, then start each chunk with the tail of the one before if the two
-    together stay under one and a half sizes."""
+    separator, then start each chunk with the tail of the one before and the separator
+    if all together stay within one and a half sizes.  Each level overlaps its chunks."""
     if len(text) <= size:
-        return [text] if text else []
-    sep = next((s for s in separators if s in text), None)
-    if sep is None:
-        step = max(1, size - overlap)
-        return [text[a : a + size] for a in range(0, len(text), step)]
-    rest = separators[separators.index(sep) + 1 :]
+        return [text] if text.strip() else []
+    sep, finer = (separators[0], separators[1:]) if separators else ("", ())
     chunks, now = [], ""
-    for piece in text.split(sep):
+    if not sep:
+        chunks = [text[a : a + size] for a in range(0, len(text), size)]
+    for piece in text.split(sep) if sep else ():
         joined = f"{now}{sep}{piece}" if now else piece
         if len(joined) <= size:
             now = joined
             continue
         if now:
             chunks.append(now)
-        now = piece
-        if len(piece) > size:
-            chunks.extend(split_text(piece, size, overlap, rest))
+        if len(piece) > size and finer:
+            chunks += split_text(piece, size, overlap, finer)
             now = ""
+        else:
+            now = piece
     if now:
         chunks.append(now)
-    out = chunks[:1]
-    for before, chunk in zip(chunks, chunks[1:], strict=False):
-        merged = before[-overlap:] + chunk if overlap else chunk
-        out.append(merged if len(merged) <= 1.5 * size else chunk)
-    return out
+    if overlap <= 0:
+        return chunks
+    led = [f"{before[-overlap:]}{sep}{chunk}" for before, chunk in zip(chunks, chunks[1:], strict=False)]
+    return chunks[:1] + [long if len(long) <= 1.5 * size else chunk for long, chunk in zip(led, chunks[1:], strict=True)]
 
 
 def chunk_pages(pages: DataFrame, text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
-    """A row per chunk with the page's columns, chunk_index and char_count."""
+    """A row per chunk that is not blank, with the page's columns, chunk_index (its place
+    among all chunks of the page) and char_count (before the ends are trimmed)."""
     keep = [f for f in pages.schema.fields if f.name != text]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", text string, chunk_index int, char_count int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            lists = [[c for c in split_text(t or "", size, overlap) if c.strip()] for t in rows[text]]
-            out = rows.drop(columns=[text]).assign(text=lists).explode("text").dropna(subset=["text"])
-            index = out.groupby(level=0).cumcount()
-            yield out.assign(chunk_index=index, char_count=out["text"].str.len().astype("int64"), text=out["text"].str.strip())
+            lists = [split_text(t or "", size, overlap) for t in rows[text]]
+            out = rows.drop(columns=[text]).reset_index(drop=True).assign(text=lists).explode("text").dropna(subset=["text"])
+            out = out.assign(chunk_index=out.groupby(level=0).cumcount())
+            out = out[out["text"].str.strip() != ""]
+            yield out.assign( char_count=out["text"].str.len().astype("int64"), text=out["text"].str.strip())
 
     return pages.mapInPandas(run, schema)
 
@@ -130,6 +131,70 @@ def pack_context(rows: DataFrame, by: str, order: str, text: str = "text", max_t
     return rows.withColumn("total_chars", F.sum(F.length(text)).over(w)).where(F.col("total_chars") <= max_tokens * per_token)
 
 
+#: Fixed format of a question with its context.
+PROMPT = "Context:\n{context}\n\nQuestion: {question}\n\nAnswer:"
+NO_CONTEXT = "No relevant context found in the knowledge base."
+BREAK = "\n\n---\n\n"
+
+
+def quote_first(prompts: pd.Series) -> pd.Series:
+    """A local stand-in for a language model: the text of the first chunk, or nothing."""
+    return prompts.str.extract(r"\A[^\[]*\[1\][^\n]*\n(?s:(.*?))(?:\n\n---\n\n|\n\nQuestion: )", expand=False).fillna("")
+
+
+def ask(questions: DataFrame, corpus: DataFrame, complete: Callable[[pd.Series], pd.Series] = quote_first, k: int = 10, keep: int = 5, question: str = "question", text: str = "text", source: str = "source", template: str = PROMPT, max_tokens: int = 3000, batch: int = 16, **names) -> DataFrame:
+    """query_id, question, answer, sources: each question answered from the chunks found for it.
+
+    ``complete`` answers a batch of prompts and is where a language model plugs in.  A
+    batch that fails gives the error as its answers; other batches go on.  Chunks are
+    numbered by rank and packed while ``max_tokens`` (4 characters each) last; ``sources``
+    lists all chunks found.  A question without chunks is asked without context.
+    """
+    found = retrieve(questions, corpus, k, keep, **names)
+    part = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] Source: "), F.coalesce(F.col(source).cast("string"), F.lit("Unknown")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))
+    # At most ``keep`` chunks a question.
+    lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", part.alias("part")))).alias("_found"))
+    room = max_tokens * 4
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("n"))
+
+    def add(acc, x):
+        n = acc["n"] + F.length(x["part"])
+        fits = F.struct(F.when(n <= room, F.concat(acc["parts"], F.array(x["part"]))).otherwise(acc["parts"]).alias("parts"), F.when(n <= room, n).otherwise(room + 1).alias("n"))
+        return fits
+
+    packed = F.aggregate("_found", start, add, lambda acc: F.array_join(acc["parts"], BREAK))
+    named = questions.select(F.col(names.get("query_id", "query_id")).alias("query_id"), F.col(question).alias("question"))
+    before, after = template.split("{context}")
+    context = F.coalesce(packed, F.lit(NO_CONTEXT))
+    asked = named.join(lists, "query_id", "left").select(
+        "query_id", "question", F.coalesce(F.transform("_found", lambda x: x["doc_id"].cast("string")), F.array().cast("array<string>")).alias("sources"),
+        F.concat(*[piece for side, more in ((before, context), (after, F.lit(""))) for piece in (*_filled(side), more)]).alias("prompt"),
+    )
+
+    def answer(prompts: pd.Series) -> pd.Series:
+        try:
+            return complete(prompts)
+        except Exception as e:  # a failed call is an answer that says so
+            return pd.Series([f"Error generating answer: {e}"] * len(prompts), index=prompts.index)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for a in range(0, len(rows), batch):
+                some = rows.iloc[a : a + batch]
+                yield some.assign(answer=answer(some["prompt"]))[["query_id", "question", "answer", "sources"]]
+
+    kind = dict(named.dtypes)["query_id"]
+    return asked.mapInPandas(run, f"query_id {kind}, question string, answer string, sources array<string>")
+
+
+def _filled(part: str) -> list[Column]:
+    """A piece of a template with the question in its place."""
+    out: list[Column] = []
+    for i, text in enumerate(part.split("{question}")):
+        out += ([F.coalesce("question", F.lit(""))] if i else []) + [F.lit(text)]
+    return out
+
+
 def parse_signal(text) -> dict[str, Column]:
     """Fields of a model's answer; defaults and clamps, and a gate on confidence."""
     t = F.col(text) if isinstance(text, str) else text

@@ -284,6 +284,14 @@ def gbt_forecast(spark, sf):
     return model.predict(parts.where("is_validation")).select("symbol", "date", "target", "prediction")
 
 
+@query("experiments")
+def experiments(spark, sf):
+    s = Series(())
+    b = fr.market(spark, sf)
+    names = {"r1": s.log_return("close"), "r5": s.log_return("close", 5), "m20": s.mean("close", 20) / F.col("close"), "v20": s.std(F.col("volume"), 20)}
+    return rounded(ml.experiments(b.withColumns(names), list(names), "close", ml.linear_models()))
+
+
 @query("kpi_row", ctes("bars") + f""", x as (select *, close / nullif(lag(close) {W}, 0) - 1 as rt, high - low as rg from bars), y as (select symbol, date, close, rt as c1, close / nullif(lag(close, 30) {W}, 0) - 1 as c30, {roll('avg(rg)', 'rg', 14)} as r14, {roll('stddev_samp(rt)', 'rt', 20)} * sqrt(252.0) as v20 from x)
 select symbol, date, close, {r('c1', 'change_1')}, {r('c30', 'change_30')}, {r('r14', 'range_14', 5)}, {r('v20', 'vol_20')} from y qualify row_number() over (partition by symbol order by date desc) = 1""")
 def kpi_row(spark, sf):

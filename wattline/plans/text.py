@@ -11,7 +11,12 @@ from wattline.plans.registry import query
 from wattline.streaming import jobs
 
 
-@query("html_strip", r"""select page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[^\p{L}\p{M}\p{N}_\s.,!?;:''"()%$-]', ' ', 'g'), '\s+', ' ', 'g'))) as n_chars, contains(lower(html), 'nav') as relevant from pages""")
+BLANKS = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
+#: A text without tags and unusual characters.
+CLEAN = r"""regexp_replace(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '""" + BLANKS + r"""', ' ', 'g'), ' '), '[^\p{L}\p{N}_ .,!?;:''"()%$-]', '', 'g')"""
+
+
+@query("html_strip", f"select page_id, length({CLEAN}) as n_chars, contains(lower(html), 'nav') as relevant from pages")
 def html_strip(spark, sf):
     p = fr.read(spark, sf, "pages")
     return p.select("page_id", F.length(news.clean_text(F.col("html"))).cast("long").alias("n_chars"), news.relevant(F.col("html"), ["nav"]).alias("relevant"))
@@ -22,15 +27,26 @@ def news_titles(spark, sf):
     return news.exact_titles(fr.articles(spark, sf)).select("article_id", "date", "source")
 
 
-@query("near_duplicate_pairs")
+_STOP = ", ".join(f"'{w}'" for w in news.STOP_WORDS)
+_PAIRS = ctes("articles") + f""", w as (select article_id, unnest(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}_]+')) as term from articles),
+c as (select article_id, term, count(*) as n from w where length(term) >= 2 and term not in ({_STOP}) group by all),
+k as (select term, sum(n) as total, count(*) as df from c group by term order by total desc, term limit 5000),
+v as (select article_id, term, n, n * (ln((1 + (select count(*) from articles)) / (1 + df)) + 1) as x from c join k using (term)),
+b as (select article_id, sqrt(sum(x * x)) as norm, string_agg(term || ':' || n, ' ' order by term) as bag from v group by article_id),
+f as (select article_id, norm, min(article_id) over (partition by bag) as first from b),
+u as (select v.article_id, term, x / norm as x from v join f using (article_id) where article_id = first),
+p as (select p.article_id as a, q.article_id as b, sum(p.x * q.x) as cosine from u p join u q on p.term = q.term and p.article_id < q.article_id group by all)
+select a, b, {r('cosine', 'cosine')} from p where cosine >= 0.85 union all select first, article_id, 1.0 from f where article_id > first"""
+
+
+@query("near_duplicate_pairs", _PAIRS)
 def near_duplicate_pairs(spark, sf):
-    a = fr.articles(spark, sf).withColumnRenamed("content", "full_text")
-    return rounded(news.similar_pairs(a, 0.85))
+    return rounded(news.similar_pairs(fr.articles(spark, sf)))
 
 
 @query("news_process")
 def news_process(spark, sf):
-    return news.process(fr.articles(spark, sf), ["en", "de", "la"]).select("article_id", "date", "title")
+    return news.process(fr.articles(spark, sf), ["en", "de", "la"], body="content").select("article_id", "date", "title")
 
 
 @query("daily_articles", ctes("articles") + " select date, count(*) as n, string_agg(title, ' | ' order by article_id) as titles from articles group by date")
@@ -77,6 +93,17 @@ def retrieve_filtered(spark, sf):
     return rounded(retrieval.retrieve(q, e, where=F.col("label") < 5).select("query_id", "doc_id", "score", "rank"))
 
 
+@query("qa_answers", """with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id as doc_id, label, round(list_cosine_similarity(cast(q.e as double[]), cast(c.embedding as double[])), 12) as score from q, embeddings c),
+k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s)
+select query_id, 'What is like ' || query_id || '?' as question, min('Label ' || label || ' of ' || doc_id) filter (rank = 1) as answer, string_agg(doc_id::varchar, ',' order by rank) as sources from k where rank <= 5 group by query_id""")
+def qa_answers(spark, sf):
+    e = fr.read(spark, sf, "embeddings")
+    text = F.concat(F.lit("Label "), F.col("label").cast("string"), F.lit(" of "), F.col("vec_id").cast("string"))
+    corpus = e.select("vec_id", "embedding", text.alias("text"), F.lit("embeddings").alias("source"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.concat(F.lit("What is like "), F.col("vec_id").cast("string"), F.lit("?")).alias("question"))
+    return retrieval.ask(q, corpus).withColumn("sources", F.array_join("sources", ","))
+
+
 @query("context_pack", "select conv_id, turn, total_chars from (select conv_id, turn, cast(sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) as bigint) as total_chars from conversations) where total_chars <= 1200")
 def context_pack(spark, sf):
     return retrieval.pack_context(fr.read(spark, sf, "conversations"), "conv_id", "turn", max_tokens=300).select("conv_id", "turn", "total_chars")

@@ -1,12 +1,13 @@
 """Sources and sinks: landed files of the market feeds, caches, sinks.
 
-Feeds are fetched outside the engine and landed as files; each reader here turns
-one feed's layout into a typed frame.  Reads are retried by task.
+Feeds are mostly landed as files; each reader here turns one feed's layout into a
+typed frame.  ``paged`` asks a service page by page through a function it is given.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,68 @@ def paged_json(spark: SparkSession, path: str, period: str = "period", value: st
     return rows.select(F.col(f"d.{period}").alias("period"), F.col(f"d.{value}").try_cast("double").alias("value"), *[F.col(f"d.{c}").alias(c) for c in extra]).where("value is not null")
 
 
+def retried(call: Callable[[], dict], tries: int = 3, shortest: float = 2.0, longest: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """What ``call`` gives; after a failure it waits 1, 2, 4 ... seconds within the bounds
+    and calls again, and the last failure is raised."""
+    for i in range(tries):
+        try:
+            return call()
+        except Exception:
+            if i + 1 == tries:
+                raise
+            sleep(min(longest, max(shortest, 2.0**i)))
+    raise ValueError("tries must be 1 or more")
+
+
+def paged(spark: SparkSession, keys: list[dict[str, str]], fetch: Callable[[dict[str, str], int, int], dict], page: int = 5000, strict: bool = False, **retry) -> DataFrame:
+    """Rows of a paginated service: the key's columns, period, value.
+
+    ``fetch(key, offset, length)`` gives {"response": {"total", "data": [{"period",
+    "value"}]}}.  Each key (a region, or a region and a fuel) is a partition that asks
+    for page after page until the offset reaches the total or a page is empty, and
+    hands each page on at once.  Calls are retried; a series whose call still fails
+    ends there with the rows it has (none at first), or with ``strict`` fails the job.
+    Values that are no numbers are left out.  No keys: no rows.
+    """
+    names = list(keys[0]) if keys else []
+    schema = ", ".join([*(f"`{n}` string" for n in names), "period string", "value string"])
+
+    def series(key: dict[str, str]) -> Iterator:
+        import pandas as pd
+
+        offset, total = 0, 1
+        while offset < total:
+            try:
+                answer = retried(lambda at=offset: fetch(key, at, page), **retry)["response"]
+            except Exception:
+                if strict:
+                    raise
+                return
+            rows, total = answer.get("data") or [], int(answer.get("total") or 0)
+            if not rows:
+                return
+            texts = [[None if r.get(c) is None else str(r[c]) for r in rows] for c in ("period", "value")]
+            yield pd.DataFrame({**{n: [key[n]] * len(rows) for n in names}, "period": texts[0], "value": texts[1]})
+            offset += page
+
+    def run(batches):
+        for rows in batches:
+            for i in rows["id"]:
+                yield from series(keys[i])
+
+    out = spark.range(0, len(keys), 1, max(1, len(keys))).mapInPandas(run, schema)
+    return out.withColumn("value", F.col("value").try_cast("double")).where("value is not null")
+
+
+#: Fuel codes of the generation feed for the two weather-driven fuels.
+WIND, SOLAR = "WND", "SUN"
+
+
+def paged_generation(spark: SparkSession, regions: list[str], fetch, fuels: tuple[str, ...] = (WIND, SOLAR), **options) -> DataFrame:
+    """region, fuel, period, value; a partition for each region and fuel."""
+    return paged(spark, [{"region": r, "fuel": f} for r in regions for f in fuels], fetch, **options)
+
+
 def hourly(pages: DataFrame, name: str = "mw") -> DataFrame:
     return pages.withColumn("ts", F.try_to_timestamp("period", F.lit("yyyy-MM-dd'T'HH")).cast("timestamp_ntz")).withColumnRenamed("value", name).drop("period")
 
