@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import chat, exact, licenses, line_dedup, mixing, ngram_join, packing, quality, toxicity, warc
+from wattline.llm import chat, exact, fim, licenses, line_dedup, mixing, ngram_join, packing, quality, secrets, toxicity, warc, whitening
 from wattline.llm.text import shared_dir, table
 
 #: A conversation whose texts are made of control strings.
@@ -69,8 +69,26 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = fim.fill_in_middle(docs, with_output=False)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_warc, op4_quality_rules, op5_ngram_jaccard, op6_toxicity, op7_line_dedup, op8_exact_dedup, op9_source_mix, op10_pack)}
+    every = (
+        op1_chat_format, op2_license_scan, op3_warc, op4_quality_rules, op5_ngram_jaccard, op6_toxicity, op7_line_dedup,
+        op8_exact_dedup, op9_source_mix, op10_pack, op11_secret_scan, op12_whitening, op13_fill_in_middle,
+    )
+    return {f.__name__: f for f in every}
 
 
 def _op1_sql() -> str:
@@ -221,5 +239,69 @@ from r left join s on s.doc_id = a group by a
 """
 
 
+_OP13_SQL = """
+with h as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), 'null')) as s from documents),
+g as (select doc_id, t, cast(length(t) as bigint) as n, cast('0x' || substr(s, 1, 8) as bigint) as h1, cast('0x' || substr(s, 9, 8) as bigint) as h2,
+  cast('0x' || substr(s, 17, 8) as bigint) as h3, cast('0x' || substr(s, 25, 8) as bigint) as h4 from h),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+    when h4 % 100 < 20 then 'spm' else 'psm' end as form from g),
+p as (select *, substr(t, 1, a) as x, substr(t, a + 1, b - a) as y, substr(t, b + 1) as z from f)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) as output_sha256,
+  sha256(t) as restored_sha256
+from p
+"""
+
+
+def _op11_sql() -> str:
+    quoted = {k: p.replace("'", "''") for k, (p, _, _) in secrets.BASE.items()}
+    run, letters, k = secrets.RUN, secrets.ALPHABET, len(secrets.ALPHABET)
+    rest = "t"
+    for p in quoted.values():
+        rest = f"regexp_replace({rest}, '{p}', ' ', 'g')"
+    kinds = [*[(i, n, quoted[n], g, least) for i, (n, (_, g, least)) in enumerate(secrets.BASE.items())], (len(quoted), "markov", f"{run}{{{secrets.LEAST_RUN},}}", 0, 0)]
+    found = "\n  union all ".join(
+        f"select rid, {i} as k, '{n}' as kind, {least} as least, regexp_extract_all(t, '{p}') as m, regexp_extract_all(t, '{p}', {g}) as v, string_split_regex(t, '{p}') as s from d"
+        for i, n, p, g, least in kinds
+    )
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+x as ({found}),
+y as (select rid, k, kind, least, m, v, s, unnest(range(1, len(m) + 1)) as i from x),
+z as (select rid, k, kind, v[i] as value, length(m[i]) as n,
+  list_sum(list_transform(s[1:i], lambda a: length(a))) + coalesce(list_sum(list_transform(m[1:i-1], lambda a: length(a))), 0) as start
+  from y where length(v[i]) >= least),
+o as (select distinct unnest(regexp_extract_all({rest}, '{run}{{{secrets.LEAST_TRAIN},}}')) as value from d),
+r0 as (select to_base64(unhex(sha256('key:' || i))) as raw, sha256('hex:' || i) as hex from range({secrets.MADE}) r(i)),
+r1 as (select raw, hex, translate(raw, '+/=', '') as plain from r0),
+q as (select distinct value from (
+  select unnest([raw, plain, upper(plain), lower(plain), translate(raw, '+/=', '-_'), hex[1:40]]) as value from r1
+  union all select unnest(regexp_extract_all(t, '{quoted["access"]}')) from d union all select unnest(regexp_extract_all(t, '{quoted["hex"]}')) from d)),
+w as (select true as random, value from q union all select false, unnest(list_distinct([value, upper(value),
+  replace(replace({list(secrets.JOINS)}[(length(value) + unicode(value)) % {len(secrets.JOINS)} + 1], '{{^}}', upper(value[1]) || value[2:]), '{{}}', value)])) from o),
+b as (select random, value, unnest(range(1, length(value) + 1)) as i from w),
+c as (select random, case when i = 1 then {k} else instr('{letters}', value[i-1]) - 1 end as a, instr('{letters}', value[i]) - 1 as b, count(*) as n from b group by all),
+g as (select random, a, b, coalesce(n, 0) as n from (select unnest([true, false]) as random) cross join (select unnest(range({k + 1})) as a)
+  cross join (select unnest(range({k})) as b) left join c using (random, a, b)),
+l as (select random, a, b, ln((n + {secrets.BACKOFF} * (sum(n) over (partition by random, b) + 1) / (sum(n) over (partition by random) + {k}))
+  / (sum(n) over (partition by random, a) + {secrets.BACKOFF})) as v from g),
+e as (select a, b, sum(case when random then v else -v end) as ratio from l group by a, b),
+u as (select distinct value from z where kind = 'markov'),
+n as (select value, unnest(range(1, length(value) + 1)) as i from u),
+j as (select value, sum(ratio) as total from n join e on e.a = case when i = 1 then {k} else instr('{letters}', value[i-1]) - 1 end and e.b = instr('{letters}', value[i]) - 1 group by value),
+f as (select z.* from z left join j using (value) where kind <> 'markov'
+  or (total > ln({secrets.ODDS}) and total > {secrets.LEAST_MEAN} * length(value)
+    and not exists (select 1 from z as h where h.rid = z.rid and h.kind <> 'markov' and h.start + h.n = z.start + z.n))),
+t as (select rid, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access,
+  count(*) filter (where kind = 'hex') as n_hex, count(*) filter (where kind = 'markov') as n_markov,
+  string_agg(kind || ':' || start || ':' || (start + n), ',' order by start, k) as spans,
+  string_agg(kind || ':' || start || ':' || (start + n), ',' order by start, k) filter (where kind <> 'markov') as base from f group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(n_markov, 0) as n_markov,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join t using (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2_sql(), "op7_line_dedup": _OP7_SQL, "op3_warc": _OP3_SQL, "op5_ngram_jaccard": _OP5_SQL, "op1_chat_format": _op1_sql(), "op4_quality_rules": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
+    return {"op11_secret_scan": _op11_sql(), "op13_fill_in_middle": _OP13_SQL, "op2_license_scan": _op2_sql(), "op7_line_dedup": _OP7_SQL, "op3_warc": _OP3_SQL, "op5_ngram_jaccard": _OP5_SQL, "op1_chat_format": _op1_sql(), "op4_quality_rules": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
