@@ -272,7 +272,7 @@ y as (select rid, k, kind, least, m, v, s, unnest(range(1, len(m) + 1)) as i fro
 z as (select rid, k, kind, v[i] as value, length(m[i]) as n,
   list_sum(list_transform(s[1:i], lambda a: length(a))) + coalesce(list_sum(list_transform(m[1:i-1], lambda a: length(a))), 0) as start
   from y where length(v[i]) >= least),
-o as (select distinct unnest(regexp_extract_all({rest}, '{run}{{{secrets.LEAST_TRAIN},}}')) as value from d),
+o as (select distinct value from (select unnest(regexp_extract_all({rest}, '{run}{{{secrets.LEAST_TRAIN},}}')) as value from d) where length(value) < {secrets.LEAST_RUN}),
 r0 as (select to_base64(unhex(sha256('key:' || i))) as raw, sha256('hex:' || i) as hex from range({secrets.MADE}) r(i)),
 r1 as (select raw, hex, translate(raw, '+/=', '') as plain from r0),
 q as (select distinct value from (

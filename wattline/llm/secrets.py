@@ -13,7 +13,7 @@ that ends where a base span ends is that span's own value and is not added again
 The models are trained from labelled samples (``labelled_samples``):
 
 * ordinary: every distinct run of ``LEAST_TRAIN`` characters or more in the texts of the
-  corpus that is not in a base span, as it is, in upper case, as constants are
+  corpus that is not in a base span and too short to be judged itself, as it is, in upper case, as constants are
   written, and in one of the ways that names, paths, rulers and settings are put together
   of words (``JOINS``), so that those are ordinary in a corpus of prose too.  Distinct runs are found by an aggregate
   with a map-side combine, so a run, however frequent, costs one row a task, and what is
@@ -140,7 +140,8 @@ def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     for pattern, _, _ in BASE.values():
         rest = F.regexp_replace(rest, pattern, " ")
     runs = F.regexp_extract_all(rest, F.lit(f"{RUN}{{{LEAST_TRAIN},}}"), F.lit(0))
-    ordinary = docs.select(F.explode(F.array_distinct(runs)).alias("value")).distinct()
+    short = F.filter(F.array_distinct(runs), lambda r: F.length(r) < LEAST_RUN)
+    ordinary = docs.select(F.explode(short).alias("value")).distinct()
     keys = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(BASE[k][0]), F.lit(0)) for k in ("access", "hex")]))
     random = docs.select(F.explode(keys).alias("value")).union(made_strings(docs.sparkSession)).distinct()
     return ordinary.select("value", F.lit(False).alias("random")).union(random.select("value", F.lit(True).alias("random")))
