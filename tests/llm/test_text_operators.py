@@ -310,3 +310,21 @@ def test_line_dedup_edges(spark):
     got = line_dedup.dedup_lines(clash)
     assert sorted((r.doc_id, r.text, r.n_lines) for r in got.collect()) == [(1, "one same line here", 1), (1, "one same line here", 1), (2, "", 1)]
     assert sorted(got.columns) == sorted([*clash.columns, "n_copies", "n_near"])
+
+
+def test_line_dedup_is_linear_in_the_lines_of_one_text(spark):
+    import time
+
+    lines = [hashlib.md5(str(i).encode()).hexdigest() for i in range(500_000)]
+
+    def seconds(n):
+        text = "\n".join(["same line"] * (n // 2) + lines[: n // 2])
+        start = time.perf_counter()
+        row = line_dedup.dedup_lines(docs(spark, [(1, text), (2, "same line\nother")])).where("doc_id = 1").first()
+        assert row.n_lines == n and row.n_copies == n // 2 - 1
+        assert row.text == "\n".join(["same line", *lines[: n // 2]]) and row.n_near == 0
+        return time.perf_counter() - start
+
+    seconds(1000)
+    short, long = seconds(100_000), seconds(1_000_000)
+    assert long < 15 * short + 5
