@@ -367,7 +367,38 @@ def test_fill_is_the_best_subset_sum():
             reach = {r + x * k for r in reach for k in range(c + 1)}
         take = mixing.fill(lengths, counts, budget)
         assert all(t <= c for t, c in zip(take, counts, strict=True))
-        assert sum(x * t for x, t in zip(lengths, take, strict=True)) == max(r for r in reach if r <= budget)
+        assert sum(x * t for x, t in zip(lengths, take, strict=True)) == min(reach, key=lambda r: (abs(r - budget), r))
+
+
+def test_sources_of_a_few_long_documents_land_on_the_nearest_sum():
+    import itertools
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    cases = [([3_000_000], 2_999_188.0), ([3_000_000], 1_000.0), ([3_000_000], 8_999_188.0), ([2_000_000, 1_500_000], 1_900_000.0), ([5, 5], 9.0), ([7], 21.0)]
+    cases += [([rng.randrange(1, 4_000_000) for _ in range(rng.randrange(1, 6))], None) for _ in range(30)]
+    for sizes, target in cases:
+        size = sum(sizes)
+        target = float(rng.randrange(3 * size + 1)) if target is None else target
+        counts = {x: sizes.count(x) for x in sizes}
+        rows = pd.DataFrame({"source": "s", "length": list(counts), "n": list(counts.values()), "source_size": size, "target": target, "max_epochs": 3})
+        got = mixing.plan_source(rows)
+        taken = sum(x * (c * counts[x] + p) for x, c, p in zip(got.length, got.copies, got.picks, strict=True))
+        # All ways to take each document as often as whole epochs say, or once more.
+        whole = min(int(target // size), 3)
+        sums = [whole * size + sum(s) for k in range(len(sizes) + 1) for s in itertools.combinations(sizes, k if whole < 3 else 0)]
+        assert abs(taken - target) == min(abs(x - target) for x in sums), (sizes, target, taken)
+        assert all(0 <= p <= counts[x] and c + (p > 0) <= 3 for x, c, p in zip(got.length, got.copies, got.picks, strict=True))
+
+
+def test_remainders_beyond_the_program_come_as_near_as_one_document(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(mixing, "ROOM", 100)
+    rows = pd.DataFrame({"source": "s", "length": [1000, 3000], "n": [30, 30], "source_size": 120_000, "target": 59_700.0, "max_epochs": 3})
+    got = mixing.plan_source(rows)
+    assert abs((got.picks * got.length).sum() - 59_700) <= 500
 
 
 # --- packing --------------------------------------------------------------------

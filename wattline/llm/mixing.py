@@ -9,8 +9,8 @@
 3. *Rest of the budget.*  Documents are counted by exact length within a source.
    Each length gives its proportional share, rounded down; a bounded-knapsack
    dynamic program over the lengths' remaining counts then fills what is left of
-   the budget exactly, or as nearly as a subset sum can.  It sees (length, count)
-   rows, at most one a distinct length, never documents.
+   the budget exactly, or comes as near as a subset sum can, below or above.  It sees
+   (length, count) rows, at most one a distinct length, never documents.
 4. *Selection.*  Of each (source, length) the planned number of documents is taken
    in the order of a seeded hash.  Ranks are an offset by hash bucket plus a rank
    inside the bucket, so one (source, length) with a third of all rows is still
@@ -40,8 +40,11 @@ from wattline.llm.text import count_words, free, settle
 SEED = 17
 BUCKETS = 256
 CYCLE = (1, 2, 3)
-#: Words of remaining budget that the dynamic program sees at most (4 bytes each).
+#: Words of remaining budget that the dynamic program sees at most (8 bytes each).  A
+#: remainder above it is left only where every other document is longer than it.
 ROOM = 1 << 20
+#: Sources of so few documents take the best of all subsets.
+FEW = 16
 
 
 def targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_epochs: int = 3) -> DataFrame:
@@ -65,20 +68,23 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_epochs: int =
 
 
 def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to add so that the sum is the largest <= budget.
+    """How many of each length to add so that the sum is nearest to ``budget``.
 
-    Bounded knapsack by binary splitting.  ``first`` keeps, for every sum, the step
-    that first reached it, so memory is four bytes a unit of the budget.  Lengths are
-    positive.
+    Of two sums equally near, the smaller.  Bounded knapsack by binary splitting over
+    sums of up to one document above the budget, as a higher one comes nearer without
+    one of its documents, and of up to twice the budget, as a higher one is further off
+    than nothing.  ``first`` keeps, for every sum, the step that first reached it, so
+    memory is eight bytes a unit of the budget at most.  Lengths are positive.
     """
     take = [0] * len(lengths)
-    if budget <= 0:
+    if budget <= 0 or not lengths:
         return take
-    first = np.full(budget + 1, -1, dtype=np.int32)
+    top = budget + min(budget, max(lengths))
+    first = np.full(top + 1, -1, dtype=np.int32)
     first[0] = 0
     steps: list[tuple[int, int]] = [(0, 0)]
     for i, (length, count) in enumerate(zip(lengths, counts, strict=True)):
-        step, left = 1, min(count, budget // length)
+        step, left = 1, min(count, top // length)
         while left > 0:
             step = min(step, left)
             weight = length * step
@@ -89,7 +95,8 @@ def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             step *= 2
         if first[budget] >= 0:
             break
-    at = int(np.flatnonzero(first >= 0)[-1])
+    reached = np.flatnonzero(first >= 0)
+    at = int(reached[np.abs(reached - budget).argmin()])
     while at > 0:
         i, step = steps[first[at]]
         take[i] += step
@@ -97,6 +104,20 @@ def fill(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
+def fill_few(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    """``fill`` for at most ``FEW`` documents of any length: every subset is summed."""
+    each = [i for i, n in enumerate(counts) for _ in range(n)]
+    sums = np.zeros(1, dtype=np.int64)
+    for i in each:
+        sums = np.concatenate([sums, sums + lengths[i]])
+    off = np.abs(sums - budget)
+    best = min(np.flatnonzero(off == off.min()), key=lambda j: sums[j])
+    take = [0] * len(lengths)
+    for place, i in enumerate(each):
+        take[i] += int(best) >> place & 1
+    return take
+
+
 def plan_source(rows: pd.DataFrame) -> pd.DataFrame:
     """One source's (length, n) rows with its size and target -> copies and picks.
 
@@ -107,26 +128,32 @@ def plan_source(rows: pd.DataFrame) -> pd.DataFrame:
     size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
     copies = min(int(target // size), int(rows["max_epochs"].iloc[0])) if size else 0
     budget = round(target - copies * size) if size else 0
+    budget = 0 if copies == int(rows["max_epochs"].iloc[0]) else budget
     picks = [0] * len(rows)
-    if 0 < budget:
-        length, n = rows["length"].tolist(), rows["n"].tolist()
+    length, n = rows["length"].tolist(), rows["n"].tolist()
+    some = [i for i, x in enumerate(length) if x]
+    if 0 < budget and sum(n[i] for i in some) <= FEW:
+        for i, a in zip(some, fill_few([length[i] for i in some], [n[i] for i in some], budget), strict=True):
+            picks[i] = a
+    elif 0 < budget:
         picks = [c * budget // size if x else 0 for x, c in zip(length, n, strict=True)]
         left = budget - sum(x * p for x, p in zip(length, picks, strict=True))
-        # Largest rests first, down to a remainder that a few documents fill; a remainder
-        # over ROOM, which only longer documents could fill, stays with this step.
+        # Largest rests first, down to a remainder that a few documents fill.
         room = min(ROOM, 4 * max(length))
-        for i in sorted(range(len(length)), key=lambda i: (-(n[i] * budget % size), -length[i])):
+        for i in sorted(some, key=lambda i: (-(n[i] * budget % size), -length[i])):
             if left <= room:
                 break
-            if length[i]:
-                more = min(n[i] - picks[i], left // length[i], -(-(left - room) // length[i]))
-                picks[i] += more
-                left -= more * length[i]
-        left = min(left, ROOM)
-        order = [i for i in range(len(length)) if length[i] and picks[i] < n[i] and length[i] <= left]
-        added = fill([length[i] for i in order], [n[i] - picks[i] for i in order], left)
-        for i, a in zip(order, added, strict=True):
-            picks[i] += a
+            more = min(n[i] - picks[i], left // length[i], -(-(left - room) // length[i]))
+            picks[i] += more
+            left -= more * length[i]
+        order = [i for i in some if picks[i] < n[i] and length[i] < 2 * left]
+        if left <= ROOM:
+            added = fill([length[i] for i in order], [n[i] - picks[i] for i in order], left)
+            for i, a in zip(order, added, strict=True):
+                picks[i] += a
+        elif order:
+            # All that is left is longer than the remainder: the shortest one more comes nearer.
+            picks[min(order, key=lambda i: length[i])] += 1
     return rows.assign(copies=copies, picks=picks)[["source", "length", "copies", "picks"]]
 
 
