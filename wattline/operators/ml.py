@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions.tables import settle
 from wattline.functions.ts import Series
+from wattline.operators import boosting
 
 
 def _numbered(df: DataFrame, keys, on) -> DataFrame:
@@ -165,8 +166,14 @@ def expanding_forecast(df: DataFrame, features: list[str], label: str, first: in
 
 
 def backcast(df: DataFrame, features: list[str], label: str = "target", keys: tuple[str, ...] = ()) -> DataFrame:
-    """What a demand model would have said each day: a year first, a new fit every 30 days."""
-    return expanding_forecast(df, features, label, 365, 30, keys)
+    """What a demand model would have said each day: a year first, boosted trees fitted anew
+    every 30 days, the last tenth of the rows before deciding how many trees."""
+    return boosting.expanding_trees(df, features, label, 365, 30, keys, how=boosting.Boost(validation=0.1))
+
+
+def dispatch(df: DataFrame, features: list[str], label: str, keys: tuple[str, ...] = ("region",)) -> DataFrame:
+    """What trees say of generation: 252 rows first, 100 trees of depth 3 anew every 21 rows."""
+    return boosting.expanding_trees(df, features, label, 252, 21, keys)
 
 
 class Model:

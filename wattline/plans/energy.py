@@ -445,7 +445,7 @@ def dispatch_forecast(spark, sf):
     g = _generation(spark, sf)
     sin, cos = F.sin(2 * F.pi() * F.month("date") / 12), F.cos(2 * F.pi() * F.month("date") / 12)
     g = g.withColumns({"price_sq": F.col("ng_price") * F.col("ng_price"), "month_sin": sin, "month_cos": cos, "total_x_price": F.col("total_mwh") * F.col("ng_price")})
-    out = ml.expanding_forecast(g, ["ng_price", "price_sq", "total_mwh", "month_sin", "month_cos", "total_x_price"], "gas_mwh", 252, 21, ("region",))
+    out = ml.dispatch(g, ["ng_price", "price_sq", "total_mwh", "month_sin", "month_cos", "total_x_price"], "gas_mwh")
     return out.select("region", "date", "gas_mwh", "prediction", (F.col("gas_mwh") - F.col("prediction")).alias("residual"))
 
 
