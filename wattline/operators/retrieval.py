@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.operators import vector_index
+
 #: Paragraph, line, sentence, word, character.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 DIM = 384
@@ -96,13 +98,13 @@ def dot(a, b) -> Column:
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, query_id: str = "query_id", doc_id: str = "vec_id", vector: str = "embedding", max_queries: int = 10_000) -> DataFrame:
     """query, document, score, rank: exact cosine over the whole corpus.
 
-    The queries are a stated set: their number is checked, then they are broadcast as
-    a block to the corpus scan.  Each task keeps its k best of each query before the
-    shuffle, so what moves is tasks * queries * k rows.
+    Up to ``max_queries`` queries are broadcast as a block to the corpus scan.  Each task
+    keeps its k best of each query before the shuffle, so what moves is tasks * queries
+    * k rows.  More queries meet the rows in the blocks of an index, with the same result.
     """
     n = queries.limit(max_queries + 1).count()
     if n > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search in blocks")
+        return vector_index.search(queries, vector_index.build(corpus, doc_id, vector), k, exact=True, query_id=query_id, vector=vector)
     q = queries.select(F.col(query_id).alias("query_id"), normalise(vector).alias("_q"))
     c = corpus.select(F.col(doc_id).alias("doc_id"), normalise(vector).alias("_c"), F.spark_partition_id().alias("_part"))
     scored = c.join(F.broadcast(q)).select("query_id", "doc_id", "_part", F.round(dot(F.col("_q"), F.col("_c")), 12).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattline.operators import news, report, retrieval
+from wattline.operators import news, report, retrieval, vector_index
 from wattline.plans import frames as fr
 from wattline.plans.frames import ctes, r, rounded
 from wattline.plans.registry import query
@@ -79,13 +79,30 @@ def chunk_stats(spark, sf):
     return retrieval.chunk_pages(d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("char_count").alias("chars"))
 
 
-@query("vector_topk", """with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id as doc_id, round(list_cosine_similarity(cast(q.e as double[]), cast(c.embedding as double[])), 12) as score from q, embeddings c),
-k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, doc_id, round(score, 6) + 0.0 as score, cast(rank as int) as rank from k where rank <= 10""")
+_TOP_SQL = """with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 100 = 0), s as (select query_id, vec_id as doc_id, round(list_cosine_similarity(cast(q.e as double[]), cast(c.embedding as double[])), 12) as score from q, embeddings c),
+k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, doc_id, round(score, 6) + 0.0 as score, cast(rank as int) as rank from k where rank <= 10"""
+
+
+@query("vector_topk", _TOP_SQL)
 def vector_topk(spark, sf):
     e = fr.read(spark, sf, "embeddings")
     return rounded(retrieval.top_k(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e))
 
 
+@query("vector_index_exact", _TOP_SQL)
+def vector_index_exact(spark, sf):
+    e = fr.read(spark, sf, "embeddings")
+    q = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return rounded(vector_index.search(q, vector_index.build(e), exact=True))
+
+
+@query("vector_index_topk")
+def vector_index_topk(spark, sf):
+    e = fr.read(spark, sf, "embeddings")
+    q = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return rounded(vector_index.search(q, vector_index.build(e)))
+
+
 @query("retrieve_filtered")
 def retrieve_filtered(spark, sf):
     e = fr.read(spark, sf, "embeddings")
