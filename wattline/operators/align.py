@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.quantiles import quantiles
 from wattline.functions.ts import Series
 
 
@@ -104,7 +105,7 @@ def every_key(df: DataFrame, key: str, on: str = "date") -> DataFrame:
 
 def outliers_removed(df: DataFrame, value: str, by: tuple[str, ...] = (), reach: float = 2.0) -> DataFrame:
     """Keeps p01 - reach * (p99 - p01) <= value <= p99 + reach * (p99 - p01)."""
-    q = df.groupBy(*by).agg(F.percentile(value, 0.01).alias("_l"), F.percentile(value, 0.99).alias("_h"))
+    q = quantiles(df, value, [0.01, 0.99], by, "_q").select(*by, F.col("_q")[0].alias("_l"), F.col("_q")[1].alias("_h"))
     wide = (F.col("_h") - F.col("_l")) * reach
     inside = F.col(value).between(F.col("_l") - wide, F.col("_h") + wide)
     joined = df.join(q, list(by)) if by else df.join(F.broadcast(q))

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.quantiles import quantiles
 from wattline.functions.ts import Series
 from wattline.operators.align import latest
 
@@ -71,7 +72,7 @@ def markers(df: DataFrame, signal: str = "signal", keys: tuple[str, ...] = ()) -
 
 def ladder(df: DataFrame, ret: str = "ret", by: tuple[str, ...] = (), levels: tuple[float, ...] = (0.90, 0.95, 0.975, 0.99, 0.995)) -> DataFrame:
     """Value at risk at several confidence levels in one pass."""
-    q = df.groupBy(*by).agg(F.percentile(ret, F.array(*[F.lit(1 - c) for c in levels])).alias("q"))
+    q = quantiles(df, ret, [1 - c for c in levels], by)
     pair = F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in levels]).alias("c"), F.col("q"))).alias("p")
     return q.select(*by, pair).select(*by, F.col("p.c").alias("confidence"), (-F.col("p.q")).alias("var"))
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.quantiles import Ranges, quantiles
 from wattline.functions.ts import Series, clip, col
 from wattline.operators.stats import NORMAL, jarque_bera, sample_kurtosis, sample_skew
 
@@ -32,7 +33,7 @@ def historical(df: DataFrame, confidence: float = 0.95, horizon: int = 1, by: tu
     s = Series(by, ["date"])
     moves = df.select(*by, s.sum("ret", horizon).alias("m")) if horizon > 1 else df.select(*by, F.col("ret").alias("m"))
     moves = moves.where("m is not null")
-    q = moves.groupBy(*by).agg((-F.percentile("m", 1 - confidence)).alias("var"))
+    q = quantiles(moves, "m", [1 - confidence], by).select(*by, (-F.col("q")[0]).alias("var"))
     joined = moves.join(q, list(by)) if by else moves.join(F.broadcast(q))
     return joined.groupBy(*by, "var").agg((-F.avg(F.when(F.col("m") <= -F.col("var"), F.col("m")))).alias("cvar"))
 
@@ -123,13 +124,17 @@ def student_t(df: DataFrame, confidence: float = 0.95, horizon: int = 1, by: tup
 
 
 def bootstrap(df: DataFrame, confidence: float = 0.95, horizon: int = 10, sims: int = 10_000, seed: int = 42) -> DataFrame:
-    """Sums of ``horizon`` returns drawn with replacement, ``sims`` times."""
-    spark = df.sparkSession
-    ranked = df.select((F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("i"), "ret")
-    n = df.agg(F.count("ret").alias("n"))
-    draws = spark.range(sims * horizon).select((F.col("id") % sims).alias("sim"), F.rand(seed).alias("u")).join(F.broadcast(n))
-    picked = draws.select("sim", F.floor(F.col("u") * F.col("n")).alias("i")).join(ranked, "i")
-    return historical(picked.groupBy("sim").agg(F.sum("ret").alias("ret")), confidence)
+    """Sums of ``horizon`` returns drawn with replacement, ``sims`` times.
+
+    A draw is a rank among the sorted returns, from a hash of its number and the seed, so
+    reruns agree; the ranks are looked up in ranges of the returns, many at a time, and
+    the returns are nowhere in one task.
+    """
+    ranges = Ranges(df, "ret")
+    uniform = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) / float(1 << 52)
+    draws = df.sparkSession.range(sims * horizon).select((F.col("id") % sims).alias("sim"), uniform.alias("u"))
+    ranks = draws.join(F.broadcast(ranges.groups.select("_count"))).select("sim", F.floor(F.col("u") * F.col("_count")).alias("rank"))
+    return historical(ranges.at(ranks).groupBy("sim").agg(F.sum("value").alias("ret")), confidence)
 
 
 def component(returns: DataFrame, weights: dict[str, float], confidence: float = 0.95) -> DataFrame:

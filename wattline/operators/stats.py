@@ -8,6 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.quantiles import quantiles
 from wattline.functions.ts import col
 
 NORMAL = NormalDist()
@@ -93,7 +94,7 @@ def mutual_information(df: DataFrame, x: Column, y: Column) -> DataFrame:
 
 def quantile_bucket(df: DataFrame, value: str, edges: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
     """Adds ``bucket`` 0..n by quantile edges; a value on an edge is in the lower one."""
-    q = df.agg(F.percentile(value, F.array(*[F.lit(e) for e in edges])).alias("_q"))
+    q = quantiles(df, value, list(edges), name="_q")
     bucket = sum((F.when(F.col(value) > F.col("_q")[i], 1).otherwise(0) for i in range(len(edges))), F.lit(0))
     return df.join(F.broadcast(q)).withColumn("bucket", bucket).drop("_q")
 
