@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions import blocks
 from wattline.functions.ts import Series, clip, col, ewm, expanding_rank, flag, span
 from wattline.operators.align import asof_join
 
@@ -47,6 +48,10 @@ def size_series(s: Series, ret, n: int = 20, **options) -> Column:
     return vol_target_size(s.std(ret, n) * F.sqrt(F.lit(252.0)), **options)
 
 
+#: Rows that the longest window of the composite's parts looks back to.
+LONGEST = 200
+
+
 # --- parts of the composite -----------------------------------------------------
 
 
@@ -140,10 +145,11 @@ def sentiment_on(prices: DataFrame, tone: DataFrame | None = None, gpr: DataFram
 def composite_parts(prices: DataFrame, weekly: DataFrame, days: DataFrame, tone: DataFrame, gpr: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     """``prices`` (one series) with every part of the composite but the regime, and the
     parts by their weights' names."""
-    out = technical(Series(), prices)
+    # One series: its windows run in blocks, each with the rows that they look back to.
+    both = blocks.rolling(blocks.numbered(prices), lambda s, rows: technical(s, rows).withColumn("mean_reversion_signal", mean_reversion(s)), LONGEST)
+    out = both.drop("_i")
     for part in (storage_anomaly(weekly, prices).drop("storage_z"), seasonal_t(prices).drop("t"), weather(days, prices), sentiment_on(prices, tone, gpr)):
         out = out.join(part, "date", "left")
-    out = out.withColumn("mean_reversion_signal", mean_reversion(Series()))
     return out, {name: F.col(f"{name}_signal") for name in ("storage", "seasonal", "technical", "mean_reversion", "weather", "sentiment")}
 
 
@@ -264,12 +270,24 @@ class Composite:
         return sum((F.coalesce(c, F.lit(0.0)) * (self.weights[p] / total) for p, c in present.items()), F.lit(0.0))
 
     def apply(self, df: DataFrame, present: dict[str, Column], keys: tuple[str, ...] = (), price: str = "close") -> DataFrame:
-        """Adds composite, signal and position_size."""
-        s = Series(keys)
-        out = df.withColumn("composite", self.score(present)).withColumn("_r", s.log_return(price))
-        out = out.withColumn("_v", s.std("_r", self.vol_lookback) * F.sqrt(F.lit(252.0)))
-        out = out.withColumn("_v", clip(F.coalesce("_v", s.bfill("_v")), 0.05))
-        out = expanding_rank(out, list(keys), ["date"], "_v", "_rank", 252)
+        """Adds composite, signal and position_size.
+
+        Keyed series are a task each; one series without keys runs in blocks.
+        """
+        out = df.withColumn("composite", self.score(present))
+
+        def risk(s: Series, rows: DataFrame) -> DataFrame:
+            rows = rows.withColumn("_r", s.log_return(price))
+            return rows.withColumn("_v", s.std("_r", self.vol_lookback) * F.sqrt(F.lit(252.0)))
+
+        if keys:
+            s = Series(keys)
+            out = risk(s, out)
+            out = out.withColumn("_v", clip(F.coalesce("_v", s.bfill("_v")), 0.05))
+            out = expanding_rank(out, list(keys), ["date"], "_v", "_rank", 252)
+        else:
+            out = blocks.carried(blocks.rolling(blocks.numbered(out), risk, self.vol_lookback), "_v", "_v", backward=True)
+            out = blocks.expanding_rank(out.withColumn("_v", clip("_v", 0.05)), "_v", "_rank", 252).drop("_i")
         side = F.when(F.col("_rank") > self.risk_off, 0).when(F.col("composite") >= self.long_threshold, 1).when(F.col("composite") <= self.short_threshold, -1).otherwise(0)
         belief = self.floor + (1 - self.floor) * F.least(F.abs("composite"), F.lit(0.8)) / 0.8
         scale = F.least(self.vol_target / F.col("_v"), F.lit(1.5))
