@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -80,6 +81,101 @@ def permutation_test(df: DataFrame, actual: str, predicted: str, rounds: int = 2
     return null.groupBy("real").agg(F.avg("s").alias("null_mean"), F.avg((F.col("s") >= F.col("real")).cast("double")).alias("p_value"))
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement are good; beyond 10^9 things, where the
+    library's own draws end, by the normal law with the exact mean and variance."""
+    if not good or not n:
+        return 0
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    mean = n * good / total
+    spread = (mean * (bad / total) * ((total - n) / (total - 1))) ** 0.5
+    return int(min(max(round(rng.normal(mean, spread)), 0, n - bad), n, good))
+
+
+def shuffled_hits(rng: np.random.Generator, actual: dict, predicted: dict) -> tuple[int, int]:
+    """(hits, pairs of known values) when the actual values are dealt at random to the
+    predictions; both are given as value -> count, None for a missing one.
+
+    A deal fixes a table of counts with the given margins, and only the table matters:
+    each predicted value draws its share of what is left of the actual ones.
+    """
+    left, hits, pairs = dict(actual), 0, 0
+    for value, n in predicted.items():
+        rest = sum(left.values())
+        for a in left:
+            rest -= left[a]
+            got = _hypergeometric(rng, left[a], rest, n)
+            left[a] -= got
+            n -= got
+            if value is not None and a is not None:
+                pairs += got
+                hits += got if a == value else 0
+    return hits, pairs
+
+
+def class_permutation_test(df: DataFrame, actual: str, predicted: str, rounds: int = 200, seed: int = 42, most_classes: int = 200, on: str | None = None) -> DataFrame:
+    """``permutation_test`` for labels of few kinds, from the counts of labels alone.
+
+    One aggregate counts the labels; a round then draws its number of hits from the
+    hypergeometric law of a random pairing, so no row is shuffled once a round.  More than
+    ``most_classes`` kinds of labels are paired row by row (``permutation_test``).
+    """
+    table = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    cells = table.limit(most_classes**2 + 1).collect()
+    kinds = {r["a"] for r in cells} | {r["p"] for r in cells}
+    if len(cells) > most_classes**2 or len(kinds) > most_classes:
+        return permutation_test(df, actual, predicted, rounds, seed, on=on)
+    key = lambda v: (v is None, v if v is not None else 0)
+    counts = {side: {k: sum(r["n"] for r in cells if r[side] == k) for k in sorted({r[side] for r in cells}, key=key)} for side in "ap"}
+    known = [r for r in cells if r["a"] is not None and r["p"] is not None]
+    total = sum(r["n"] for r in known)
+    real = sum(r["n"] for r in known if r["a"] == r["p"]) / total if total else None
+
+    def draw(batches):
+        for rows in batches:
+            made = [shuffled_hits(np.random.default_rng([seed, int(i)]), counts["a"], counts["p"]) for i in rows["id"]]
+            yield pd.DataFrame({"s": [h / p if p else None for h, p in made]}, dtype="float64")
+
+    null = df.sparkSession.range(rounds).mapInPandas(draw, "s double").where("s is not null and not isnan(s)")
+    score = F.lit(real).cast("double")
+    out = null.agg(F.avg("s").alias("null_mean"), F.avg((F.col("s") >= score).cast("double")).alias("p_value"))
+    return out.select(score.alias("real"), "null_mean", "p_value").where("real is not null")
+
+
+def permutation_importance(df: DataFrame, features: list[str], label: str, predict: Callable[[np.ndarray], np.ndarray], repeats: int = 5, seed: int = 42, block: int = 4096) -> DataFrame:
+    """feature, importance, std, rank: how much the squared error of ``predict`` grows when a
+    feature's values are dealt anew among the rows, over ``repeats`` deals.
+
+    Rows are cut into blocks by a hash of their values, alike for any partitioning; a
+    feature is dealt anew inside its block, by a seed of block, feature and repeat.
+    All (feature, repeat) pairs are scored from one pass, whose errors are sums.
+    ``predict`` takes a matrix (rows, features) and is sent to the tasks.
+    """
+    rows = df.dropna(subset=[*features, label]).select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col(label).cast("double").alias("y"))
+    cuts = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "x", "y"), F.lit(cuts)))
+
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.assign(key=[tuple(v) for v in part["x"]]).sort_values(["key", "y"])
+        x, y, b = np.array(part["x"].tolist(), dtype=float), part["y"].to_numpy(), int(part["b"].iloc[0])
+        base, out = float(((predict(x) - y) ** 2).sum()), []
+        for f in range(len(features)):
+            for r in range(repeats):
+                dealt = x.copy()
+                dealt[:, f] = np.random.default_rng([seed, b, f, r]).permutation(x[:, f])
+                out.append((f, r, float(((predict(dealt) - y) ** 2).sum()) - base, len(y)))
+        return pd.DataFrame(out, columns=["f", "r", "more", "n"])
+
+    each = placed.groupBy("b").applyInPandas(score, "f int, r int, more double, n long")
+    by_repeat = each.groupBy("f", "r").agg((F.sum("more") / F.sum("n")).alias("d"))
+    out = by_repeat.groupBy("f").agg(F.avg("d").alias("importance"), F.stddev_pop("d").alias("std"))
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("f") + 1).alias("feature")
+    # One row a feature.
+    return out.select(name, "importance", "std", F.row_number().over(Window.orderBy(F.desc("importance"), name)).alias("rank"))
+
+
 def betting(df: DataFrame, probability: str, actual: str, thresholds: list[float]) -> DataFrame:
     """Hit rate and coverage of bets surer than each threshold."""
     t = F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("threshold")

@@ -77,12 +77,51 @@ def same_bags(v: DataFrame) -> DataFrame:
     return bags.join(bags.groupBy("bag").agg(F.min("article_id").alias("first")), "bag").select("article_id", "first")
 
 
+#: Members of a cell up to which all of them meet.
+SMALL_CELL = 64
+
+
+def candidates(v: DataFrame, index: DataFrame, threshold: float, small: int | None = None) -> DataFrame:
+    """a < b: every pair that could reach the threshold, of those that share an indexed term.
+
+    A cell is the articles that share the terms of a path, at first one.  What those terms
+    can give an article x with any other member is at most b = sum of its weights times
+    the cell's largest ones.  Where many share a path, the articles go on to cells of one
+    term more: in order of rarity, x takes the terms until the length of what follows is
+    below threshold - b.  The first further term that two articles share is then taken by
+    both, or they cannot reach the threshold.  Articles that may reach it by the path alone
+    (b >= threshold) take all their terms, and meet each other at once: such pairs share
+    nearly all of their weight.
+    """
+    limit = small or SMALL_CELL
+    rarity = F.struct("df", "term")
+    terms = settle(v.select("article_id", "term", "weight", rarity.alias("rare")))
+    weights = terms.select("article_id", "term", "weight")
+    cells = index.join(weights, ["article_id", "term"]).select(F.array("term").alias("path"), "article_id", F.lit(0.0).alias("b"), "weight")
+    pairs = None
+    while True:
+        stats = cells.groupBy("path").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = settle(cells.join(stats, "path").select("path", "article_id", (F.col("b") + F.col("weight") * F.col("most")).alias("b"), (F.col("n") > limit).alias("large")))
+        meet = sized.where(~F.col("large") | (F.col("b") >= threshold - 1e-9)).select("path", "article_id", "large")
+        a, b = (meet.select("path", "large", F.col("article_id").alias(x)) for x in "ab")
+        found = a.join(b, ["path", "large"]).where("a < b").select("a", "b").distinct()
+        pairs = found if pairs is None else pairs.union(found)
+        large = sized.where("large")
+        if large.isEmpty():
+            return pairs.distinct()
+        # A member's further terms, from the most common: the mass of each and of all more common ones.
+        upto = Window.partitionBy("path", "article_id").orderBy(F.col("rare").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        further = large.join(terms, "article_id").where(~F.array_contains("path", F.col("term"))).withColumn("mass", F.sum(F.col("weight") * F.col("weight")).over(upto))
+        taken = further.where(F.sqrt("mass") >= threshold - F.col("b") - 1e-9)
+        cells = settle(taken.select(F.array_append("path", F.col("term")).alias("path"), "article_id", "b", "weight"))
+
+
 def similar_pairs(df: DataFrame, threshold: float = 0.85, text: str = "title", **options) -> DataFrame:
     """a < b, cosine: every pair of articles with different bags of terms, each bag by its
     first article, and (first, article, 1.0) for the others of a bag.
 
-    Exact: an inverted-index join on the rarest terms of each article that together
-    could still reach the threshold.
+    Exact: an inverted index on the rarest terms of each article that together could
+    still reach the threshold; terms that many articles share are split (``candidates``).
     """
     every = settle(tf_idf(df, text, **options))
     bags = settle(same_bags(every))
@@ -92,10 +131,9 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, text: str = "title", *
     # terms cannot reach t, so they need not be indexed.
     marked = v.withColumn("_mass", F.sum(F.col("weight") * F.col("weight")).over(common_first))
     index = marked.where(F.col("_mass") >= threshold * threshold - 1e-9).select("article_id", "term")
-    a, b = index.toDF("a", "term"), index.toDF("b", "term")
-    candidates = a.join(b, "term").where("a < b").select("a", "b").distinct()
+    met = candidates(v, settle(index), threshold)
     x, y = v.select(F.col("article_id").alias("a"), "term", F.col("weight").alias("x")), v.select(F.col("article_id").alias("b"), "term", F.col("weight").alias("y"))
-    scored = candidates.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+    scored = met.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
     alike = bags.where("article_id > first").select(F.col("first").alias("a"), F.col("article_id").alias("b"), F.lit(1.0).alias("cosine"))
     return scored.where(F.col("cosine") >= threshold).unionByName(alike)
 

@@ -440,12 +440,18 @@ def marginal_supply(spark, sf):
     return rounded(energy.marginal_supply(_mix(spark, sf), _FUELS))
 
 
-@query("dispatch_forecast")
-def dispatch_forecast(spark, sf):
+def dispatch_features(spark, sf):
+    """Generation by region and day with what a dispatch model sees, and the names of those columns."""
     g = _generation(spark, sf)
     sin, cos = F.sin(2 * F.pi() * F.month("date") / 12), F.cos(2 * F.pi() * F.month("date") / 12)
     g = g.withColumns({"price_sq": F.col("ng_price") * F.col("ng_price"), "month_sin": sin, "month_cos": cos, "total_x_price": F.col("total_mwh") * F.col("ng_price")})
-    out = ml.dispatch(g, ["ng_price", "price_sq", "total_mwh", "month_sin", "month_cos", "total_x_price"], "gas_mwh")
+    return g, ("ng_price", "price_sq", "total_mwh", "month_sin", "month_cos", "total_x_price")
+
+
+@query("dispatch_forecast")
+def dispatch_forecast(spark, sf):
+    g, names = dispatch_features(spark, sf)
+    out = ml.dispatch(g, list(names), "gas_mwh")
     return out.select("region", "date", "gas_mwh", "prediction", (F.col("gas_mwh") - F.col("prediction")).alias("residual"))
 
 

@@ -272,7 +272,20 @@ def rolling_accuracy(spark, sf):
 @query("permutation_test")
 def permutation_test(spark, sf):
     e = fr.read(spark, sf, "events")
-    return ml.permutation_test(e.select("event_id", (F.col("value") > 50).cast("int").alias("a"), (F.col("event_id") % 2).cast("int").alias("p")), "a", "p", on="event_id")
+    return ml.class_permutation_test(e.select("event_id", (F.col("value") > 50).cast("int").alias("a"), (F.col("event_id") % 2).cast("int").alias("p")), "a", "p", on="event_id")
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    """What a forest of generation rests on, measured on all days; fitted on the first 2,000 days by region and date."""
+    from wattline.operators import boosting
+    from wattline.plans.energy import dispatch_features
+
+    g, names = dispatch_features(spark, sf)
+    # The bound on what is fitted; the importance is taken over every row.
+    first = g.dropna(subset=[*names, "gas_mwh"]).orderBy("region", "date").limit(2000).toPandas()
+    forest = boosting.fit(first[list(names)].to_numpy(float), first["gas_mwh"].to_numpy(float), boosting.Boost())
+    return ml.permutation_importance(g, list(names), "gas_mwh", forest.predict)
 
 
 @query("gbt_forecast")
