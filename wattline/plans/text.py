@@ -141,6 +141,34 @@ def table_rendering(spark, sf):
     return retrieval.render_table(fr.read(spark, sf, "region").select("r_regionkey", "r_name"), "r_regionkey")
 
 
+_LATE_SQL = """with e as (select *, date_diff('day', (select min(ts) from events), ts) + case when event_id % 5 = 0 then 6 else 0 end as batch from events),
+b as (select batch, max(ts) as m from e group by batch), s as (select batch, max(m) over (order by batch rows between unbounded preceding and 1 preceding) as seen from b),
+k as (select batch, lag(seen) over (order by batch) - interval 2 days as mark from s),
+r as (select event_type, date_trunc('day', ts) as start, value, coalesce(date_trunc('day', ts) + interval 1 day <= mark, false) as dropped from e join k using (batch)),
+g as (select event_type, start, sum(value) filter (not dropped) as total, count(*) filter (not dropped) as n, count(*) filter (dropped) as n_dropped from r group by all)
+select event_type, start, round(total, 6) + 0.0 as total, n, n_dropped from g"""
+
+
+def late_events(spark, sf):
+    """Events by arrival: a batch a day of event time, and a fifth of the rows six days later."""
+    e = fr.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first = e.agg(F.min("ts").alias("_first"))
+    day = F.datediff(F.col("ts"), F.col("_first")) + F.when(F.col("event_id") % 5 == 0, 6).otherwise(0)
+    return e.join(F.broadcast(first)).withColumn("batch", day).drop("_first")
+
+
+@query("late_rows", _LATE_SQL)
+def late_rows(spark, sf):
+    out = jobs.replay(late_events(spark, sf), "batch", "value", "event_type", late="2 days")
+    return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
+@query("late_rows_closed", _LATE_SQL + " where start + interval 1 day <= (select max(ts) from events) - interval 2 days")
+def late_rows_closed(spark, sf):
+    out = jobs.replay(late_events(spark, sf), "batch", "value", "event_type", late="2 days", closed_only=True)
+    return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
 @query("event_sessions", """with s as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events), g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as g from s)
 select user_id, min(ts) as start, max(ts) + interval 30 minutes as "end", count(*) as n from g group by user_id, g""")
 def event_sessions(spark, sf):

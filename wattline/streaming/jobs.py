@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +23,39 @@ def tumbling_daily(df: DataFrame, value: str, by: str, ts: str = "ts", late: str
     return rows.groupBy(F.window(ts, "1 day").alias("w"), by).agg(F.sum(value).alias("total"), F.max(value).alias("peak"), F.count(value).alias("n")).select(by, F.col("w.start").alias("day"), "total", "peak", "n")
 
 
+def late_rows(df: DataFrame, batch: str, ts: str = "ts", width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """The batch model of a watermark: ``df`` with its day-like window ``w`` and ``dropped``.
+
+    ``batch`` numbers the micro-batches in which rows arrive.  A batch's watermark is the
+    latest event time of all batches before it less ``late``.  Windows are closed by it at
+    the end of the batch, so the next batch's rows are dropped where their window had ended
+    by then: a row is late by the watermark of the batch before its own.
+    """
+    of_batch = df.groupBy(F.col(batch).alias("_b")).agg(F.max(ts).alias("_m"))
+    order = Window.orderBy("_b")
+    # One row a micro-batch; a watermark never goes back.
+    seen = of_batch.withColumn("_seen", F.max("_m").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    marks = seen.select("_b", (F.lag("_seen").over(order) - F.expr(f"interval {late}")).alias("_mark"))
+    rows = df.withColumn("w", F.window(ts, width)).join(F.broadcast(marks), F.col(batch) == F.col("_b"))
+    return rows.withColumn("dropped", F.coalesce(F.col("w.end") <= F.col("_mark"), F.lit(False))).drop("_b", "_mark")
+
+
+def replay(df: DataFrame, batch: str, value: str, by: str, ts: str = "ts", width: str = "1 day", late: str = "1 hour", closed_only: bool = False) -> DataFrame:
+    """by, start, total, n, n_dropped: what a stream of the batches holds at its end.
+
+    With ``closed_only`` only the windows that the last watermark has closed, as append
+    mode emits them; otherwise every window's last state, as update mode does.  A window
+    that only dropped rows fell into has n = 0.
+    """
+    rows = late_rows(df, batch, ts, width, late)
+    kept = F.when(~F.col("dropped"), F.col(value))
+    out = rows.groupBy(by, F.col("w.start").alias("start"), F.col("w.end").alias("_end")).agg(F.sum(kept).alias("total"), F.count_if(~F.col("dropped")).alias("n"), F.count_if("dropped").alias("n_dropped"))
+    if closed_only:
+        end = df.agg((F.max(ts) - F.expr(f"interval {late}")).alias("_last"))
+        out = out.join(F.broadcast(end)).where(F.col("_end") <= F.col("_last")).drop("_last")
+    return out.drop("_end")
+
+
 def sliding_index(df: DataFrame, value: str, ts: str = "ts", width: str = "7 days", step: str = "1 day", late: str = "1 day", watermark: bool = True) -> DataFrame:
     rows = df.withWatermark(ts, late) if watermark else df
     return rows.groupBy(F.window(ts, width, step).alias("w")).agg(F.avg(value).alias("index"), F.count(value).alias("n")).select(F.col("w.end").alias("at"), "index", "n")
