@@ -50,12 +50,20 @@ def test_split_terms_lose_no_pair(spark, monkeypatch, small, threshold):
 def test_a_term_in_thousands_of_titles_makes_few_pairs(spark):
     """Each title is a common term with one of 2,500 others, twice in other order and once more."""
     texts = [f"storage x{i}" for i in range(2500)] + [f"y{i} storage x{i}" for i in range(2500)]
-    v = news.tf_idf(titles(spark, texts))
-    w = v.withColumn("_m", F.col("weight"))
-    index = w.select("article_id", "term")  # every term, the common one too
-    met = news.candidates(v, index, 0.85)
-    assert met.count() < 3 * 2500
-    assert {(r.a, r.b) for r in met.where("a = 7").collect()} <= {(7, 2507)}
+    v = news.vectors(news.tf_idf(titles(spark, texts)))
+    cells = news.meeting_cells(v.withColumn("mass", F.lit(1.0)), 0.85)  # every term starts cells, the common one too
+    sizes = [r["count"] for r in cells.groupBy("cell").count().collect()]
+    assert sum(n * (n - 1) // 2 for n in sizes) < 3 * 2500
+    a, b = (cells.select("cell", F.col("article_id").alias(x)) for x in "ab")
+    assert {r.b for r in a.join(b, "cell").where("a = 7 and b > 7").collect()} <= {2507}
+
+
+def test_large_cells_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(news, "BLOCK", 7)
+    df = titles(spark, [f"one two three four five six seven eight u{i % 40} u{i // 40}" for i in range(150)])
+    want, bags = all_pairs(spark, df, 0.6)
+    got = {(r.a, r.b): r.cosine for r in news.similar_pairs(df, 0.6).collect()}
+    assert len(want) > 250 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
 def test_shuffles_by_margins_follow_a_random_pairing():

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,41 +81,117 @@ def same_bags(v: DataFrame) -> DataFrame:
 
 #: Members of a cell up to which all of them meet.
 SMALL_CELL = 64
-
-
-def candidates(v: DataFrame, index: DataFrame, threshold: float, small: int | None = None) -> DataFrame:
-    """a < b: every pair that could reach the threshold, of those that share an indexed term.
-
-    A cell is the articles that share the terms of a path, at first one.  What those terms
-    can give an article x with any other member is at most b = sum of its weights times
-    the cell's largest ones.  Where many share a path, the articles go on to cells of one
-    term more: in order of rarity, x takes the terms until the length of what follows is
-    below threshold - b.  The first further term that two articles share is then taken by
-    both, or they cannot reach the threshold.  Articles that may reach it by the path alone
-    (b >= threshold) take all their terms, and meet each other at once: such pairs share
-    nearly all of their weight.
+#: Members of one side of a block of a large cell.
+BLOCK = 1000
+
+
+def vectors(every: DataFrame) -> DataFrame:
+    """article_id, rank, weight, mass: terms by rarity (1 is the rarest) in place of their
+    names, and the squared length of an article's terms from each one to the most common."""
+    # At most as many terms as the limit of ``tf_idf``.
+    ranks = every.select("term", "df").distinct().select("term", F.row_number().over(Window.orderBy("df", "term")).alias("rank"))
+    upto = Window.partitionBy("article_id").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    v = every.join(F.broadcast(ranks), "term").select("article_id", "rank", "weight")
+    return v.withColumn("mass", F.sum(F.col("weight") * F.col("weight")).over(upto))
+
+
+def meeting_cells(v: DataFrame, threshold: float, small: int | None = None) -> DataFrame:
+    """(cell, article_id, n): cells of n articles whose members meet, so that all pairs of
+    (article_id, rank, weight, mass) that could reach the threshold meet somewhere.
+
+    The terms that two articles share, from the rarest on, are a path, and a cell is the
+    articles that share the start of one.  What those terms can give an article x with
+    any other member is at most b = sum of its weights times the cell's largest ones.
+    x is in the cells that its path leads to by a term from which on its terms are as long as
+    threshold - b at least: where two articles first share a shorter rest, they cannot reach
+    the threshold.  Members of small cells all meet; large cells are cut by the next term.
+    Articles of a large cell that may reach the threshold by the path alone (b >= threshold)
+    meet each other at once: such pairs share nearly all of their weight.  A cell is cut
+    only if that at least halves the pairs that would meet, so groups of titles that are
+    alike, whose pairs are the result, are not cut into all the paths that they share.
+
+    Cells are known by a hash of their path; if two paths met in it, articles would meet
+    that need not, no pair would be lost.
     """
     limit = small or SMALL_CELL
-    rarity = F.struct("df", "term")
-    terms = settle(v.select("article_id", "term", "weight", rarity.alias("rare")))
-    weights = terms.select("article_id", "term", "weight")
-    cells = index.join(weights, ["article_id", "term"]).select(F.array("term").alias("path"), "article_id", F.lit(0.0).alias("b"), "weight")
-    pairs = None
+    start = v.where(F.sqrt("mass") >= threshold - 1e-9)
+    cells = start.select(F.col("rank").cast("long").alias("cell"), F.col("rank").alias("last"), "article_id", F.lit(0.0).alias("b"), "weight")
+    met = None
     while True:
-        stats = cells.groupBy("path").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = settle(cells.join(stats, "path").select("path", "article_id", (F.col("b") + F.col("weight") * F.col("most")).alias("b"), (F.col("n") > limit).alias("large")))
-        meet = sized.where(~F.col("large") | (F.col("b") >= threshold - 1e-9)).select("path", "article_id", "large")
-        a, b = (meet.select("path", "large", F.col("article_id").alias(x)) for x in "ab")
-        found = a.join(b, ["path", "large"]).where("a < b").select("a", "b").distinct()
-        pairs = found if pairs is None else pairs.union(found)
-        large = sized.where("large")
-        if large.isEmpty():
-            return pairs.distinct()
-        # A member's further terms, from the most common: the mass of each and of all more common ones.
-        upto = Window.partitionBy("path", "article_id").orderBy(F.col("rare").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        further = large.join(terms, "article_id").where(~F.array_contains("path", F.col("term"))).withColumn("mass", F.sum(F.col("weight") * F.col("weight")).over(upto))
-        taken = further.where(F.sqrt("mass") >= threshold - F.col("b") - 1e-9)
-        cells = settle(taken.select(F.array_append("path", F.col("term")).alias("path"), "article_id", "b", "weight"))
+        stats = cells.groupBy("cell").agg(F.max("weight").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        bound = F.col("b") + F.col("weight") * F.col("most")
+        sized = settle(cells.join(stats, "cell").select("cell", "last", "article_id", bound.alias("b"), "n"))
+        further = sized.where(F.col("n") > limit).join(v, "article_id").where((F.col("rank") > F.col("last")) & (F.sqrt("mass") >= threshold - F.col("b") - 1e-9))
+        taken = settle(further.select("cell", "rank", "article_id", "b", "weight", "n"))
+        sure = F.col("b") >= threshold - 1e-9
+        parts = taken.groupBy("cell", "rank").agg(F.count(F.lit(1)).alias("m")).groupBy("cell").agg(F.sum(F.col("m") * F.col("m")).alias("after"))
+        known = sized.where(F.col("n") > limit).groupBy("cell").agg(F.max("n").alias("n"), F.count_if(sure).alias("s")).join(parts, "cell", "left")
+        cut = settle(known.where(2 * (F.coalesce("after", F.lit(0)) + F.col("s") * F.col("s")) <= F.col("n") * F.col("n")).select("cell", F.lit(True).alias("cut")))
+        meet = sized.join(cut, "cell", "left").where(F.col("cut").isNull() | sure).select("cell", "article_id", "n")
+        met = meet if met is None else met.union(meet)
+        cells = taken.join(cut, "cell").select(F.xxhash64("cell", "rank").alias("cell"), F.col("rank").alias("last"), "article_id", "b", "weight")
+        if cells.isEmpty():
+            return met
+
+
+def _cell_pairs(ids: list[int], side: np.ndarray, ranks: list, weights: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine) of the pairs of a cell's block; with two sides, of those across."""
+    terms, at = np.unique(np.concatenate(ranks), return_inverse=True)
+    dense = np.zeros((len(ids), len(terms)))
+    dense[np.repeat(np.arange(len(ids)), [len(r) for r in ranks]), at] = np.concatenate(weights)
+    cosine = dense @ dense.T
+    fine = np.triu(cosine >= threshold, 1)
+    if side.any() and not side.all():
+        fine &= side[:, None] != side[None]
+    i, j = np.nonzero(fine)
+    ids = np.array(ids)
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), cosine[i, j]
+
+
+def meet(cells: DataFrame, v: DataFrame, threshold: float) -> DataFrame:
+    """a < b, cosine of the pairs that meet in a cell and reach the threshold, each once.
+
+    What moves are members with their terms, not pairs.  Cells of more than ``BLOCK`` members
+    are cut into blocks by a hash, and each two blocks of a cell meet on their own.
+    """
+    terms = v.groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("rank", "weight"))).alias("t"))
+    whole = terms.select("article_id", F.col("t.rank").alias("ranks"), F.col("t.weight").alias("weights"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("article_id"), blocks).cast("int")
+    dealt = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "article_id")
+    rows = dealt.join(whole, "article_id").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+    def score(batches):
+        key, held, found = None, ([], [], [], []), []
+
+        def done():
+            if len(held[0]) > 1:
+                found.append(_cell_pairs(held[0], np.array(held[1]), held[2], held[3], threshold))
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j")), strict=True))
+            columns = [batch.column(c).to_pylist() for c in ("article_id", "side", "ranks", "weights")]
+            for n, k in enumerate(keys):
+                if k != key:
+                    done()
+                    key, held = k, ([], [], [], [])
+                for part, column in zip(held, columns, strict=True):
+                    part.append(column[n])
+            if found:
+                yield _pairs_batch(found)
+                found = []
+        done()
+        if found:
+            yield _pairs_batch(found)
+
+    id_type = v.schema["article_id"].dataType.simpleString()
+    pairs = rows.mapInArrow(score, f"a {id_type}, b {id_type}, cosine double")
+    return pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
+
+def _pairs_batch(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "cosine"])
 
 
 def similar_pairs(df: DataFrame, threshold: float = 0.85, text: str = "title", **options) -> DataFrame:
@@ -121,21 +199,14 @@ def similar_pairs(df: DataFrame, threshold: float = 0.85, text: str = "title", *
     first article, and (first, article, 1.0) for the others of a bag.
 
     Exact: an inverted index on the rarest terms of each article that together could
-    still reach the threshold; terms that many articles share are split (``candidates``).
+    still reach the threshold; terms that many articles share are cut (``meeting_cells``).
     """
     every = settle(tf_idf(df, text, **options))
     bags = settle(same_bags(every))
-    v = every.join(bags.where("article_id = first").select("article_id"), "article_id", "left_semi")
-    common_first = Window.partitionBy("article_id").orderBy(F.col("df").desc(), "term").rowsBetween(Window.unboundedPreceding, 0)
-    # While the squared weights so far stay under t^2, a pair that shares only these
-    # terms cannot reach t, so they need not be indexed.
-    marked = v.withColumn("_mass", F.sum(F.col("weight") * F.col("weight")).over(common_first))
-    index = marked.where(F.col("_mass") >= threshold * threshold - 1e-9).select("article_id", "term")
-    met = candidates(v, settle(index), threshold)
-    x, y = v.select(F.col("article_id").alias("a"), "term", F.col("weight").alias("x")), v.select(F.col("article_id").alias("b"), "term", F.col("weight").alias("y"))
-    scored = met.join(x, "a").join(y, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+    v = settle(vectors(every.join(bags.where("article_id = first").select("article_id"), "article_id", "left_semi")))
+    scored = meet(meeting_cells(v, threshold), v, threshold)
     alike = bags.where("article_id > first").select(F.col("first").alias("a"), F.col("article_id").alias("b"), F.lit(1.0).alias("cosine"))
-    return scored.where(F.col("cosine") >= threshold).unionByName(alike)
+    return scored.unionByName(alike)
 
 
 def greedy_drop(pairs: DataFrame) -> DataFrame:
