@@ -63,7 +63,7 @@ def test_large_cells_meet_in_blocks(spark, monkeypatch):
     df = titles(spark, [f"one two three four five six seven eight u{i % 40} z{i // 40}" for i in range(150)])
     want, bags = all_pairs(spark, df, 0.6)
     got = {(r.a, r.b): r.cosine for r in news.similar_pairs(df, 0.6).collect()}
-    assert len(want) > 250 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert len(want) > 200 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
 def test_shuffles_by_margins_follow_a_random_pairing():
