@@ -201,12 +201,26 @@ def test_simulation_is_independent_of_partitioning(spark):
     assert valuation.longstaff_schwartz(paths, valuation.Asset.salt_cavern(), 5.0) > 0
 
 
+def test_values_by_market_are_those_of_each_path(spark):
+    asset = valuation.Asset.salt_cavern()
+    markets = {"a": (3.0, 1.0, 4.0, 0.5), "b": (2.0, 0.2, 2.0, 3.0)}
+    params = spark.createDataFrame([(k, *v) for k, v in markets.items()] + [("none", None, 1.0, 1.0, 1.0)], "symbol string, s0 double, kappa double, theta double, sigma double")
+    got = valuation.simulated_values(params, asset, 5.0, months=6, paths=30)
+    assert {r["symbol"] for r in got.collect()} == set(markets)
+    for name, (s0, kappa, theta, sigma) in markets.items():
+        one = valuation.greedy_value(valuation.simulate(spark, s0, kappa, theta, sigma, months=6, paths=30), asset, 5.0, s0).toPandas().sort_values("path")
+        mine = got.where(F.col("symbol") == name).toPandas().sort_values("path")
+        assert np.allclose(mine["value"], one["value"], rtol=1e-12)
+    g = valuation.simulated_greeks(params, asset, 5.0, months=6, paths=30).where("symbol = 'a'").first()
+    want = valuation.greeks(spark, asset, 5.0, *markets["a"], months=6, paths=30).first()
+    assert all(abs(g[k] - want[k]) < 1e-6 * max(1, abs(want[k])) for k in ("value", "delta", "gamma", "vega", "theta"))
+
+
 def test_storage_and_trees_run_at_full_size(spark, monkeypatch):
-    seen = []
-    made = valuation.simulate
-    monkeypatch.setattr(valuation, "simulate", lambda *a, **k: made(*a, **k | {"paths": seen.append(k.get("paths", 5000)) or 2}))
-    assert strategy.storage_simulated(spark, "").count() == 2 and strategy.storage_greeks(spark, "").count() == 1
-    assert seen == [5000] + [3000] * 5
+    sf = "/root/testdata/sf0.001"
+    assert strategy.storage_simulated(spark, sf).count() == 5 * 5000
+    rows = strategy.storage_greeks(spark, sf).collect()
+    assert len(rows) == 5 and all(None not in r for r in rows)
     models, make = [], ml.boosted_trees
     monkeypatch.setattr(ml, "boosted_trees", lambda *a, **k: models.append(make(*a, **k)) or models[-1])
     strategy.gbt_forecast(spark, "/root/testdata/sf0.001")

@@ -78,4 +78,6 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], by: tuple[s
     targets = places.select(*by, "_i", side).select(*by, "_i", F.col("_s.rank").alias("rank"), F.col("_s._w").alias("_w"))
     # The upper neighbour of a whole position has no weight.
     each = ranges.at(targets).groupBy(*by, "_i").agg(F.sum(F.when(F.col("_w") > 0, F.col("_w") * F.col("value")).otherwise(0.0)).alias("_x"))
-    return each.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias(name))
+    out = each.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias(name))
+    # Without keys an empty table would still make a row.
+    return out.where(F.size(name) > 0)

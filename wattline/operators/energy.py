@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.functions.ts import Series, clip
-from wattline.operators.align import daily_ramp
+from wattline.functions.tables import settle
+from wattline.functions.ts import Series, clip, flag
+from wattline.operators.align import daily_ramp, outliers_removed
 
 #: MMBtu per MWh, $ per MWh and tons of CO2 per MWh by plant type.
 HEAT_RATES = {"combined_cycle": 6.6, "combustion_turbine": 10.0, "steam_turbine": 9.5, "average_gas": 7.5}
@@ -37,6 +38,82 @@ def weather_panel(cities: DataFrame, weights: DataFrame, values: tuple[str, ...]
     return j.groupBy("date").agg(*[F.try_divide(F.sum(F.col(v) * F.col("weight")), F.sum(F.when(F.col(v).isNotNull(), F.col("weight")))).alias(v) for v in values])
 
 
+def east_demand(daily: DataFrame, regions: tuple[str, ...], reach: float = 2.0) -> DataFrame:
+    """One row a day that every region has: each region's columns, the total of all and the
+    sum of their peaks, without days whose total lies far out (``outliers_removed``).
+
+    ``daily`` has the columns of ``demand_panel``; of repeated rows of a region and day
+    the larger values are shown and all count in the totals.
+    """
+    columns = ("total_mwh", "peak_mw", "min_mw", "avg_mw", "load_factor")
+    own = [F.max(F.when(F.col("region") == r, F.col(c))).alias(f"{r.lower()}_{c}") for r in regions for c in columns]
+    every = daily.where(F.col("region").isin(*regions)).groupBy("date").agg(
+        *own, F.sum("total_mwh").alias("east_total_mwh"), F.sum("peak_mw").alias("east_peak_mw"), F.count_distinct("region").alias("_n")
+    )
+    return outliers_removed(settle(every.where(F.col("_n") == len(regions)).drop("_n")), "east_total_mwh", reach=reach)
+
+
+def east_generation(daily: DataFrame, series: tuple[tuple[str, str], ...], totals: dict[str, str], limit: int = 2) -> DataFrame:
+    """One row a day that any (region, fuel) of ``series`` has: the columns of each, and
+    for each fuel of ``totals`` the sum over regions under the name given, 0 without a
+    value.  Gaps of up to ``limit`` rows are then carried forward.
+
+    ``daily`` has region, fuel and the columns of ``generation_panel``.
+    """
+    columns = ("total_mwh", "peak_mw", "min_mw", "avg_mw", "cf", "variability", "ramp")
+    own = {f"{r.lower()}_{f.lower()}_{c}": F.max(F.when((F.col("region") == r) & (F.col("fuel") == f), F.col(c))) for r, f in series for c in columns}
+    sums = {name: F.coalesce(F.sum(F.when(F.col("fuel") == f, F.col("total_mwh"))), F.lit(0.0)) for f, name in totals.items()}
+    wanted = F.struct("region", "fuel").isin(*[F.struct(F.lit(r).alias("region"), F.lit(f).alias("fuel")) for r, f in series])
+    out = daily.where(wanted).groupBy("date").agg(*[c.alias(n) for n, c in (own | sums).items()])
+    s = Series()
+    return out.select("date", *[s.ffill(c, limit).alias(c) for c in (*own, *sums)])
+
+
+#: Values of a city's day that are weighted by population.
+WEATHER = ("tavg", "tmax", "tmin", "wind_speed_max", "wind_gusts_max", "shortwave_rad", "cloud_cover", "precipitation", "sunshine_hours")
+
+
+def weather_days(cities: DataFrame, weights: DataFrame, base: float = 65.0, by_city: tuple[str, ...] = ()) -> DataFrame:
+    """The wind and solar weather panel: weighted values by date and what is made of them.
+
+    Weights are renormalised over the cities that have any day.  On a day a city without
+    a value adds nothing, so that the day's weights sum to less than 1; a value that no city
+    has is null, and days without any value go.  The wind's direction is that of the city
+    of the largest weight (the first by name of equals), as directions have no mean.
+    ``by_city`` names cities whose wind speed is kept as ``wind_<city>``.
+    Columns of ``WEATHER`` that ``cities`` lacks are left out with all that needs them.
+    """
+    have = [c for c in WEATHER if c in cities.columns]
+    there = weights.join(cities.select("city").distinct(), "city", "left_semi")
+    whole = there.agg(F.sum("weight").alias("_all"), F.min_by("city", F.struct(-F.col("weight"), "city")).alias("_top"))
+    rows = cities.join(there.select("city", "weight"), "city").join(F.broadcast(whole)).withColumn("_w", F.col("weight") / F.col("_all"))
+    aggs = [F.sum(F.col(c) * F.col("_w")).alias(c) for c in have]
+    if "wind_dir_dominant" in cities.columns:
+        aggs.append(F.max(F.when(F.col("city") == F.col("_top"), F.col("wind_dir_dominant"))).alias("wind_dir_dominant"))
+    if "wind_speed_max" in have:
+        aggs += [F.max(F.when(F.col("city") == c, F.col("wind_speed_max"))).alias(f"wind_{c}") for c in by_city]
+    days = rows.groupBy("date").agg(*aggs).where(F.coalesce(*have).isNotNull())
+    s, made = Series(), {}
+    if "tavg" in have:
+        days = days.withColumns({"hdd": clip(base - F.col("tavg"), 0.0), "cdd": clip(F.col("tavg") - base, 0.0)})
+        made |= {"hdd_7d": s.mean("hdd", 7), "cdd_7d": s.mean("cdd", 7), "temp_change_1d": s.diff("tavg")}
+    if {"tmax", "tmin"} <= set(have):
+        made["temp_range"] = F.col("tmax") - F.col("tmin")
+    if "wind_speed_max" in have:
+        v = "wind_speed_max"
+        made |= {"wind_speed_7d": s.mean(v, 7), "wind_speed_14d": s.mean(v, 14), "wind_speed_change_1d": s.diff(v), "wind_speed_change_7d": s.diff(v, 7), "wind_volatility_7d": s.std(v, 7)}
+        if "wind_gusts_max" in have:
+            made["gust_ratio"] = F.col("wind_gusts_max") / clip(v, 0.1)
+    if "shortwave_rad" in have:
+        v = "shortwave_rad"
+        made |= {"solar_rad_7d": s.mean(v, 7), "solar_rad_14d": s.mean(v, 14), "solar_change_1d": s.diff(v)}
+        if "cloud_cover" in have:
+            made["clear_sky_index"] = clip(1 - F.col("cloud_cover") / 100, 0.0, 1.0)
+        if "precipitation" in have:
+            made["rain_flag"] = flag(F.col("precipitation") > 1.0)
+    return days.withColumns(made)
+
+
 def implied_heat_rate(df: DataFrame, by: tuple[str, ...] = ("region",), gas: str = "gas_mwh", total: str = "total_mwh", price: str = "ng_price") -> DataFrame:
     """Heat rate of the marginal plant from the gas share and its price response."""
     share = F.try_divide(F.col(gas), F.when(F.col(total) != 0, F.col(total)))
@@ -120,3 +197,36 @@ def region_report(spreads: DataFrame, by: tuple[str, ...] = ("region",)) -> Data
     best = month.groupBy(*by).agg(F.max_by("month", F.struct("m", "month")).alias("best_month"))
     base = spreads.groupBy(*by).agg(F.avg("spark_spread").alias("mean_spread"), F.stddev_samp("spark_spread").alias("std_spread"), F.avg((F.col("spark_spread") > 0).cast("double")).alias("profitable"), F.avg("clean_spark_spread").alias("mean_clean"))
     return base.join(best, list(by))
+
+
+def spread_heatmap(spreads: DataFrame, by: tuple[str, ...] = ("region",)) -> DataFrame:
+    """Regions by months "1" to "12": mean margin of the month, 0 where there is none."""
+    months = spreads.select(*by, F.month("date").alias("month"), "spark_spread").groupBy(*by).pivot("month", list(range(1, 13)))
+    return months.agg(F.avg("spark_spread")).fillna(0.0, [str(m) for m in range(1, 13)])
+
+
+def rolling_spread(spreads: DataFrame, by: tuple[str, ...] = ("region",), n: int = 21, least: int = 5) -> DataFrame:
+    """Mean margin of the last ``n`` days, from ``least`` days on."""
+    return spreads.select(*by, "date", Series(by).mean("spark_spread", n, least).alias("spark_spread"))
+
+
+def plant_profitability(spreads: DataFrame, by: tuple[str, ...] = ("region",)) -> DataFrame:
+    """Region and plant type: mean margin, percent of all days with a margin over 0, and the
+    plant's heat rate and variable cost (0 where none is known)."""
+    kinds = [k for k in HEAT_RATES if f"spark_{k}" in spreads.columns]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("plant_type"), F.col(f"spark_{k}").alias("x"), F.lit(HEAT_RATES[k]).alias("heat_rate"), F.lit(VOM_COSTS.get(k, 0.0)).alias("vom")) for k in kinds])).alias("p")
+    over = F.coalesce((F.col("p.x") > 0).cast("double"), F.lit(0.0))
+    return spreads.select(*by, each).groupBy(*by, F.col("p.plant_type").alias("plant_type"), F.col("p.heat_rate").alias("heat_rate"), F.col("p.vom").alias("vom")).agg(
+        F.avg("p.x").alias("avg_spark"), (F.avg(over) * 100).alias("profitable_pct")
+    )
+
+
+def spread_correlation(spreads: DataFrame, regions: tuple[str, ...], least: int = 30) -> DataFrame:
+    """a, b, corr of the margins of two regions over the days that all regions have; no rows
+    for ``least`` days or fewer.  One row a day moves: regions are columns."""
+    wide = spreads.where(F.col("region").isin(*regions)).groupBy("date").agg(*[F.max(F.when(F.col("region") == r, F.col("spark_spread"))).alias(f"_{i}") for i, r in enumerate(regions)])
+    full = wide.dropna(subset=[f"_{i}" for i in range(len(regions))])
+    pairs = [(i, j) for i in range(len(regions)) for j in range(len(regions))]
+    one = full.agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"_{i}", f"_{j}").alias(f"c_{i}_{j}") for i, j in pairs]).where(F.col("n") > least)
+    cells = F.explode(F.array(*[F.struct(F.lit(regions[i]).alias("a"), F.lit(regions[j]).alias("b"), F.col(f"c_{i}_{j}").alias("corr")) for i, j in pairs])).alias("c")
+    return one.select(cells).select("c.a", "c.b", "c.corr")

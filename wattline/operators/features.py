@@ -397,10 +397,16 @@ def geopolitical(s: Series, x: str = "gpr") -> dict[str, Column]:
     return {"gpr_ma7": s.mean(x, 7, 1), "gpr_ma30": s.mean(x, 30, 1), "gpr_z60": z, "gpr_high": flag(F.col(x) > F.percentile(x, 0.75).over(s.so_far)), "gpr_spike": flag(z > 2), "gpr_change_5d": s.diff(x, 5)}
 
 
-def macro_panel(series: DataFrame, names: list[str]) -> DataFrame:
-    """Long (series, date, value) to one carried-forward column a series, by day."""
+def macro_panel(series: DataFrame, names: list[str], spread: tuple[str, str] | None = None) -> DataFrame:
+    """Long (series, date, value) to one carried-forward column a series, by day.
+
+    ``spread`` names a long and a short rate; their difference, on the days that have
+    both, is carried forward as ``yield_spread_10y2y``.
+    """
     wide = series.groupBy("date").pivot("series", names).agg(F.first("value"))
-    return upsample_ffill(wide, values=tuple(names))
+    if spread is None:
+        return upsample_ffill(wide, values=tuple(names))
+    return upsample_ffill(wide.withColumn("yield_spread_10y2y", F.col(spread[0]) - F.col(spread[1])), values=(*names, "yield_spread_10y2y"))
 
 
 def degree_days(temps: DataFrame, by: tuple[str, ...] = (), base: float = 65.0, weight: str | None = None, t: str = "tavg") -> DataFrame:
@@ -446,6 +452,19 @@ def clean(df: DataFrame, share: float = 0.5, keys: tuple[str, ...] = ()) -> Data
     return kept.withColumns({c: F.coalesce(s.ffill(c), s.bfill(c)) for c in rest})
 
 
+def without_empty_columns(df: DataFrame) -> DataFrame:
+    """Drops columns that are null in every row (all of them for an empty table); one
+    aggregate counts the values of every column."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(df.columns)]).first()
+    return df.select(*[f"`{c}`" for i, c in enumerate(df.columns) if counts[str(i)]])
+
+
+def dense_rows(df: DataFrame, columns: list[str], share: float = 0.3) -> DataFrame:
+    """Rows in which fewer than ``share`` of ``columns`` are null."""
+    empty = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    return df.where(empty < len(columns) * share)
+
+
 def targets(s: Series, price: str = "close", horizon: int = 1, kind: str = "log_return") -> Column:
     later = s.lag(price, -horizon)
     return {"log_return": F.ln(_divide(later, price)), "pct_change": _divide(later, price) - 1, "direction": flag(later > col(price))}[kind]
@@ -517,16 +536,26 @@ def stress_proxies(daily: DataFrame) -> DataFrame:
     return out
 
 
-def build(prices: DataFrame, storage_table: DataFrame | None = None, extra: tuple[DataFrame, ...] = (), horizon: int = 1, kind: str = "log_return") -> DataFrame:
-    """The whole matrix: indicators, calendar, storage, other tables, cleaning, target.
+def build(
+    prices: DataFrame, storage_table: DataFrame | None = None, extra: tuple[DataFrame, ...] = (), horizon: int = 1, kind: str = "log_return",
+    macro: DataFrame | None = None, sentiment: DataFrame | None = None,
+) -> DataFrame:
+    """The whole matrix: indicators, calendar, storage, macro, sentiment, other tables,
+    cleaning, target.
 
-    Other tables are joined on the date and add only columns that are not there yet.
+    All tables are joined on the date and add only columns that are not there yet.  Macro and
+    sentiment columns are carried forward over the price dates, by exact date (a value of a
+    day without a price is not seen).
     """
     from wattline.operators.technical import Technical
 
     out = Technical(keys=()).all(prices).withColumns({**calendar(), **gas_seasons()})
     if storage_table is not None:
         out = with_storage(out, storage_table)
+    for t in (macro, sentiment):
+        new = [] if t is None else [c for c in t.columns if c not in out.columns]
+        if new:
+            out = reindex_ffill(out, t.select("date", *new))
     for t in extra:
         new = [c for c in t.columns if c == "date" or c not in out.columns]
         out = out.join(t.select(*new), "date", "left")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.quantiles import quantiles
 from wattline.functions.tables import settle
 from wattline.functions.ts import Series
 from wattline.operators import boosting
@@ -199,6 +200,69 @@ def confidence_slices(df: DataFrame, probability: str, hit: str, edges: tuple[fl
     return df.withColumn("low", low).where("low is not null").groupBy("low").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(hit).cast("double")).alias("accuracy"))
 
 
+#: Mean return above which a year is named so, from the best on.
+REGIMES = ((0.03, "strong bull"), (0.005, "bull"), (-0.005, "sideways"), (-0.03, "bear"))
+
+
+def fold_slices(df: DataFrame, fold: str = "fold", ret: str = "actual", hit: str = "hit", date: str = "date") -> DataFrame:
+    """fold, first and last date, n, accuracy, mean size of the return, percent of rises."""
+    x = F.col(ret)
+    return df.groupBy(fold).agg(
+        F.min(date).alias("first"), F.max(date).alias("last"), F.count(F.lit(1)).alias("n"), F.avg(F.col(hit).cast("double")).alias("accuracy"),
+        F.avg(F.abs(x)).alias("mean_size"), (F.avg((x > 0).cast("double")) * 100).alias("up_pct"),
+    )
+
+
+def year_slices(df: DataFrame, ret: str = "actual", hit: str = "hit", date: str = "date") -> DataFrame:
+    """year, n, accuracy, percent of rises, mean return and the regime it makes."""
+    x = F.col(ret)
+    out = df.groupBy(F.year(date).alias("year")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(hit).cast("double")).alias("accuracy"), (F.avg((x > 0).cast("double")) * 100).alias("up_pct"), F.avg(x).alias("mean_return"))
+    regime = F.lit("strong bear")
+    for least, name in reversed(REGIMES):
+        regime = F.when(F.col("mean_return") > least, name).otherwise(regime)
+    return out.withColumn("regime", regime)
+
+
+def regime_slices(df: DataFrame, ret: str = "actual", hit: str = "hit") -> DataFrame:
+    """slice, n, accuracy, edge over all: by the size and side of the actual return.
+
+    Edges are exact quantiles over all rows with a return; slices without rows are left out.
+    """
+    rows = settle(df.select(F.col(ret).cast("double").alias("r"), F.col(hit).cast("double").alias("hit")).where("r is not null and hit is not null").withColumn("size", F.abs("r")))
+    sizes, sides = quantiles(rows, "size", [0.25, 0.5, 0.75], name="s"), quantiles(rows, "r", [0.1, 0.9], name="t")
+    j = rows.join(F.broadcast(sizes)).join(F.broadcast(sides))
+    r, size, s, t = F.col("r"), F.col("size"), F.col("s"), F.col("t")
+    kinds = {
+        "all": F.lit(True), "high volatility": size > s[1], "low volatility": size <= s[1], "big moves": size > s[2], "small moves": size <= s[0],
+        "up": r > 0, "down": r <= 0, "extreme up": r > t[1], "extreme down": r < t[0],
+    }
+    named = F.explode(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]), lambda k: k.isNotNull())).alias("slice")
+    by = j.select(named, "hit").groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("accuracy"))
+    overall = rows.agg(F.avg("hit").alias("_all"))
+    return by.join(F.broadcast(overall)).select("slice", "n", "accuracy", (F.col("accuracy") - F.col("_all")).alias("edge"))
+
+
+def magnitude_slices(df: DataFrame, predicted: str = "pred", ret: str = "actual", hit: str = "hit", cuts: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)) -> DataFrame:
+    """low, high, n, accuracy, mean size of the return by how large the prediction is.
+
+    Cuts are exact quantiles of the size of the prediction; the last slice holds its end.
+    """
+    rows = settle(df.select(F.abs(predicted).cast("double").alias("p"), F.abs(ret).cast("double").alias("size"), F.col(hit).cast("double").alias("hit")).where("p is not null"))
+    q = quantiles(rows, "p", list(cuts), name="q")
+    last = len(cuts) - 2
+    inside = [(F.col("p") >= F.col("q")[i]) & (F.lit(True) if i == last else F.col("p") < F.col("q")[i + 1]) for i in range(last + 1)]
+    slot = F.explode(F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)]), lambda i: i.isNotNull())).alias("i")
+    placed = rows.join(F.broadcast(q)).select("p", "size", "hit", "q", slot)
+    out = placed.groupBy("i").agg(F.first("q").alias("q"), F.count(F.lit(1)).alias("n"), F.avg("hit").alias("accuracy"), F.avg("size").alias("mean_size"))
+    return out.select(F.element_at("q", F.col("i") + 1).alias("low"), F.element_at("q", F.col("i") + 2).alias("high"), "n", "accuracy", "mean_size")
+
+
+def worst_misses(df: DataFrame, keys: list[str], ret: str = "actual", hit: str = "hit", n: int = 15) -> DataFrame:
+    """The ``n`` wrong calls with the largest actual moves; ties in the order of ``keys``."""
+    wrong = df.where(~F.col(hit).cast("boolean")).withColumn("miss_size", F.abs(ret))
+    return wrong.orderBy(F.col("miss_size").desc(), *keys).limit(n)
+
+
 def agreement(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("date",), direction: str = "direction", hit: str = "hit") -> DataFrame:
     """n, both_right, both_wrong, agree, and accuracy where both models agree."""
     other = b.select(*on, F.col(direction).alias("_d"), F.col(hit).alias("_h"))

@@ -86,6 +86,28 @@ def section(df: DataFrame, line: Column) -> str:
     return "\n".join(r[0] for r in df.select(line).collect())
 
 
+def overlay(prices: DataFrame, scores: DataFrame, price: str = "close", score: str = "net") -> DataFrame:
+    """Chart frame: date, price, score on every date that either has."""
+    a, b = prices.select("date", F.col(price).alias("price")), scores.select("date", F.col(score).alias("score"))
+    return a.join(b, "date", "full")
+
+
+def heat_cells(monthly: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, year, month, pct, text of a year by month table of returns ("" for no value)."""
+    cell = F.explode(F.array(*[F.struct(F.lit(m).alias("month"), F.col(str(m)).alias("x")) for m in range(1, 13)])).alias("c")
+    return monthly.select(*keys, "year", cell).select(*keys, "year", "c.month", (F.col("c.x") * 100).alias("pct"), F.coalesce(percent(F.col("c.x"), 1), F.lit("")).alias("text"))
+
+
+def note_lines(sections: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """section_no, section, line: every section's rows as text, in one frame; a section
+    without rows says "not available".  Sections are small, already reduced frames."""
+    out = None
+    for i, (name, (df, line)) in enumerate(sections.items(), 1):
+        spoken = df.agg(F.collect_list(line).alias("l")).select(F.lit(i).alias("section_no"), F.lit(name).alias("section"), F.explode(F.when(F.size("l") > 0, F.col("l")).otherwise(F.array(F.lit("not available")))).alias("line"))
+        out = spoken if out is None else out.unionByName(spoken)
+    return out
+
+
 def briefing(steps: dict[str, Callable[[], str]]) -> dict[str, Any]:
     """Runs the sections in order; a failing one is noted and the rest go on."""
     text, errors = [], {}

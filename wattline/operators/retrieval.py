@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.quantiles import quantiles
 from wattline.operators import vector_index
 
 #: Paragraph, line, sentence, word, character.
@@ -214,9 +215,29 @@ def parse_signal(text) -> dict[str, Column]:
 
 
 def render_table(df: DataFrame, order: str, head: int = 30, tail: int = 10, whole: int = 60) -> DataFrame:
-    """Rows of a table as text: all up to ``whole``, else the first and last."""
-    w = Window.orderBy(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    numbered = df.withColumn("_i", F.row_number().over(w)).withColumn("_n", n)
-    part = numbered.where((F.col("_n") <= whole) | (F.col("_i") <= head) | (F.col("_i") > F.col("_n") - tail))
+    """row, line: rows of a table as text, all up to ``whole``, else the first and last.
+
+    Only the ends are sorted, each by a top-k; rows that tie in ``order`` are in the
+    order of all columns.  Nulls come first and are empty in a line.
+    """
+    ties = [order, *[c for c in df.columns if c != order]]
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    up, down = [F.asc(c) for c in ties], [F.desc(c) for c in ties]
+    # Windows over at most ``whole`` and ``tail`` rows.
+    first = df.orderBy(*up).limit(whole).withColumn("_i", F.row_number().over(Window.orderBy(*up))).join(F.broadcast(n))
+    last = df.orderBy(*down).limit(tail).withColumn("_k", F.row_number().over(Window.orderBy(*down))).join(F.broadcast(n))
+    ends = last.where(F.col("_n") > whole).withColumn("_i", (F.col("_n") - F.col("_k") + 1).cast("int")).drop("_k")
+    part = first.where((F.col("_n") <= whole) | (F.col("_i") <= head)).unionByName(ends)
     return part.select(F.col("_i").alias("row"), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("line"))
+
+
+def describe_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, statistic, value: count, mean, std, min, quartiles and max of numeric columns,
+    nulls left out; quartiles are exact at any size."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")).select("p.*").where("x is not null")
+    basic = long.groupBy("column").agg(F.count("x").cast("double").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = quantiles(long, "x", [0.25, 0.5, 0.75], ("column",)).withColumnRenamed("column", "_c")
+    j = basic.join(q, F.col("column") == F.col("_c"))
+    named = {"count": "count", "mean": "mean", "std": "std", "min": "min", "25%": F.col("q")[0], "50%": F.col("q")[1], "75%": F.col("q")[2], "max": "max"}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), (F.col(c) if isinstance(c, str) else c).alias("value")) for k, c in named.items()])).alias("s")
+    return j.select("column", rows).select("column", "s.statistic", "s.value")

@@ -41,7 +41,24 @@ def vol_target_size(vol, target: float = 0.15, fallback: float = 0.30, cap: floa
 
 
 def kelly_size(win: float = 0.55, ratio: float = 1.5, share: float = 0.25, cap: float = 0.20) -> float:
-    return max(-cap, min(cap, share * (win - (1 - win) / ratio)))
+    """Share of the Kelly fraction, never under 0: without an edge there is no trade."""
+    return min(cap, max(0.0, share * (win - (1 - win) / ratio)))
+
+
+def fixed_size(share: float = 0.02, cap: float = 0.20) -> float:
+    return max(-cap, min(cap, share))
+
+
+def position_size(signal, vol, method: str = "volatility", win=0.55, ratio=1.5, share: float = 0.25, cap: float = 0.20) -> Column:
+    """Signed size of a position: 0 without a signal, else the side of the signal times the
+    size of the method (volatility, kelly or fixed), within the cap.  A null win rate or ratio is
+    the usual one; a ratio of 0 or less, or no edge, gives 0."""
+    s = F.coalesce(col(signal), F.lit(0)).cast("double")
+    w = F.coalesce(win if isinstance(win, Column) else F.lit(win), F.lit(0.55))
+    b = F.coalesce(ratio if isinstance(ratio, Column) else F.lit(ratio), F.lit(1.5))
+    kelly = F.when(b <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), share * (w - (1 - w) / F.when(b > 0, b))))
+    size = {"volatility": vol_target_size(vol, cap=cap), "kelly": kelly, "fixed": F.lit(fixed_size(cap=cap))}[method]
+    return F.when(s == 0, 0.0).otherwise(clip(F.signum(s) * size, -cap, cap))
 
 
 def size_series(s: Series, ret, n: int = 20, **options) -> Column:

@@ -125,6 +125,69 @@ def greedy_value(paths: DataFrame, asset: Asset, inventory: float, base: float,
     return paths.groupBy("path").applyInPandas(run, "path long, value double")
 
 
+#: Bumps of the sensitivities: level and long-run level, and volatility.
+BUMP, VOL_BUMP = 0.1, 0.05
+CASES = {"base": {}, "up": {"s0": BUMP, "theta": BUMP}, "down": {"s0": -BUMP, "theta": -BUMP}, "vol": {"sigma": VOL_BUMP}, "time": {"months": -1}}
+
+
+def _walk(noise: np.ndarray, s0: np.ndarray, kappa: np.ndarray, theta: np.ndarray, sigma: np.ndarray, steps: int) -> np.ndarray:
+    """Monthly mean prices (paths x months) of mean-reverting paths, never under 0.01."""
+    p, out = s0.astype(float), np.empty(noise.shape)
+    for t in range(noise.shape[1]):
+        p = np.maximum(p + kappa * (theta - p) / 252 + sigma * noise[:, t], 0.01)
+        out[:, t] = p
+    return out.reshape(len(out), -1, steps).mean(2)
+
+
+def _greedy(prices: np.ndarray, asset: Asset, inventory: float, base: np.ndarray, months: np.ndarray, rate: float) -> np.ndarray:
+    """``greedy_value`` of many paths at once; path i ends after months[i]."""
+    a, held, value = asset, np.full(len(prices), float(inventory)), np.zeros(len(prices))
+    for t in range(prices.shape[1]):
+        x, live, fill = prices[:, t], t < months, held / a.capacity
+        up = np.where(fill > 0.9, 0.5, np.where(fill > 0.7, 0.8, 1.0)) if a.ratchets else 1.0
+        down = np.where(fill < 0.15, 0.5, np.where(fill < 0.30, 0.8, 1.0)) if a.ratchets else 1.0
+        room = np.maximum(np.minimum(a.inject_day * 30 * up, a.capacity - held), 0.0)
+        stock = np.maximum(np.minimum(a.withdraw_day * 30 * down, held - a.floor), 0.0)
+        value += np.where(live, np.maximum((x * (1 - a.fuel_loss) - a.withdraw_cost) * stock, 0.0) * math.exp(-rate * t / 12), 0.0)
+        held += np.where(live & (x < 0.95 * base), room, 0.0) - np.where(live & (x > 1.05 * base), stock, 0.0)
+    return value
+
+
+def simulated_values(params: DataFrame, asset: Asset, inventory: float, by: str = "symbol", months: int = 12, paths: int = 5000, steps: int = 21, seed: int = 42, rate: float = 0.05, cases: tuple[str, ...] = ("base",)) -> DataFrame:
+    """by, case, path, value: ``greedy_value`` of ``simulate`` for each row of ``params``.
+
+    ``params`` has ``by``, s0, kappa, theta and sigma, one row a market, as ``ou_calibrate`` of a
+    price table gives them with its last price; rows with a null parameter are left out.
+    Paths are dealt over tasks by market and path.  A path's noise depends on its number and
+    the seed alone, so cases and markets share it and results do not depend on partitions.
+    """
+    fields = ("s0", "kappa", "theta", "sigma")
+    known = params.dropna(subset=list(fields))
+    case = F.explode(F.array(*[F.struct(F.lit(c).alias("case"), *[(F.col(f) + F.lit(float(CASES[c].get(f, 0.0)))).alias(f) for f in fields], F.lit(months + CASES[c].get("months", 0)).alias("months")) for c in cases])).alias("c")
+    rows = known.select(by, *fields, F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path")).repartition(by, "path").select(by, "path", case).select(by, "path", "c.*")
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                # Cases of a path draw the same noise.
+                numbers, at = np.unique(b["path"].to_numpy(), return_inverse=True)
+                noise = np.array([np.random.default_rng([seed, int(i)]).normal(0, math.sqrt(1 / 252), months * steps) for i in numbers])[at]
+                prices = _walk(noise, *[b[f].to_numpy() for f in fields], steps)
+                yield pd.DataFrame({by: b[by], "case": b["case"], "path": b["path"], "value": _greedy(prices, asset, inventory, b["s0"].to_numpy(), b["months"].to_numpy(), rate)})
+
+    return rows.mapInPandas(run, f"{by} {params.schema[by].dataType.simpleString()}, case string, path int, value double")
+
+
+def simulated_greeks(params: DataFrame, asset: Asset, inventory: float, by: str = "symbol", **options) -> DataFrame:
+    """by, value, delta, gamma, vega, theta: ``greeks`` of each market, all cases in one pass."""
+    each = simulated_values(params, asset, inventory, by, cases=tuple(CASES), **options)
+    v = {c: F.avg(F.when(F.col("case") == c, F.col("value"))) for c in CASES}
+    return each.groupBy(by).agg(
+        v["base"].alias("value"), ((v["up"] - v["down"]) / (2 * BUMP)).alias("delta"), ((v["up"] - 2 * v["base"] + v["down"]) / BUMP**2).alias("gamma"),
+        ((v["vol"] - v["base"]) / VOL_BUMP).alias("vega"), (v["time"] - v["base"]).alias("theta"),
+    )
+
+
 def longstaff_schwartz(prices: np.ndarray, asset: Asset, inventory: float, rate: float = 0.05, levels: int = 11) -> float:
     """Textbook least-squares value on an inventory grid (paths x months of prices)."""
     grid = np.linspace(asset.floor, asset.capacity, levels)

@@ -335,10 +335,14 @@ def geopolitical_risk(spark, sf):
     return rounded(fr.market(spark, sf).select("date", *[out[n].alias(n) for n in ("gpr_ma7", "gpr_z60", "gpr_high", "gpr_spike", "gpr_change_5d")]), gpr_ma7=8)
 
 
-@query("macro_panel", ctes("assets") + """, p as (select date, max(px) filter (where asset = 'A') as a, max(px) filter (where asset = 'N') as n from assets group by date), d as (select unnest(generate_series((select min(date) from p), (select max(date) from p), interval 1 day))::date as date)
-select d.date, round(last_value(a ignore nulls) over k, 6) + 0.0 as "A", round(last_value(n ignore nulls) over k, 6) + 0.0 as "N" from d left join p on d.date = p.date window k as (order by d.date rows unbounded preceding)""")
+_PANEL = """p as (select date, max(px) filter (where asset = 'A') as a, max(px) filter (where asset = 'N') as n, max(px) filter (where asset = 'R') as r from assets group by date), d as (select unnest(generate_series((select min(date) from p), (select max(date) from p), interval 1 day))::date as date)"""
+
+
+@query("macro_panel", ctes("assets") + f""", {_PANEL}
+select d.date, round(last_value(a ignore nulls) over k, 6) + 0.0 as "A", round(last_value(n ignore nulls) over k, 6) + 0.0 as "N", round(last_value(r ignore nulls) over k, 6) + 0.0 as "R", round(last_value(a - r ignore nulls) over k, 6) + 0.0 as yield_spread_10y2y from d left join p on d.date = p.date window k as (order by d.date rows unbounded preceding)""")
 def macro_panel(spark, sf):
-    return rounded(features.macro_panel(fr.assets(spark, sf).select(F.col("asset").alias("series"), "date", F.col("px").alias("value")), ["A", "N"]))
+    long = fr.assets(spark, sf).select(F.col("asset").alias("series"), "date", F.col("px").alias("value"))
+    return rounded(features.macro_panel(long, ["A", "N", "R"], spread=("A", "R")))
 
 
 _DRILL = {
@@ -507,6 +511,17 @@ def stress_proxies(spark, sf):
     return rounded(features.stress_proxies(x).select("date", "epu_zscore", "epu_high", "hy_spread_change_20d", "credit_stress_high"), hy_spread_change_20d=9)
 
 
+def _tone(spark, sf):
+    """Daily sentiment of the articles, on days of the market's years."""
+    from wattline.operators import news
+
+    a = fr.articles(spark, sf).withColumn("date", F.add_months("date", -12 * 28))
+    return news.daily_sentiment(a).select("date", "index_7d", "momentum_14d", F.col("regime").alias("sentiment_regime"))
+
+
 @query("feature_matrix")
 def feature_matrix(spark, sf):
-    return features.build(fr.market(spark, sf), fr.weekly(spark, sf))
+    """All blocks: indicators, calendar, storage, macro panel, sentiment index."""
+    long = fr.assets(spark, sf).select(F.col("asset").alias("series"), "date", F.col("px").alias("value"))
+    macro = features.macro_panel(long, ["A", "N", "R"], spread=("A", "R"))
+    return features.build(fr.market(spark, sf), fr.weekly(spark, sf), macro=macro, sentiment=_tone(spark, sf))

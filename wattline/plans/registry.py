@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from wattline.plans import energy, market, risk, strategy, text  # noqa: F401
+    from wattline.plans import energy, market, panels, risk, strategy, text  # noqa: F401

@@ -143,7 +143,7 @@ def rolling_var(spark, sf):
 @query("kupiec_test", ctes("returns") + f""", v as (select asset, date, ret, case when count(ret) over w >= 60 then -quantile_cont(ret, 0.05) over w end as var from returns window w as (partition by asset order by date rows 251 preceding)),
 k as (select asset, count(*) as n, count(*) filter (where ret < -var) as exceeded from v where var is not null group by asset), x as (select *, exceeded / n as rate from k),
 y as (select *, case when rate > 0 and rate < 1 then -2 * (exceeded * ln({1 - 0.95!r} / rate) + (n - exceeded) * ln({1 - (1 - 0.95)!r} / (1 - rate))) else 0 end as lr from x)
-select asset, n, exceeded, {r('rate', 'rate')}, {r('lr', 'lr')}, lr < 3.841458820694124 as accepted from y""")
+select asset, n, exceeded, {r('rate', 'rate')}, {r('lr', 'lr')}, {r('case when lr <= 0 then 1.0 else greatest(0.0, 1 - exp(-lr / 2) * list_sum(list_transform(range(0, 201), lambda k: exp((2 * k + 1) * ln(sqrt(lr / 2)) - lgamma(k + 1.5))))) end', 'p_value')}, lr < 3.841458820694124 as accepted from y""")
 def kupiec_test(spark, sf):
     return rounded(risk.kupiec(risk.rolling_var(fr.returns(spark, sf), 252, 0.95, 60, ("asset",)), 0.95, ("asset",)))
 

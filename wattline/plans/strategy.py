@@ -193,14 +193,22 @@ def storage_intrinsic(spark, sf):
     return valuation.intrinsic_by_date(curve, valuation.Asset.salt_cavern(), 1.0)
 
 
+def _markets(spark, sf):
+    """symbol, s0, kappa, theta, sigma fitted to each symbol's closes in units of 50,000."""
+    b = fr.bars(spark, sf).withColumn("close", F.col("close") / 50_000)
+    last = b.groupBy("symbol").agg(F.max_by("close", "date").alias("s0"))
+    return valuation.ou_calibrate(b, ("symbol",)).join(last, "symbol").select("symbol", "s0", "kappa", "theta", "sigma")
+
+
 @query("storage_simulated")
 def storage_simulated(spark, sf):
-    return valuation.greedy_value(valuation.simulate(spark, 3.0, 1.0, 4.0, 3.0), valuation.Asset.salt_cavern(), 5.0, 3.0)
+    """Value of a store on every simulated path of every symbol's calibrated price."""
+    return valuation.simulated_values(_markets(spark, sf), valuation.Asset.salt_cavern(), 5.0)
 
 
 @query("storage_greeks")
 def storage_greeks(spark, sf):
-    return valuation.greeks(spark, valuation.Asset.salt_cavern(), 5.0, 3.0, 1.0, 4.0, 3.0, paths=3000)
+    return valuation.simulated_greeks(_markets(spark, sf), valuation.Asset.salt_cavern(), 5.0, paths=3000)
 
 
 @query("rolling_intrinsic")
@@ -327,9 +335,14 @@ def forecast_delta(spark, sf):
     return rounded(report.forecast_delta(m, "a", "f"))
 
 
-@query("briefing_questions", "select unnest(['supply', 'demand', 'storage outlook', 'price drivers', 'storage level', 'extreme weather']) as question")
+@query("briefing_questions", ctes("weekly", "hourly") + """, s as (select (select max_by(level, date) from weekly) as level, (select max_by(m, d) from (select cast(ts as date) as d, avg(mw) as m from hourly group by 1)) as tavg)
+select unnest(['supply', 'demand', 'storage outlook', 'price drivers']) as question union all select 'storage level' from s where level is not null union all select 'extreme weather' from s where tavg < 25 or tavg > 90""")
 def briefing_questions(spark, sf):
-    return report.questions(spark.sql("select 100.0D as level, 95.0D as tavg"))
+    """Questions by the last storage level and the last day's mean of the hourly readings."""
+    level = fr.weekly(spark, sf).agg(F.max_by("level", "date").alias("level"))
+    day = fr.hourly(spark, sf).groupBy(F.to_date("ts").alias("d")).agg(F.avg("mw").alias("m")).agg(F.max_by("m", "d").alias("tavg"))
+    # Two frames of one row each.
+    return report.questions(level.join(F.broadcast(day)))
 
 
 @query("var_ladder", ctes("returns") + f", l as (select unnest([0.9, 0.95, 0.975, 0.99, 0.995]) as c), q as (select asset, quantile_cont(ret, [{', '.join(repr(1 - c) for c in (0.9, 0.95, 0.975, 0.99, 0.995))}]) as q from returns group by asset) select asset, cast(c as double) as confidence, {r('-q[list_position([0.9, 0.95, 0.975, 0.99, 0.995], c)]', 'var')} from q, l")

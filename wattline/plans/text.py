@@ -136,9 +136,19 @@ def signal_parse(spark, sf):
     return rounded(said.select("event_id", *[out[c].alias(c) for c in ("direction", "confidence", "numeric")]), 4)
 
 
-@query("table_rendering", "select i as row, concat_ws(' | ', cast(r_regionkey as varchar), r_name) as line from (select *, cast(row_number() over (order by r_regionkey) as int) as i from region)")
+@query("table_rendering", """with t as (select *, cast(row_number() over (order by c_custkey) as int) as i, count(*) over () as n from customer)
+select i as row, concat_ws(' | ', cast(c_custkey as varchar), c_name, c_mktsegment) as line from t where n <= 60 or i <= 30 or i > n - 10""")
 def table_rendering(spark, sf):
-    return retrieval.render_table(fr.read(spark, sf, "region").select("r_regionkey", "r_name"), "r_regionkey")
+    return retrieval.render_table(fr.read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+
+
+_STATISTICS = {"count": "count(x)", "mean": "avg(x)", "std": "stddev_samp(x)", "min": "min(x)", "25%": "quantile_cont(x, 0.25)", "50%": "quantile_cont(x, 0.5)", "75%": "quantile_cont(x, 0.75)", "max": "max(x)"}
+
+
+@query("table_statistics", "with c as (select 'l_quantity' as col, cast(l_quantity as double) as x from lineitem union all select 'l_extendedprice', cast(l_extendedprice as double) from lineitem union all select 'l_tax', cast(l_tax as double) from lineitem) " + " union all ".join(f"select col as \"column\", '{k}' as statistic, {r(x, 'value', 4)} from c group by col" for k, x in _STATISTICS.items()))
+def table_statistics(spark, sf):
+    columns = ["l_quantity", "l_extendedprice", "l_tax"]
+    return rounded(retrieval.describe_table(fr.read(spark, sf, "lineitem").select(*columns), columns), 4)
 
 
 _LATE_SQL = """with e as (select *, date_diff('day', (select min(ts) from events), ts) + case when event_id % 5 = 0 then 6 else 0 end as batch from events),
