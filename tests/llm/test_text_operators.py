@@ -191,6 +191,68 @@ def test_license_texts_as_their_files_have_them(spark):
         assert got[i].n_unclaimed <= 1 + (n == "BSD-3-Clause"), (n, got[i])
 
 
+HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+@pytest.mark.parametrize("first, each, last", [("/*\n", " * ", "\n */\nint x;"), ("", "// ", "\nint x;"), ("#!/bin/sh\n", "# ", "\nls"), ("", "-- ", ""), ("<!--\n", "  ", "\n-->"), ("/**\n", "", " */")])
+def test_licenses_in_comments(spark, first, each, last):
+    text = first + "\n".join((each + line).rstrip() for line in HEADER.split("\n")) + last
+    got = licenses.scan(docs(spark, [(1, text), (2, text.replace("\n", "\r\n"))])).collect()
+    for r in got:
+        assert r.licenses == ["Apache-2.0"] and r.n_known == 5 and r.n_unclaimed == 0, r
+
+
+def test_equal_notices_side_by_side_are_all_claimed(spark):
+    grant, notice = MIT.index("Permission is hereby"), "Released under the MIT License.\n"
+    rows = [(1, notice * 2), (2, notice * 5), (3, "\n\n".join([MIT[grant:]] * 3)), (4, "Licensed under CC BY 4.0. " * 4)]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert {i: (r.n_known, r.n_unclaimed) for i, r in got.items()} == {1: (2, 0), 2: (5, 0), 3: (9, 0), 4: (4, 0)}
+
+
+@pytest.mark.parametrize("line, want", [
+    ("MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("(MIT AND Apache-2.0)", ["MIT", "Apache-2.0"]), ("GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+    ("GPL-2.0-or-later WITH Classpath-exception-2.0", ["GPL-2.0-or-later"]), ("GPL-3.0-or-later OR MIT", ["GPL-3.0-or-later", "MIT"]), ("Unheard-Of-1.0", []),
+])
+def test_spdx_expressions(spark, line, want):
+    got = licenses.scan(docs(spark, [(1, f"// SPDX-License-Identifier: {line}\ncode();"), (2, f"/* SPDX-License-Identifier: {line} */\ncode();")])).collect()
+    assert [sorted(r.licenses) for r in got] == [sorted(want)] * 2
+
+
+#: How files begin or speak of their licences, not taken from the table of sentences.
+HEADS = {
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\nEveryone is permitted",
+    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n",
+    "BSL-1.0": "//          Copyright Joe Coder 2004 - 2006.\n// Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt or copy at\n//          https://www.boost.org/LICENSE_1_0.txt)",
+    "CC-BY-4.0": "## Licence\n\nThis work is licensed under a Creative Commons Attribution 4.0\nInternational License.",
+    "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike 4.0 International\n\n=====",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions",
+}
+
+
+def test_heads_of_licence_files(spark):
+    names = list(HEADS)
+    got = {names[r.doc_id]: r.licenses for r in licenses.scan(docs(spark, [(i, HEADS[n]) for i, n in enumerate(names)])).collect()}
+    assert got == {n: [n] for n in names}
+
+
+def test_the_twin_agrees_on_licences_of_every_kind(spark, tmp_path):
+    texts = [*SAMPLES.values(), *HEADS.values(), HEADER, "/*\n * " + HEADER.replace("\n", "\n * ") + "\n */", MIT * 3, "SPDX-License-Identifier: (MIT OR GPL-2.0-or-later) AND BSL-1.0", "Released under the MIT License.\n" * 4, "", None, "#\n*\n--\n", "licensed; *x*\n** y"]
+    docs(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    compare(queries.op2_license_scan(spark, str(tmp_path)), queries.oracle_sql()["op2_license_scan"], str(tmp_path))
+
+
 def test_license_edges(spark):
     two = MIT + "\n\n" + SAMPLES["ISC"]
     rows = [(1, two), (1, two), (None, MIT), (2, "filler text here.\n" * 50_000 + SAMPLES["Zlib"]), (3, "2.\n3.\na.\nlicense")]

@@ -1,11 +1,13 @@
 """Licence scans by sentence rules.
 
-1. Texts are cut into sentences, once by line and once with line breaks inside a
-   paragraph undone (licence texts are often wrapped).
+1. Comment marks at line starts go, as source files carry licences in comments.  Texts are
+   cut into sentences, once by line and once with line breaks inside a paragraph undone
+   (licence texts are often wrapped).
 2. A sentence is normalised (A-Z lower-cased, everything but letters and digits
    one blank) and looked up in the table of known licence sentences, then in a few
    patterns for those that name a year or a holder; all others are unknown.  Item
-   numbers ("2.") are no sentences.
+   numbers ("2.") are no sentences.  An SPDX line is one sentence for each licence of its
+   expression, whatever joins them; exceptions after WITH are unknown.
 3. Ordered rules, long before short, are matched against the sequence of
    identifiers.  A rule claims the sentences it matches; later rules see only
    the rest, so a full text is not also reported as its own short notice.
@@ -132,7 +134,40 @@ PATTERNS: dict[str, str] = {
     "bsd_no_liability": "^in no event shall .* be liable for any direct .* even if advised of the possibility of such damage$",
 }
 #: Licences by the SPDX line that names them.
-SPDX = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "CC0-1.0")
+SPDX = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "BSL-1.0")
+#: A licence text's own title, as a paragraph of its file.
+TITLES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License Version 2.0, January 2004", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/"),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "GPL-3.0": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "LGPL-2.1": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",),
+    "LGPL-3.0": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"),
+    "EPL-2.0": ("Eclipse Public License - v 2.0",),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+}
+#: The licences of Creative Commons, version 4.0, by what they ask.
+CREATIVE_COMMONS = {
+    "CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-NC-4.0": "Attribution-NonCommercial", "CC-BY-ND-4.0": "Attribution-NoDerivatives",
+    "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike", "CC-BY-NC-ND-4.0": "Attribution-NonCommercial-NoDerivatives",
+}
+SENTENCES |= {f"title {n}": w for n, w in TITLES.items()}
+SENTENCES |= {
+    f"title {n}": (
+        f"{w} 4.0 International", f"Creative Commons {w} 4.0 International", f"Creative Commons {w} 4.0 International License", f"Creative Commons {w} 4.0 International Public License",
+        f"This work is licensed under a Creative Commons {w} 4.0 International License.", f"This work is licensed under the Creative Commons {w} 4.0 International License.",
+        f"Licensed under a Creative Commons {w} 4.0 International License.", f"Licensed under the Creative Commons {w} 4.0 International License.",
+    )
+    for n, w in CREATIVE_COMMONS.items()
+}
+SENTENCES |= {
+    "boost_short": ("Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License, Version 1.0."),
+    "boost_copy": tuple(f"(See accompanying file LICENSE_1_0.txt or copy at {h}://www.boost.org/LICENSE_1_0.txt)" for h in ("http", "https")),
+    "boost_grant": (
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    ),
+}
 SENTENCES |= {f"spdx {x}": (f"SPDX-License-Identifier: {x}",) for x in SPDX}
 
 _BSD, _BSD_END = ("bsd_redistribution", "bsd_source", "bsd_binary"), ("bsd_as_is", "bsd_no_liability")
@@ -167,6 +202,11 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MPL-2.0", ("mpl2_subject", "mpl2_copy")),
     ("MPL-2.0", ("mpl2_subject",)),
     ("EPL-2.0", ("epl2_available",)),
+    ("BSL-1.0", ("boost_short", "boost_copy")),
+    ("BSL-1.0", ("boost_short",)),
+    ("BSL-1.0", ("boost_copy",)),
+    ("BSL-1.0", ("boost_grant",)),
+    *((n, (f"title {n}",)) for n in (*TITLES, *CREATIVE_COMMONS)),
     ("MIT", ("mit_short",)),
     ("Apache-2.0", ("apache2_short",)),
     ("GPL-3.0-only", ("gpl3_short",)),
@@ -181,12 +221,15 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("all-rights-reserved", ("all_rights",)),
 )
 #: Every known sentence has one of these.
-TRIGGERS = ("licens", "permission", "copyright", "warrant", "redistribut", "rights reserved", "liable", "public domain", "mozilla")
+TRIGGERS = ("licens", "permission", "copyright", "warrant", "redistribut", "rights reserved", "liable", "public domain", "mozilla", "4 0 international")
 #: Item numbers stand alone after the cut into sentences.
 ITEM = "^([0-9]{1,2}|[a-z])$"
 
 BREAK = r"(?<=[.!?])[\x20\x09-\x0D]+"
 LINE = r"[\n\r]+"
+#: Comment marks with which a line begins, and the first line of a script.
+COMMENT = r"^[\x20\x09]*(#![^\n]*|/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--)[\x20\x09]*"
+SPDX_LINE, SPDX_JOINTS = "spdx license identifier ", " (or|and|with) "
 PARAGRAPH = r"\n[\x20\x09-\x0D]*\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -212,8 +255,17 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
 
 
+def _spdx(sentence: Column) -> Column:
+    """A normalised sentence as array: an SPDX line as one line for each of its licences."""
+    # The "or" of "or later" joins nothing.
+    parts = F.split(F.replace(F.substring(sentence, len(SPDX_LINE) + 1, 1 << 30), F.lit(" or later"), F.lit(" orlater")), SPDX_JOINTS)
+    each = F.transform(parts, lambda p: F.concat(F.lit(SPDX_LINE), F.replace(p, F.lit(" orlater"), F.lit(" or later"))))
+    return F.when(F.startswith(sentence, F.lit(SPDX_LINE)), each).otherwise(F.array(sentence))
+
+
 def _identify(sentences: Column) -> Column:
-    """",a,_,b,": identifiers in order, runs of unknown sentences as one "_"."""
+    """",a,,_,,b,": identifiers in order, each between commas of its own, so that equal
+    sequences side by side share none; runs of unknown sentences are one "_"."""
     table = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
 
     def one(sentence):
@@ -221,13 +273,13 @@ def _identify(sentences: Column) -> Column:
         return F.coalesce(F.try_element_at(table, sentence), *like, F.lit("_"))
 
     said = F.filter(F.transform(sentences, normal), lambda s: (s != "") & ~s.rlike(ITEM))
-    joined = F.concat(F.lit(","), F.array_join(F.transform(said, one), ","), F.lit(","))
-    return F.regexp_replace(joined, "(,_)+(?=,)", ",_")
+    joined = F.concat(F.lit(","), F.array_join(F.transform(F.flatten(F.transform(said, _spdx)), one), ",,"), F.lit(","))
+    return F.regexp_replace(joined, "(,_,)+", ",_,")
 
 
 def _claim(sequence: Column) -> Column:
     """struct(rest, found): the rules in order, each taking what it matches."""
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("," + ",".join(ids) + ",").alias("ids")) for n, ids in RULES])
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("," + ",,".join(ids) + ",").alias("ids")) for n, ids in RULES])
 
     def step(acc, rule):
         rest = F.replace(acc["rest"], rule["ids"], F.lit(",#,"))
@@ -235,7 +287,8 @@ def _claim(sequence: Column) -> Column:
         return F.struct(rest.alias("rest"), found.alias("found"))
 
     zero = F.struct(sequence.alias("rest"), F.array().cast("array<string>").alias("found"))
-    return F.aggregate(rules, zero, step)
+    # Most texts hold no known sentence.
+    return F.when(sequence.rlike("[a-z]"), F.aggregate(rules, zero, step)).otherwise(zero)
 
 
 def _known(sequence: Column) -> Column:
@@ -248,8 +301,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n_known counts the known sentences (the larger of the two cuts) and n_unclaimed
     those that no rule took; status is none, licensed or unclaimed.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    may = F.translate(text, UPPER, LOWER).rlike("|".join(TRIGGERS).replace(" ", r"[^a-z0-9]+"))
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    may = F.translate(raw, UPPER, LOWER).rlike("|".join(TRIGGERS).replace(" ", r"[^a-z0-9]+"))
+    text = F.regexp_replace(raw, f"(?md){COMMENT}", "")
     empty = F.array().cast("array<string>")
     by_line = F.split(text, f"{LINE}|{BREAK}")
     by_paragraph = F.flatten(F.transform(F.split(text, PARAGRAPH), lambda p: F.split(F.regexp_replace(p, LINE, " "), BREAK)))

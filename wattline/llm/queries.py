@@ -163,17 +163,21 @@ def _op2_sql() -> str:
     like = " ".join(f"when regexp_matches(x, '{p}') then '{n}'" for n, p in licenses.PATTERNS.items())
     ident = f"case x {known} else case {like} else '_' end end"
     mark = "regexp_replace({}, '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(1), 'g')"
-    out = ["with d as (select doc_id, coalesce(text, '') as t from documents)"]
+    out = [f"with d as (select doc_id, regexp_replace(coalesce(text, ''), '(?m){licenses.COMMENT}', '', 'g') as t from documents)"]
     by_line = f"string_split(replace(replace({mark.format('t')}, chr(10), chr(1)), chr(13), chr(1)), chr(1))"
     para = "regexp_replace(t, '\\n[\\x20\\x09-\\x0D]*\\n', chr(2), 'g')"
     joined = f"string_split(replace({mark.format(f"regexp_replace({para}, '[\\n\\r]+', ' ', 'g')")}, chr(2), chr(1)), chr(1))"
     out.append(f"p as (select doc_id, 'l' as cut, {by_line} as s from d union all select doc_id, 'j', {joined} from d)")
     out.append(f"n as (select doc_id, cut, list_filter(list_transform(s, lambda x: {norm}), lambda x: x <> '' and not regexp_matches(x, '{licenses.ITEM}')) as s from p)")
-    ids = f"',' || array_to_string(list_transform(s, lambda x: {ident}), ',') || ','"
-    out.append(f"q0 as (select doc_id, cut, {ids} as i, [] :: varchar[] as f, len(list_filter(list_transform(s, lambda x: {ident}), lambda x: x <> '_')) as n from n)")
-    out.append("r0 as (select doc_id, cut, regexp_replace(regexp_replace(i, '(,_)+,', ',_,', 'g'), '(,_)+,', ',_,', 'g') as i, f, n from q0)")
+    line, later = licenses.SPDX_LINE, "' or later', ' orlater'"
+    parts = f"string_split_regex(replace(substr(x, {len(line) + 1}), {later}), '{licenses.SPDX_JOINTS}')"
+    each = f"list_transform({parts}, lambda y: '{line}' || replace(y, ' orlater', ' or later'))"
+    out.append(f"m as (select doc_id, cut, flatten(list_transform(s, lambda x: case when starts_with(x, '{line}') then {each} else [x] end)) as s from n)")
+    ids = f"',' || array_to_string(list_transform(s, lambda x: {ident}), ',,') || ','"
+    out.append(f"q0 as (select doc_id, cut, {ids} as i, [] :: varchar[] as f, len(list_filter(list_transform(s, lambda x: {ident}), lambda x: x <> '_')) as n from m)")
+    out.append("r0 as (select doc_id, cut, regexp_replace(i, '(,_,)+', ',_,', 'g') as i, f, n from q0)")
     for k, (name, seq) in enumerate(licenses.RULES):
-        pat = "," + ",".join(seq) + ","
+        pat = "," + ",,".join(seq) + ","
         out.append(f"r{k + 1} as (select doc_id, cut, replace(i, '{pat}', ',#,') as i, case when contains(i, '{pat}') then list_append(f, '{name}') else f end as f, n from r{k})")
     names = list(dict.fromkeys(n for n, _ in licenses.RULES))
     last = f"r{len(licenses.RULES)}"
