@@ -66,6 +66,50 @@ def test_large_cells_meet_in_blocks(spark, monkeypatch):
     assert len(want) > 200 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
+def kept_in_order(ids, pairs):
+    """Ids to drop: each kept article drops its later near copies."""
+    gone = set()
+    for i in ids:
+        if i not in gone:
+            gone |= {b for a, b in pairs if a == i}
+    return gone
+
+
+@pytest.mark.parametrize(("small", "block", "step", "threshold"), [(2, 5, 10, 0.6), (1000, 1000, 20_000, 0.85), (1000, 6, 9, 0.6)])
+def test_near_copies_match_a_loop_over_all_pairs(spark, monkeypatch, small, block, step, threshold):
+    rng = random.Random(step)
+    monkeypatch.setattr(news, "SMALL_CELL", small)
+    monkeypatch.setattr(news, "BLOCK", block)
+    words = [f"w{i}" for i in range(14)]
+    texts = [" ".join(rng.choices(words, [2.0**-i for i in range(14)], k=rng.randrange(0, 7))) for _ in range(120)]
+    df = titles(spark, texts).withColumn("article_id", (F.col("article_id") * 37) % 120)
+    pairs, bags = all_pairs(spark, df, threshold)
+    got = [r.article_id for r in news.near_copies(df, threshold, step=step).collect()]
+    assert len(got) == len(set(got)) and set(got) == kept_in_order(sorted(bags), pairs) and got
+
+
+def test_copies_of_a_dropped_article_go_too(spark):
+    """The second title is a near copy of the first, the third has the second's terms in other order."""
+    base = "gas storage levels fell week cold weather pushed demand higher across region".split()
+    df = titles(spark, [" ".join(base), " ".join([*base, "area"]), " ".join(["area", *base]), "solar panels"])
+    assert sorted(r.article_id for r in news.near_copies(df).collect()) == [1, 2]
+
+
+def test_no_article_has_near_copies_or_terms(spark):
+    assert news.near_copies(titles(spark, ["the", "", None, "solar panels", "wind farm"])).collect() == []
+    assert news.near_copies(titles(spark, ["x"]).limit(0)).collect() == []
+
+
+def test_a_group_of_near_copies_meets_what_stays_of_it(spark, monkeypatch):
+    """2,000 titles, each a near copy of all others: what meets grows with the group, not with its square."""
+    monkeypatch.setattr(news, "BLOCK", 50)
+    met, plain = [], news._compare
+    monkeypatch.setattr(news, "_compare", lambda dealt, whole, t: met.append(dealt.count()) or plain(dealt, whole, t))
+    df = titles(spark, [f"one two three four five six seven eight nine ten eleven twelve u{i}" for i in range(2000)])
+    assert sorted(r.article_id for r in news.near_copies(df, 0.1, step=50).collect()) == list(range(1, 2000))
+    assert sum(met) < 4 * 2000 * 14
+
+
 def test_shuffles_by_margins_follow_a_random_pairing():
     rng = np.random.default_rng(0)
     a = [0, 1, None, 2, 1, 0, 1, 1, 0, 3] * 6

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wattline.functions.tables import settle
 from wattline.functions.ts import Series
@@ -226,6 +230,149 @@ def greedy_drop(pairs: DataFrame) -> DataFrame:
     return (dropped if dropped is not None else pairs.select("b").limit(0)).select(F.col("b").alias("article_id")).distinct()
 
 
+#: Articles of the first step of ``near_copies``; each further one has about as many as all before it.
+FIRST_STEP = 20_000
+
+
+def _earlier(side: np.ndarray, across: bool, ranks: list, weights: list, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block's members in the order of their ids: the place of the first earlier one that each
+    is a near copy of, -1 if none, and whether it has any near copy here."""
+    sizes = [len(r) for r in ranks]
+    terms, at = np.unique(np.concatenate(ranks), return_inverse=True)
+    dense = np.zeros((len(sizes), len(terms)))
+    dense[np.repeat(np.arange(len(sizes)), sizes), at] = np.concatenate(weights)
+    near = dense @ dense.T >= threshold
+    if across:
+        near &= side[:, None] != side[None]
+    np.fill_diagonal(near, False)
+    before = np.triu(near)
+    return np.where(before.any(0), before.argmax(0), -1), near.any(0)
+
+
+def _compare(dealt: DataFrame, whole: DataFrame, threshold: float) -> DataFrame:
+    """cell, article_id, first: members of blocks that have a near copy in theirs, with the
+    first of the earlier ones (null if all are later).
+
+    ``dealt`` has cell, i, j, side, across and article_id.  Members move with their terms;
+    what comes back are members, not pairs.
+    """
+    rows = dealt.join(whole, "article_id").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "article_id")
+
+    def floats(column):
+        flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+        return np.split(flat, ends[:-1])
+
+    def score(batches):
+        key, held = None, ([], [], [], [], [])
+
+        def done():
+            cells, ids, first = [], [], []
+            if len(held[0]) > 1:
+                place, near = _earlier(np.array(held[1]), held[2][0], held[3], held[4], threshold)
+                cells = [key[0]] * int(near.sum())
+                ids = [held[0][n] for n in np.flatnonzero(near)]
+                first = [held[0][at] if at >= 0 else None for at in place[near]]
+            return cells, ids, first
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j")), strict=True))
+            columns = [batch.column(c).to_pylist() for c in ("article_id", "side", "across")] + [floats(batch.column(c)) for c in ("ranks", "weights")]
+            found = ([], [], [])
+            for n, k in enumerate(keys):
+                if k != key:
+                    for part, more in zip(found, done(), strict=True):
+                        part += more
+                    key, held = k, ([], [], [], [], [])
+                for part, column in zip(held, columns, strict=True):
+                    part.append(column[n])
+            yield batch_of(found)
+        yield batch_of(done())
+
+    def batch_of(found):
+        kinds = (pa.int64(), id_arrow, id_arrow)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, kinds, strict=True)], ["cell", "article_id", "first"])
+
+    id_type = dealt.schema["article_id"].dataType
+    id_arrow = to_arrow_type(id_type)
+    return rows.mapInArrow(score, f"cell long, article_id {id_type.simpleString()}, first {id_type.simpleString()}")
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def _own(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("article_id"), blocks).cast("int")
+
+
+def _within(members: DataFrame, ids: DataFrame) -> DataFrame:
+    """Blocks in which those of a cell that are in ``ids`` all meet."""
+    mine = members.join(ids, "article_id", "left_semi")
+    n = mine.groupBy("cell").agg(_blocks(F.count(F.lit(1))).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = mine.join(n, "cell").withColumn("own", _own(F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), (F.col("own") != F.col("other")).alias("across"), "article_id")
+
+
+def _across(members: DataFrame, stay: DataFrame, ids: DataFrame) -> DataFrame:
+    """Blocks in which those of a cell that are in ``stay`` meet those that are in ``ids``."""
+    mine = members.join(stay.select("article_id", F.lit(False).alias("side")).unionByName(ids.select("article_id", F.lit(True).alias("side"))), "article_id")
+    n = mine.groupBy("cell").agg(F.count_if(~F.col("side")).alias("s"), F.count_if("side").alias("t")).where("s > 0 and t > 0")
+    sized = mine.join(n.select("cell", _blocks(F.col("s")).alias("s"), _blocks(F.col("t")).alias("t")), "cell")
+    own = sized.withColumn("own", _own(F.when(F.col("side"), F.col("t")).otherwise(F.col("s"))))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side"), F.col("s")).otherwise(F.col("t")) - 1)))
+    i, j = F.when(F.col("side"), F.col("other")).otherwise(F.col("own")), F.when(F.col("side"), F.col("own")).otherwise(F.col("other"))
+    return other.select("cell", i.alias("i"), j.alias("j"), "side", F.lit(True).alias("across"), "article_id")
+
+
+def near_copies(df: DataFrame, threshold: float = 0.85, text: str = "title", step: int | None = None, **options) -> DataFrame:
+    """article_id of the articles to drop when they are kept in the order of their ids (numbers)
+    and each one that stays drops its later near copies.
+
+    The first article of each bag of terms stands for the others, which always go.  Ids are taken
+    in steps, each as large as all before it: its articles first meet those that stayed so far, and
+    those that are left meet each other.  There, who has no earlier near copy stays, whose first
+    one stays goes, and the rest waits for the next round, with those that just stayed.  So the
+    members of a large group of near copies meet the few that stay of it, not one another, and no
+    pairs are written: a round writes each cell's members that have a near copy in it.
+    """
+    every = settle(tf_idf(df, text, **options))
+    bags = settle(same_bags(every))
+    v = settle(vectors(every.join(bags.where("article_id = first").select("article_id"), "article_id", "left_semi")))
+    cells = settle(meeting_cells(v, threshold).select("cell", "article_id"))
+    terms = v.groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("rank", "weight"))).alias("t"))
+    whole = settle(terms.select("article_id", F.col("t.rank").alias("ranks"), F.col("t.weight").alias("weights")))
+    ids = settle(cells.select("article_id").distinct())
+    dropped, stayed = [bags.where("article_id > first").select("article_id")], []
+    size = ids.count()
+    steps = max(0, math.ceil(math.log2(size / (step or FIRST_STEP)))) if size else 0
+    bounds = sorted(set(ids.agg(F.percentile_approx("article_id", [2.0**-k for k in range(steps, 0, -1)])).first()[0])) if steps else []
+    for low, high in itertools.pairwise([None, *bounds, None]):
+        left = ids
+        if low is not None:
+            left = left.where(F.col("article_id") > low)
+        if high is not None:
+            left = left.where(F.col("article_id") <= high)
+        members, fresh = cells, stayed
+        while True:
+            if fresh:
+                meet_stayed = _across(members, functools.reduce(DataFrame.unionByName, fresh), left)
+                out = settle(_compare(meet_stayed, whole, threshold).where(F.col("first").isNotNull()).select("article_id").distinct())
+                dropped.append(out)
+                left = settle(left.join(out, "article_id", "left_anti"))
+            found = settle(_compare(_within(members, left), whole, threshold))
+            waits = settle(found.where(F.col("first").isNotNull()).groupBy("article_id").agg(F.min("first").alias("first")))
+            stays = settle(left.join(waits.select("article_id"), "article_id", "left_anti"))
+            out = settle(waits.join(stays.select(F.col("article_id").alias("first")), "first", "left_semi").select("article_id"))
+            stayed, fresh = [*stayed, stays], [stays]
+            dropped.append(out)
+            left = settle(waits.select("article_id").join(out, "article_id", "left_anti"))
+            if left.isEmpty():
+                break
+            members = settle(found.select("cell", "article_id").distinct())
+        stayed = [settle(functools.reduce(DataFrame.unionByName, stayed))] if high is not None else stayed
+    return functools.reduce(DataFrame.unionByName, dropped)
+
+
 def process(df: DataFrame, keywords: list[str], threshold: float = 0.85, near: bool = True, body: str = "description", shortest: int = 20) -> DataFrame:
     """clean, title length, date, relevance, titles, near copies of titles, full text;
     newest first.  Of near copies the smallest article_id stays, and only articles that
@@ -235,7 +382,7 @@ def process(df: DataFrame, keywords: list[str], threshold: float = 0.85, near: b
     out = exact_titles(out.where(relevant(F.concat_ws(" ", "title", body), keywords)))
     if near and threshold < 1:
         out = settle(out)
-        out = out.join(greedy_drop(similar_pairs(out, threshold)), "article_id", "left_anti")
+        out = out.join(near_copies(out, threshold), "article_id", "left_anti")
     return out.withColumn("full_text", F.concat("title", F.lit(". "), body)).orderBy(F.col("date").desc(), "article_id")
 
 
