@@ -78,13 +78,12 @@ def kept_in_order(ids, pairs):
 @pytest.mark.parametrize(("small", "block", "step", "threshold"), [(2, 5, 10, 0.6), (1000, 1000, 20_000, 0.85), (1000, 6, 9, 0.6)])
 def test_near_copies_match_a_loop_over_all_pairs(spark, monkeypatch, small, block, step, threshold):
     rng = random.Random(step)
-    monkeypatch.setattr(news, "SMALL_CELL", small)
     monkeypatch.setattr(news, "BLOCK", block)
     words = [f"w{i}" for i in range(14)]
     texts = [" ".join(rng.choices(words, [2.0**-i for i in range(14)], k=rng.randrange(0, 7))) for _ in range(120)]
     df = titles(spark, texts).withColumn("article_id", (F.col("article_id") * 37) % 120)
     pairs, bags = all_pairs(spark, df, threshold)
-    got = [r.article_id for r in news.near_copies(df, threshold, step=step).collect()]
+    got = [r.article_id for r in news.near_copies(df, threshold, step=step, small=small).collect()]
     assert len(got) == len(set(got)) and set(got) == kept_in_order(sorted(bags), pairs) and got
 
 

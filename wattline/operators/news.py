@@ -324,7 +324,7 @@ def _across(members: DataFrame, stay: DataFrame, ids: DataFrame) -> DataFrame:
     return other.select("cell", i.alias("i"), j.alias("j"), "side", F.lit(True).alias("across"), "article_id")
 
 
-def near_copies(df: DataFrame, threshold: float = 0.85, text: str = "title", step: int | None = None, **options) -> DataFrame:
+def near_copies(df: DataFrame, threshold: float = 0.85, text: str = "title", step: int | None = None, small: int | None = None, **options) -> DataFrame:
     """article_id of the articles to drop when they are kept in the order of their ids (numbers)
     and each one that stays drops its later near copies.
 
@@ -333,12 +333,13 @@ def near_copies(df: DataFrame, threshold: float = 0.85, text: str = "title", ste
     those that are left meet each other.  There, who has no earlier near copy stays, whose first
     one stays goes, and the rest waits for the next round, with those that just stayed.  So the
     members of a large group of near copies meet the few that stay of it, not one another, and no
-    pairs are written: a round writes each cell's members that have a near copy in it.
+    pairs are written: a round writes each cell's members that have a near copy in it.  Cells of up
+    to ``small`` members (a block) are not cut: more members would move than compares are saved.
     """
     every = settle(tf_idf(df, text, **options))
     bags = settle(same_bags(every))
     v = settle(vectors(every.join(bags.where("article_id = first").select("article_id"), "article_id", "left_semi")))
-    cells = settle(meeting_cells(v, threshold).select("cell", "article_id"))
+    cells = settle(meeting_cells(v, threshold, small or BLOCK).select("cell", "article_id"))
     terms = v.groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("rank", "weight"))).alias("t"))
     whole = settle(terms.select("article_id", F.col("t.rank").alias("ranks"), F.col("t.weight").alias("weights")))
     ids = settle(cells.select("article_id").distinct())
