@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -272,6 +273,50 @@ def test_toxicity_models_match_the_definition(spark):
     assert np.allclose(found, [[max(each), np.mean(each), np.mean(each), np.log(2)], [0] * 4, [0] * 4], atol=1e-4)
 
 
+def _made_words(n):
+    rng = np.random.default_rng(5)
+    said = sorted({bytes(rng.integers(97, 123, rng.integers(4, 12), dtype=np.uint8)) for _ in range(n)})
+    return pa.RecordBatch.from_arrays([pa.array(said, pa.binary())], ["word"])
+
+
+def _peak_mb(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_steps_take_words_in_slices(monkeypatch):
+    """The scratch memory of the steps over class words does not grow with all their letters."""
+    few, many = _made_words(2_000), _made_words(120_000)
+    _, peak = _peak_mb(lambda: sum(b.num_rows for b in toxicity._needs(iter([many]))))
+    assert peak < 120
+
+    def fit(words):
+        said, n = toxicity._words_of(pa.Table.from_batches([words])), words.num_rows
+        rows = [(g, c, w) for _, _, g, c, w in toxicity.gram_rows(*said, np.ones(n))]
+        gram, context, weight = (np.concatenate(x) for x in zip(*rows, strict=True))
+        grams, first = np.unique(gram, return_index=True)
+        contexts, at = np.unique(context[first], return_inverse=True)
+        counts = weight[first]
+        shared = toxicity.Shared(grams, counts, contexts, np.bincount(at, weights=counts), np.bincount(at))
+        toxic = np.arange(n) % 3
+        return _peak_mb(lambda: toxicity.train(*said, toxic, 2 - toxic, shared))
+
+    whole, _ = fit(few)
+    assert fit(many)[1] < 150
+    monkeypatch.setattr(toxicity, "WORDS", 150)
+    sliced, _ = fit(few)
+    for name in ("grams", "gram_ratio", "contexts", "context_ratio"):
+        assert np.array_equal(getattr(whole, name), getattr(sliced, name))
+    found = [np.unique(np.concatenate([b.column(1).to_numpy() for b in toxicity._needs(iter([few])) if b.column(0)[0].as_py() is k])) for k in (True, False)]
+    monkeypatch.setattr(toxicity, "WORDS", 2_000)
+    for k, values in zip((True, False), found, strict=True):
+        assert np.array_equal(values, np.unique(np.concatenate([b.column(1).to_numpy() for b in toxicity._needs(iter([few])) if b.column(0)[0].as_py() is k])))
+
+
 def test_toxicity_edges(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     long = "word " * 300_000

@@ -54,6 +54,8 @@ DISCOUNT = 2.0
 SHARED_DISCOUNT = 0.75
 SPAN = 5
 THRESHOLD = 0.3
+#: Distinct words whose letters are in memory at once (some 300 bytes a letter).
+WORDS = 20_000
 FOLD, HELD_OUT = 4, 2
 BEGIN, END = 0x01, 0x02
 
@@ -144,15 +146,14 @@ class Shared:
         return self.totals[at], self.kinds[at]
 
 
-def train(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, shared: Shared) -> Model:
-    """Model from distinct words with their counts by class, and the shared counts."""
+def _class_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, shared: Shared) -> tuple[np.ndarray, ...]:
+    """(gram, context, toxic, ordinary, backoff) of the distinct longest grams of some words."""
     framed, place, word = _frame(data, starts, ends)
     windows = _Windows(framed, place)
     gram, context = windows.hashes(np.arange(len(windows.at)), 0)
     _, rows, inverse = np.unique(gram, return_index=True, return_inverse=True)
     owner = word[windows.at]
     by_class = [np.bincount(inverse, weights=n[owner], minlength=len(rows)) for n in (toxic, ordinary)]
-    gram, context = gram[rows], context[rows]
 
     backoff = np.full(len(rows), 1 / 256)
     for length in (*reversed(LENGTHS), None):
@@ -160,6 +161,19 @@ def train(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, toxic: np.ndar
         lower, before = windows.hashes(rows[mine], 0 if length is None else windows.context[rows[mine]] - length)
         total, kinds = shared.context(before)
         backoff[mine] = (np.maximum(shared.gram(lower) - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds * backoff[mine]) / total
+    return gram[rows], context[rows], *by_class, backoff
+
+
+def train(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, shared: Shared) -> Model:
+    """Model from distinct words with their counts by class, and the shared counts."""
+    cuts = [slice(a, a + WORDS) for a in range(0, len(starts), WORDS)]
+    parts = [_class_grams(data, starts[c], ends[c], toxic[c], ordinary[c], shared) for c in cuts]
+    gram, context, *by_class, backoff = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    # Counts of one gram add up; its backoff depends on its letters alone.
+    gram, rows, inverse = np.unique(gram, return_index=True, return_inverse=True)
+    by_class = [np.bincount(inverse, weights=n, minlength=len(rows)) for n in by_class]
+    context, backoff = context[rows], backoff[rows]
 
     _, first, inverse = np.unique(context, return_index=True, return_inverse=True)
     total = [np.bincount(inverse, weights=n)[inverse] for n in by_class]
@@ -167,8 +181,7 @@ def train(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, toxic: np.ndar
     held = [np.maximum(n - DISCOUNT, 0) / np.maximum(t, 1) for n, t in zip(by_class, total, strict=True)]
     gap = [np.where(t > 0, f / np.maximum(t, 1), 1.0) for f, t in zip(freed, total, strict=True)]
     ratio = np.log((held[0] + gap[0] * backoff) / (held[1] + gap[1] * backoff))
-    order = np.argsort(gram)
-    return Model(gram[order], ratio[order].astype(np.float32), context[first], np.log(gap[0] / gap[1])[first].astype(np.float32))
+    return Model(gram, ratio.astype(np.float32), context[first], np.log(gap[0] / gap[1])[first].astype(np.float32))
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,17 +269,13 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The class words, in one task -> the hashes of their grams and contexts."""
-    batches = list(batches)
-    if not any(b.num_rows for b in batches):
-        return
-    table = pa.Table.from_batches(batches)
-    said, count = _words_of(table), np.ones(table.num_rows)
-    for is_gram, column in ((True, 2), (False, 3)):
-        found = np.unique(np.concatenate([np.unique(row[column]) for row in gram_rows(*said, count)]))
-        for a in range(0, len(found), 1 << 16):
-            part = found[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), is_gram)), pa.array(kernels.as_long(part))], ["is_gram", "hash"])
+    """Class words -> the hashes of their grams and contexts, once a slice of words."""
+    for batch in kernels.slices(batches, WORDS):
+        table = pa.Table.from_batches([batch])
+        said, count = _words_of(table), np.ones(table.num_rows)
+        for _, _, gram, context, _ in gram_rows(*said, count):
+            for is_gram, found in ((True, np.unique(gram)), (False, np.unique(context))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), is_gram)), pa.array(kernels.as_long(found))], ["is_gram", "hash"])
 
 
 def _shared_counts(words: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -345,11 +354,12 @@ def _remainder(ids: Column) -> Column:
 def fit_model(texts: DataFrame, learnt: DataFrame) -> Model:
     """The model from all ``texts`` and the bounded labelled rows ``learnt`` (text, toxic).
 
-    The two one-task steps see what the bounded sample holds, whatever the corpus.
+    The one-task step sees what the bounded sample holds, whatever the corpus, and its
+    words in slices.
     """
     words = learnt.select("text", "toxic").mapInArrow(_count_words, "word binary, t long, o long")
     words = settle(words.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
-    needs = settle(words.coalesce(1).mapInArrow(_needs, "is_gram boolean, hash long"))
+    needs = settle(words.mapInArrow(_needs, "is_gram boolean, hash long").distinct())
     corpus = texts.select("text").mapInArrow(_vocabulary, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     grams, totals = _shared_counts(corpus, needs)
     none = F.lit(0).cast("long")
