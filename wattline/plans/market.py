@@ -199,8 +199,10 @@ def streaks(spark, sf):
 
 @query("exact_duplicates", "select any_value(lang) as lang, count(*) as n, min(doc_id) as first_id from documents group by text having count(*) > 1")
 def exact_duplicates(spark, sf):
+    """``lang`` is that of the first document with one, which ``any_value`` meets first."""
     d = fr.read(spark, sf, "documents")
-    return d.groupBy(F.md5("text").alias("h")).agg(F.min("lang").alias("lang"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("h")
+    lang = F.min_by("lang", F.when(F.col("lang").isNotNull(), F.col("doc_id")))
+    return d.groupBy(F.sha2("text", 256).alias("h")).agg(lang.alias("lang"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("h")
 
 
 @query("seasonal_calendar", ctes("market") + f""" select date, isodow(date) - 1 as dow, dayofyear(date) as doy, month(date) as month, quarter(date) as quarter, weekofyear(date) as week,
