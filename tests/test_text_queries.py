@@ -66,3 +66,11 @@ def test_few_rows_are_filled_with_those_that_cannot_be_compared(spark):
         got.setdefault(r.query_id, []).append((r.doc_id, r.score))
     assert got == {7: [(1, 1.0), (4, 0.0), (2, None), (3, None)], 8: [(1, None), (2, None), (3, None), (4, None)], 9: [(2, 1.0), (1, None), (3, None), (4, None)]}
     assert retrieval.top_k(queries, corpus.where("false"), 4).count() == retrieval.top_k(queries.where("false"), corpus, 4).count() == 0
+
+
+def test_questions_meet_the_corpus_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROWS", 64)
+    sf = vectors(spark, tmp_path, [(i, [float(x) for x in v], i % 10) for i, v in enumerate(some_vectors(700))])
+    got = registry.queries()["qa_answers"](spark, sf)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    compare(got, registry.oracle_sql()["qa_answers"], sf)
