@@ -74,3 +74,17 @@ def test_questions_meet_the_corpus_in_blocks(spark, tmp_path, monkeypatch):
     got = registry.queries()["qa_answers"](spark, sf)
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
     compare(got, registry.oracle_sql()["qa_answers"], sf)
+
+
+def test_filter_comes_after_the_search(spark, tmp_path):
+    v = some_vectors(700)
+    sf = vectors(spark, tmp_path, [(i, [float(x) for x in e], i % 10) for i, e in enumerate(v)])
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    want = set()
+    for q in range(0, 700, 100):
+        s = np.round(unit @ unit[q], 9)
+        found = [int(i) for i in np.lexsort((np.arange(700), -s))[:10] if i % 10 < 5]
+        want |= {(q, i, rank) for rank, i in enumerate(found[:5], 1)}
+    got = registry.queries()["retrieve_filtered"](spark, sf)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert {(r.query_id, r.doc_id, r.rank) for r in got.collect()} == want
