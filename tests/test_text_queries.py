@@ -39,7 +39,6 @@ def some_vectors(n, d=8, seed=5):
 @pytest.mark.parametrize(("rows_of_a_block", "queries_of_a_block"), [(8_192, 10_000), (50, 3)])
 def test_nearest_vectors_meet_in_blocks(spark, tmp_path, monkeypatch, rows_of_a_block, queries_of_a_block):
     monkeypatch.setattr(retrieval, "ROWS", rows_of_a_block)
-    monkeypatch.setattr(retrieval, "SLICE", 2)
     sf = vectors(spark, tmp_path, [(i, [float(x) for x in v], i % 10) for i, v in enumerate(some_vectors(900))])
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = retrieval.top_k(e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), e, max_queries=queries_of_a_block)
@@ -48,6 +47,19 @@ def test_nearest_vectors_meet_in_blocks(spark, tmp_path, monkeypatch, rows_of_a_
     compare(rounded(got), registry.oracle_sql()["vector_topk"], sf)
 
 
+def test_queries_of_a_block_go_in_slices(monkeypatch):
+    v = some_vectors(500)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    want = [[int(i) for i in np.lexsort((np.arange(500), -np.round(unit @ u, 9)))[:10]] for u in unit]
+    for most in (7, 256):
+        monkeypatch.setattr(retrieval, "SLICE", most)
+        got = [[] for _ in v]
+        for q, r, _ in retrieval._nearest(v, v, 10):
+            for i, j in zip(q, r, strict=True):
+                got[i].append(int(j))
+        assert got == want
+
+
 def test_vectors_without_a_direction_rank_as_in_sql(spark, tmp_path):
     nan = float("nan")
     odd = {0: None, 5: [0.0] * 8, 17: [nan] + [1.0] * 7, 100: [0.0] * 8, 101: None, 200: [float("inf")] + [1.0] * 7}
